@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import license_scan, mixing, quality_rules, token_output, warc_archive
+from . import language_id, license_scan, mixing, near_dedup, quality_rules, token_output, warc_archive
 
-MODULES = (quality_rules, mixing, license_scan, token_output, warc_archive)
+MODULES = (language_id, quality_rules, mixing, license_scan, near_dedup, token_output, warc_archive)
 QUERIES = {"pipeline": corpus_pipeline.run}
 ORACLE_SQL: dict[str, str] = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
 for module in MODULES:
