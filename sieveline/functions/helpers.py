@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .scales import PROPERTIES, RESIDUES
 
@@ -32,7 +33,7 @@ def covariance_score(sequence: str) -> float | None:
     return float(1 / (1 + np.exp(-15.0 * (raw - 0.035))))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def long_antigenicity(sequences: pd.Series) -> pd.Series:
     return sequences.map(lambda s: None if s is None else covariance_score(s))
 
@@ -47,7 +48,7 @@ def charge_at(sequence: str, ph: float) -> float:
     return plus - minus
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def isoelectric_point(sequences: pd.Series) -> pd.Series:
     """pH of zero net charge, by bisection."""
 
@@ -70,6 +71,6 @@ def matching_ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def identity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else matching_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -30,6 +30,19 @@ PROTEINS = """proteins AS (SELECT doc_id AS ord, source AS proteome_id, 'P' || l
   regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[BJOUXZ]', '', 'g') AS sequence FROM documents)"""
 
 
+def line_proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per line of a document with letters: shorter sequences, many of them copies."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    letters = F.regexp_replace(F.upper(F.regexp_replace("t", "[^A-Za-z]", "")), "[BJOUXZ]", "")
+    return lines.select(F.col("source").alias("proteome_id"), (F.col("doc_id") * 1000000 + F.col("line")).alias("ord"), letters.alias("sequence")).filter("sequence <> ''")
+
+
+LINE_PROTEINS = """line_proteins AS (SELECT source AS proteome_id, doc_id * 1000000 + line AS ord, sequence FROM (
+  SELECT source, doc_id, i - 1 AS line, regexp_replace(upper(regexp_replace(lines[i], '[^A-Za-z]', '', 'g')), '[BJOUXZ]', '', 'g') AS sequence
+  FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT source, doc_id, string_split(text, chr(10)) AS lines FROM documents)))
+  WHERE sequence <> '')"""
+
+
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     flag = F.col("l_returnflag")
     return table(spark, sf_dir, "lineitem").select(
