@@ -10,8 +10,8 @@ connected component of links; its id is the smallest ``doc_id`` in it.
 Scale: equal texts collapse to one representative first, with partial aggregation, so copies never
 meet in a bucket. A bucket gives pairs with its leader only (linear in its size). Pairs that a
 leader doesn't settle are compared in rounds: each round takes the next ``LEADERS`` members of every
-bucket that still spans several components against the other components, and a member that has led
-leaves the bucket, until each bucket lies in one component. No bucket is capped and no pair that
+bucket that still spans several components (twice as many as in the round before) against the other
+components, and a member that has led leaves the bucket, until each bucket lies in one component. No bucket is capped and no pair that
 could join two components is skipped; pairs inside a component can't change the result. Candidates
 whose sketches agree in less than ``LEAST_AGREE`` of the values (four standard deviations below what
 the threshold gives) aren't aligned. Components are found by joins over the links, each iteration
@@ -246,14 +246,16 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     links = written(verified(tried, docs, threshold), "near-links")
     component = components(links)
     left = buckets.filter("rep <> leader AND n > 2").select("key", "rep")  # leaders have met all the others
+    leaders = LEADERS
     while True:
         placed = left.join(component, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         spans = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
         left = written(placed.join(spans, "key"), "near-left")
         if left.isEmpty():
             break
-        lead = _next_leaders(left)
-        met = left.join(lead, "key").filter("rep > a AND component <> component_a").select("a", F.col("rep").alias("b"))
+        lead = _next_leaders(left, leaders)
+        on = (left["key"] == lead["lead_key"]) & (left["rep"] > lead["a"]) & (left["component"] != lead["component_a"])
+        met = left.join(lead, on).select("a", F.col("rep").alias("b"))
         fresh = met.distinct().join(tried, ["a", "b"], "left_anti")
         agreed = written(agreeing(fresh, sketches), "near-pairs")
         tried = tried.union(agreed)
@@ -261,16 +263,17 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
         if not found.isEmpty():
             links = links.union(found)
             component = components(links)
-        left = left.join(lead.select("key", F.col("a").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep")
+        left = left.join(lead.select(F.col("lead_key").alias("key"), F.col("a").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep")
+        leaders *= 2
     placed = made.select("doc_id", "exact").join(exact, "exact", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
     return placed.join(component, "rep", "left").select("doc_id", "rep", F.coalesce("component", "rep").alias("class_id"))
 
 
-def _next_leaders(left: DataFrame) -> DataFrame:
-    """The ``LEADERS`` smallest members of each bucket; Spark limits the groups before it shuffles them."""
+def _next_leaders(left: DataFrame, n: int) -> DataFrame:
+    """The n smallest members of each bucket; Spark limits the groups before it shuffles them."""
     rank = F.row_number().over(Window.partitionBy("key").orderBy("rep"))
-    ranked = left.select("key", "rep", "component", rank.alias("rank")).filter(F.col("rank") <= LEADERS)
-    return ranked.select("key", F.col("rep").alias("a"), F.col("component").alias("component_a"))
+    ranked = left.select("key", "rep", "component", rank.alias("rank")).filter(F.col("rank") <= n)
+    return ranked.select(F.col("key").alias("lead_key"), F.col("rep").alias("a"), F.col("component").alias("component_a"))
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

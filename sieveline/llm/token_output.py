@@ -22,7 +22,8 @@ table; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import zlib
+import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,7 +43,9 @@ SHARD_BYTES = 4 << 20
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_DOCUMENTS = 512
 LEVEL = 3
-CACHE_PIECES = 400_000
+CACHE_PIECES = 1_000_000
+#: white space other than blank and line feed
+UNUSUAL_SPACE = re.compile(r"[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 INDEX = "array<struct<doc_id:bigint,offset:bigint,length:int,n_tokens:int>>"
 SHARDS = f"part int, start long, n_tokens long, first_doc long, last_doc long, dictionary_sha256 string, index {INDEX}, data binary"
@@ -56,31 +59,42 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.end = np.array([end_id], "<u4").tobytes()
-        self.cache: dict[str, bytes] = {}
+        self.end = array("I", [end_id]).tobytes()
+        self.first: dict[str, bytes] = {}  # pieces at the start of a text
+        self.cache: dict[str, bytes] = {}  # pieces behind a space, which the key leaves out
 
     @staticmethod
     def pieces(text: str) -> list[str]:
-        """Parts of the text that pre-tokenise on their own; joined they are the text."""
+        """Parts of the text that pre-tokenise on their own; joined by single spaces they are the text."""
         split = text.split(" ")
+        if "" not in split and " \n" not in text and "\n " not in text and not UNUSUAL_SPACE.search(text):
+            return split
         out = [split[0]]
         for before, piece in zip(split, split[1:], strict=False):
             if piece and before and not piece[0].isspace() and not before[-1].isspace():
-                out.append(" " + piece)
+                out.append(piece)
             else:
                 out[-1] += " " + piece
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.pieces(t) if t else [] for t in texts]
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-        unseen = list({p for ps in split for p in ps if p not in self.cache})
+    def _learn(self, cache: dict[str, bytes], unseen: list[str], before: str) -> None:
         for i in range(0, len(unseen), 4096):
             some = unseen[i : i + 4096]
-            for piece, made in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.cache[piece] = np.array(made.ids, "<u4").tobytes()
-        return [b"".join([self.cache[p] for p in ps]) + self.end for ps in split]
+            encoded = self.tokenizer.encode_batch_fast([before + p for p in some], add_special_tokens=False)
+            for piece, made in zip(some, encoded, strict=True):
+                cache[piece] = array("I", made.ids).tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [self.pieces(t) for t in texts]
+        if len(self.cache) + len(self.first) > CACHE_PIECES:
+            self.cache.clear(), self.first.clear()
+        self._learn(self.first, list({ps[0] for ps in split if ps[0] not in self.first}), "")
+        later: set[str] = set()
+        for ps in split:
+            later.update(ps[1:])
+        self._learn(self.cache, [p for p in later if p not in self.cache], " ")
+        look = self.cache.__getitem__
+        return [b"".join([self.first[ps[0]], *map(look, ps[1:]), self.end]) for ps in split]
 
 
 @lru_cache(maxsize=2)
