@@ -1,7 +1,7 @@
 """Secret scans with a random forest that removes false positives (operator 10).
 
-Candidates are cut from whole texts generously: long tokens with a digit, and values that are
-assigned with ``=`` or ``:``. Each is described by its length, its character transitions, how much
+Candidates are cut from whole texts generously: long tokens with a digit, known key shapes, and
+values that are assigned with ``=`` or ``:``. Each is described by its length, its character transitions, how much
 of it dictionary words cover, the path (here: source) it was found under and its neighbouring words.
 A random forest trained on labelled findings scores every candidate.
 
@@ -95,7 +95,11 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
         for m in ASSIGNED.finditer(text):
             if SECRET_WORD.search(m[1]) or DIGIT.search(m[2]):
                 found[m.span(2)] = m[1]
-    inside = [span for span in found]
+    for _, rx in KNOWN_SHAPES:
+        for m in rx.finditer(text):
+            if not any(b < m.end() and m.start() < e for b, e in found):
+                found[m.span()] = ""
+    inside = list(found)
     at = 0
     while m := DIGIT.search(text, at):
         begin = m.start()

@@ -1,0 +1,368 @@
+"""Corpus operators against brute force on small tables, with nulls, empty and long texts, ties and repeated rows."""
+
+from __future__ import annotations
+
+import collections
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from sieveline.llm import decontamination, language_id, license_scan, mixing, near_dedup, quality_rules, queries, secret_scan, suffix_dedup, token_output, warc_archive
+from sieveline.llm.common import read_table, scratch_path
+from tests.conftest import rows
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, keys string, n string"
+
+
+def frame(spark, texts, lang="en"):
+    """Documents with clashing extra columns."""
+    made = [(i, t, lang, None if i == 1 else "s", len(t or ""), "k", "n") for i, t in enumerate(texts)]
+    return spark.createDataFrame(made, DOCS).repartition(3)
+
+
+ODD = [None, "", " ", "word", "a b c", "ß é\n\n\tx", "the same words here " * 40, "the same words here " * 40, "x" * 30000, "🙂 " * 300]
+
+
+@pytest.fixture(scope="module")
+def documents(spark, data):
+    return [tuple(r) for r in read_table(spark, data, "documents").select("doc_id", "text").collect()]
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_matches_sql(spark, data, duck, name):
+    assert rows(queries.QUERIES[name](spark, data).toPandas()) == rows(duck.sql(queries.ORACLE_SQL[name]).df())
+
+
+EMPTY = {
+    "quality": lambda d: quality_rules.score_documents(d),
+    "license": lambda d: license_scan.scan(d),
+    "mixing": lambda d: mixing.replicate(d),
+    "near": lambda d: near_dedup.near_duplicate_classes(d),
+    "suffix": lambda d: suffix_dedup.cut_repeats(d),
+    "secrets": lambda d: secret_scan.scan_secrets(d),
+    "language": lambda d: language_id.identify(d, language_id.train(d)),
+    "items": lambda d: decontamination.contaminated(d, d.select(F.col("doc_id").alias("item_id"), "text")),
+}
+
+
+@pytest.mark.parametrize("name", sorted(EMPTY))
+def test_empty_table(spark, name):
+    assert EMPTY[name](spark.createDataFrame([], DOCS)).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(set(EMPTY) - {"mixing", "secrets", "items"}))
+def test_odd_rows_give_one_row_each(spark, name):
+    made = frame(spark, ODD).unionByName(spark.createDataFrame([(None, None, None, None, None, None, None)], DOCS))
+    assert EMPTY[name](made).count() == len(ODD) + 1
+
+
+# --- 1 ----------------------------------------------------------------------------------------------
+
+
+def test_viterbi_is_optimal():
+    rng = np.random.default_rng(0)
+    length = np.sort(rng.integers(1, 8, 25))[::-1]
+    begin = np.concatenate([[0], np.cumsum(length)[:-1]])
+    scores, prior = rng.normal(size=(length.sum(), 3)).astype(np.float32), rng.normal(size=3).astype(np.float32)
+    labels = language_id.viterbi(scores, begin, length, prior, 0.7)
+
+    def value(path, part):
+        return prior[path[0]] + sum(part[i, s] for i, s in enumerate(path)) - 0.7 * sum(a != b for a, b in itertools.pairwise(path))
+
+    for b, n in zip(begin, length, strict=True):
+        part = scores[b : b + n]
+        assert value(labels[b : b + n], part) == pytest.approx(max(value(p, part) for p in itertools.product(range(3), repeat=int(n))), abs=1e-4)
+
+
+def test_language_of_held_out_documents_and_mixed_text(spark, data):
+    got = queries.QUERIES["op1_language_id"](spark, data).join(read_table(spark, data, "documents").select("doc_id", "lang"), "doc_id")
+    held = got.filter("held_out AND lang IS NOT NULL")
+    assert held.count() > 20 and held.filter("lang = lang_pred").count() >= 0.95 * held.count()
+    assert {r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got.collect()} == {True}
+    docs = read_table(spark, data, "documents")
+    model = language_id.train(docs)
+    en, de = (docs.filter(F.col("lang") == x).orderBy(F.length("text").desc()).first()["text"][:600] for x in ("en", "de"))
+    spans = language_id.label_spans(model, [f"{en} {de}", None, "123"])
+    assert [s[2] for s in spans[0]][:1] == ["en"] and spans[0][-1][2] == "de" and spans[1:] == [[], []]
+    assert language_id.document_language([]) == ("und", 0.0)
+
+
+# --- 2 ----------------------------------------------------------------------------------------------
+
+
+def test_warc_round_trip(spark):
+    bodies = ["same", "same", "", None, "a\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nb", "ü" * 5000, "same", "x\r\n\r\n"]
+    pages = spark.createDataFrame([(i, None if i == 1 else f"http://h/{i}", b, "k") for i, b in enumerate(bodies)], "page_id long, url string, html string, key string")
+    out = scratch_path(spark, "warc-test")
+    warc_archive.write_archive(pages, out)
+    records = warc_archive.read_archive(spark, out)
+    got = {r.page_id: r for r in warc_archive.page_digests(records).collect()}
+    assert {i: (got[i].record_type, got[i].refers_to) for i in got} == {
+        0: ("revisit", 6), 1: ("revisit", 6), 2: ("revisit", 3), 3: ("response", None), 4: ("response", None), 5: ("response", None), 6: ("response", None), 7: ("response", None),
+    }
+    import base64
+
+    for i, b in enumerate(bodies):
+        raw = (b or "").encode()
+        assert (got[i].payload_bytes, got[i].payload_digest) == (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode())
+    full = {re.search(r"Record-ID: <urn:page:(\d+)>", r.header)[1]: bytes(r.payload).decode() for r in warc_archive.reconstruct(records).collect()}
+    assert full == {str(i): b or "" for i, b in enumerate(bodies)}
+
+
+# --- 3 ----------------------------------------------------------------------------------------------
+
+
+def test_license_words_and_places(spark, documents):
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    extra = ["MIT License mit license", "cc by-nc 4.0", "GNU General Public License, version 3", "mitlicense", "Kelvin K MIT\tLicense é"]
+    made = frame(spark, [*[t for _, t in documents], *ODD, *extra])
+    got = {r.doc_id: r for r in license_scan.scan(made).collect()}
+    for r in made.collect():
+        words = word.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in r.text or ""))
+        places = [(i, label) for p, label in license_scan.BASE for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+        base = got[r.doc_id].base or []
+        assert got[r.doc_id].n_words == len(words) and sum(b.n for b in base) == len(places)
+        assert {b.label for b in base} == {label for _, label in places}
+        if places:
+            assert (min(b.first for b in base), max(b.last for b in base)) == (min(places)[0], max(places)[0])
+
+
+def test_license_suppression(spark):
+    texts = ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: GPL-3.0-or-later", "nothing here", "CC BY-NC-SA 4.0"]
+    got = {r.doc_id: [d.label for d in r.found or []] for r in license_scan.scan(frame(spark, texts)).collect()}
+    assert got == {0: ["apache-2.0"], 1: ["gpl-3.0"], 2: [], 3: ["cc-by-nc-sa-4.0"]}
+
+
+# --- 4 ----------------------------------------------------------------------------------------------
+
+
+def test_token_files_round_trip(spark, documents):
+    from tokenizers import Tokenizer
+
+    texts = [*[t for _, t in documents[:60]], *ODD, "<|endoftext|> a  b", " lead", "tail ", "a\n b", "don't  stop"]
+    tokenizer = Tokenizer.from_file(token_output.TOKENIZER)
+    tokenizer.encode_special_tokens = True
+    out = scratch_path(spark, "tokens-test")
+    token_output.write_tokens(frame(spark, texts), out, shard_bytes=2000)
+    got = {r.doc_id: r for r in token_output.read_tokens(spark, out).collect()}
+    at = 0
+    for i, t in enumerate(texts):
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+        assert (got[i].start, got[i].n_tokens, np.frombuffer(got[i].ids, "<u4").tolist()) == (at, len(ids), ids)
+        at += len(ids)
+    digests = {r.doc_id: r.ids_crc32 for r in token_output.token_digests(spark, out).collect()}
+    assert digests == {i: zlib.crc32(bytes(got[i].ids)) for i in got}
+
+
+# --- 5 ----------------------------------------------------------------------------------------------
+
+
+def test_decontamination_recall_and_clean_documents(spark, data):
+    items = [(r.item_id, r.text) for r in read_table(spark, data, "benchmark").collect()]
+    rng = random.Random(5)
+    texts, expected = [], set()
+    for i in range(120):
+        item, text = items[i % len(items)]
+        words = decontamination.WORD.findall(text)
+        for _ in range(int(len(words) * (0.0, 0.05, 0.1, 0.15)[i % 4])):
+            p = rng.randrange(len(words))
+            words[p : p + 1] = rng.choice([[], ["zqx%d" % rng.randrange(10**6)], [words[p], "zqy%d" % rng.randrange(10**6)]])
+        filler = " ".join("w%d" % rng.randrange(10**6) for _ in range(50))
+        texts.append(f"{filler} {' '.join(words)} {filler}")
+        expected.add((i, item))
+    texts += ["clean " + " ".join("v%d" % rng.randrange(10**6) for _ in range(200)) for _ in range(30)]
+    made = frame(spark, texts)
+    found = {(r.doc_id, r.item_id) for r in decontamination.contaminated(made, read_table(spark, data, "benchmark")).collect()}
+    assert len(found & expected) >= 0.95 * len(expected)
+    assert all(d < 120 for d, _ in found)
+    kept = {r.doc_id for r in decontamination.decontaminate(made, read_table(spark, data, "benchmark")).collect()}
+    assert kept == set(range(len(texts))) - {d for d, _ in found}
+
+
+def test_edit_distance_is_exact():
+    rng = random.Random(1)
+    for _ in range(200):
+        a = np.array([rng.randrange(4) + 1 for _ in range(rng.randrange(1, 9))], np.uint64)
+        b = np.array([rng.randrange(4) + 1 for _ in range(rng.randrange(0, 9))], np.uint64)
+        table = {}
+        for i in range(len(a) + 1):
+            for j in range(len(b) + 1):
+                table[i, j] = max(i, j) if not i or not j else min(table[i - 1, j] + 1, table[i, j - 1] + 1, table[i - 1, j - 1] + int(a[i - 1] != b[j - 1]))
+        best = min(table[len(a), j] for j in range(len(b) + 1))
+        assert decontamination.edit_distance(a, b, 3) == min(best, 4)
+
+
+# --- 6 ----------------------------------------------------------------------------------------------
+
+
+def brute_quality(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = collections.Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+    covered = {i + k for i in range(len(words) - 7) if windows[tuple(words[i : i + 8])] > 1 for k in range(8)}
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")) if words else 0, len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_statistics_and_labels(spark, data, documents):
+    texts = [*[t for _, t in documents], *ODD, "a b c d e f g h " * 3, "a a a a a a a a a a", "l\n \nl\nl \n"]
+    got = {r.doc_id: r for r in quality_rules.score_documents(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        r, e = got[i], brute_quality(t)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == e, (i, t)
+        assert r.base_failed == (e[0] < 20 or 100 * e[4] > 30 * e[0]) and not (r.kept and r.base_failed)
+    labels = read_table(spark, data, "labels")
+    judged = quality_rules.score_documents(read_table(spark, data, "documents")).join(labels.select("doc_id", F.col("quality").alias("good")), "doc_id")
+    assert judged.filter("good = 1 AND NOT base_failed AND NOT kept").count() <= 0.05 * judged.filter("good = 1").count()
+
+
+def test_label_model_recovers_accuracies():
+    rng = np.random.default_rng(2)
+    truth = rng.random(4000) < 0.8
+    votes = np.stack([np.where(rng.random(4000) < 0.3, 0, np.where(rng.random(4000) < acc, np.where(truth, 1, -1), np.where(truth, -1, 1))) for acc in (0.9, 0.85, 0.8, 0.75, 0.9)], axis=1)
+    patterns, inverse, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    good = quality_rules.fit_label_model(patterns, counts.astype(float))[inverse.ravel()]
+    assert ((good >= 0.5) == truth).mean() > 0.9
+
+
+# --- 7 ----------------------------------------------------------------------------------------------
+
+
+def brute_repeats(made):
+    texts = [(d, (t or "").encode()) for d, t in made]
+    first = {}
+    for d, raw in texts:
+        for i in range(len(raw) - 49):
+            first[raw[i : i + 50]] = min(d, first.get(raw[i : i + 50], d))
+    out = {}
+    for d, raw in texts:
+        gone = bytearray(len(raw))
+        for i in range(len(raw) - 49):
+            if first[raw[i : i + 50]] < d:
+                gone[i : i + 50] = b"\1" * 50
+        spans = sum(1 for i in range(len(raw)) if gone[i] and (not i or not gone[i - 1]))
+        out[d] = (len(raw), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(raw, gone, strict=True) if not g)).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_suffix_dedup_matches_brute_force(spark, documents, monkeypatch, small):
+    if small:  # the join in place of the bitmap, many flushes and ranges
+        for name, value in (("BITMAP_NAMES", 0), ("BROADCAST_BYTES", 0), ("FLUSH_WINDOWS", 5000), ("FLUSH_NAMES", 5000), ("BLOCK", 20000), ("RANGE_BYTES", 9000)):
+            monkeypatch.setattr(suffix_dedup, name, value)
+    made = list(enumerate([*[t for _, t in documents[:120]], *ODD, "ab" * 400, "x" + "ab" * 300, "y" * 49, "y" * 50, "y" * 51]))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.cut_repeats(frame(spark, [t for _, t in made])).collect()}
+    assert got == brute_repeats(made)
+
+
+# --- 8 ----------------------------------------------------------------------------------------------
+
+
+def test_mixing_reaches_its_rates_and_repeats_itself(spark):
+    made = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("text of ten").alias("text"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 300 == 1, "rare").otherwise(None).alias("source"))
+    mixed = mixing.replicate(made, {"hot": 1.0, "rare": 1.0})
+    n = {r.source: r.n for r in mixed.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert set(n) == {"hot", "rare"} and abs(n["hot"] - 3000) < 250 and abs(n["rare"] - 3000) < 250
+    again = mixing.replicate(made.repartition(5), {"hot": 1.0, "rare": 1.0})
+    pick = lambda d: {(r.doc_id, r.copy, r.shuffle_key) for r in d.select("doc_id", "copy", "shuffle_key").collect()}
+    assert pick(mixed) == pick(again)
+
+
+# --- 9 ----------------------------------------------------------------------------------------------
+
+
+def brute_classes(made):
+    shingles = {}
+    for d, t in made:
+        words = (t or "").split()
+        shingles[d] = [tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))] if words else []
+    parent = {d: d for d, _ in made}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    text = dict(made)
+    for (a, x), (b, y) in itertools.combinations(shingles.items(), 2):
+        if not x or not y:
+            continue
+        s, t = set(x), set(y)
+        if text[a].split() == text[b].split() or (min(len(text[a].split()), len(text[b].split())) >= 5 and len(s & t) >= 0.8 * len(s | t)):
+            p, q = find(a), find(b)
+            parent[max(p, q)] = min(p, q)
+    return {d: find(d) for d, _ in made}
+
+
+def test_near_duplicates_match_brute_force(spark, documents):
+    made = documents[:150]
+    rng = random.Random(4)
+    base = ["w%d" % rng.randrange(10**5) for _ in range(400)]
+    texts = [t for _, t in made] + [" ".join(base)]
+    for k in (1, 2, 4, 6, 40, 60):  # clearly above and below the threshold
+        for _ in range(4):
+            words = list(base)
+            for p in rng.sample(range(len(words)), k):
+                words[p] = "e%d" % rng.randrange(10**6)
+            texts.append(" ".join(words))
+    texts += ["short one", "short one", "short two", "one", None, ""]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicate_classes(frame(spark, texts)).collect()}
+    expected = brute_classes(list(enumerate(texts)))
+    assert sum(got[d] != expected[d] for d in expected) <= 2  # pairs right at the threshold may differ
+    assert got[0] == 0 and len(set(got.values())) < len(texts)
+    kept = {r.doc_id for r in near_dedup.drop_near_duplicates(frame(spark, texts)).collect()}
+    assert kept == set(got.values())
+
+
+def test_alignment_bounds():
+    a = np.arange(100, dtype=np.uint32)
+    assert near_dedup.aligned_similarity(a, a) == 1.0
+    b = a.copy()
+    b[50] = 999
+    assert near_dedup.aligned_similarity(a, b) == pytest.approx(91 / (96 + 96 - 91))
+    assert near_dedup.aligned_similarity(a, a[::-1].copy()) == 0.0
+    assert near_dedup.aligned_similarity(a[:3], a[:4]) == 0.0
+
+
+# --- 10 ---------------------------------------------------------------------------------------------
+
+
+def test_secrets_are_found_and_numbers_are_not(spark, documents):
+    rng = random.Random(8)
+    hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    key = lambda: "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))
+    texts = [f"some words password={hexa(18)} more" for _ in range(30)] + [f'x token = "{hexa(40)}" y' for _ in range(30)] + [f"and {key()} here" for _ in range(30)]
+    texts += [f"card {''.join(rng.choice('0123456789') for _ in range(16))} paid" for _ in range(60)] + ["mail a.b1234567890123@mail.example.com now", "api_key=changeme12345"]
+    got = collections.defaultdict(list)
+    for r in secret_scan.scan_secrets(frame(spark, texts)).collect():
+        got[r.doc_id].append(r.is_secret)
+    assert all(any(got[i]) for i in range(90)) and not any(any(got[i]) for i in range(90, len(texts)))
+
+
+# --- pipeline ---------------------------------------------------------------------------------------
+
+
+def test_pipeline_matches_its_stages(spark, data):
+    docs = read_table(spark, data, "documents")
+    kept = quality_rules.score_documents(docs).filter("kept").select("doc_id")
+    left = docs.join(kept, "doc_id", "left_semi")
+    classes = near_dedup.near_duplicate_classes(left).filter("doc_id = class_id").select("doc_id")
+    left = left.join(classes, "doc_id", "left_semi")
+    bad = decontamination.contaminated(left, read_table(spark, data, "benchmark")).select("doc_id")
+    left = left.join(bad, "doc_id", "left_anti")
+    expected = collections.Counter(r.doc_id for r in mixing.replicate(left).collect())
+    got = corpus_pipeline.run(spark, data).collect()
+    assert collections.Counter(r.doc_id for r in got) == expected
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, data)
+        assert tuple(docs.columns) == corpus_pipeline.DOCUMENT_COLUMNS
