@@ -39,8 +39,8 @@ from .common import read_table, written
 SHINGLE = 5
 THRESHOLD = 0.8
 VALUES = 128
-TABLES = 48
-ROWS = 5
+TABLES = 64
+ROWS = 6
 LEADERS = 8
 LEAST_AGREE = 0.47
 BROADCAST_IDS = 2_000_000
@@ -204,11 +204,8 @@ def agreeing(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(keep, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose whole texts are similar by banded alignment."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids")
-    words = semi_join_ids(docs.select("doc_id", "text"), ids, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_words_batches, "doc_id long, words binary")
-    words = written(words, "near-words", compression="none")
+def verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose whole word sequences are similar by banded alignment."""
     left = words.select(F.col("doc_id").alias("a"), F.col("words").alias("words_a"))
     right = words.select(F.col("doc_id").alias("b"), F.col("words").alias("words_b"))
     return pairs.join(right, "b").join(left, "a").select("a", "b", "words_a", "words_b").mapInArrow(_verify_batches(threshold), "a long, b long")
@@ -241,9 +238,13 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     shared = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).filter("n > 1")
     buckets = written(entries.join(shared, "key"), "near-buckets")  # all that share a bucket with another text
     pairs = buckets.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    sketches = reps.select("rep", "sketch")
+    # sketches and words of those documents only that share a bucket
+    members = written(buckets.select("rep").distinct(), "near-members")
+    sketches = written(semi_join_ids(reps.select("rep", "sketch"), members, "rep"), "near-member-sketches", compression="none")
+    own = semi_join_ids(docs, members.withColumnRenamed("rep", "doc_id"), "doc_id")
+    words = written(own.mapInArrow(_words_batches, "doc_id long, words binary").dropDuplicates(["doc_id"]), "near-words", compression="none")
     tried = written(agreeing(pairs, sketches), "near-pairs")
-    links = written(verified(tried, docs, threshold), "near-links")
+    links = written(verified(tried, words, threshold), "near-links")
     component = components(links)
     left = buckets.filter("rep <> leader AND n > 2").select("key", "rep")  # leaders have met all the others
     leaders = LEADERS
@@ -259,7 +260,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
         fresh = met.distinct().join(tried, ["a", "b"], "left_anti")
         agreed = written(agreeing(fresh, sketches), "near-pairs")
         tried = tried.union(agreed)
-        found = written(verified(agreed, docs, threshold), "near-links")
+        found = written(verified(agreed, words, threshold), "near-links")
         if not found.isEmpty():
             links = links.union(found)
             component = components(links)
