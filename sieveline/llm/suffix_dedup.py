@@ -46,9 +46,9 @@ LENGTH = 50
 GRAM = 16
 SPREAD = LENGTH - GRAM + 1  # grams in a window
 RANGE_BYTES = 6 << 20
-BLOCK = 4 << 20
-FLUSH_NAMES = 4_000_000
-FLUSH_WINDOWS = 6_000_000
+BLOCK = 1 << 20
+FLUSH_NAMES = 750_000
+FLUSH_WINDOWS = 1_000_000
 BITMAP_BITS = 27
 BITMAP_NAMES = 1 << 24
 BROADCAST_BYTES = 96 << 20
