@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ SIMILARITY = 0.8
 LEAST_WORDS = 5
 GRAM = 3
 REPEATS = 24
-SAMPLES = 2
+SAMPLES = 3
 CLASS_GROWTH = 1.25
 WORD = re.compile(r"[^\W_]+")
 LEAST_BITS, MOST_BITS = 20, 27
@@ -93,25 +94,31 @@ class LengthClass:
         self.steps = max(2, int(1.8 * self.low))
 
 
-def cgk_keys(windows: np.ndarray, cls: LengthClass) -> np.ndarray:
-    """rows x REPEATS keys of padded word windows (0 behind the end)."""
-    rows = np.arange(len(windows))
-    out = np.empty((len(windows), REPEATS), np.uint64)
-    last = windows.shape[1] - 1
+@lru_cache(maxsize=256)
+def _walks(number: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Coins and sampled positions of the walks of one length class: steps x REPEATS each."""
+    coins, picked = np.empty((steps, REPEATS), np.uint64), np.zeros((steps, REPEATS), bool)
     for r in range(REPEATS):
-        rng = np.random.default_rng([5, cls.number, r])
-        picks = set(rng.permutation(cls.steps)[:SAMPLES].tolist())
-        coins = rng.integers(0, 1 << 63, cls.steps, dtype=np.uint64)
-        at = np.zeros(len(windows), np.int64)
-        key = np.full(len(windows), (cls.number << 8) + r, np.uint64)
-        for t in range(max(picks) + 1):
-            here = windows[rows, at]
-            if t in picks:
-                key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + here)
-            coin = (here ^ coins[t]) * np.uint64(0x9E3779B97F4A7C15)
-            at = np.minimum(at + (coin >> np.uint64(63)).astype(np.int64), last)
-        out[:, r] = key
-    return out
+        rng = np.random.default_rng([5, number, r])
+        picked[rng.permutation(steps)[:SAMPLES], r] = True
+        coins[:, r] = rng.integers(0, 1 << 63, steps, dtype=np.uint64)
+    return coins, picked
+
+
+def cgk_keys(windows: np.ndarray, cls: LengthClass) -> np.ndarray:
+    """rows x REPEATS keys of padded word windows (0 behind the end), all walks at once."""
+    coins, picked = _walks(cls.number, cls.steps)
+    rows, last = np.arange(len(windows))[:, None], windows.shape[1] - 1
+    at = np.zeros((len(windows), REPEATS), np.int64)
+    key = np.broadcast_to(np.arange(REPEATS, dtype=np.uint64) + np.uint64(cls.number << 8), at.shape).copy()
+    for t in range(int(np.flatnonzero(picked.any(axis=1)).max()) + 1):
+        here = windows[rows, at]
+        own = np.flatnonzero(picked[t])
+        if len(own):
+            key[:, own] = _mix(key[:, own] * np.uint64(0x9E3779B97F4A7C15) + here[:, own])
+        at += (((here ^ coins[t]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)).astype(np.int64)
+        np.minimum(at, last, out=at)
+    return key
 
 
 def _pad(words: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
@@ -171,13 +178,10 @@ def _in_bitmap(packed: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (packed[(place >> np.uint64(5)).astype(np.int64)] >> (place & np.uint64(31)).astype(np.uint32)) & 1 == 1
 
 
-def candidate_starts(words: np.ndarray, cls: LengthClass, grams: np.ndarray) -> np.ndarray:
-    """Window starts around which enough grams of benchmark items occur."""
-    hits = _in_bitmap(grams, gram_hashes(words, cls.gram))
-    if hits.sum() < cls.count:
-        return np.zeros(0, np.int64)
+def candidate_starts(hits: np.ndarray, n_words: int, cls: LengthClass) -> np.ndarray:
+    """Window starts around which enough grams of benchmark items occur; ``hits`` flags the grams of the class's size."""
     before = np.concatenate([[0], np.cumsum(hits)])
-    starts = np.arange(len(words))
+    starts = np.arange(n_words)
     begin = np.minimum(starts, len(hits))
     end = np.minimum(starts + cls.window, len(hits))
     return np.flatnonzero(before[end] - before[begin] >= cls.count)
@@ -196,6 +200,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     item_keys = items.select("item_id", F.explode("keys").alias("key"))
     shared = spark.sparkContext.broadcast((bitmap(items.select(F.explode("grams").alias("h")), "h"), bitmap(item_keys, "key")))
     classes = [LengthClass(n, similarity) for n in sorted(numbers)]
+    sizes = sorted({c.gram for c in classes})
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, keys = shared.value
@@ -212,8 +217,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
                 cache.clear()
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = word_hashes(text, cache)
-                for cls in classes if len(words) else ():
-                    starts = candidate_starts(words, cls, grams)
+                hits = {q: _in_bitmap(grams, gram_hashes(words, q)) for q in sizes}
+                total = {q: int(h.sum()) for q, h in hits.items()}
+                for cls in classes:
+                    if total[cls.gram] < cls.count:
+                        continue
+                    starts = candidate_starts(hits[cls.gram], len(words), cls)
                     for at in range(0, len(starts), 4096):
                         some = starts[at : at + 4096]
                         padded = _pad(words, some, cls.window)
