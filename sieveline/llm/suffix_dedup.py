@@ -46,7 +46,7 @@ LENGTH = 50
 GRAM = 16
 SPREAD = LENGTH - GRAM + 1  # grams in a window
 RANGE_BYTES = 6 << 20
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 FLUSH_NAMES = 750_000
 FLUSH_WINDOWS = 1_000_000
 BITMAP_BITS = 27
@@ -235,7 +235,7 @@ _NAMES = ["range", "doc_id", "th", "spans", "keys", "counts", "starts", "windows
 
 
 def _window_batches(bits: int, keep):
-    """Candidate windows of a map task: repeats inside it as spans (range null), the rest packed by range."""
+    """Candidate windows of a map task: repeats inside it as spans (negative range), the rest packed by range."""
 
     def flush(keys: list, doc: np.ndarray, start: np.ndarray, name: np.ndarray, window: np.ndarray) -> Iterator[pa.RecordBatch]:
         ids = np.array([k[0] for k in keys], np.int64)
@@ -245,7 +245,7 @@ def _window_batches(bits: int, keep):
         low = np.repeat(d[first], np.diff(np.append(first, len(w))))
         later = np.zeros(len(w), bool)
         later[order] = d > low
-        rows: list[tuple] = [(None, *r, None, None, None, None) for r in _span_rows(keys, doc[later], start[later])]
+        rows: list[tuple] = [(-1 - (r[1] & ((1 << bits) - 1)), *r, None, None, None, None) for r in _span_rows(keys, doc[later], start[later])]
         doc, start, name, window = doc[~later], start[~later], name[~later], window[~later]
         rng = (name >> np.uint64(64 - bits)).astype(np.int64)
         order = np.lexsort((start, doc, rng))
@@ -277,7 +277,12 @@ def _window_batches(bits: int, keep):
 
 
 def _compare_windows(group: pd.DataFrame) -> pd.DataFrame:
-    """Sorts the windows of one range and compares adjacent ones: repeats of a smaller document come out."""
+    """Sorts the windows of one range and compares adjacent ones: repeats of a smaller document come out.
+
+    A negative range holds spans that are settled already and pass through.
+    """
+    if group["range"].iloc[0] < 0:
+        return group[["doc_id", "th", "spans"]].astype({"doc_id": "int64", "th": "int64"})
     pairs = [_unpack(x, np.int64).reshape(-1, 2) for x in group["keys"]]
     counts = np.concatenate([_unpack(x, np.int32) for x in group["counts"]])
     keys = np.concatenate(pairs)
@@ -332,9 +337,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         found = rows.mapInArrow(_window_batches(window_bits, keep), WINDOW_ROWS)
     else:
         found = _by_join(rows, names, name_bits).mapInArrow(_window_batches(window_bits, _flagged), WINDOW_ROWS)
-    found = written(found, "suffix-windows", compression="none")
-    compared = found.filter("range IS NOT NULL").groupBy("range").applyInPandas(_compare_windows, "doc_id long, th long, spans binary")
-    return found.filter("range IS NULL").select("doc_id", "th", "spans").union(compared)
+    return found.groupBy("range").applyInPandas(_compare_windows, "doc_id long, th long, spans binary")
 
 
 def _flagged(block: Block, flagged: list) -> np.ndarray:
