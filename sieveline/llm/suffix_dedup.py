@@ -47,8 +47,8 @@ GRAM = 16
 SPREAD = LENGTH - GRAM + 1  # grams in a window
 RANGE_BYTES = 6 << 20
 BLOCK = 1 << 19
-FLUSH_NAMES = 750_000
-FLUSH_WINDOWS = 1_000_000
+FLUSH_NAMES = 300_000
+FLUSH_WINDOWS = 400_000
 BITMAP_BITS = 27
 BITMAP_NAMES = 1 << 24
 BROADCAST_BYTES = 96 << 20
@@ -114,7 +114,7 @@ class Block:
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple[int, int]], list[bytes], list]]:
     """Keys (doc_id, text hash), UTF-8 texts and the last column, about ``BLOCK`` bytes at a time."""
     keys, texts, more, size = [], [], [], 0
-    for batch in batches:
+    for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
         last = batch.column(batch.num_columns - 1).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows
         for doc_id, th, text, x in zip(*(batch.column(i).to_pylist() for i in range(3)), last, strict=True):
             raw = (text or "").encode("utf-8", "surrogatepass")
