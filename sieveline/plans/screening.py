@@ -215,14 +215,24 @@ def j6(spark, sf_dir):
     return cluster.candidate_pairs(lines, CLUSTER_WORD)
 
 
+@query("j6_protein_candidate_pairs", f"""WITH {V.PROTEINS}, k AS (SELECT proteome_id, CASE WHEN count(*) > 3000 THEN 10 WHEN count(*) > 1000 THEN 7 ELSE 5 END AS k FROM proteins GROUP BY 1),
+d AS (SELECT proteome_id, min(ord) AS ord, sequence, length(sequence) AS n, k FROM proteins JOIN k USING (proteome_id) GROUP BY proteome_id, sequence, k),
+w AS (SELECT DISTINCT proteome_id, ord, n, substr(sequence, i, k) AS w FROM (SELECT *, unnest(range(1, n - k + 2)) AS i FROM d WHERE n >= k))
+SELECT a.proteome_id, a.ord AS a, b.ord AS b, count(*) AS shared FROM w a JOIN w b ON a.proteome_id = b.proteome_id AND a.w = b.w AND a.ord < b.ord
+WHERE least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) GROUP BY 1, 2, 3""")
+def j6_proteins(spark, sf_dir):
+    proteins = cluster.with_word(V.proteins(spark, sf_dir), None)  # all of a proteome's sequences set its word length, copies too
+    return cluster.candidate_pairs(proteins.groupBy("proteome_id", "sequence", "k").agg(F.min("ord").alias("ord")), F.col("k"))
+
+
 @query("c24_greedy_cluster")
 def c24(spark, sf_dir):
-    return cluster.greedy_clusters(V.line_proteins(spark, sf_dir), 0.8, CLUSTER_WORD)
+    return cluster.greedy_clusters(V.proteins(spark, sf_dir), 0.8)
 
 
 @query("a2_cluster_stats")
 def a2(spark, sf_dir):
-    return cluster.cluster_stats(cluster.greedy_clusters(V.line_proteins(spark, sf_dir), 0.8, CLUSTER_WORD))
+    return cluster.cluster_stats(cluster.greedy_clusters(V.proteins(spark, sf_dir), 0.8))
 
 
 # --- per-sequence scores ----------------------------------------------------------------------------

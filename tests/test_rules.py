@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,6 +113,57 @@ def test_cluster_threshold(spark, k):
     assert got == {1: 1, 2: 1 if matching_ratio(rows[0][2], rows[1][2]) >= 0.8 else 2, 3: 1, 4: 4}
 
 
+def _greedy(sequences, word, threshold=0.8):
+    """The sequential rule: the first seed that shares a word and is alike, else a new seed."""
+    seeds, rep = [], {}
+    for o, s in sequences:
+        words = {s[i : i + word] for i in range(len(s) - word + 1)}
+        same = [q for q, t in sequences if t == s and q < o]
+        near = [q for q, t in seeds if any(w in t for w in words) and min(len(s), len(t)) >= threshold * max(len(s), len(t)) and matching_ratio(t, s) >= threshold]
+        rep[o] = rep[same[0]] if same else near[0] if near else o
+        if rep[o] == o:
+            seeds.append((o, s))
+    return rep
+
+
+def test_clusters_equal_the_sequential_rule_for_scattered_differences(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "FIRST_LEADERS", 2)  # several rounds
+    rng = random.Random(6)
+    letters = "ACDEFGHIKLMNPQRSTVWY"
+    sequences = []
+    for _ in range(4):
+        base = "".join(rng.choice(letters) for _ in range(120))
+        sequences.append(base)
+        # differences 10 residues apart: 90 % identity without a common word of 24
+        sequences.append("".join("W" if i % 10 == 5 else c for i, c in enumerate(base)))
+        sequences += ["".join(rng.choice(letters) if rng.random() < r else c for c in base) for r in (0.05, 0.1, 0.15, 0.2, 0.25)]
+        sequences += [base[:20], base[:19] + "W", base[:4]]
+    rng.shuffle(sequences)
+    rows = list(enumerate(sequences))
+    frame = spark.createDataFrame([("p", *r) for r in rows], "proteome_id string, ord int, sequence string")
+    got = {r.ord: r.rep_ord for r in cluster.greedy_clusters(frame).collect()}
+    assert got == _greedy(rows, 5)
+    assert len(set(got.values())) < len(sequences) - 8
+
+
+def test_common_subsequence_is_exact():
+    rng = random.Random(7)
+    for _ in range(100):
+        a, b = ("".join(rng.choice("ACD") for _ in range(rng.randrange(0, 12))) for _ in "ab")
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                table[i][j] = table[i - 1][j - 1] + 1 if x == y else max(table[i - 1][j], table[i][j - 1])
+        assert cluster.common_subsequence(a, cluster.letter_masks(b), len(b)) == table[-1][-1]
+
+
+def test_clusters_of_the_queries_take_whole_sequences(spark, data):
+    from sieveline.plans import views
+    from sieveline.plans.operations import QUERIES
+
+    assert QUERIES["c24_greedy_cluster"](spark, data).count() == views.proteins(spark, data).count()
+
+
 def test_overlap_ignores_unselected_rows(spark):
     rows = [("r", "b1", "BCELL_LINEAR", "DEFG", True), ("r", "t1", "CTL", "ACDEFGHIK", None), ("r", "b2", "BCELL_LINEAR", "CDEF", False), ("r", "b3", "BCELL_LINEAR", "ZZZZ", True)]
     found = epitopes.bt_overlap(spark.createDataFrame(rows, "run_id string, id string, type string, sequence string, selected boolean"))
