@@ -8,9 +8,10 @@ word edits (insertions, deletions, replacements). Words are lower-cased runs of
    The grams are looked up in a bitmap of a bounded size, which has no false negatives.
 2. CGK embedding: a random walk over the words of an item-sized window, which copies the word it
    stands on and steps or stays by a hashed coin, turns edit distance into Hamming distance.
-3. Bit sampling: ``REPEATS`` walks, ``SAMPLES`` sampled positions each, make the bucket keys that
+3. Bit sampling: ``repeats`` walks, ``samples`` sampled positions each, make the bucket keys that
    windows and items are joined on. Items are sorted into classes of similar length, whose shortest
-   item sets the length of the walk.
+   item sets the length of the walk. Both numbers go by the class, so that an item with exactly the
+   allowed edits is found with ``TARGET_RECALL`` at any length, whatever the kind of its edits.
 4. Exact verification: the least edit distance between the item and any prefix of the window.
 
 Items are joined by their keys as ordinary tables (Spark broadcasts them below its size threshold
@@ -39,8 +40,8 @@ from .common import read_table, written
 SIMILARITY = 0.8
 LEAST_WORDS = 5
 GRAM = 3
-REPEATS = 24
-SAMPLES = 3
+TARGET_RECALL = 0.99
+TWO_SAMPLES_TO = 25
 CLASS_GROWTH = 1.25
 WORD = re.compile(r"[^\W_]+")
 LEAST_BITS, MOST_BITS = 20, 27
@@ -92,25 +93,28 @@ class LengthClass:
         self.slack = edits(self.high, similarity)
         self.window = self.high + self.slack
         self.steps = max(2, int(1.8 * self.low))
+        # Measured for TARGET_RECALL at exactly the allowed edits, deletions alone being the hardest: two samples need up to 25
+        # walks at 23 words, but 127 at 72 and beyond 5,000 at 222; one sample needs 20 at 46, 33 at 72, 85 at 222, 191 at 433.
+        self.samples, self.repeats = (2, 28) if self.high <= TWO_SAMPLES_TO else (1, max(24, math.ceil(self.high / 2)))
 
 
 @lru_cache(maxsize=256)
-def _walks(number: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """Coins and sampled positions of the walks of one length class: steps x REPEATS each."""
-    coins, picked = np.empty((steps, REPEATS), np.uint64), np.zeros((steps, REPEATS), bool)
-    for r in range(REPEATS):
+def _walks(number: int, steps: int, repeats: int, samples: int) -> tuple[np.ndarray, np.ndarray]:
+    """Coins and sampled positions of the walks of one length class: steps x repeats each."""
+    coins, picked = np.empty((steps, repeats), np.uint64), np.zeros((steps, repeats), bool)
+    for r in range(repeats):
         rng = np.random.default_rng([5, number, r])
-        picked[rng.permutation(steps)[:SAMPLES], r] = True
+        picked[rng.permutation(steps)[:samples], r] = True
         coins[:, r] = rng.integers(0, 1 << 63, steps, dtype=np.uint64)
     return coins, picked
 
 
 def cgk_keys(windows: np.ndarray, cls: LengthClass) -> np.ndarray:
-    """rows x REPEATS keys of padded word windows (0 behind the end), all walks at once."""
-    coins, picked = _walks(cls.number, cls.steps)
+    """rows x ``cls.repeats`` keys of padded word windows (0 behind the end), all walks at once."""
+    coins, picked = _walks(cls.number, cls.steps, cls.repeats, cls.samples)
     rows, last = np.arange(len(windows))[:, None], windows.shape[1] - 1
-    at = np.zeros((len(windows), REPEATS), np.int64)
-    key = np.broadcast_to(np.arange(REPEATS, dtype=np.uint64) + np.uint64(cls.number << 8), at.shape).copy()
+    at = np.zeros((len(windows), cls.repeats), np.int64)
+    key = np.broadcast_to(np.arange(cls.repeats, dtype=np.uint64) + np.uint64(cls.number << 32), at.shape).copy()
     for t in range(int(np.flatnonzero(picked.any(axis=1)).max()) + 1):
         here = windows[rows, at]
         own = np.flatnonzero(picked[t])
@@ -141,6 +145,24 @@ def edit_distance(item: np.ndarray, window: np.ndarray, most: int) -> int:
     return min(int(row.min()), most + 1)
 
 
+def edit_distances(items: np.ndarray, windows: np.ndarray, most: int) -> np.ndarray:
+    """``edit_distance`` of each row of items with that of windows (0 behind the end, which equals no word)."""
+    out = np.full(len(items), most + 1, np.int32)
+    left, steps = np.arange(len(items)), np.arange(windows.shape[1] + 1, dtype=np.int32)
+    row = np.broadcast_to(steps, (len(items), len(steps)))
+    for i in range(1, items.shape[1] + 1):
+        new = np.empty(row.shape, np.int32)
+        new[:, 0] = i
+        new[:, 1:] = np.minimum(row[:, :-1] + (windows != items[:, i - 1 : i]), row[:, 1:] + 1)
+        row = np.minimum.accumulate(new - steps, axis=1) + steps
+        if i % 4 == 0:
+            near = row.min(axis=1) <= most
+            if not near.all():
+                left, row, items, windows = left[near], row[near], items[near], windows[near]
+    out[left] = np.minimum(row.min(axis=1), most + 1)
+    return out
+
+
 def _item_batches(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     cache: dict[str, int] = {}
     for batch in batches:
@@ -223,8 +245,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
                     if total[cls.gram] < cls.count:
                         continue
                     starts = candidate_starts(hits[cls.gram], len(words), cls)
-                    for at in range(0, len(starts), 4096):
-                        some = starts[at : at + 4096]
+                    step = max(64, 100_000 // cls.repeats)
+                    for at in range(0, len(starts), step):
+                        some = starts[at : at + step]
                         padded = _pad(words, some, cls.window)
                         made_keys = cgk_keys(padded, cls)
                         hit = _in_bitmap(keys, made_keys)
@@ -243,16 +266,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     )
     pairs = found.select("doc_id", "start", "cls", F.explode("keys").alias("key")).join(item_keys, "key")
     pairs = pairs.select("doc_id", "start", "cls", "item_id").distinct()
-    named = pairs.join(items.select("item_id", "cls", "item_words"), ["item_id", "cls"]).join(found.drop("keys"), ["doc_id", "start", "cls"])
+    # windows first: the words of the items needn't be exchanged where the items are broadcast
+    named = pairs.join(found.drop("keys"), ["doc_id", "start", "cls"]).join(items.select("item_id", "cls", "item_words"), ["item_id", "cls"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            far = []
-            for item, window in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                item, window = np.frombuffer(item, np.uint64), np.frombuffer(window, np.uint64)
-                most = edits(len(item), similarity)
-                d = edit_distance(item, window[window != 0][: len(item) + most], most)
-                far.append(d if d <= most else None)
+            items, places = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            alike: dict[tuple[int, int], list[int]] = {}
+            for i, (item, window) in enumerate(zip(items, places, strict=True)):
+                alike.setdefault((len(item), len(window)), []).append(i)
+            far: list[int | None] = [None] * len(items)
+            for (m, n), rows in alike.items():
+                m, most = m // 8, edits(m // 8, similarity)
+                step = max(1, 200_000 // (n // 8))
+                for at in range(0, len(rows), step):
+                    some = rows[at : at + step]
+                    x = np.frombuffer(b"".join(items[i] for i in some), np.uint64).reshape(len(some), -1)
+                    y = np.frombuffer(b"".join(places[i] for i in some), np.uint64).reshape(len(some), -1)[:, : m + most]
+                    for i, d in zip(some, edit_distances(x, y, most).tolist(), strict=True):
+                        far[i] = d if d <= most else None
             out = pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(far, pa.int32())], ["doc_id", "item_id", "start", "distance"])
             yield out.filter(out.column(3).is_valid())
 

@@ -186,6 +186,41 @@ def test_decontamination_recall_and_clean_documents(spark, data):
     assert kept == set(range(len(texts))) - {d for d, _ in found}
 
 
+def with_edits(rng, words, kind):
+    """The words after exactly as many edits as are allowed: deletions, replacements, insertions or a mixture."""
+    words, m = list(words), len(words)
+    for _ in range(decontamination.edits(m)):
+        p = rng.randrange(len(words))
+        words[p : p + 1] = [[], [rng.getrandbits(60) + 1], [words[p], rng.getrandbits(60) + 1]][rng.randrange(3) if kind == 3 else kind]
+    return words
+
+
+@pytest.mark.parametrize("m", [6, 15, 25, 50, 100, 200, 400])
+def test_walks_meet_their_recall_at_the_allowed_edits(m):
+    rng = random.Random(m)
+    cls = decontamination.LengthClass(decontamination.class_of(m), decontamination.SIMILARITY)
+    for kind in range(4):
+        pairs = []
+        for _ in range(100):
+            item = [rng.getrandbits(60) + 1 for _ in range(m)]
+            pairs.append((item + [0] * (cls.window - m), (with_edits(rng, item, kind) + [rng.getrandbits(60) + 1 for _ in range(cls.window)])[: cls.window]))
+        items, windows = (decontamination.cgk_keys(np.array(x, np.uint64), cls) for x in zip(*pairs, strict=True))
+        assert (items == windows).any(axis=1).mean() >= 0.96  # 0.99 less the spread of 100 trials
+
+
+def test_decontamination_recall_at_the_threshold(spark):
+    rng = random.Random(9)
+    items, texts = [], []
+    for i, m in enumerate([15, 50, 100, 200] * 8):
+        words = ["i%dw%d" % (i, j) for j in range(m)]
+        items.append((i, " ".join(words)))
+        filler = ["f%d" % rng.randrange(10**6) for _ in range(40)]
+        texts.append(" ".join(map(str, filler + with_edits(rng, words, i // 4 % 4) + filler)))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontamination.contaminated(frame(spark, texts), benchmark).collect()}
+    assert len(found) >= 31 and all(d == i for d, i in found)
+
+
 def test_edit_distance_is_exact():
     rng = random.Random(1)
     for _ in range(200):
@@ -210,6 +245,17 @@ def brute_quality(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")) if words else 0, len(lines) - len(set(lines)), len(covered)
 
 
+def test_edit_distances_equal_single_ones():
+    rng = np.random.default_rng(3)
+    for m, n in ((5, 6), (9, 11), (6, 1)):
+        items, windows = rng.integers(1, 4, (200, m), dtype=np.uint64), rng.integers(1, 4, (200, n), dtype=np.uint64)
+        for r, k in enumerate(rng.integers(0, n + 1, 200)):
+            windows[r, k:] = 0
+        for most in (0, 1, 3):
+            got = decontamination.edit_distances(items, windows, most)
+            assert got.tolist() == [decontamination.edit_distance(x, y[y != 0], most) for x, y in zip(items, windows, strict=True)]
+
+
 def test_quality_statistics_and_labels(spark, data, documents):
     texts = [*[t for _, t in documents], *ODD, "a b c d e f g h " * 3, "a a a a a a a a a a", "l\n \nl\nl \n"]
     got = {r.doc_id: r for r in quality_rules.score_documents(frame(spark, texts)).collect()}
