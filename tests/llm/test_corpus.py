@@ -10,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -366,6 +367,24 @@ def test_near_duplicates_match_brute_force(spark, documents):
     assert kept == set(got.values())
 
 
+def test_pairs_at_the_threshold_share_a_bucket():
+    rng = random.Random(11)
+    texts = []
+    for _ in range(600):
+        a = ["w%d" % rng.randrange(10**9) for _ in range(409)]
+        b = list(a)
+        for p in range(20, 400, 45):  # nine words far apart: 360 of 450 shingles in common
+            b[p + rng.randrange(20)] = "e%d" % rng.randrange(10**9)
+        texts += [" ".join(a), " ".join(b)]
+    (made,) = near_dedup._sketch_batches(iter([pa.RecordBatch.from_arrays([pa.array(range(1200)), pa.array(texts)], ["doc_id", "text"])]))
+    keys = np.array(made.column("keys").to_pylist())
+    sketches = np.array([np.frombuffer(x, "<u4") for x in made.column("sketch").to_pylist()])
+    met = (keys[::2] == keys[1::2]).any(axis=1) & ((sketches[::2] == sketches[1::2]).mean(axis=1) >= near_dedup.LEAST_AGREE)
+    words = [near_dedup.word_hashes(t.encode(), {}) for t in texts[:2]]
+    assert near_dedup.aligned_similarity(*words) == 0.8
+    assert (~met).sum() <= 3  # 0.1 % expected
+
+
 def test_alignment_bounds():
     a = np.arange(100, dtype=np.uint32)
     assert near_dedup.aligned_similarity(a, a) == 1.0
