@@ -44,7 +44,7 @@ KEEP_AT = 0.5
 
 TOKEN = re.compile(r"[A-Za-z0-9+/_\-]+={0,2}")
 DIGIT = re.compile(r"[0-9]")
-ASSIGNED = re.compile(r"""([A-Za-z_][A-Za-z0-9_\-]{1,40})["']?[ \t]{0,4}[=:]{1,2}[ \t]{0,4}["']?([^\s"'=:,;]{8,256})""")
+ASSIGNED = re.compile(r"""([A-Za-z_][A-Za-z0-9_\-]{1,40})["']?[ \t]{0,4}[=:]{1,2}[ \t]{0,4}["']?([^\s"'=:,;]{8,})""")
 SECRET_WORD = re.compile(r"(?i)pass(?:word|wd)?|pwd|secret|token|api[_-]?key|auth|credential|private|bearer|access")
 PLACEHOLDER = re.compile(r"(?i)example|sample|dummy|changeme|placeholder|your[_-]|xxxx|\*\*\*|test[_-]?(?:key|token)|0000000|1234567|abcdef|<|\$\{")
 KNOWN_SHAPES = (

@@ -410,6 +410,15 @@ def test_secrets_are_found_and_numbers_are_not(spark, documents):
     assert all(any(got[i]) for i in range(90)) and not any(any(got[i]) for i in range(90, len(texts)))
 
 
+@pytest.mark.parametrize("n", [8, 256, 257, 1000, 2000])
+def test_assigned_secret_is_taken_to_its_end(spark, n):
+    rng = random.Random(n)
+    secret = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/.") for _ in range(n - 1)) + "7"
+    found = secret_scan.findings(frame(spark, [f"set token={secret} and more"])).collect()
+    assert [(r.start, r.length, r.sha256) for r in found] == [(10, n, hashlib.sha256(secret.encode()).hexdigest())]
+    assert found[0].features[0] == n
+
+
 # --- pipeline ---------------------------------------------------------------------------------------
 
 
