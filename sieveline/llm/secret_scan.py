@@ -7,8 +7,10 @@ A random forest trained on labelled findings scores every candidate.
 
 Labelled findings are a table of the caller's, or by default the candidates that one of the label
 rules is sure about (known key shapes and assigned random values against numbers, addresses,
-placeholders and plain words). The forest is fitted on at most ``LABELLED_ROWS`` of them, chosen by
-hash; every candidate of every document is scored. The dictionary is the vocabulary of a public
+placeholders and plain words). The forest is fitted on at most ``LABELLED_ROWS`` of each label, chosen
+by a hash of the finding's digest and place, so that equal findings can't crowd the others out; a
+labelled table without these columns is chosen by a hash of its features. Every candidate of every
+document is scored. The dictionary is the vocabulary of a public
 tokenizer, whose path is a parameter.
 
 Edge cases: a null or empty text has no candidate; equal candidates in one text are separate
@@ -170,8 +172,11 @@ def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, keep_at: fl
     labelled: findings with ``features`` and ``label`` 0/1; by default those that the label rules decide.
     """
     found = written(findings(docs), "secret-findings")
-    known = (found if labelled is None else labelled).filter("label IS NOT NULL").select("features", F.col("label").cast("double").alias("label"))
-    sample = written(known.orderBy(F.xxhash64("features", "label")).limit(LABELLED_ROWS), "secret-labelled")
+    known = (found if labelled is None else labelled).filter("label IS NOT NULL")
+    place = [c for c in ("sha256", "doc_id", "start") if c in known.columns] or ["features"]
+    known = known.select("features", F.col("label").cast("double").alias("label"), F.xxhash64(*place).alias("place"))
+    bounded = [known.filter(F.col("label") == label).orderBy("place").limit(LABELLED_ROWS) for label in (0.0, 1.0)]
+    sample = written(bounded[0].union(bounded[1]).drop("place"), "secret-labelled")
     if sample.select("label").distinct().count() < 2:
         return found.withColumn("score", F.coalesce(F.col("label").cast("double"), F.lit(0.5))).withColumn("is_secret", F.col("score") > keep_at).drop("features", "label")
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featuresCol="vector", labelCol="label")

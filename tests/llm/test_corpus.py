@@ -419,6 +419,14 @@ def test_assigned_secret_is_taken_to_its_end(spark, n):
     assert found[0].features[0] == n
 
 
+def test_copies_do_not_crowd_a_label_out(spark, monkeypatch):
+    monkeypatch.setattr(secret_scan, "LABELLED_ROWS", 40)
+    texts = ["set password=9f8a7c6b5d4e3f2a1b0c end"] * 120 + ["card 4929123456781234 paid"] * 120 + ["ref xk93jd82hs71qp end"]
+    got = {r.doc_id: r for r in secret_scan.scan_secrets(frame(spark, texts)).collect()}
+    assert got[0].is_secret and not got[120].is_secret
+    assert got[0].score not in (0.0, 1.0) or got[240].score != 0.5  # scored by a forest, not by the labels
+
+
 # --- pipeline ---------------------------------------------------------------------------------------
 
 
