@@ -280,9 +280,12 @@ def _next_leaders(left: DataFrame, n: int) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One document of each class, that with the smallest ``doc_id``, with all columns."""
+    """One document of each class, that with the smallest ``doc_id``, with all columns.
+
+    Rows with a null ``doc_id`` have no class and stay.
+    """
     kept = near_duplicate_classes(docs, threshold).filter("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).union(docs.filter("doc_id IS NULL"))
 
 
 def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

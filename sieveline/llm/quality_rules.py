@@ -170,9 +170,15 @@ def score_documents(docs: DataFrame, keep_at: float = KEEP_AT) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, keep_at: float = KEEP_AT) -> DataFrame:
-    """The documents that the rules keep, with all their columns; ``doc_id`` identifies a document."""
-    kept = score_documents(docs, keep_at).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """The rows that the rules keep, with all their columns.
+
+    The verdict goes by ``doc_id`` and text: rows that repeat a ``doc_id`` are judged each by its own text,
+    and rows with a null ``doc_id`` stay if their text passes.
+    """
+    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    scored = score_documents(keyed.withColumn("doc_id", F.col("row_key")), keep_at)
+    kept = scored.filter("kept").select(F.col("doc_id").alias("row_key")).distinct()
+    return keyed.join(kept, "row_key", "left_semi").select(*docs.columns)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

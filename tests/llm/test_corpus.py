@@ -430,6 +430,20 @@ def test_copies_do_not_crowd_a_label_out(spark, monkeypatch):
 # --- pipeline ---------------------------------------------------------------------------------------
 
 
+def test_rows_without_or_with_repeated_ids_are_judged_by_their_text(spark, data):
+    docs = read_table(spark, data, "documents").select(*corpus_pipeline.DOCUMENT_COLUMNS)
+    verdicts = {r.doc_id: r.kept for r in quality_rules.score_documents(docs).select("doc_id", "kept").collect()}
+    rows_ = {r.doc_id: r for r in docs.collect()}
+    good, bad = (next(rows_[i] for i, kept in sorted(verdicts.items()) if kept == k and rows_[i].text) for k in (True, False))
+    made = [(i, r.text, r.lang, r.source, r.n_chars) for i, r in ((None, good), (None, bad), (10**6, good), (10**6, bad))]
+    kept = quality_rules.filter_documents(docs.union(spark.createDataFrame(made, docs.schema)))
+    assert kept.columns == docs.columns
+    found = sorted((r.doc_id or 0, r.text) for r in kept.filter("doc_id IS NULL OR doc_id = 1000000").collect())
+    assert found == [(0, good.text), (10**6, good.text)]
+    left = near_dedup.drop_near_duplicates(spark.createDataFrame([made[0], made[2]], docs.schema))
+    assert sorted(r.doc_id or 0 for r in left.collect()) == [0, 10**6]
+
+
 def test_pipeline_matches_its_stages(spark, data):
     docs = read_table(spark, data, "documents")
     kept = quality_rules.score_documents(docs).filter("kept").select("doc_id")
