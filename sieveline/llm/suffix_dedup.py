@@ -11,8 +11,8 @@ occur in two documents, so the suffixes are sampled, named, sorted and merged li
    names that occur in one document only are done: no window they sample is repeated.
 3. Merge: the windows around the remaining anchors are the remaining suffixes. Each map task sorts
    its own and keeps the smallest document of each; later ones are repeats already. What is left is
-   exchanged by its anchor's name, sorted, and adjacent equal prefixes are compared: all but those of
-   the smallest document are repeats.
+   exchanged by a hash of its anchor's name and itself, sorted, and adjacent equal prefixes are compared:
+   all but those of the smallest document are repeats.
 4. Repeats of a document are united to spans and cut out of its bytes.
 
 Exchanged are packed arrays (one row for each map task and hash range), each range sized to about
@@ -234,6 +234,12 @@ _KINDS = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binar
 _NAMES = ["range", "doc_id", "th", "spans", "keys", "counts", "starts", "windows"]
 
 
+def _window_ranges(name: np.ndarray, window: np.ndarray, bits: int) -> np.ndarray:
+    """The range of each window, by a hash of its anchor's name and itself: a frequent anchor's windows spread over all ranges."""
+    both = (name ^ window * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((both ^ both >> np.uint64(32)) * np.uint64(0x94D049BB133111EB) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def _window_batches(bits: int, keep):
     """Candidate windows of a map task: repeats inside it as spans (negative range), the rest packed by range."""
 
@@ -247,7 +253,7 @@ def _window_batches(bits: int, keep):
         later[order] = d > low
         rows: list[tuple] = [(-1 - (r[1] & ((1 << bits) - 1)), *r, None, None, None, None) for r in _span_rows(keys, doc[later], start[later])]
         doc, start, name, window = doc[~later], start[~later], name[~later], window[~later]
-        rng = (name >> np.uint64(64 - bits)).astype(np.int64)
+        rng = _window_ranges(name, window, bits)
         order = np.lexsort((start, doc, rng))
         doc, start, window, rng = doc[order], start[order], window[order], rng[order]
         cut = np.searchsorted(rng, np.arange((1 << bits) + 1))
