@@ -311,15 +311,6 @@ def test_suffix_dedup_matches_brute_force(spark, documents, monkeypatch, small):
 # --- 8 ----------------------------------------------------------------------------------------------
 
 
-def test_windows_of_one_frequent_anchor_spread_over_the_ranges():
-    rng = np.random.default_rng(5)
-    windows = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)
-    names = np.full(len(windows), 7 << 40, np.uint64)
-    ranges = suffix_dedup._window_ranges(names, windows, 4)
-    assert np.bincount(ranges, minlength=16).max() < 1.2 * len(windows) / 16
-    assert (suffix_dedup._window_ranges(names[:9], windows[:9], 4) == ranges[:9]).all()
-
-
 def test_mixing_reaches_its_rates_and_repeats_itself(spark):
     made = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("text of ten").alias("text"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 300 == 1, "rare").otherwise(None).alias("source"))
     mixed = mixing.replicate(made, {"hot": 1.0, "rare": 1.0})
