@@ -12,7 +12,7 @@ it in that partition. One short document is read by finding its shard from ``fir
 
 Encoding works on pieces between single spaces: a byte-level pre-token never spans such a place, so
 each distinct piece is encoded once for each worker and looked up afterwards. Pieces around other
-white space stay together.
+white space stay together. Special tokens of the file count where their strings stand in a text.
 
 Edge cases: a null or empty text has only the end id; rows that repeat a ``doc_id`` are all written,
 in any order among themselves; null ``doc_id`` come first; an empty table writes an empty shard
@@ -42,11 +42,15 @@ END_ID = 2
 SHARD_BYTES = 4 << 20
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_DOCUMENTS = 512
+SAMPLE_BYTES = 1 << 16
 LEVEL = 3
 CACHE_PIECES = 1_000_000
 #: white space other than blank and line feed
 UNUSUAL_SPACE = re.compile(r"[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
+#: ends of words that are pre-tokens of their own; no apostrophe, which starts some
+BEHIND_WORDS = ".,;:!?&$*#%|<>)]}\"-+=/"
+
 INDEX = "array<struct<doc_id:bigint,offset:bigint,length:int,n_tokens:int>>"
 SHARDS = f"part int, start long, n_tokens long, first_doc long, last_doc long, dictionary_sha256 string, index {INDEX}, data binary"
 
@@ -58,10 +62,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.end = array("I", [end_id]).tobytes()
         self.first: dict[str, bytes] = {}  # pieces at the start of a text
-        self.cache: dict[str, bytes] = {}  # pieces behind a space, which the key leaves out
+        self.cache: dict[str, bytes] = {"": b""}  # pieces behind a space, which the key leaves out
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -77,24 +80,50 @@ class Encoder:
                 out[-1] += " " + piece
         return out
 
-    def _learn(self, cache: dict[str, bytes], unseen: list[str], before: str) -> None:
+    @staticmethod
+    def parts(piece: str) -> list[str]:
+        """A piece cut once more, before and behind a lone line feed and behind a Latin word: a pre-token ends there too."""
+        lines = piece.split("\n")
+        if len(lines) > 1 and not all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
+            return [piece]
+        out = []
+        for line in lines:
+            word = line.rstrip(BEHIND_WORDS)
+            latin = len(word) < len(line) and word.isalpha() and max(word) < "\u0250"
+            out += ["\n", word, line[len(word) :]] if latin else ["\n", line]
+        return out[1:]
+
+    def _encode_into(self, cache: dict[str, bytes], unseen: list[str], before: str) -> None:
         for i in range(0, len(unseen), 4096):
             some = unseen[i : i + 4096]
             encoded = self.tokenizer.encode_batch_fast([before + p for p in some], add_special_tokens=False)
             for piece, made in zip(some, encoded, strict=True):
                 cache[piece] = array("I", made.ids).tobytes()
 
+    def _learn(self, heads: set[str], later: set[str]) -> None:
+        """Encodes pieces that no cache holds: parts first, each of them once."""
+        first, cache = self.first, self.cache
+        cut = [(first, p, self.parts(p)) for p in heads] + [(cache, p, self.parts(p)) for p in later]
+        self._encode_into(cache, list({ps[0] for to, _, ps in cut if to is cache and ps[0] not in cache}), " ")
+        unspaced = {x for to, _, ps in cut for x in (ps[1:] if to is cache else ps)}
+        self._encode_into(first, [x for x in unspaced if x not in first], "")
+        for to, piece, ps in cut:
+            if len(ps) > 1:
+                to[piece] = b"".join([to[ps[0]], *map(first.__getitem__, ps[1:])])
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.pieces(t) for t in texts]
+        """The ids of each text and the end id. Pieces are looked up; those not yet known are encoded together."""
         if len(self.cache) + len(self.first) > CACHE_PIECES:
-            self.cache.clear(), self.first.clear()
-        self._learn(self.first, list({ps[0] for ps in split if ps[0] not in self.first}), "")
-        later: set[str] = set()
+            self.cache, self.first = {"": b""}, {}
+        known, split = self.cache.get, [self.pieces(t) for t in texts]
+        heads = [ps[0] for ps in split]
         for ps in split:
-            later.update(ps[1:])
-        self._learn(self.cache, [p for p in later if p not in self.cache], " ")
-        look = self.cache.__getitem__
-        return [b"".join([self.first[ps[0]], *map(look, ps[1:]), self.end]) for ps in split]
+            ps[0] = ""  # the first piece has no space before it
+        found = [list(map(known, ps)) for ps in split]
+        unseen = {p for ps, ids in zip(split, found, strict=True) if None in ids for p, x in zip(ps, ids, strict=True) if x is None}
+        self._learn({h for h in heads if h not in self.first}, unseen)
+        look, first, end = self.cache.__getitem__, self.first, self.end
+        return [b"".join([first[head], *(map(look, ps) if None in ids else ids), end]) for head, ps, ids in zip(heads, split, found, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -119,10 +148,10 @@ def _batches(texts: list[str], most: int = 1 << 21) -> Iterator[slice]:
 
 
 def train_dictionary(docs: DataFrame, path: str = TOKENIZER, end_id: int = END_ID, sample: int = SAMPLE_DOCUMENTS) -> bytes:
-    """A dictionary from the id arrays of about ``sample`` whole documents, chosen by hashed ``doc_id``.
+    """A dictionary from the id arrays of about ``sample`` documents, chosen by hashed ``doc_id``.
 
-    Too little to train on gives an empty dictionary. The sample only shapes compression: all
-    documents are written whole, whatever it holds.
+    Of each at most the first ``SAMPLE_BYTES`` of ids come to the driver. Too little to train on gives
+    an empty dictionary. The sample only shapes compression: all documents are written whole.
     """
     n = docs.count()
     step = max(1, n // sample)
@@ -130,7 +159,7 @@ def train_dictionary(docs: DataFrame, path: str = TOKENIZER, end_id: int = END_I
 
     def ids(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"ids": _encoder(path, end_id).encode(frame["text"].fillna("").tolist())})
+            yield pd.DataFrame({"ids": [x[:SAMPLE_BYTES] for x in _encoder(path, end_id).encode(frame["text"].fillna("").tolist())]})
 
     arrays = [bytes(r.ids) for r in some.mapInPandas(ids, "ids binary").collect()]
     try:

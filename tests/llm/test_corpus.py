@@ -147,9 +147,9 @@ def test_license_suppression(spark):
 def test_token_files_round_trip(spark, documents):
     from tokenizers import Tokenizer
 
-    texts = [*[t for _, t in documents[:60]], *ODD, "<|endoftext|> a  b", " lead", "tail ", "a\n b", "don't  stop"]
+    texts = [*[t for _, t in documents[:60]], *ODD, "<|endoftext|> a  b", "a <|endoftext|> b<|endoftext|>.", "x\n<|endoftext|> y|>", " lead", "tail ", "a\n b", "don't  stop",
+             "it's, 12.\nfoo. bar,\n\nbaz.\n", "é.ß,-ǅ. 你. x\u3000y.\nz", "\n", "a.\n"]
     tokenizer = Tokenizer.from_file(token_output.TOKENIZER)
-    tokenizer.encode_special_tokens = True
     out = scratch_path(spark, "tokens-test")
     token_output.write_tokens(frame(spark, texts), out, shard_bytes=2000)
     got = {r.doc_id: r for r in token_output.read_tokens(spark, out).collect()}
@@ -162,6 +162,17 @@ def test_token_files_round_trip(spark, documents):
     assert digests == {i: zlib.crc32(bytes(got[i].ids)) for i in got}
 
 
+def test_token_files_of_an_empty_table_and_of_odd_ids(spark):
+    out = scratch_path(spark, "tokens-empty")
+    token_output.write_tokens(spark.createDataFrame([], DOCS), out)
+    assert token_output.token_digests(spark, out).count() == 0
+    out = scratch_path(spark, "tokens-ids")
+    token_output.write_tokens(spark.createDataFrame([(None, "a"), (3, "b c"), (3, "d"), (1, None)], "doc_id long, text string"), out)
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in token_output.token_digests(spark, out).collect())
+    assert [d for _, d, _ in got] == [None, 1, 3, 3]
+    assert [s for s, _, _ in got] == [0, 2, 3, 3 + got[2][2]]
+
+
 # --- 5 ----------------------------------------------------------------------------------------------
 
 
