@@ -233,6 +233,36 @@ def test_decontamination_recall_at_the_threshold(spark):
     assert len(found) >= 31 and all(d == i for d, i in found)
 
 
+def nearest(item, words):
+    """Least edit distance between the item and any part of the words."""
+    row = np.zeros(len(words) + 1, np.int64)
+    steps = np.arange(len(words) + 1)
+    for w in item:
+        new = np.concatenate([[row[0] + 1], np.minimum(row[:-1] + (words != w), row[1:] + 1)])
+        row = np.minimum.accumulate(new - steps) + steps
+    return int(row.min())
+
+
+def test_decontamination_matches_brute_force(spark, data, documents):
+    benchmark = read_table(spark, data, "benchmark")
+    cache: dict[str, int] = {}
+    items = [(r.item_id, decontamination.word_hashes(r.text, cache)) for r in benchmark.collect()]
+    texts = [(d, decontamination.word_hashes(t, cache)) for d, t in documents]
+    expected = {(d, i) for d, words in texts for i, item in items if nearest(item, words) <= decontamination.edits(len(item))}
+    found = {(r.doc_id, r.item_id) for r in decontamination.op5_decontamination(spark, data).collect()}
+    assert found <= expected and len(found) >= 0.98 * len(expected) > 0
+
+
+def test_items_of_a_few_words_copies_and_odd_ids(spark):
+    items = [(1, "capital of france z"), (2, "Capital of France, z"), (3, "zyzzyva"), (None, "two words"), (5, None), (6, "..."), (7, "a b c")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    texts = ["the capital of france z is", "a zyzzyva", "capital of x france z", "two  words", "words two", "a c b", "x a b c", None, ""]
+    found = {(r.doc_id, r.item_id) for r in decontamination.contaminated(frame(spark, texts), benchmark).collect()}
+    assert found == {(0, 1), (0, 2), (1, 3), (3, None), (6, 7)}
+    ids = spark.createDataFrame([(None, "the zyzzyva"), (None, "clean"), (1, "x"), (1, "zyzzyva x"), (1, None)], "doc_id long, text string")
+    assert {tuple(r) for r in decontamination.decontaminate(ids, benchmark).collect()} == {(None, "clean"), (1, "x"), (1, None)}
+
+
 def test_edit_distance_is_exact():
     rng = random.Random(1)
     for _ in range(200):
