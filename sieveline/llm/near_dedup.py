@@ -8,19 +8,20 @@ verified by banded alignment of the word sequences: similarity is the share of a
 connected component of links; its id is the smallest ``doc_id`` in it.
 
 Scale: equal texts collapse to one representative first, with partial aggregation, so copies never
-meet in a bucket. A bucket gives pairs with its leader only (linear in its size). Pairs that a
-leader doesn't settle are compared in rounds: each round takes the next ``LEADERS`` members of every
-bucket that still spans several components (twice as many as in the round before) against the other
-components, and a member that has led leaves the bucket, until each bucket lies in one component. No bucket is capped and no pair that
-could join two components is skipped; pairs inside a component can't change the result. Candidates
-whose sketches agree in less than ``LEAST_AGREE`` of the values (four standard deviations below what
-the threshold gives) aren't aligned. Components are found by joins over the links, each iteration
-written to the shared folder.
+meet in a bucket. Buckets are worked through in ``BATCHES`` of tables. In each of them a bucket gives
+pairs with its leader only, and only for members that lie in another component so far, so a large group
+of look-alikes is one component after the first few tables and gives no further pairs. At the end
+every bucket that still spans several components compares what lies outside its largest component with
+all of its members in other components. No bucket is capped and no pair that could join two components is
+skipped; pairs inside a component can't change the result. Every join of a bucket compares compact
+sketches (two bits of each value) in its condition, so that only pairs go on that agree as well as a
+pair at the threshold does, less 4.7 standard deviations. Components are found on the graph of components,
+by joins over the links, each iteration written to the shared folder.
 
 Edge cases: a null text, or one without words, is a class of its own; a text with fewer words than a
 shingle is one shingle; equal texts are one class at any length; rows that repeat a ``doc_id`` each
-give a row; a null ``doc_id`` has a null class; an empty table gives an empty result; further
-columns are ignored by ``near_duplicate_classes`` and kept by ``drop_near_duplicates``.
+give a row, by their own text; a null ``doc_id`` has a null class; an empty table gives an empty
+result; further columns are ignored by ``near_duplicate_classes`` and kept by ``drop_near_duplicates``.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table, written
@@ -40,11 +41,13 @@ SHINGLE = 5
 THRESHOLD = 0.8
 VALUES = 128
 # All tables draw from the same values; with that, 0.1 % of the pairs that agree in 64 % of them (similarity 0.8) share no bucket
-# in a simulation of 40,000, LEAST_AGREE included. 64 tables of 6 lose 3.4 %, 48 of 5 1.5 %, 64 of 5 0.5 %.
+# in a simulation of 40,000. 64 tables of 6 lose 3.4 %, 48 of 5 1.5 %, 64 of 5 0.5 %.
 TABLES = 96
 ROWS = 5
-LEADERS = 8
-LEAST_AGREE = 0.47
+BATCHES = (0, 1, 4, 16, TABLES)
+#: of the values of a pair that agrees in 64 % of them, 27 % differ in their two lowest bits: 34.6 +- 5.0 of 128
+MOST_DIFFERENT = 58
+HOT_COPIES = 1_000
 BROADCAST_IDS = 2_000_000
 
 _RNG = np.random.default_rng(9)
@@ -101,29 +104,35 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return _mix(early * np.uint64(0x9E3779B97F4A7C15) + late).astype(np.uint32)
 
 
+def compact(values: np.ndarray) -> np.ndarray:
+    """The two lowest bits of each value, in four 64-bit numbers."""
+    bits = np.stack([values & 1, values >> 1 & 1], axis=1).astype(np.uint8)
+    return np.packbits(bits.ravel(), bitorder="little").view(np.int64)
+
+
+MADE = "doc_id long, th long, exact binary, s0 long, s1 long, s2 long, s3 long, keys array<long>"
+
+
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache: dict[bytes, int] = {}
+    kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
     for batch in batches:
-        exact, sketches, keys = [], [], []
-        for text in batch.column(1).to_pylist():
+        rows: list[tuple] = []
+        for text in batch.column(2).to_pylist():
             raw = (text or "").encode("utf-8", "surrogatepass")
             if len(cache) > 300_000:
                 cache.clear()
             words = word_hashes(raw, cache)
             if not len(words):
-                exact.append(None), sketches.append(None), keys.append(None)
+                rows.append((None,) * 6)
                 continue
-            exact.append(hashlib.md5(b" ".join(raw.split())).digest())
             values = sketch(labelled_shingles(words))
-            sketches.append(values.tobytes())
             key = np.arange(TABLES, dtype=np.uint64)
             for i in range(ROWS):
                 key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + values[_PICKS[:, i]])
-            keys.append(key.astype(np.int64))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(exact, pa.binary()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-            ["doc_id", "exact", "sketch", "keys"],
-        )
+            rows.append((hashlib.md5(b" ".join(raw.split())).digest(), *compact(values).tolist(), key.astype(np.int64)))
+        columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], [c.split()[0] for c in MADE.split(", ")])
 
 
 def aligned_similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD, size: int = SHINGLE) -> float:
@@ -170,7 +179,7 @@ def _verify_batches(threshold: float):
         for batch in batches:
             left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             good = [aligned_similarity(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), threshold) >= threshold for x, y in zip(left, right, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["ca", "cb"]).filter(pa.array(good, pa.bool_()))
 
     return verify
 
@@ -180,112 +189,134 @@ def _words_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         if len(cache) > 300_000:
             cache.clear()
-        words = [word_hashes((t or "").encode("utf-8", "surrogatepass"), cache).astype("<u4").tobytes() for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary())], ["doc_id", "words"])
+        words = [word_hashes((t or "").encode("utf-8", "surrogatepass"), cache).astype("<u4").tobytes() for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(words, pa.binary())], ["doc_id", "th", "words"])
 
 
-def semi_join_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is among the distinct ids: the ids are broadcast up to a checked count, else shuffled."""
-    small = ids.count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(ids) if small else ids, key, "left_semi")
+NODE = "struct<doc_id:bigint,th:bigint>"  # a text: its smallest doc_id and the hash of that row's text
 
 
-def agreeing(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sketches agree in enough values."""
+def few(rows: DataFrame) -> DataFrame:
+    """Narrow rows for a join: broadcast up to a checked count, else shuffled."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(-1, VALUES) for i in (2, 3))
-            good = (x == y).mean(axis=1) >= LEAST_AGREE
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good))
 
-    left = sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sketch_a"))
-    right = sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sketch_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(keep, "a long, b long")
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text")
+
+
+def different(x: str, y: str) -> Column:
+    """In how many of the values two compact sketches differ."""
+    total = F.lit(0)
+    for i in range(4):
+        bits = F.col(f"{x}.s{i}").bitwiseXOR(F.col(f"{y}.s{i}"))
+        total += F.bit_count(bits.bitwiseOR(F.shiftrightunsigned(bits, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    return total
+
+
+def leader_pairs(entries: DataFrame) -> DataFrame:
+    """Of each bucket that spans several components, its least member with all that lie in others and have a like sketch."""
+    fields = ["rep", "component", "s0", "s1", "s2", "s3"]
+    lead = entries.groupBy("key").agg(F.min(F.struct(*fields)).alias("x"), F.min("component").alias("low"), F.max("component").alias("high"))
+    met = entries.select("key", F.struct(*fields).alias("y")).join(lead.filter("low < high").select("key", "x"), "key")
+    return _pairs(met.filter((F.col("x.component") != F.col("y.component")) & (different("x", "y") <= MOST_DIFFERENT)))
+
+
+def all_pairs(entries: DataFrame) -> DataFrame:
+    """Of each bucket, what lies outside its largest component with all members in other components that have a like sketch."""
+    fields = ["rep", "component", "s0", "s1", "s2", "s3"]
+    sizes = entries.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key")
+    main = sizes.agg(F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("m")).filter("m > 1").select("key", F.col("main.component").alias("main"))
+    placed = entries.join(main, "key").select("key", F.struct(*fields).alias("x"), "main")
+    rest = placed.filter("x.component <> main").select(F.col("key").alias("own_key"), F.col("x").alias("y"))
+    once = (F.col("x.component") == F.col("main")) | (F.col("x.rep") < F.col("y.rep"))
+    alike = (F.col("x.component") != F.col("y.component")) & (different("x", "y") <= MOST_DIFFERENT)
+    return _pairs(placed.join(rest, (F.col("key") == F.col("own_key")) & once & alike))
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    a, b = F.least("x.rep", "y.rep"), F.greatest("x.rep", "y.rep")
+    return met.groupBy(a.alias("a"), b.alias("b")).agg(F.first("x.component").alias("ca"), F.first("y.component").alias("cb"))
 
 
 def verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose whole word sequences are similar by banded alignment."""
-    left = words.select(F.col("doc_id").alias("a"), F.col("words").alias("words_a"))
-    right = words.select(F.col("doc_id").alias("b"), F.col("words").alias("words_b"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "words_a", "words_b").mapInArrow(_verify_batches(threshold), "a long, b long")
+    """Links (ca, cb) between the components of pairs whose whole word sequences are similar by banded alignment."""
+    left = words.select(F.col("rep").alias("a"), F.col("words").alias("words_a"))
+    right = words.select(F.col("rep").alias("b"), F.col("words").alias("words_b"))
+    both = pairs.join(right, "b").join(left, "a").select("ca", "cb", "words_a", "words_b")
+    return both.mapInArrow(_verify_batches(threshold), f"ca {NODE}, cb {NODE}")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(rep, component) for every linked node; component is the smallest node that it is connected to."""
-    edges = written(links.union(links.select("b", "a")).distinct(), "near-edges")
-    label = written(edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("component")).withColumnRenamed("a", "rep"), "near-label")
+    """(node, low) for every node of the links; low is the smallest node that it is connected to."""
+    ends = links.toDF("a", "b")
+    edges = written(ends.union(ends.select("b", "a")).distinct(), "near-edges")
+    label = written(edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low")).withColumnRenamed("a", "node"), "near-label")
     while True:
-        around = edges.join(label, edges["b"] == label["rep"]).groupBy("a").agg(F.min("component").alias("other"))
-        low = label.join(around, label["rep"] == around["a"]).select("rep", "component", F.least("component", "other").alias("low"))
-        up = label.select(F.col("rep").alias("low"), F.col("component").alias("above"))
-        new = low.join(up, "low", "left").select("rep", F.col("component").alias("old"), F.least("low", F.coalesce("above", "low")).alias("component"))
-        new = written(new, "near-label")
-        if new.filter("component <> old").isEmpty():
-            return new.select("rep", "component")
-        label = new.select("rep", "component")
+        around = edges.join(few(label), edges["b"] == label["node"]).groupBy("a").agg(F.min("low").alias("other"))
+        lower = label.join(around, label["node"] == around["a"]).select("node", F.col("low").alias("old"), F.least("low", "other").alias("new"))
+        above = label.select(F.col("node").alias("new"), F.col("low").alias("above"))
+        stepped = lower.join(few(above), "new", "left").select("node", "old", F.least("new", F.coalesce("above", "new")).alias("low"))
+        stepped = written(stepped, "near-label")
+        if stepped.filter("low <> old").isEmpty():
+            return stepped.select("node", "low")
+        label = stepped.select("node", "low")
+
+
+def _linked(label: DataFrame, pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
+    """The labels after the pairs that prove similar have joined their components."""
+    links = written(verified(pairs, words, threshold).distinct(), "near-links")
+    if links.isEmpty():
+        return label
+    joined = components(links).select(F.col("node").alias("component"), "low")
+    return written(label.join(few(joined), "component", "left").withColumn("component", F.coalesce("low", "component")).drop("low"), "near-label")
 
 
 def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, ``rep`` (smallest doc_id with an equal text) and ``class_id``."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    made = written(docs.mapInArrow(_sketch_batches, "doc_id long, exact binary, sketch binary, keys array<long>"), "near-sketches")
-    grouped = made.filter("exact IS NOT NULL").groupBy("exact")
-    exact = grouped.agg(F.min("doc_id").alias("rep"))
+    """One row per document: doc_id, ``th`` (hash of its text), ``rep`` (smallest doc_id with an equal text) and ``class_id``."""
+    docs = keyed(docs)
+    made = written(docs.mapInArrow(_sketch_batches, MADE), "near-sketches")
     # sketch and keys follow from the text, so whichever copy gives them gives the same
-    reps = written(grouped.agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")).filter("rep IS NOT NULL").drop("exact"), "near-reps")
-    entries = reps.select("rep", F.explode("keys").alias("key"))
-    shared = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).filter("n > 1")
-    buckets = written(entries.join(shared, "key"), "near-buckets")  # all that share a bucket with another text
-    pairs = buckets.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    # sketches and words of those documents only that share a bucket
+    firsts = [F.first(c).alias(c) for c in ("s0", "s1", "s2", "s3", "keys")]
+    texts = made.filter("exact IS NOT NULL AND doc_id IS NOT NULL").groupBy("exact")
+    texts = written(texts.agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.count("*").alias("copies"), *firsts), "near-texts")
+    entries = texts.select("rep", F.posexplode("keys").alias("table", "key"))
+    shared = written(entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "near-shared")
+    buckets = written(entries.join(few(shared), "key"), "near-buckets")  # all that share a bucket with another text
     members = written(buckets.select("rep").distinct(), "near-members")
-    sketches = written(semi_join_ids(reps.select("rep", "sketch"), members, "rep"), "near-member-sketches", compression="none")
-    own = semi_join_ids(docs, members.withColumnRenamed("rep", "doc_id"), "doc_id")
-    words = written(own.mapInArrow(_words_batches, "doc_id long, words binary").dropDuplicates(["doc_id"]), "near-words", compression="none")
-    tried = written(agreeing(pairs, sketches), "near-pairs")
-    links = written(verified(tried, words, threshold), "near-links")
-    component = components(links)
-    left = buckets.filter("rep <> leader AND n > 2").select("key", "rep")  # leaders have met all the others
-    leaders = LEADERS
-    while True:
-        placed = left.join(component, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        spans = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-        left = written(placed.join(spans, "key"), "near-left")
-        if left.isEmpty():
-            break
-        lead = _next_leaders(left, leaders)
-        on = (left["key"] == lead["lead_key"]) & (left["rep"] > lead["a"]) & (left["component"] != lead["component_a"])
-        met = left.join(lead, on).select("a", F.col("rep").alias("b"))
-        fresh = met.distinct().join(tried, ["a", "b"], "left_anti")
-        agreed = written(agreeing(fresh, sketches), "near-pairs")
-        tried = tried.union(agreed)
-        found = written(verified(agreed, words, threshold), "near-links")
-        if not found.isEmpty():
-            links = links.union(found)
-            component = components(links)
-        left = left.join(lead.select(F.col("lead_key").alias("key"), F.col("a").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep")
-        leaders *= 2
-    placed = made.select("doc_id", "exact").join(exact, "exact", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
-    return placed.join(component, "rep", "left").select("doc_id", "rep", F.coalesce("component", "rep").alias("class_id"))
-
-
-def _next_leaders(left: DataFrame, n: int) -> DataFrame:
-    """The n smallest members of each bucket; Spark limits the groups before it shuffles them."""
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("rep"))
-    ranked = left.select("key", "rep", "component", rank.alias("rank")).filter(F.col("rank") <= n)
-    return ranked.select(F.col("key").alias("lead_key"), F.col("rep").alias("a"), F.col("component").alias("component_a"))
+    own = docs.join(few(members.select("rep.*")), ["doc_id", "th"], "left_semi").mapInArrow(_words_batches, "doc_id long, th long, words binary")
+    words = own.groupBy(F.struct("doc_id", "th").alias("rep")).agg(F.first("words").alias("words"))  # a row may be there twice
+    words = written(words, "near-words", compression="none")
+    label = written(texts.join(few(members), "rep").select("rep", F.col("rep").alias("component"), "s0", "s1", "s2", "s3"), "near-label")
+    for begin, end in zip(BATCHES[:-1], BATCHES[1:], strict=True):
+        placed = buckets.filter(F.col("table").between(begin, end - 1)).join(few(label), "rep")
+        label = _linked(label, written(leader_pairs(placed), "near-pairs"), words, threshold)
+    label = _linked(label, written(all_pairs(written(buckets.join(few(label), "rep"), "near-placed")), "near-pairs"), words, threshold)
+    classes = texts.select("exact", "copies", "rep").join(few(label.select("rep", "component")), "rep", "left")
+    classes = classes.select("exact", "copies", F.col("rep.doc_id").alias("rep"), F.coalesce("component", "rep").getField("doc_id").alias("class_id"))
+    return _placed(made.select("doc_id", "th", "exact"), written(classes, "near-classes"))
+
+
+def _placed(made: DataFrame, classes: DataFrame) -> DataFrame:
+    """Classes by row. Texts with very many copies are broadcast, at most ``HOT_COPIES`` of them, as they hold a share of all rows."""
+    least = (made.count() // HOT_COPIES) + 1
+    classes = classes.withColumnRenamed("exact", "e")
+    hot = F.broadcast(classes.filter(F.col("copies") >= least))
+    rest = made.join(hot.select("e"), F.col("exact") == F.col("e"), "left_anti")
+    both = rest.join(classes.filter(F.col("copies") < least), F.col("exact") == F.col("e"), "left").unionByName(made.join(hot, F.col("exact") == F.col("e")))
+    class_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
+    return both.select("doc_id", "th", F.coalesce("rep", "doc_id").alias("rep"), class_id.alias("class_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class, that with the smallest ``doc_id``, with all columns.
 
-    Rows with a null ``doc_id`` have no class and stay.
+    Rows with a null ``doc_id`` have no class and stay; rows that repeat a ``doc_id`` go by their own text.
     """
-    kept = near_duplicate_classes(docs, threshold).filter("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).union(docs.filter("doc_id IS NULL"))
+    gone = near_duplicate_classes(docs, threshold).filter("doc_id <> class_id")
+    gone = written(gone.select(F.col("doc_id").alias("__gone_id"), F.col("th").alias("__gone_text")).distinct(), "near-gone")
+    here = (docs["doc_id"].cast("long") == F.col("__gone_id")) & (F.xxhash64(docs["text"]) == F.col("__gone_text"))
+    return docs.join(few(gone), here, "left_anti")
 
 
 def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
