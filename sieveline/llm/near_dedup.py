@@ -13,10 +13,11 @@ pairs with its leader only, and only for members that lie in another component s
 of look-alikes is one component after the first few tables and gives no further pairs. At the end
 every bucket that still spans several components compares what lies outside its largest component with
 all of its members in other components. No bucket is capped and no pair that could join two components is
-skipped; pairs inside a component can't change the result. Every join of a bucket compares compact
-sketches (two bits of each value) in its condition, so that only pairs go on that agree as well as a
-pair at the threshold does, less 4.7 standard deviations. Components are found on the graph of components,
-by joins over the links, each iteration written to the shared folder.
+skipped; pairs inside a component can't change the result. Every join of a bucket has an exact bound in
+its condition: the parities of the shingles by a hash of ``PARITIES`` values differ in at most as many
+places as there are shingles of one text only, so that pairs with too many of these needn't be aligned.
+Components are found on the graph of components, by joins over the links, each iteration written to the
+shared folder.
 
 Edge cases: a null text, or one without words, is a class of its own; a text with fewer words than a
 shingle is one shingle; equal texts are one class at any length; rows that repeat a ``doc_id`` each
@@ -44,9 +45,8 @@ VALUES = 128
 # in a simulation of 40,000. 64 tables of 6 lose 3.4 %, 48 of 5 1.5 %, 64 of 5 0.5 %.
 TABLES = 96
 ROWS = 5
-BATCHES = (0, 1, 4, 16, TABLES)
-#: of the values of a pair that agrees in 64 % of them, 27 % differ in their two lowest bits: 34.6 +- 5.0 of 128
-MOST_DIFFERENT = 58
+BATCHES = (0, 2, 12, TABLES)
+PARITIES = 1024
 HOT_COPIES = 1_000
 BROADCAST_IDS = 2_000_000
 
@@ -104,18 +104,22 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return _mix(early * np.uint64(0x9E3779B97F4A7C15) + late).astype(np.uint32)
 
 
-def compact(values: np.ndarray) -> np.ndarray:
-    """The two lowest bits of each value, in four 64-bit numbers."""
-    bits = np.stack([values & 1, values >> 1 & 1], axis=1).astype(np.uint8)
-    return np.packbits(bits.ravel(), bitorder="little").view(np.int64)
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether an odd number of shingles has each value of a hash, as 64-bit numbers.
+
+    Shingles that two texts share cancel out, so two of these differ in at most as many bits as there are others.
+    """
+    odd = np.bincount((shingles >> np.uint64(20)).astype(np.int64) % PARITIES, minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-MADE = "doc_id long, th long, exact binary, s0 long, s1 long, s2 long, s3 long, keys array<long>"
+BITS = [f"p{i}" for i in range(PARITIES // 64)]
+MADE = f"doc_id long, th long, exact binary, n int, {', '.join(f'{p} long' for p in BITS)}, keys array<long>"
 
 
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache: dict[bytes, int] = {}
-    kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+    kinds = (pa.binary(), pa.int32(), *[pa.int64() for _ in BITS], pa.list_(pa.int64()))
     for batch in batches:
         rows: list[tuple] = []
         for text in batch.column(2).to_pylist():
@@ -124,13 +128,14 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 cache.clear()
             words = word_hashes(raw, cache)
             if not len(words):
-                rows.append((None,) * 6)
+                rows.append((None,) * len(kinds))
                 continue
-            values = sketch(labelled_shingles(words))
+            shingles = labelled_shingles(words)
+            values = sketch(shingles)
             key = np.arange(TABLES, dtype=np.uint64)
             for i in range(ROWS):
                 key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + values[_PICKS[:, i]])
-            rows.append((hashlib.md5(b" ".join(raw.split())).digest(), *compact(values).tolist(), key.astype(np.int64)))
+            rows.append((hashlib.md5(b" ".join(raw.split())).digest(), len(shingles), *parities(shingles).tolist(), key.astype(np.int64)))
         columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], [c.split()[0] for c in MADE.split(", ")])
 
@@ -205,33 +210,33 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text")
 
 
-def different(x: str, y: str) -> Column:
-    """In how many of the values two compact sketches differ."""
-    total = F.lit(0)
-    for i in range(4):
-        bits = F.col(f"{x}.s{i}").bitwiseXOR(F.col(f"{y}.s{i}"))
-        total += F.bit_count(bits.bitwiseOR(F.shiftrightunsigned(bits, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-    return total
+def may_reach(x: str, y: str, threshold: float) -> Column:
+    """False only for pairs below the threshold: of ``a + b`` shingles at most this share may be unpaired at it."""
+    differ = sum((F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}"))) for p in BITS), F.lit(0))
+    return differ <= F.floor((F.col(f"{x}.n") + F.col(f"{y}.n")) * ((1 - threshold) / (1 + threshold)) + 1e-9)
+
+
+FIELDS = ["rep", "component", "n", *BITS]
 
 
-def leader_pairs(entries: DataFrame) -> DataFrame:
-    """Of each bucket that spans several components, its least member with all that lie in others and have a like sketch."""
-    fields = ["rep", "component", "s0", "s1", "s2", "s3"]
-    lead = entries.groupBy("key").agg(F.min(F.struct(*fields)).alias("x"), F.min("component").alias("low"), F.max("component").alias("high"))
-    met = entries.select("key", F.struct(*fields).alias("y")).join(lead.filter("low < high").select("key", "x"), "key")
-    return _pairs(met.filter((F.col("x.component") != F.col("y.component")) & (different("x", "y") <= MOST_DIFFERENT)))
+def leader_pairs(entries: DataFrame, threshold: float) -> DataFrame:
+    """Of each bucket that spans several components, its least member with all that lie in others and may be similar."""
+    lead = entries.groupBy("key").agg(F.min(F.struct(*FIELDS)).alias("x"), F.min("component").alias("low"), F.max("component").alias("high"))
+    lead = lead.filter("low < high").select(F.col("key").alias("own_key"), "x")
+    met = entries.select("key", F.struct(*FIELDS).alias("y"))
+    apart = F.col("x.component") != F.col("y.component")
+    return _pairs(met.join(lead, (F.col("key") == F.col("own_key")) & apart & may_reach("x", "y", threshold)))
 
 
-def all_pairs(entries: DataFrame) -> DataFrame:
-    """Of each bucket, what lies outside its largest component with all members in other components that have a like sketch."""
-    fields = ["rep", "component", "s0", "s1", "s2", "s3"]
+def all_pairs(entries: DataFrame, threshold: float) -> DataFrame:
+    """Of each bucket, what lies outside its largest component with all members of other components that may be similar."""
     sizes = entries.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key")
     main = sizes.agg(F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("m")).filter("m > 1").select("key", F.col("main.component").alias("main"))
-    placed = entries.join(main, "key").select("key", F.struct(*fields).alias("x"), "main")
+    placed = entries.join(main, "key").select("key", F.struct(*FIELDS).alias("x"), "main")
     rest = placed.filter("x.component <> main").select(F.col("key").alias("own_key"), F.col("x").alias("y"))
     once = (F.col("x.component") == F.col("main")) | (F.col("x.rep") < F.col("y.rep"))
-    alike = (F.col("x.component") != F.col("y.component")) & (different("x", "y") <= MOST_DIFFERENT)
-    return _pairs(placed.join(rest, (F.col("key") == F.col("own_key")) & once & alike))
+    apart = F.col("x.component") != F.col("y.component")
+    return _pairs(placed.join(rest, (F.col("key") == F.col("own_key")) & once & apart & may_reach("x", "y", threshold)))
 
 
 def _pairs(met: DataFrame) -> DataFrame:
@@ -276,8 +281,8 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     """One row per document: doc_id, ``th`` (hash of its text), ``rep`` (smallest doc_id with an equal text) and ``class_id``."""
     docs = keyed(docs)
     made = written(docs.mapInArrow(_sketch_batches, MADE), "near-sketches")
-    # sketch and keys follow from the text, so whichever copy gives them gives the same
-    firsts = [F.first(c).alias(c) for c in ("s0", "s1", "s2", "s3", "keys")]
+    # all of it follows from the text, so whichever copy gives them gives the same
+    firsts = [F.first(c).alias(c) for c in ("n", *BITS, "keys")]
     texts = made.filter("exact IS NOT NULL AND doc_id IS NOT NULL").groupBy("exact")
     texts = written(texts.agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.count("*").alias("copies"), *firsts), "near-texts")
     entries = texts.select("rep", F.posexplode("keys").alias("table", "key"))
@@ -287,11 +292,11 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     own = docs.join(few(members.select("rep.*")), ["doc_id", "th"], "left_semi").mapInArrow(_words_batches, "doc_id long, th long, words binary")
     words = own.groupBy(F.struct("doc_id", "th").alias("rep")).agg(F.first("words").alias("words"))  # a row may be there twice
     words = written(words, "near-words", compression="none")
-    label = written(texts.join(few(members), "rep").select("rep", F.col("rep").alias("component"), "s0", "s1", "s2", "s3"), "near-label")
+    label = written(texts.join(few(members), "rep").select("rep", F.col("rep").alias("component"), "n", *BITS), "near-label")
     for begin, end in zip(BATCHES[:-1], BATCHES[1:], strict=True):
         placed = buckets.filter(F.col("table").between(begin, end - 1)).join(few(label), "rep")
-        label = _linked(label, written(leader_pairs(placed), "near-pairs"), words, threshold)
-    label = _linked(label, written(all_pairs(written(buckets.join(few(label), "rep"), "near-placed")), "near-pairs"), words, threshold)
+        label = _linked(label, written(leader_pairs(placed, threshold), "near-pairs"), words, threshold)
+    label = _linked(label, written(all_pairs(buckets.join(few(label), "rep"), threshold), "near-pairs"), words, threshold)
     classes = texts.select("exact", "copies", "rep").join(few(label.select("rep", "component")), "rep", "left")
     classes = classes.select("exact", "copies", F.col("rep.doc_id").alias("rep"), F.coalesce("component", "rep").getField("doc_id").alias("class_id"))
     return _placed(made.select("doc_id", "th", "exact"), written(classes, "near-classes"))
