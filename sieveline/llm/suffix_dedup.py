@@ -1,26 +1,33 @@
 """Removal of byte strings that repeat across documents, by sorted sampled suffixes (operator 7).
 
 Every byte is removed that lies in a ``LENGTH``-byte string which also starts in a document with a
-smaller ``doc_id``. The order of suffixes matters only to that depth, and only for suffixes that
-occur in two documents, so the suffixes are sampled, named, sorted and merged like this:
-
-1. Sample: a cover of positions is chosen by content. In every window of ``LENGTH`` bytes the
-   ``GRAM``-byte gram with the least hash is the sample (an anchor). As with a difference cover, any
-   two equal windows have their sample at the same offset, so they can be compared through it.
-2. Name: anchors get the hash of their gram as name. Names are exchanged once by hash range, and
-   names that occur in one document only are done: no window they sample is repeated.
-3. Merge: the windows around the remaining anchors are the remaining suffixes. Each map task sorts
-   its own and keeps the smallest document of each; later ones are repeats already. What is left is
-   exchanged by its anchor's name, sorted, and adjacent equal prefixes are compared: all but those of
-   the smallest document are repeats.
-4. Repeats of a document are united to spans and cut out of its bytes.
-
-Exchanged are packed arrays (one row for each map task and hash range), each range sized to about
-``RANGE_BYTES``, so no group grows with the input and a passage that all documents share counts once
-for each map task. Prefixes are compared by 64-bit hashes within a range of another hash.
-
-Names that repeat are looked up in a bitmap up to ``BITMAP_NAMES`` of them, and by a join beyond;
-false positives of the bitmap only add windows, which step 3 compares like all others.
+smaller ``doc_id``. Suffixes need comparing to that depth only, and only those that occur in two
+documents, so the difference-cover algorithm runs like this:
+
+1. Whole copies: of equal texts all but that with the smallest ``doc_id`` go at once. The others are
+   packed into blocks of about ``BLOCK`` bytes, a written table that both passes below read.
+2. Sample: the positions of a document whose number modulo ``PERIOD`` is in the difference cover
+   ``COVER``. Any two positions have a shift below ``PERIOD`` that brings both into the sample, and a
+   string of ``LENGTH`` bytes still has ``LENGTH - PERIOD + 1`` bytes behind it there.
+3. Sort sampled triples: the three 8-byte words at a sampled position, sorted and named by a
+   fingerprint. Each block exchanges its sorted names once, packed by range of names; which of them
+   occur in two documents comes back as one bit for each. Names that don't are done: nothing equals
+   the strings around them at that shift.
+4. Merge: the remaining suffixes at sampled positions, with the bytes before them, are exchanged by
+   their first ``LENGTH - PERIOD + 1`` bytes, sorted, and adjacent prefixes are compared byte by byte.
+   For each shift, strings with equal bytes before and behind the sampled position meet, and all but
+   those of the smallest document are repeats. Equal suffixes of one block are settled before that.
+   Suffixes whose name ``HOT_BLOCKS`` blocks have are exchanged for ``HOT_SHIFTS`` shifts at a time, by all
+   bytes that the strings at these shifts share, so that a frequent phrase spreads by what is around it.
+5. Repeats of a document are united to spans and cut out of its bytes.
+
+Fingerprints only choose what is compared: a collision costs a comparison and never a byte. Names have
+about eight bits more than their number needs. No group is formed by document or by name: exchanged are
+packed rows, one for each block and range, ranges are sized to about ``RANGE_BYTES``, and a passage that all documents share
+counts once for each block and distinct context.
+
+Names aren't recursed on: the cover leaves ``LENGTH - PERIOD + 1`` bytes behind a sampled position at every shift, less
+than two levels of triples would need, and 18 % of all positions have a repeated triple where 15 % start a repeat.
 
 Edge cases: a null text is empty; texts shorter than ``LENGTH`` bytes keep all; rows that repeat a
 ``doc_id`` don't count as smaller than each other; a row with a null ``doc_id`` takes no part and
@@ -37,180 +44,153 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table, written
 
 LENGTH = 50
-GRAM = 16
-SPREAD = LENGTH - GRAM + 1  # grams in a window
+PERIOD = 21
+COVER = (3, 6, 7, 12, 14)  # every difference modulo PERIOD occurs between two of these
+TRIPLE = 24
+BEFORE = PERIOD - 1  # bytes that a string may have before its sampled position
+SHARED = LENGTH - BEFORE  # bytes that it has behind it at least
+HOT_BLOCKS = 64
+HOT_SHIFTS = 3
+BLOCK = 8 << 20
 RANGE_BYTES = 6 << 20
-BLOCK = 1 << 19
-FLUSH_NAMES = 300_000
-FLUSH_WINDOWS = 400_000
-BITMAP_BITS = 27
-BITMAP_NAMES = 1 << 24
 BROADCAST_BYTES = 96 << 20
 
 
-def _join(h: np.ndarray, step: int, factor: int) -> np.ndarray:
-    """Hashes of strings of ``2 * step`` bytes from those of ``step`` bytes."""
-    out = h[: len(h) - step] * np.uint64(factor) + h[step:]
-    out ^= out >> np.uint64(29)
-    return out * np.uint64(0xD6E8FEB86659FD93)
-
-
-def hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the ``GRAM``-byte and the ``LENGTH``-byte strings at each position of the bytes."""
-    h1 = (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    h1 ^= h1 >> np.uint64(31)
-    h2 = _join(h1, 1, 0xBF58476D1CE4E5B9)
-    h4 = _join(h2, 2, 0x94D049BB133111EB)
-    h8 = _join(h4, 4, 0x9E3779B97F4A7C15)
-    h16 = _join(h8, 8, 0xBF58476D1CE4E5B9)
-    h32 = _join(h16, 16, 0x94D049BB133111EB)
-    n = len(data) - LENGTH + 1
-    window = (h32[:n] * np.uint64(0xA0761D6478BD642F) + h16[32 : 32 + n]) * np.uint64(0xE7037ED1A0B428DB) + h2[48 : 48 + n]
-    window ^= window >> np.uint64(32)
-    gram = h16 * np.uint64(0x8EBC6AF09C88C6E3)
-    return gram ^ (gram >> np.uint64(32)), window
-
-
-def anchors(gram: np.ndarray) -> np.ndarray:
-    """For each window of ``SPREAD`` grams the position of its least one, the first of equals."""
-    value, place = gram, np.arange(len(gram), dtype=np.int32)
-    width = 1
-    while width < SPREAD:
-        step = min(width, SPREAD - width)
-        later = value[step:] < value[:-step]
-        value, place = np.where(later, value[step:], value[:-step]), np.where(later, place[step:], place[:-step])
-        width += step
-    return place
+def _mix(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return h
 
 
-class Block:
-    """Windows of some documents: their document (row of ``docs``), start, anchor name and hash, by document and start."""
-
-    def __init__(self, texts: list[bytes]):
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        lengths = np.array([len(t) for t in texts], np.int64)
-        begin = np.cumsum(lengths) - lengths
-        if len(data) < LENGTH:
-            self.doc = self.start = self.name = self.window = np.zeros(0, np.uint64)
-            self.run = np.zeros(0, bool)
-            return
-        gram, window = hashes(data)
-        place = anchors(gram)
-        row = np.repeat(np.arange(len(texts)), lengths)[: len(window)]
-        at = np.arange(len(window))
-        inside = np.flatnonzero(at + LENGTH <= (begin + lengths)[row])
-        self.doc, self.start = row[inside], (at - begin[row])[inside]
-        self.window, anchor = window[inside], place[: len(window)][inside]
-        self.name = gram[anchor]
-        self.run = np.concatenate([[True], anchor[1:] != anchor[:-1]])[: len(anchor)]
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple[int, int]], list[bytes], list]]:
-    """Keys (doc_id, text hash), UTF-8 texts and the last column, about ``BLOCK`` bytes at a time."""
-    keys, texts, more, size = [], [], [], 0
-    for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
-        last = batch.column(batch.num_columns - 1).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows
-        for doc_id, th, text, x in zip(*(batch.column(i).to_pylist() for i in range(3)), last, strict=True):
-            raw = (text or "").encode("utf-8", "surrogatepass")
-            keys.append((doc_id, th)), texts.append(raw), more.append(x)
-            size += len(raw)
-            if size >= BLOCK:
-                yield keys, texts, more
-                keys, texts, more, size = [], [], [], 0
-    if texts:
-        yield keys, texts, more
+def sampled(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, position in all bytes) of the sampled positions that a whole triple starts at."""
+    most = int(lengths.max(initial=0))
+    own = np.flatnonzero(np.isin(np.arange(most) % PERIOD, COVER))
+    counts = np.searchsorted(own, lengths - TRIPLE, side="right")
+    doc = np.repeat(np.arange(len(lengths)), counts)
+    begin = np.cumsum(lengths) - lengths
+    return doc, own[np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)] + begin[doc]
+
+
+def names_of(data: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
+    """Fingerprints of ``bits`` bits of the triples at these positions."""
+    if not len(at):
+        return np.zeros(0, np.uint64)
+    h = np.zeros(len(at), np.uint64)
+    words = np.ndarray((len(data) - 7,), "<u8", data.tobytes(), strides=(1,))
+    for i in range(0, TRIPLE, 8):
+        h = _mix((h + words[at + i]) * np.uint64(0x9E3779B97F4A7C15))
+    return h >> np.uint64(64 - bits)
 
 
 def _pack(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())
+    """Numbers compressed byte by byte of their width, all first bytes first."""
+    flat = np.ascontiguousarray(values)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(flat.view(np.uint8).reshape(-1, flat.itemsize).T).tobytes())
 
 
 def _unpack(raw: bytes, dtype) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype)
-
+    width = np.dtype(dtype).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).ravel()
 
-def _steps(sorted_values: np.ndarray) -> np.ndarray:
-    return np.diff(sorted_values, prepend=sorted_values.dtype.type(0))
 
+BLOCKS = "block long, keys binary, lengths binary, data binary"
 
-def _name_batches(bits: int):
-    """Sorted names of a map task by hash range: those seen in one document so far, and those seen in more."""
 
-    def flush(names: list[np.ndarray], docs: list[np.ndarray]) -> pa.RecordBatch:
-        name, doc = np.concatenate(names), np.concatenate(docs)
-        order = np.lexsort((doc, name))
-        name, doc = name[order], doc[order]
-        fresh = np.concatenate([[True], name[1:] != name[:-1]])
-        first = np.flatnonzero(fresh)
-        name, many = name[first], np.maximum.reduceat(doc, first) > doc[first]
-        rng, low = (name >> np.uint64(64 - bits)).astype(np.int64), name.astype(np.uint32)
-        rows = []
-        cut = np.searchsorted(rng, np.arange((1 << bits) + 1))
-        for b in np.flatnonzero(np.diff(cut)):
-            part, seen = low[cut[b] : cut[b + 1]], many[cut[b] : cut[b + 1]]
-            rows.append((int(b), _pack(_steps(np.sort(part[~seen]))), _pack(_steps(np.sort(part[seen])))))
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["range", "once", "many"])
+def _block_batches(most: int):
+    """Texts of ``LENGTH`` bytes or more, with their (doc_id, text hash), about ``most`` bytes a row."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: list[np.ndarray] = []
-        docs: list[np.ndarray] = []
-        ordinal: dict[int, int] = {}
-        for keys, texts, _ in _blocks(batches):
-            block = Block(texts)
-            of = np.array([ordinal.setdefault(k[0], len(ordinal)) for k in keys])
-            names.append(block.name[block.run])
-            docs.append(of[block.doc[block.run].astype(np.int64)])
-            if sum(map(len, names)) > FLUSH_NAMES:
-                yield flush(names, docs)
-                names, docs = [], []
-        if sum(map(len, names)):
-            yield flush(names, docs)
+        from pyspark import TaskContext
+
+        number, keys, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
+
+        def row() -> pa.RecordBatch:
+            data = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
+            values = (number, _pack(np.array(keys, np.int64)), _pack(np.array([len(t) for t in texts], np.int64)), data)
+            return pa.RecordBatch.from_arrays([pa.array([v]) for v in values], ["block", "keys", "lengths", "data"])
+
+        for batch in batches:
+            for doc_id, th, text in zip(*(batch.column(i) for i in range(3)), strict=True):
+                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                if len(raw) < LENGTH:
+                    continue
+                keys.append((doc_id.as_py(), th.as_py())), texts.append(raw)
+                size += len(raw)
+                if size >= most:
+                    yield row()
+                    number, keys, texts, size = number + 1, [], [], 0
+        if texts:
+            yield row()
 
     return made
 
 
-def _repeated_names(group: pd.DataFrame) -> pd.DataFrame:
-    """Names of one hash range that two documents have."""
-    once = [np.cumsum(_unpack(x, np.uint32), dtype=np.uint32) for x in group["once"]]
-    many = [np.cumsum(_unpack(x, np.uint32), dtype=np.uint32) for x in group["many"]]
-    values, counts = np.unique(np.concatenate(once), return_counts=True)
-    out = np.union1d(values[counts > 1], np.concatenate(many)) if many else values[counts > 1]
-    if once and many:
-        out = np.union1d(out, np.intersect1d(values, np.concatenate(many)))
-    return pd.DataFrame({"range": [group["range"].iloc[0]], "names": [_pack(out.astype(np.uint32))], "n": [len(out)]})
+class Block:
+    """Bytes, documents and names of one block."""
 
+    def __init__(self, keys: bytes, lengths: bytes, data: bytes, bits: int):
+        self.keys, self.lengths = _unpack(keys, np.int64).reshape(-1, 2), _unpack(lengths, np.int64)
+        self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+        self.begin = np.cumsum(self.lengths) - self.lengths
+        self.doc, self.at = sampled(self.lengths)
+        self.name = names_of(self.data, self.at, bits)
 
-def _bitmap(names: DataFrame, bits: int) -> np.ndarray:
-    """The bounded bitmap of repeated names: 2**BITMAP_BITS bits, collected as words of 32."""
 
-    def words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for rng, raw in zip(frame["range"], frame["names"], strict=True):
-                place = _places(_unpack(raw, np.uint32).astype(np.uint64) | (np.uint64(rng) << np.uint64(64 - bits)), bits)
-                word, bit = (place >> 5).astype(np.int64), np.uint32(1) << (place & 31).astype(np.uint32)
-                order = np.argsort(word, kind="stable")
-                first = np.flatnonzero(np.diff(word[order], prepend=-1))
-                if len(first):
-                    yield pd.DataFrame({"word": word[order][first], "bit": np.bitwise_or.reduceat(bit[order], first).astype(np.int64)})
+def _name_batches(bits: int, low: int):
+    """Sorted names of each block by range, and whether two documents of the block have them."""
 
-    rows = names.mapInPandas(words, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit"))
-    packed = np.zeros(1 << (BITMAP_BITS - 5), np.uint32)
-    for batch in rows.toArrow().to_batches():  # at most 2**(BITMAP_BITS - 5) rows
-        packed[batch.column(0).to_numpy()] = batch.column(1).to_numpy().astype(np.uint32)
-    return packed
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                block = Block(row["keys"], row["lengths"], row["data"], bits + low)
+                order = np.argsort(block.name, kind="stable")
+                name, doc = block.name[order], block.keys[block.doc[order], 0]
+                first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])[: len(name)])
+                if not len(first):
+                    continue
+                many = np.maximum.reduceat(doc, first) > np.minimum.reduceat(doc, first)
+                name = name[first]
+                cut = np.searchsorted(name, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(low))
+                some = np.flatnonzero(np.diff(cut))
+                parts = [(name[cut[r] : cut[r + 1]] & np.uint64((1 << low) - 1)).astype(np.uint32) for r in some]
+                rows = [[row["block"]] * len(some), some.tolist(), [_pack(np.diff(p, prepend=np.uint32(0))) for p in parts],
+                        [np.packbits(many[cut[r] : cut[r + 1]]).tobytes() for r in some]]
+                kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], ["block", "range", "names", "many"])
 
+    return made
 
-def _places(name: np.ndarray, bits: int) -> np.ndarray:
-    """Bit of a name, from its hash range and low half."""
-    both = (name >> np.uint64(64 - bits)) * np.uint64(0x9E3779B97F4A7C15) ^ (name & np.uint64(0xFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
-    both ^= both >> np.uint64(29)
-    return (both * np.uint64(0x94D049BB133111EB)) >> np.uint64(64 - BITMAP_BITS)
+
+def _repeated_names(hot_blocks: int):
+    """For each block of one range of names two bits for each name: whether two documents have it, whether many blocks have it."""
+
+    def made(group: pd.DataFrame) -> pd.DataFrame:
+        own = [np.cumsum(_unpack(x, np.uint32), dtype=np.uint32) for x in group["names"]]
+        name = np.concatenate(own)
+        many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=len(n)) for m, n in zip(group["many"], own, strict=True)])
+        order = np.argsort(name, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], name[order][1:] != name[order][:-1]]))
+        sizes = np.diff(np.append(first, len(name)))
+        repeated = np.empty(len(name), bool)
+        repeated[order] = np.repeat((np.add.reduceat(many[order].astype(np.int64), first) > 0) | (sizes > 1), sizes)
+        hot = np.empty(len(name), bool)
+        hot[order] = np.repeat(sizes >= hot_blocks, sizes)
+        ends = np.cumsum([len(n) for n in own])[:-1]
+        parts = list(zip(np.split(repeated, ends), np.split(hot, ends), strict=True))
+        packed = [zstandard.ZstdCompressor(level=1).compress(np.packbits(np.concatenate(p)).tobytes()) for p in parts]
+        return pd.DataFrame({"block": group["block"], "range": group["range"], "flags": packed, "size": [len(p) for p, _ in parts], "n": [int(p.sum()) for p, _ in parts]})
+
+    return made
 
 
 def _spans(start: np.ndarray) -> np.ndarray:
@@ -219,168 +199,214 @@ def _spans(start: np.ndarray) -> np.ndarray:
     return np.stack([start[cut], start[np.append(cut[1:], len(start)) - 1]], axis=1).astype(np.int32)
 
 
-def _span_rows(keys: list[tuple[int, int]], doc: np.ndarray, start: np.ndarray) -> list[tuple]:
-    """(doc_id, text hash, packed runs) of repeated windows, by document."""
+def _span_rows(keys: np.ndarray, doc: np.ndarray, start: np.ndarray) -> list[tuple]:
+    """(doc_id, text hash, packed runs) of repeated strings, by document (row of ``keys``)."""
     if not len(doc):
         return []
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
+    both = np.unique(doc.astype(np.int64) << 32 | start)
+    doc, start = both >> 32, both & 0xFFFFFFFF
     cut = np.append(np.flatnonzero(np.diff(doc, prepend=-1)), len(doc))
-    return [(*keys[doc[a]], _spans(np.unique(start[a:b])).tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-
-
-WINDOW_ROWS = "range int, doc_id long, th long, spans binary, keys binary, counts binary, starts binary, windows binary"
-_KINDS = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-_NAMES = ["range", "doc_id", "th", "spans", "keys", "counts", "starts", "windows"]
-
-
-def _window_batches(bits: int, keep):
-    """Candidate windows of a map task: repeats inside it as spans (negative range), the rest packed by range."""
-
-    def flush(keys: list, doc: np.ndarray, start: np.ndarray, name: np.ndarray, window: np.ndarray) -> Iterator[pa.RecordBatch]:
-        ids = np.array([k[0] for k in keys], np.int64)
-        order = np.lexsort((ids[doc], window))
-        w, d = window[order], ids[doc][order]
-        first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-        low = np.repeat(d[first], np.diff(np.append(first, len(w))))
-        later = np.zeros(len(w), bool)
-        later[order] = d > low
-        rows: list[tuple] = [(-1 - (r[1] & ((1 << bits) - 1)), *r, None, None, None, None) for r in _span_rows(keys, doc[later], start[later])]
-        doc, start, name, window = doc[~later], start[~later], name[~later], window[~later]
-        rng = (name >> np.uint64(64 - bits)).astype(np.int64)
-        order = np.lexsort((start, doc, rng))
-        doc, start, window, rng = doc[order], start[order], window[order], rng[order]
-        cut = np.searchsorted(rng, np.arange((1 << bits) + 1))
-        for b in np.flatnonzero(np.diff(cut)):
-            part = slice(cut[b], cut[b + 1])
-            own, counts = np.unique(doc[part], return_counts=True)
-            pairs = np.array([keys[i] for i in own], np.int64)
-            rows.append((int(b), None, None, None, _pack(pairs), _pack(counts.astype(np.int32)), _pack(_steps(start[part].astype(np.int32))), _pack(window[part])))
-        for at in range(0, len(rows), 2000):
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[at : at + 2000]], k) for i, k in enumerate(_KINDS)], _NAMES)
+    return [(int(keys[doc[a], 0]), int(keys[doc[a], 1]), _pack(_spans(start[a:b]))) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
+def _starts(doc: np.ndarray, at: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and starts of the strings at the shifts from ``least`` to ``most`` before sampled positions."""
+    counts = most - least + 1
+    shift = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(least, counts)
+    return np.repeat(doc, counts), np.repeat(at, counts) - shift
+
+
+SUFFIXES = "range int, doc_id long, th long, spans binary, keys binary, docs binary, places binary, shifts binary, bytes binary"
+_KINDS = (pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6)
+_NAMES = [c.split()[0] for c in SUFFIXES.split(", ")]
+
+
+def _suffix_batches(bits: int, low: int, range_bits: int):
+    """Remaining suffixes of each block by range; repeats within the block come out as spans (negative range)."""
+
+    def of_block(row: dict) -> Iterator[pa.RecordBatch]:
+        block = Block(row["keys"], row["lengths"], row["data"], bits + low)
+        flags = [
+            np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(f["flags"]), np.uint8), count=2 * f["size"]).reshape(2, -1)
+            for f in sorted(row["flags"], key=lambda f: f["range"])
+        ]
+        repeated, hot = np.concatenate(flags, axis=1)[:, np.unique(block.name, return_inverse=True)[1]] > 0
+        around = sliding_window_view(np.concatenate([np.zeros(BEFORE, np.uint8), block.data, np.zeros(LENGTH, np.uint8)]), BEFORE + LENGTH)
+        for first in range(0, PERIOD, HOT_SHIFTS):
+            yield from of_shifts(block, around, repeated & hot, first, min(first + HOT_SHIFTS, PERIOD) - 1)
+        yield from of_shifts(block, around, repeated & ~hot, 0, PERIOD - 1)
+
+    def of_shifts(block: Block, around: np.ndarray, chosen: np.ndarray, lowest: int, highest: int) -> Iterator[pa.RecordBatch]:
+        doc, at = block.doc[chosen], block.at[chosen]
+        begin = block.begin[doc]
+        least, most = np.maximum(lowest, at + LENGTH - begin - block.lengths[doc]), np.minimum(highest, at - begin)
+        some = least <= most
+        if not some.any():
+            return
+        doc, at, least, most = doc[some], at[some], least[some], most[some]
+        after, before = around[at][:, BEFORE:], around[at][:, :BEFORE][:, ::-1]
+        after = np.where(np.arange(LENGTH) < (LENGTH - least)[:, None], after, 0)
+        before = np.where(np.arange(BEFORE) < most[:, None], before, 0)
+        whole = np.ascontiguousarray(np.concatenate([after, before], axis=1))
+        ids, shifts = block.keys[doc, 0], least << 8 | most
+        order = np.lexsort((ids, shifts, whole.view(f"S{BEFORE + LENGTH}").ravel()))
+        whole, shifts, doc, at, ids = whole[order], shifts[order], doc[order], (at - block.begin[doc])[order], ids[order]
+        fresh = np.concatenate([[True], (whole[1:] != whole[:-1]).any(axis=1) | (shifts[1:] != shifts[:-1])])
+        first = np.flatnonzero(fresh)
+        later = ids > np.repeat(ids[first], np.diff(np.append(first, len(ids))))
+        settled = _span_rows(block.keys, *_starts(doc[later], at[later], shifts[later] >> 8, shifts[later] & 255))
+        rows: list[tuple] = [(-1 - (r[1] & ((1 << range_bits) - 1)), *r, *[None] * 5) for r in settled]
+        whole, shifts, doc, at = whole[~later], shifts[~later], doc[~later], at[~later]
+        own = [whole[:, : LENGTH - highest], whole[:, LENGTH : LENGTH + lowest]]  # bytes that all strings at these shifts have
+        head = np.concatenate([*own, np.zeros((len(at), (highest - lowest - LENGTH) % 8), np.uint8)], axis=1)
+        key = np.zeros(len(at), np.uint64)
+        for word in np.ascontiguousarray(head).view("<u8").T:
+            key = _mix((key + word) * np.uint64(0x9E3779B97F4A7C15))
+        of = (key >> np.uint64(64 - range_bits)).astype(np.int64)
+        order = np.argsort(of, kind="stable")  # by range, and in the order of the suffixes
+        whole, shifts, doc, at = whole[order], shifts[order], doc[order], at[order]
+        cut = np.searchsorted(of[order], np.arange((1 << range_bits) + 1))
+        for r in np.flatnonzero(np.diff(cut)):
+            part = slice(cut[r], cut[r + 1])
+            docs, index = np.unique(doc[part], return_inverse=True)
+            text = zstandard.ZstdCompressor(level=3).compress(whole[part].tobytes())
+            packed = (_pack(x.astype(np.int32)) for x in (index, at[part], shifts[part]))
+            rows.append((int(r), None, None, None, _pack(block.keys[docs]), *packed, text))
+        for i in range(0, len(rows), 2000):
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[i : i + 2000]], k) for c, k in enumerate(_KINDS)], _NAMES)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[tuple[int, int]] = []
-        parts: list[tuple[np.ndarray, ...]] = []
-        for own, texts, flagged in _blocks(batches):
-            block = Block(texts)
-            good = keep(block, flagged)
-            parts.append((block.doc[good].astype(np.int64) + len(keys), block.start[good].astype(np.int64), block.name[good], block.window[good]))
-            keys += own
-            if sum(len(p[0]) for p in parts) > FLUSH_WINDOWS:
-                yield from flush(keys, *(np.concatenate(c) for c in zip(*parts, strict=True)))
-                keys, parts = [], []
-        if sum(len(p[0]) for p in parts):
-            yield from flush(keys, *(np.concatenate(c) for c in zip(*parts, strict=True)))
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield from of_block(batch.slice(i, 1).to_pylist()[0])
 
     return made
 
 
-def _compare_windows(group: pd.DataFrame) -> pd.DataFrame:
-    """Sorts the windows of one range and compares adjacent ones: repeats of a smaller document come out.
+def _classes(rows: np.ndarray) -> np.ndarray:
+    """Sorts byte rows and compares neighbours: the order, and how many leading bytes each shares with the one before."""
+    order = np.argsort(rows.view(f"S{rows.shape[1]}").ravel(), kind="stable")
+    ranked = rows[order]
+    differ = ranked[1:] != ranked[:-1]
+    shared = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
+    return order, np.concatenate([[-1], shared])
+
+
+def _compare_suffixes(group: pd.DataFrame) -> pd.DataFrame:
+    """Repeats of a smaller document among the suffixes of one range.
 
     A negative range holds spans that are settled already and pass through.
     """
     if group["range"].iloc[0] < 0:
         return group[["doc_id", "th", "spans"]].astype({"doc_id": "int64", "th": "int64"})
     pairs = [_unpack(x, np.int64).reshape(-1, 2) for x in group["keys"]]
-    counts = np.concatenate([_unpack(x, np.int32) for x in group["counts"]])
     keys = np.concatenate(pairs)
-    doc = np.repeat(np.arange(len(keys)), counts)
-    start = np.concatenate([np.cumsum(_unpack(x, np.int32), dtype=np.int32) for x in group["starts"]]).astype(np.int64)
-    window = np.concatenate([_unpack(x, np.uint64) for x in group["windows"]])
-    order = np.lexsort((keys[doc, 0], window))
-    w, d = window[order], keys[doc, 0][order]
-    first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-    later = np.zeros(len(w), bool)
-    later[order] = d > np.repeat(d[first], np.diff(np.append(first, len(w))))
-    rows = _span_rows([tuple(map(int, k)) for k in keys], doc[later], start[later])
-    return pd.DataFrame(rows, columns=["doc_id", "th", "spans"])
+    bases = np.cumsum([0, *map(len, pairs)])
+    doc = np.concatenate([_unpack(x, np.int32).astype(np.int64) + b for x, b in zip(group["docs"], bases, strict=False)])
+    at = np.concatenate([_unpack(x, np.int32) for x in group["places"]]).astype(np.int64)
+    shifts = np.concatenate([_unpack(x, np.int32) for x in group["shifts"]])
+    whole = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(x) for x in group["bytes"]), np.uint8).reshape(-1, BEFORE + LENGTH)
+    order = np.argsort(keys[doc, 0], kind="stable")  # smaller documents first
+    doc, at, shifts, whole, ids = doc[order], at[order], shifts[order], whole[order], keys[doc[order], 0]
+    after, before = (_classes(np.ascontiguousarray(x)) for x in (whole[:, :LENGTH], whole[:, LENGTH:]))
+    docs, starts = [], []
+    for shift in range(PERIOD):
+        own = np.flatnonzero((shifts >> 8 <= shift) & (shifts & 255 >= shift))
+        if len(own) < 2:
+            continue
+        name = np.zeros(len(doc), np.int64)
+        for (ranked, shared), depth in ((after, LENGTH - shift), (before, shift)):
+            rank = np.empty(len(doc), np.int64)
+            rank[ranked] = np.cumsum(shared < depth)
+            name = name * (len(doc) + 1) + rank
+        ranked = own[np.argsort(name[own], kind="stable")]
+        fresh = np.concatenate([[True], name[ranked][1:] != name[ranked][:-1]])
+        first = np.flatnonzero(fresh)
+        later = ranked[ids[ranked] > np.repeat(ids[ranked][first], np.diff(np.append(first, len(ranked))))]
+        docs.append(doc[later]), starts.append(at[later] - shift)
+    rows = _span_rows(keys, np.concatenate(docs), np.concatenate(starts)) if docs else []
+    return pd.DataFrame(rows, columns=["doc_id", "th", "spans"]).astype({"doc_id": "int64", "th": "int64"})
+
+
+def _unite_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of each document as few runs of starts that don't touch."""
+    for batch in batches:
+        out = []
+        for spans in batch.column(2).to_pylist():
+            runs = np.concatenate([_unpack(s, np.int32).reshape(-1, 2) for s in spans])
+            runs = runs[np.argsort(runs[:, 0], kind="stable")]
+            last = np.maximum.accumulate(runs[:, 1])
+            cut = np.flatnonzero(np.concatenate([[True], runs[1:, 0] > last[:-1] + 1]))
+            out.append(_pack(np.stack([runs[cut, 0], last[np.append(cut[1:], len(runs)) - 1]], axis=1)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["doc_id", "th", "spans"])
 
 
 def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
     for batch in batches:
         rows = []
-        for doc_id, text, spans in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        for doc_id, text, spans, copy in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             raw = (text or "").encode("utf-8", "surrogatepass")
             n_removed = n_spans = 0
             kept = raw
-            if spans:
+            if copy and len(raw) >= LENGTH:
+                kept, n_removed, n_spans = b"", len(raw), 1
+            elif spans:
                 edge = np.zeros(len(raw) + 1, np.int32)
-                runs = np.concatenate([np.frombuffer(s, np.int32) for s in spans]).reshape(-1, 2)
+                runs = _unpack(spans, np.int32).reshape(-1, 2)
                 np.add.at(edge, runs[:, 0], 1)
                 np.add.at(edge, runs[:, 1] + LENGTH, -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 n_removed, n_spans = int(gone.sum()), int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
                 kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
             rows.append((doc_id, len(raw), n_removed, n_spans, hashlib.sha256(kept).hexdigest(), kept))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, ``th`` (text hash) and ``spans`` (packed runs of starts of repeated windows), several rows a document."""
-    spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text")
-    name_bits = max(1, math.ceil(math.log2(1 + size / 16 * 4 / RANGE_BYTES)))  # about a name for 16 bytes, 4 bytes each
-    window_bits = max(1, math.ceil(math.log2(1 + size / 4 * 8 / RANGE_BYTES)))  # up to a window for 4 bytes, 8 bytes each
-    exchanged = rows.mapInArrow(_name_batches(name_bits), "range int, once binary, many binary")
-    names = written(exchanged.groupBy("range").applyInPandas(_repeated_names, "range int, names binary, n long"), "suffix-names")
-    if (names.agg(F.sum("n")).first()[0] or 0) <= BITMAP_NAMES:
-        shared = spark.sparkContext.broadcast(_bitmap(names, name_bits))
-
-        def keep(block: Block, _: list) -> np.ndarray:
-            place = _places(block.name, name_bits)
-            return (shared.value[(place >> np.uint64(5)).astype(np.int64)] >> (place & np.uint64(31)).astype(np.uint32)) & 1 == 1
-
-        found = rows.mapInArrow(_window_batches(window_bits, keep), WINDOW_ROWS)
-    else:
-        found = _by_join(rows, names, name_bits).mapInArrow(_window_batches(window_bits, _flagged), WINDOW_ROWS)
-    return found.groupBy("range").applyInPandas(_compare_windows, "doc_id long, th long, spans binary")
-
-
-def _flagged(block: Block, flagged: list) -> np.ndarray:
-    good = np.zeros(len(block.name), bool)
-    for i, names in enumerate(flagged):
-        own = block.doc == i
-        good[own] = np.isin(block.name[own], np.array(names or [], np.int64).astype(np.uint64))
-    return good
-
+def _small(rows: DataFrame, size) -> DataFrame:
+    """Rows for a join: broadcast up to a checked size in bytes, else shuffled."""
+    return F.broadcast(rows) if (rows.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else rows
 
-def _by_join(rows: DataFrame, names: DataFrame, bits: int) -> DataFrame:
-    """``rows`` with the repeated names of each document, where a bitmap would be too full."""
 
-    def expand(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for rng, raw in zip(frame["range"], frame["names"], strict=True):
-                low = _unpack(raw, np.uint32).astype(np.int64)
-                yield pd.DataFrame({"range": np.full(len(low), rng, np.int32), "low": low})
+def whole_copies(rows: DataFrame) -> DataFrame:
+    """(doc_id, th) of rows whose text a row with a smaller doc_id has too."""
+    digests = written(rows.select("doc_id", "th", F.unhex(F.sha2("text", 256)).alias("digest")).filter("digest IS NOT NULL"), "suffix-digests")
+    firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+    firsts = written(firsts.select("digest", "first"), "suffix-firsts")
+    return written(digests.join(_small(firsts, F.lit(48)), "digest").filter("doc_id > first").select("doc_id", "th").distinct(), "suffix-copies")
 
-    def of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, texts, _ in _blocks(batches):
-            block = Block(texts)
-            doc, name = block.doc[block.run].astype(np.int64), block.name[block.run]
-            pairs = np.array(keys, np.int64)[doc] if len(doc) else np.zeros((0, 2), np.int64)
-            low, rng = (name & np.uint64(0xFFFFFFFF)).astype(np.int64), (name >> np.uint64(64 - bits)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (pairs[:, 0], pairs[:, 1], rng, low, name.astype(np.int64))], ["doc_id", "th", "range", "low", "name"])
 
-    repeated = names.mapInPandas(expand, "range int, low long")
-    anchors_of = rows.mapInArrow(of_documents, "doc_id long, th long, range int, low long, name long")
-    own = anchors_of.join(repeated, ["range", "low"], "left_semi").groupBy("doc_id", "th").agg(F.collect_set("name").alias("names"))
-    return rows.join(own, ["doc_id", "th"]).select("doc_id", "th", "text", "names")
+def repeated_spans(rows: DataFrame) -> DataFrame:
+    """doc_id, ``th`` (text hash) and ``spans`` (packed runs of starts of repeated strings), one row a document."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    names = max(1, size * len(COVER) // PERIOD)
+    bits = max(1, math.ceil(math.log2(1 + names * 4 / RANGE_BYTES)))
+    low = min(32, max(16, math.ceil(math.log2(names)) + 8 - bits))
+    blocks = written(rows.mapInArrow(_block_batches(BLOCK), BLOCKS), "suffix-blocks", compression="none")
+    exchanged = blocks.mapInArrow(_name_batches(bits, low), "block long, range int, names binary, many binary")
+    flags = exchanged.groupBy("range").applyInPandas(_repeated_names(HOT_BLOCKS), "block long, range int, flags binary, size int, n int")
+    flags = written(flags, "suffix-flags", compression="none")
+    left = flags.agg(F.sum("n")).first()[0] or 0
+    range_bits = max(1, math.ceil(math.log2(1 + left * (BEFORE + LENGTH) / RANGE_BYTES)))
+    by_block = flags.groupBy("block").agg(F.collect_list(F.struct("range", "flags", "size")).alias("flags"), F.sum("n").alias("n")).filter("n > 0")
+    both = blocks.join(_small(by_block, F.aggregate("flags", F.lit(0), lambda a, f: a + F.octet_length(f["flags"]) + 16)), "block")
+    suffixes = both.select("keys", "lengths", "data", "flags").mapInArrow(_suffix_batches(bits, low, range_bits), SUFFIXES)
+    found = suffixes.groupBy("range").applyInPandas(_compare_suffixes, "doc_id long, th long, spans binary")
+    own = found.groupBy("doc_id", "th").agg(F.collect_list("spans").alias("spans"))  # a document's own
+    return written(own.mapInArrow(_unite_batches, "doc_id long, th long, spans binary"), "suffix-spans")
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the ``kept`` bytes."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    spans = repeated_spans(docs).groupBy("doc_id", "th").agg(F.collect_list("spans").alias("spans"))  # a document's own
-    spans = written(spans, "suffix-spans")
-    size = spans.agg(F.sum(F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + F.octet_length(s) + 16) + 48)).first()[0] or 0
-    spans = F.broadcast(spans) if size <= BROADCAST_BYTES else spans
-    joined = docs.withColumn("th", F.xxhash64("text")).join(spans, ["doc_id", "th"], "left")
+    docs = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text")
+    rows = docs.filter("doc_id IS NOT NULL")
+    copies = whole_copies(rows)
+    spans = repeated_spans(rows.join(_small(copies, F.lit(16)), ["doc_id", "th"], "left_anti"))
+    nothing = F.lit(None).cast("binary")
+    gone = spans.withColumn("copy", F.lit(False)).unionByName(copies.select("doc_id", "th", nothing.alias("spans"), F.lit(True).alias("copy")))
+    joined = docs.join(_small(gone, F.coalesce(F.octet_length("spans"), F.lit(0)) + 32), ["doc_id", "th"], "left")
     kept = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return joined.select("doc_id", "text", "spans").mapInArrow(_cut_batches, kept)
+    return joined.select("doc_id", "text", "spans", "copy").mapInArrow(_cut_batches, kept)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

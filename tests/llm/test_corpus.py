@@ -341,14 +341,26 @@ def brute_repeats(made):
 
 @pytest.mark.parametrize("small", [False, True])
 def test_suffix_dedup_matches_brute_force(spark, documents, monkeypatch, small):
-    if small:  # the join in place of the bitmap, many flushes and ranges
-        for name, value in (("BITMAP_NAMES", 0), ("BROADCAST_BYTES", 0), ("FLUSH_WINDOWS", 5000), ("FLUSH_NAMES", 5000), ("BLOCK", 20000), ("RANGE_BYTES", 9000)):
+    if small:  # shuffled joins, many blocks and ranges
+        for name, value in (("BROADCAST_BYTES", -1), ("BLOCK", 20000), ("RANGE_BYTES", 9000), ("HOT_BLOCKS", 2)):
             monkeypatch.setattr(suffix_dedup, name, value)
-    made = list(enumerate([*[t for _, t in documents[:120]], *ODD, "ab" * 400, "x" + "ab" * 300, "y" * 49, "y" * 50, "y" * 51]))
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(1, 5)))
+    phrase = "a passage of many bytes that all of these texts have " * 2
+    common = [" ".join(word() for _ in range(20)) + phrase[: 40 + i % 30] + " ".join(word() for _ in range(20)) for i in range(60)]
+    made = list(enumerate([*[t for _, t in documents[:120]], *ODD, *common, "ab" * 400, "x" + "ab" * 300, "y" * 49, "y" * 50, "y" * 51, "\0" * 70, "\0" * 90]))
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.cut_repeats(frame(spark, [t for _, t in made])).collect()}
     assert got == brute_repeats(made)
 
 
+def test_suffix_dedup_of_repeated_and_null_ids(spark):
+    text, other = "the same fifty bytes or more stand in several of these rows", "something else of more than fifty bytes, in one row only"
+    rows = [(None, text), (2, text), (2, other + text), (3, "x" + text), (3, None), (1, "short")]
+    got = {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    n = len(text)
+    assert got == {(None, n, 0, 0), (2, n, 0, 0), (2, n + len(other), 0, 0), (3, n + 1, n, 1), (3, 0, 0, 0), (1, 5, 0, 0)}
+
+
 # --- 8 ----------------------------------------------------------------------------------------------
 
 
