@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -17,6 +18,12 @@ _TABLE = np.array([PROPERTIES[aa] for aa in RESIDUES])
 _NORM_WEIGHT = {0: 0.30, 2: 0.25, 3: 0.20, 4: 0.15}
 
 
+def words_of(sequence: Column, size: int | Column) -> Column:
+    """All overlapping words of this length, in order, in one pass over the sequence (``substr`` at each start is quadratic)."""
+    size = F.lit(str(size)) if isinstance(size, int) else size.cast("string")
+    return F.regexp_extract_all(sequence, F.concat(F.lit("(?s)(?=(.{"), size, F.lit("}))")), F.lit(1))
+
+
 def covariance_score(sequence: str) -> float | None:
     """Antigenicity from auto- and cross-covariances of residue properties; None below ``LEAST_LENGTH`` residues."""
     code = _CODE[np.frombuffer(sequence.encode("ascii", "replace"), np.uint8)]
@@ -42,26 +49,23 @@ _PK = {"K": 10.0, "R": 12.0, "H": 5.98}, {"D": 4.05, "E": 4.45, "C": 9.0, "Y": 1
 _N_TERM, _C_TERM = 7.5, 3.55
 
 
-def charge_at(sequence: str, ph: float) -> float:
-    plus = 1 / (1 + 10 ** (ph - _N_TERM)) + sum(sequence.count(a) / (1 + 10 ** (ph - pk)) for a, pk in _PK[0].items())
-    minus = 1 / (1 + 10 ** (_C_TERM - ph)) + sum(sequence.count(a) / (1 + 10 ** (pk - ph)) for a, pk in _PK[1].items())
+def charge_at(counts: dict[str, np.ndarray], ph: np.ndarray) -> np.ndarray:
+    """Net charges at these pH values of sequences with these numbers of letters."""
+    plus = 1 / (1 + 10 ** (ph - _N_TERM)) + sum(counts[a] / (1 + 10 ** (ph - pk)) for a, pk in _PK[0].items())
+    minus = 1 / (1 + 10 ** (_C_TERM - ph)) + sum(counts[a] / (1 + 10 ** (pk - ph)) for a, pk in _PK[1].items())
     return plus - minus
 
 
 @F.pandas_udf(DoubleType())
 def isoelectric_point(sequences: pd.Series) -> pd.Series:
-    """pH of zero net charge, by bisection."""
-
-    def of(s: str | None) -> float | None:
-        if not s:
-            return None
-        low, high = 0.0, 14.0
-        for _ in range(50):
-            mid = (low + high) / 2
-            low, high = (mid, high) if charge_at(s, mid) > 0 else (low, mid)
-        return round(low, 6)
-
-    return sequences.map(of)
+    """pH of zero net charge, by bisection over a whole batch; null for an empty sequence."""
+    counts = {a: sequences.str.count(a).fillna(0).to_numpy(np.float64) for table in _PK for a in table}
+    low, high = np.zeros(len(sequences)), np.full(len(sequences), 14.0)
+    for _ in range(50):
+        mid = (low + high) / 2
+        up = charge_at(counts, mid) > 0
+        low, high = np.where(up, mid, low), np.where(up, high, mid)
+    return pd.Series(np.round(low, 6)).where((sequences.str.len() > 0).to_numpy(bool, na_value=False))
 
 
 def matching_ratio(a: str, b: str) -> float:

@@ -46,10 +46,10 @@ PROPERTIES = {
     "S": (-0.26, 0.0, 0.0, 0.55, 0.51), "T": (-0.18, 0.0, 0.0, 0.52, 0.44), "W": (0.81, 0.0, 0.0, 0.37, 0.31),
     "Y": (0.26, 0.0, 0.0, 0.47, 0.42), "V": (0.54, 0.0, 0.0, 0.50, 0.39),
 }
-VOLUMES = {
-    "A": 98.0, "R": 174.0, "N": 124.0, "D": 111.0, "C": 107.0, "Q": 149.0, "E": 135.0, "G": 60.0, "H": 153.0, "I": 124.0,
-    "L": 124.0, "K": 155.0, "M": 132.0, "F": 158.0, "P": 90.0, "S": 86.0, "T": 102.0, "W": 197.0, "Y": 163.0, "V": 102.0,
-}
+#: strand propensities of the aggregation estimate; other residues 1.0. Fixed values
+STRAND_PROPENSITY = {"V": 1.70, "I": 1.61, "Y": 1.29, "F": 1.19, "A": 0.92, "T": 0.87, "S": 0.79, "E": 0.67, "M": 0.80, "K": 0.64}
+#: helix propensities of the stability estimate; other residues 1.0. Fixed values
+HELIX_PROPENSITY = {"E": 1.55, "A": 1.45, "L": 1.40, "M": 1.33, "K": 1.07, "Q": 1.10, "R": 0.99, "S": 0.79, "P": 0.00}
 #: expected contact rates of residue pairs in alphabetical order; other pairs 1.0
 CONTACT_EXPECTED = {
     "AA": 1.0, "AC": 0.8, "AD": 0.7, "AE": 0.7, "AF": 1.0, "AG": 1.2, "AH": 0.9, "AI": 1.1, "AK": 0.8, "AL": 1.1,

@@ -167,6 +167,46 @@ def solubility(seq: Column, aggregation: Column, ph: float = 7.0) -> Column:
     return clamp(score, 0.0, 1.0)
 
 
+IONIZABLE = {"D": 3.9, "E": 4.3, "H": 6.0, "C": 8.3, "Y": 10.1, "K": 12.5, "R": 12.7}
+
+
+def stability(seq: Column, ph: float = 7.0, celsius: float = 25.0) -> Column:
+    """Folding energy (kcal/mol): hydrophobic gain, less charged residues and length. Null for an empty sequence."""
+    n = F.length(seq)
+    charged = n_of(seq, "".join(aa for aa, pk in IONIZABLE.items() if pk != ph))
+    energy = F.try_divide(weighted(seq, S.HYDROPATHY), n) * 0.5 * F.sqrt(n) - 0.05 * charged - 0.004 * n
+    return energy * (1.0 - (celsius - 25.0) * 0.003)
+
+
+def stability_class(energy: Column) -> Column:
+    return F.when(energy > 0, "very_stable").when(energy > -5, "stable").when(energy > -10, "unstable").when(energy.isNotNull(), "very_unstable").otherwise("unknown")
+
+
+def helix_score(seq: Column) -> Column:
+    return F.try_divide(weighted(seq, S.HELIX_PROPENSITY, 1.0), F.length(seq))
+
+
+def strand_aggregation(seq: Column) -> Column:
+    """Aggregation from hydropathy and strand propensity, less charge; 0 for an empty sequence."""
+    per_residue = lambda total: F.coalesce(F.try_divide(total, F.length(seq)), F.lit(0.0))
+    value = per_residue(weighted(seq, S.HYDROPATHY)) * 0.4 + per_residue(weighted(seq, S.STRAND_PROPENSITY, 1.0)) * 0.3
+    return clamp(value - F.coalesce(share(seq, "KRDE"), F.lit(0.0)) * 0.3, 0.0, 1.0)
+
+
+def expression(solubility_score: Column, energy: Column, aggregation: Column) -> Column:
+    """Expression likelihood; an unstable protein (-5 or less) counts a tenth of its energy."""
+    folded = F.when(energy > -5, 0.7).otherwise(energy / -10.0)
+    return clamp(solubility_score * 0.4 + folded * 0.3 + (1.0 - aggregation) * 0.3, 0.0, 1.0)
+
+
+def instability(seq: Column, weights: dict[str, float]) -> Column:
+    """``10 / n`` times the summed weights of adjacent residue pairs; ``weights`` (by pair) is the caller's table, other pairs count 0."""
+    table = F.create_map(*[F.lit(x) for pair, w in weights.items() for x in (pair, float(w))])
+    pairs = F.regexp_extract_all(seq, F.lit("(?=(..))"), F.lit(1))
+    total = F.aggregate(pairs, F.lit(0.0), lambda acc, pair: acc + F.coalesce(F.try_element_at(table, pair), F.lit(0.0)))
+    return F.try_divide(total * 10.0, F.length(seq))
+
+
 def physicochemical(seq: Column) -> dict[str, Column]:
     """The properties that follow from residue counts."""
     n = F.length(seq)

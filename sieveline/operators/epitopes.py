@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions import scales as S
 from sieveline.functions import scoring
+from sieveline.functions.helpers import words_of
 
 NO_RANK = 999.0
 
@@ -90,28 +91,34 @@ def conserved_epitopes(epitopes: DataFrame, conservancy: DataFrame, at_least: fl
     return epitopes.join(rows, "sequence", "left_semi")
 
 
+def _typed_peptides(epitopes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Selected B-cell and T-cell epitopes with their letters in upper case."""
+    clean = epitopes.filter(selected_nonempty()).select("run_id", "id", "type", F.upper(F.regexp_replace("sequence", "[^A-Za-z]", "")).alias("peptide"))
+    is_b = F.startswith("type", F.lit("BCELL"))
+    return clean.filter(is_b).drop("type"), clean.filter(~is_b).drop("type")
+
+
 def bt_overlap(epitopes: DataFrame) -> DataFrame:
-    """B-cell x T-cell pairs of a run where one peptide contains the other; the overlap is the shorter one.
+    """Pairs of a B-cell and a T-cell peptide of a run where one contains the other; the overlap is the shorter one.
 
-    The longer side is exploded to its substrings of the lengths that occur on the other side, so the
-    pairs come from an equi-join. Distinct peptides meet first; ids follow.
+    One row for each pair of distinct peptides, with the numbers of epitopes that have them: members
+    follow from ``_typed_peptides`` by peptide and aren't multiplied here. The longer side is exploded
+    to its substrings of the lengths that occur on the other side, so the pairs come from an equi-join.
     """
-    clean = epitopes.filter(selected_nonempty()).select("run_id", "id", "type", F.upper(F.regexp_replace("sequence", "[^A-Za-z]", "")).alias("peptide"))
-    b = clean.filter(F.startswith("type", F.lit("BCELL"))).select("run_id", F.col("peptide").alias("b_peptide"), F.col("id").alias("b_id"))
-    t = clean.filter(~F.startswith("type", F.lit("BCELL"))).select("run_id", F.col("peptide").alias("t_peptide"), F.col("id").alias("t_id"))
-    bp, tp = b.select("run_id", "b_peptide").distinct(), t.select("run_id", "t_peptide").distinct()
-    inside = _contained(tp, "t_peptide", bp, "b_peptide").union(_contained(bp, "b_peptide", tp, "t_peptide").select("run_id", "t_peptide", "b_peptide")).distinct()
-    pairs = inside.join(b, ["run_id", "b_peptide"]).join(t, ["run_id", "t_peptide"])
+    b, t = _typed_peptides(epitopes)
+    bp = b.groupBy("run_id", F.col("peptide").alias("b_peptide")).agg(F.count("*").alias("n_b"))
+    tp = t.groupBy("run_id", F.col("peptide").alias("t_peptide")).agg(F.count("*").alias("n_t"))
+    within = _contained(tp, "t_peptide", bp, "b_peptide").select("run_id", "b_peptide", "t_peptide")
+    inside = within.union(_contained(bp, "b_peptide", tp, "t_peptide").select("run_id", "b_peptide", "t_peptide")).distinct()
     overlap = F.when(F.length("b_peptide") <= F.length("t_peptide"), F.col("b_peptide")).otherwise(F.col("t_peptide"))
-    return pairs.select("run_id", "b_id", "t_id", overlap.alias("overlap"))
+    return inside.join(bp, ["run_id", "b_peptide"]).join(tp, ["run_id", "t_peptide"]).select("run_id", "b_peptide", "t_peptide", overlap.alias("overlap"), "n_b", "n_t")
 
 
 def _contained(short: DataFrame, s: str, long: DataFrame, name: str) -> DataFrame:
     """(run_id, s, name) where s lies in name."""
     lengths = short.select("run_id", F.length(s).alias("k")).distinct()
     cut = long.join(lengths, "run_id").filter((F.col("k") > 0) & (F.col("k") <= F.length(name)))
-    starts = F.sequence(F.lit(1), F.length(name) - F.col("k") + 1)
-    parts = cut.select("run_id", name, "k", F.explode(starts).alias("i")).select("run_id", name, F.substr(name, "i", "k").alias(s)).distinct()
+    parts = cut.select("run_id", name, F.explode(F.array_distinct(words_of(F.col(name), F.col("k")))).alias(s)).distinct()
     return parts.join(short, ["run_id", s]).select("run_id", s, name)
 
 
@@ -120,7 +127,8 @@ def overlap_summary(epitopes: DataFrame) -> DataFrame:
     clean = epitopes.filter(selected_nonempty())
     is_b = F.startswith("type", F.lit("BCELL"))
     counts = clean.groupBy("run_id").agg(F.count_if(is_b).alias("n_b"), F.count_if(~is_b).alias("n_t"))
-    found = bt_overlap(epitopes).groupBy("run_id").agg(F.count_distinct("b_id").alias("b_matched"), F.count("*").alias("pairs"))
+    found = bt_overlap(epitopes).groupBy("run_id", "b_peptide").agg(F.first("n_b").alias("n_b"), F.sum("n_t").alias("n_t"))
+    found = found.groupBy("run_id").agg(F.sum("n_b").alias("b_matched"), F.sum(F.col("n_b") * F.col("n_t")).alias("pairs"))
     return counts.join(found, "run_id", "left").fillna(0, ["b_matched", "pairs"])
 
 

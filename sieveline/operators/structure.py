@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.functions import scales as S
+from sieveline.functions.helpers import words_of
 
 from .residues import residues, secondary_states
 
@@ -85,14 +86,41 @@ def disulfide_pairs(proteins: DataFrame, least: int = 10, most: int = 80, top: i
 
 
 def inferred_contacts(proteins: DataFrame) -> DataFrame:
-    """Sequence-only contacts of positions three and four apart."""
+    """Sequence-only contacts: positions three and four apart, and hydrophobic residues more than five apart.
+
+    The latter are as many as the square of the length: for constructs and the like. For whole
+    proteomes ``inferred_contact_counts`` has their number in linear time.
+    """
     key = ["proteome_id", "ord"]
     w = Window.partitionBy(*key).orderBy("pos")
     res = residues(proteins).select(*key, "pos", "aa")
     both = res.withColumns({"a3": F.lead("aa", 3).over(w), "a4": F.lead("aa", 4).over(w)})
     parts = F.array(*[F.struct((F.col("pos") + k).alias("j"), F.col(f"a{k}").alias("aa_j")) for k in (3, 4)])
     out = both.select(*key, F.col("pos").alias("i"), F.col("aa").alias("aa_i"), F.explode(parts).alias("p")).filter("p.aa_j IS NOT NULL")
-    return out.select(*key, "i", F.col("p.j").alias("j"), "aa_i", F.col("p.aa_j").alias("aa_j"))
+    local = out.select(*key, "i", F.col("p.j").alias("j"), "aa_i", F.col("p.aa_j").alias("aa_j"))
+    packed = proteins.select(*key, F.filter(F.transform(F.split("sequence", ""), _hydrophobic_place), lambda p: p.isNotNull()).alias("places"))
+    far = packed.select(*key, "places", F.explode("places").alias("x"))
+    far = far.select(*key, "x", F.explode(F.filter("places", lambda y: y["pos"] > F.col("x.pos") + 5)).alias("y"))
+    return local.union(far.select(*key, F.col("x.pos").alias("i"), F.col("y.pos").alias("j"), F.col("x.aa").alias("aa_i"), F.col("y.aa").alias("aa_j")))
+
+
+CORE = "AILVFMWP"
+
+
+def _hydrophobic_place(aa: Column, i: Column) -> Column:
+    return F.when(aa.isin(*CORE), F.struct((i + 1).alias("pos"), aa.alias("aa")))
+
+
+def inferred_contact_counts(proteins: DataFrame) -> DataFrame:
+    """Local and hydrophobic contacts of each protein, counted without listing them.
+
+    Hydrophobic pairs more than five apart are all such pairs less those one to five apart.
+    """
+    n, core = F.length("sequence"), F.length("sequence") - F.length(F.translate("sequence", CORE, ""))
+    near = sum((F.regexp_count("sequence", F.lit(f"(?=[{CORE}].{{{d - 1}}}[{CORE}])")) for d in range(1, 6)), F.lit(0))
+    core = core.cast("long")
+    local = F.greatest(n - 3, F.lit(0)) + F.greatest(n - 4, F.lit(0))
+    return proteins.select("proteome_id", "ord", local.cast("long").alias("local"), F.floor(core * (core - 1) / 2 - near).cast("long").alias("hydrophobic"))
 
 
 def ramachandran_summary(angles: DataFrame) -> DataFrame:
@@ -126,9 +154,8 @@ def restriction_sites(dna: DataFrame, enzymes: tuple[tuple[str, str], ...] = S.E
     """All overlapping enzyme sites with their 0-based positions."""
     table = F.array(*[F.struct(F.lit(n).alias("enzyme"), F.lit(s).alias("site"), F.lit(i).alias("enzyme_ord")) for i, (n, s) in enumerate(enzymes)])
     each = dna.select("id", "dna", F.explode(table).alias("e")).filter(F.contains("dna", F.col("e.site")))
-    starts = F.sequence(F.lit(0), F.length("dna") - F.length("e.site"))
-    hits = F.filter(starts, lambda i: F.substr(F.col("dna"), i + 1, F.length("e.site")) == F.col("e.site"))
-    return each.select("id", "e.enzyme", "e.enzyme_ord", F.explode(hits).alias("position"))
+    parts = words_of(F.col("dna"), F.length("e.site"))
+    return each.select("id", "e.enzyme", "e.enzyme_ord", "e.site", F.posexplode(parts).alias("position", "part")).filter("part = site").drop("site", "part")
 
 
 def usable_enzymes(vectors: DataFrame, inserts: DataFrame, pairs: DataFrame) -> DataFrame:

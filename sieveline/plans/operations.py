@@ -93,14 +93,26 @@ def j8(spark, sf_dir):
     return structure.disulfide_pairs(_constructs(spark, sf_dir))
 
 
-@query("k6_disulfide_top8", _PAIRS.replace("SELECT proteome_id, ord, rank, i, j, score FROM (", "SELECT proteome_id, max(score) AS best, count(*) AS n FROM (") + " GROUP BY 1")
+@query("k6_disulfide_top8", _PAIRS.replace("SELECT proteome_id, ord, rank, i, j, score FROM (", "SELECT proteome_id, rank, i, j, score FROM ("))
 def k6(spark, sf_dir):
-    return structure.disulfide_pairs(_constructs(spark, sf_dir)).groupBy("proteome_id").agg(F.max("score").alias("best"), F.count("*").alias("n"))
+    return structure.disulfide_pairs(_constructs(spark, sf_dir)).select("proteome_id", "rank", "i", "j", "score")
 
 
-@query("c22_inferred_contacts", f"WITH {V.PROTEINS} SELECT proteome_id, sum(greatest(length(sequence) - 3, 0) + greatest(length(sequence) - 4, 0))::bigint AS n FROM proteins GROUP BY 1")
+_CORE = "aa IN ('A', 'I', 'L', 'V', 'F', 'M', 'W', 'P')"
+_LETTERS = """letters AS (SELECT proteome_id, ord, unnest(range(1, length(sequence) + 1)) AS pos, unnest(string_split(sequence, '')) AS aa FROM {source} WHERE sequence <> '')"""
+
+
+@query("c22_inferred_contacts", f"""WITH {V.PROTEINS}, {_LETTERS.format(source='proteins')}, h AS (SELECT proteome_id, ord, count(*) OVER (PARTITION BY proteome_id, ord ORDER BY pos RANGE BETWEEN UNBOUNDED PRECEDING AND 6 PRECEDING) AS n FROM letters WHERE {_CORE}),
+s AS (SELECT proteome_id, ord, sum(n)::bigint AS hydrophobic FROM h GROUP BY ALL)
+SELECT p.proteome_id, p.ord, (greatest(length(sequence) - 3, 0) + greatest(length(sequence) - 4, 0))::bigint AS local, coalesce(hydrophobic, 0) AS hydrophobic FROM proteins p LEFT JOIN s ON p.proteome_id = s.proteome_id AND p.ord = s.ord""")
 def c22(spark, sf_dir):
-    return structure.inferred_contacts(V.proteins(spark, sf_dir)).groupBy("proteome_id").agg(F.count("*").alias("n"))
+    return structure.inferred_contact_counts(V.proteins(spark, sf_dir))
+
+
+@query("c22_construct_contacts", f"""WITH {_PROFILE}, {_LETTERS.format(source='proteins2')}
+SELECT x.proteome_id, x.ord, x.pos AS i, y.pos AS j, x.aa AS aa_i, y.aa AS aa_j FROM letters x JOIN letters y ON x.proteome_id = y.proteome_id AND (y.pos IN (x.pos + 3, x.pos + 4) OR (y.pos > x.pos + 5 AND {_CORE.replace('aa', 'x.aa')} AND {_CORE.replace('aa', 'y.aa')}))""")
+def c22_construct(spark, sf_dir):
+    return structure.inferred_contacts(_constructs(spark, sf_dir))
 
 
 _DNA = "dna AS (SELECT doc_id AS id, regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^ACGT]', '', 'g') AS dna FROM documents)"

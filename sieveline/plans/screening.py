@@ -411,6 +411,30 @@ def c17(spark, sf_dir):
     return joined.select("proteome_id", "ord", r6(scoring.solubility(F.col("sequence"), F.col("aggregation"))).alias("solubility"))
 
 
+_ENERGY = f"({_sum(S.HYDROPATHY)} / nullif(length(sequence), 0) * 0.5 * sqrt(length(sequence)) - 0.05 * {_n('DEHCYKR')} - 0.004 * length(sequence))"
+_STRAND = f"least(greatest(coalesce({_sum(S.HYDROPATHY)} / nullif(length(sequence), 0), 0) * 0.4 + coalesce(({_sum(S.STRAND_PROPENSITY)} + length(translate(sequence, 'VIYFATSEMK', ''))) / nullif(length(sequence), 0), 0) * 0.3 - coalesce({_share('KRDE')}, 0) * 0.3, 0), 1)"
+_HELIX = f"(({_sum(S.HELIX_PROPENSITY)} + length(translate(sequence, 'EALMKQRSP', ''))) / nullif(length(sequence), 0))"
+
+
+@query("c18_stability", f"""WITH {V.PROTEINS}, e AS (SELECT proteome_id, ord, {_ENERGY} AS energy, {_HELIX} AS helix FROM proteins)
+SELECT proteome_id, ord, round(energy, 4) AS energy, round(helix, 6) AS helix, CASE WHEN energy > 0 THEN 'very_stable' WHEN energy > -5 THEN 'stable' WHEN energy > -10 THEN 'unstable' WHEN energy IS NULL THEN 'unknown' ELSE 'very_unstable' END AS stability FROM e""")
+def c18(spark, sf_dir):
+    seq = F.col("sequence")
+    energy = scoring.stability(seq)
+    return V.proteins(spark, sf_dir).select("proteome_id", "ord", F.round(energy, 4).alias("energy"), r6(scoring.helix_score(seq)).alias("helix"), scoring.stability_class(energy).alias("stability"))
+
+
+@query("c18_expression", f"""WITH {V.PROTEINS}, {{agg}}, e AS (SELECT p.proteome_id, p.ord, {_ENERGY} AS energy, {_STRAND} AS aggregation, least(greatest(0.25 * (1.0 - coalesce(a.aggregation, 0)) + 0.25 * least(greatest(1.0 - greatest({_sum(S.HYDROPATHY)} / nullif(length(sequence), 0), 0) / 5.0, 0), 1)
++ 0.25 * least(abs({_CHARGE})::double / nullif(length(sequence), 0) * 10.0, 1.0) + 0.25 * greatest(1.0 - length(sequence) / 2000.0, 0.3), 0), 1) AS solubility FROM proteins p JOIN agg a ON p.proteome_id = a.proteome_id AND p.ord = a.ord)
+SELECT proteome_id, ord, round(aggregation, 6) AS aggregation, round(least(greatest(solubility * 0.4 + CASE WHEN energy > -5 THEN 0.7 ELSE energy / -10.0 END * 0.3 + (1.0 - aggregation) * 0.3, 0), 1), 6) AS expression FROM e""")
+def c18_expression(spark, sf_dir):
+    p, seq = V.proteins(spark, sf_dir), F.col("sequence")
+    joined = p.join(residues.aggregation_windows(p).withColumnRenamed("aggregation", "windows"), ["proteome_id", "ord"])
+    aggregation = scoring.strand_aggregation(seq)
+    score = scoring.expression(scoring.solubility(seq, F.col("windows")), scoring.stability(seq), aggregation)
+    return joined.select("proteome_id", "ord", r6(aggregation).alias("aggregation"), r6(score).alias("expression"))
+
+
 @query("a12_residue_composition", f"WITH {V.PROTEINS} SELECT proteome_id, {', '.join(f'sum({_n(aa)})::bigint AS {aa.lower()}' for aa in S.RESIDUES)} FROM proteins GROUP BY 1")
 def a12(spark, sf_dir):
     seq = F.col("sequence")
@@ -449,9 +473,9 @@ def w5(spark, sf_dir):
     return residues.runs(scored.filter("smoothed >= 0.6"))
 
 
-@query("c10_bcell_linear", f"WITH {_SMOOTH}, f AS (SELECT * FROM sm WHERE smoothed >= 0.6 - 1e-9) {_RUNS.format(more=', round(avg(smoothed), 6) AS score', source='f')}")
+@query("c10_bcell_linear", f"WITH {_SMOOTH}, f AS (SELECT * FROM sm WHERE smoothed >= 0.5 - 1e-9) {_RUNS.format(more=', round(avg(smoothed), 6) AS score', source='f')}")
 def c10(spark, sf_dir):
-    return residues.linear_fragments(V.proteins(spark, sf_dir), threshold=0.6).withColumn("score", r6("score"))
+    return residues.linear_fragments(V.proteins(spark, sf_dir)).withColumn("score", r6("score"))
 
 
 _TM = f"""{_RES}, m AS (SELECT *, avg(membrane) {_over(0, 18)} AS mean FROM res WHERE n >= 15), f AS (SELECT * FROM m WHERE pos <= n - 18 AND mean >= 1.8 - 1e-9),
@@ -471,7 +495,8 @@ def w7(spark, sf_dir):
     return residues.aggregation_windows(V.proteins(spark, sf_dir)).withColumn("aggregation", r6("aggregation"))
 
 
-ORACLE_SQL["c17_solubility"] = ORACLE_SQL["c17_solubility"].replace(f"{V.PROTEINS}, {{agg}}", _AGG)
+for _name in ("c17_solubility", "c18_expression"):
+    ORACLE_SQL[_name] = ORACLE_SQL[_name].replace(f"{V.PROTEINS}, {{agg}}", _AGG)
 
 
 @query("w8_tile_windows", f"""WITH {_SMOOTH}, f AS (SELECT * FROM sm WHERE smoothed >= 0.6 - 1e-9), g AS ({_RUNS.format(more=', max(n) AS n', source='f')}),
@@ -538,6 +563,12 @@ def w2(spark, sf_dir):
     return epitopes.cap_by_rank(epitopes.strong_binders(V.predictions(spark, sf_dir))).select("proteome_id", "ord", "start", "allele", "rank")
 
 
+@query("w2_cap_by_rank_htl", f"WITH {V.PREDICTIONS}, {_FREQ}, k AS (SELECT p.*, round(percentile - {_BONUS}, 9) AS key FROM predictions p LEFT JOIN freq USING (allele) WHERE percentile <= 2.0) SELECT proteome_id, ord, start, allele, rank FROM (SELECT *, row_number() OVER (PARTITION BY proteome_id ORDER BY key, ord, start, allele) AS rank FROM k) WHERE rank <= 20")
+def w2_htl(spark, sf_dir):
+    best = epitopes.cap_by_rank(epitopes.strong_binders(V.predictions(spark, sf_dir)), cap=20)
+    return best.select("proteome_id", "ord", "start", "allele", "rank").orderBy("proteome_id", "ord", "start", "allele")  # at most 20 rows a proteome
+
+
 @query("j9_allele_frequency_lookup", f"WITH {V.EPITOPES}, {_FREQ} SELECT id, coalesce(frequency, 0) AS frequency, round({_BONUS}, 6) AS bonus FROM epitopes LEFT JOIN freq USING (allele)")
 def j9(spark, sf_dir):
     return epitopes.with_frequency(V.epitopes(spark, sf_dir)).select("id", "frequency", r6(epitopes.frequency_bonus(F.col("frequency"))).alias("bonus"))
@@ -592,10 +623,10 @@ def a8(spark, sf_dir):
     return epitopes.population_coverage(V.epitopes(spark, sf_dir))
 
 
-@query("a9_populations_covered", _COVER + " SELECT count_if(coverage >= 30)::double / greatest(count(*), 1) AS share FROM c")
+@query("a9_populations_covered", _COVER + " SELECT count_if(coverage >= 95)::double / greatest(count(*), 1) AS share FROM c")
 def a9(spark, sf_dir):
     covered = epitopes.population_coverage(V.epitopes(spark, sf_dir))
-    return covered.agg((F.count_if(F.col("coverage") >= 30).cast("double") / F.greatest(F.count("*"), F.lit(1))).alias("share"))
+    return covered.agg((F.count_if(F.col("coverage") >= 95).cast("double") / F.greatest(F.count("*"), F.lit(1))).alias("share"))
 
 
 @query("a10_coverage_by_area", _COVER + " SELECT arg_max(run_id, (run_id = 'src0')::int * 1000 + coverage) AS headline_run, max(coverage) AS best, count(*) AS areas FROM c")
@@ -613,16 +644,17 @@ def s18(spark, sf_dir):
 
 
 _OVERLAP = f"""WITH {V.EPITOPES}, x AS (SELECT * FROM epitopes WHERE {_SELECTED}),
-o AS (SELECT b.run_id, b.id AS b_id, t.id AS t_id, CASE WHEN length(b.sequence) <= length(t.sequence) THEN b.sequence ELSE t.sequence END AS overlap
- FROM (SELECT * FROM x WHERE type = 'BCELL_LINEAR') b JOIN (SELECT * FROM x WHERE type <> 'BCELL_LINEAR') t ON b.run_id = t.run_id AND b.sequence = t.sequence)"""
+b AS (SELECT run_id, sequence, count(*) AS n_b FROM x WHERE type = 'BCELL_LINEAR' GROUP BY ALL),
+t AS (SELECT run_id, sequence, count(*) AS n_t FROM x WHERE type <> 'BCELL_LINEAR' GROUP BY ALL),
+o AS (SELECT b.run_id, b.sequence AS b_peptide, t.sequence AS t_peptide, b.sequence AS overlap, n_b, n_t FROM b JOIN t ON b.run_id = t.run_id AND b.sequence = t.sequence)"""
 
 
-@query("j5_bt_overlap", _OVERLAP + " SELECT run_id, b_id, t_id, overlap FROM o")
+@query("j5_bt_overlap", _OVERLAP + " SELECT run_id, b_peptide, t_peptide, overlap, n_b, n_t FROM o")
 def j5(spark, sf_dir):
     return epitopes.bt_overlap(V.epitopes(spark, sf_dir))
 
 
-@query("a15_overlap_summary", _OVERLAP + ", c AS (SELECT run_id, count_if(type = 'BCELL_LINEAR') AS n_b, count_if(type <> 'BCELL_LINEAR') AS n_t FROM x GROUP BY 1), f AS (SELECT run_id, count(DISTINCT b_id) AS b_matched, count(*) AS pairs FROM o GROUP BY 1) SELECT run_id, n_b, n_t, coalesce(b_matched, 0) AS b_matched, coalesce(pairs, 0) AS pairs FROM c LEFT JOIN f USING (run_id)")
+@query("a15_overlap_summary", _OVERLAP + ", c AS (SELECT run_id, count_if(type = 'BCELL_LINEAR') AS n_b, count_if(type <> 'BCELL_LINEAR') AS n_t FROM x GROUP BY 1), f AS (SELECT run_id, sum(n_b)::bigint AS b_matched, sum(n_b * n_t)::bigint AS pairs FROM o GROUP BY 1) SELECT run_id, n_b, n_t, coalesce(b_matched, 0) AS b_matched, coalesce(pairs, 0) AS pairs FROM c LEFT JOIN f USING (run_id)")
 def a15(spark, sf_dir):
     return epitopes.overlap_summary(V.epitopes(spark, sf_dir))
 

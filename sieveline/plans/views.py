@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sieveline.functions.helpers import words_of
+
 ALLELES = ("HLA-A*02:01", "HLA-B*07:02")
 WORD = 9
 
@@ -72,11 +74,8 @@ CANDIDATES = "candidates AS (SELECT o_orderkey AS query_id, o_orderpriority AS p
 
 def words(spark: SparkSession, sf_dir: str, size: int = WORD) -> DataFrame:
     """Every ``size``-residue word of every protein with its 1-based start."""
-    p = proteins(spark, sf_dir).filter(F.length("sequence") >= size)
-    starts = F.sequence(F.lit(1), F.length("sequence") - size + 1)
-    return p.select("proteome_id", "ord", "accession", "sequence", F.explode(starts).alias("start")).select(
-        "proteome_id", "ord", "accession", "start", F.substr("sequence", "start", F.lit(size)).alias("peptide")
-    )
+    p = proteins(spark, sf_dir).select("proteome_id", "ord", "accession", F.posexplode(words_of(F.col("sequence"), size)).alias("start", "peptide"))
+    return p.withColumn("start", F.col("start") + 1)
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,8 +85,11 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumn("percentile", F.conv(F.substring(digest, 1, 4), 16, 10).cast("double") / 65535.0 * 100.0)
 
 
-WORDS = f"""words AS (SELECT proteome_id, ord, accession, start::int AS start, substr(sequence, start, {WORD}) AS peptide FROM
-  (SELECT *, unnest(range(1, length(sequence) - {WORD - 2})) AS start FROM proteins WHERE length(sequence) >= {WORD}))"""
+# pieces of 512 starts first: substr counts from the beginning of the string
+WORDS = f"""pieces AS (SELECT proteome_id, ord, accession, c, substr(sequence, c * 512 + 1, {512 + WORD - 1}) AS piece FROM
+  (SELECT *, unnest(range(0, (length(sequence) + 511) // 512)) AS c FROM proteins)),
+words AS (SELECT proteome_id, ord, accession, (c * 512 + i)::int AS start, substr(piece, i, {WORD}) AS peptide FROM
+  (SELECT *, unnest(range(1, length(piece) - {WORD - 2})) AS i FROM pieces WHERE length(piece) >= {WORD}))"""
 PREDICTIONS = f"""{PROTEINS}, {WORDS},
 predictions AS (SELECT w.*, allele, ('0x' || substr(md5(peptide || allele), 1, 4))::int::double / 65535.0 * 100.0 AS percentile
   FROM words w, (VALUES {", ".join(f"('{a}')" for a in ALLELES)}) alleles(allele))"""

@@ -167,7 +167,7 @@ def test_clusters_of_the_queries_take_whole_sequences(spark, data):
 def test_overlap_ignores_unselected_rows(spark):
     rows = [("r", "b1", "BCELL_LINEAR", "DEFG", True), ("r", "t1", "CTL", "ACDEFGHIK", None), ("r", "b2", "BCELL_LINEAR", "CDEF", False), ("r", "b3", "BCELL_LINEAR", "ZZZZ", True)]
     found = epitopes.bt_overlap(spark.createDataFrame(rows, "run_id string, id string, type string, sequence string, selected boolean"))
-    assert [tuple(r) for r in found.collect()] == [("r", "b1", "t1", "DEFG")]
+    assert [tuple(r) for r in found.collect()] == [("r", "DEFG", "ACDEFGHIK", "DEFG", 1, 1)]
 
 
 def test_construct_is_the_same_for_any_order_and_partitioning(spark):
