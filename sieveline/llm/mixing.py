@@ -30,6 +30,7 @@ TEMPERATURE = 0.7
 MAX_MEAN = 16.0
 TABLE_LENGTH = 96  # beyond it the tail of Poisson(16) is below 1e-40
 HASH_BITS = 48
+BROADCAST_SOURCES = 10_000
 
 
 def uniform(*parts: Column) -> Column:
@@ -70,19 +71,19 @@ def _cumulative(mean: Column) -> Column:
 
 def replicate(docs: DataFrame, weights: dict[str, float] | None = None, out_ratio: float = 1.0, seed: int = SEED) -> DataFrame:
     """``docs`` with each row repeated by its Poisson draw, in global random order."""
-    rates = source_rates(docs, weights, out_ratio).select(
-        F.col("source").alias("__source"), "parts", _cumulative(F.col("rate") / F.col("parts")).alias("__table")
-    )
-    draws = F.transform(
-        F.sequence(F.lit(1), F.col("parts")),
-        lambda part: F.size(F.filter(F.col("__table"), lambda c: c < uniform(F.lit(seed), part, F.col("doc_id")))),
-    )
-    # one row per source: Spark broadcasts it below its size threshold and splits hot sources above it
-    drawn = docs.drop("n_copies", "copy", "shuffle_key").join(rates, docs["source"].eqNullSafe(rates["__source"]))
-    drawn = drawn.withColumn("n_copies", F.aggregate(draws, F.lit(0), lambda a, x: a + x)).filter("n_copies > 0")
-    copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies")))).drop("__source", "__table", "parts")
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("order"), F.col("doc_id").cast("string"), F.col("copy").cast("string")).cast("binary"))
-    return copies.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    rates = source_rates(docs, weights, out_ratio).select("source", "parts", _cumulative(F.col("rate") / F.col("parts")).alias("table"))
+    # one row per source: broadcast where their number is checked, else Spark shuffles and splits hot sources
+    rates = F.broadcast(rates) if rates.count() <= BROADCAST_SOURCES else rates
+    docs = docs.drop("n_copies", "copy", "shuffle_key")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # whatever its columns are called
+    drawn = rows.join(rates, F.col("row.source").eqNullSafe(F.col("source")))
+    uniforms = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda part: uniform(F.lit(seed), part, F.col("row.doc_id")))
+    draws = F.transform(uniforms, lambda u: F.size(F.filter("table", lambda c: c < u)))
+    drawn = drawn.select("row", F.aggregate(draws, F.lit(0), lambda a, x: a + x).alias("n_copies")).filter("n_copies > 0")
+    copies = drawn.select("row", "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy"))
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("order"), F.col("row.doc_id").cast("string"), F.col("copy").cast("string")).cast("binary"))
+    dealt = copies.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    return dealt.select("row.*", "n_copies", "copy", "shuffle_key")
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
