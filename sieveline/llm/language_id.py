@@ -35,7 +35,10 @@ BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 SWITCH_PENALTY = 12.0
 SCRIPT_SHARE = 0.001
-WORD = re.compile(r"[^\W\d_]+")
+MOST_LANGS = 512
+#: \w has these too, but they are no letters: superscripts, fractions, Roman and circled numbers
+NUMERALS = "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+WORD = re.compile(rf"[^\W\d_{NUMERALS}]+")
 #: first code point of each script block, fixed values; what lies between named blocks is "other"
 SCRIPTS = (
     (0x0000, "latin"), (0x0250, "other"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"),
@@ -120,8 +123,10 @@ class Model:
 
 
 def train(docs: DataFrame) -> Model:
-    """A model from rows with text and lang; sums of fixed size reach the driver, never rows."""
+    """A model from rows with text and lang; sums of fixed size reach the driver for each of at most ``MOST_LANGS`` languages, never rows."""
     rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang")
+    if rows.select("lang").distinct().limit(MOST_LANGS + 1).count() > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
     counted = rows.mapInArrow(_count_batches, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counted["lang"].unique())
     table = np.zeros((BUCKETS + len(SCRIPT_NAMES), len(langs)))

@@ -95,6 +95,12 @@ def test_language_of_held_out_documents_and_mixed_text(spark, data):
     assert language_id.document_language([]) == ("und", 0.0)
 
 
+def test_texts_without_letters_have_no_language(spark, data):
+    model = language_id.train(read_table(spark, data, "documents"))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(frame(spark, ["²", "½ 12 Ⅷ", "...", None, "the ² houses"]), model).collect()}
+    assert {d for d, (lang, _) in got.items() if lang == "und"} == {0, 1, 2, 3}
+
+
 # --- 2 ----------------------------------------------------------------------------------------------
 
 
@@ -374,6 +380,15 @@ def test_mixing_reaches_its_rates_and_repeats_itself(spark):
     assert pick(mixed) == pick(again)
 
 
+def test_mixing_keeps_columns_of_any_name(spark):
+    names = "doc_id long, text string, source string, parts int, row int, `table` int, rate int, size int, copy int"
+    docs = spark.createDataFrame([(1, "a", "x", 1, 2, 3, 4, 5, 6), (1, "b", None, 1, 2, 3, 4, 5, 6), (None, None, None, 1, 2, 3, 4, 5, 6)], names)
+    mixed = mixing.replicate(docs, out_ratio=20.0)
+    assert mixed.columns == ["doc_id", "text", "source", "parts", "row", "table", "rate", "size", "n_copies", "copy", "shuffle_key"]
+    got = {(r.doc_id, r.text, r.parts, r["table"], r.n_copies) for r in mixed.collect()}
+    assert len(got) == 3 and all(g[2:4] == (1, 3) for g in got)
+
+
 # --- 9 ----------------------------------------------------------------------------------------------
 
 
