@@ -1,13 +1,14 @@
 """License scans with ordered signature rules (operator 3), DataFrame functions only.
 
 A text is scanned in two steps. A cheap gate looks for any keyword; only texts that pass are turned
-into a line of lower-case words. On it every rule whose own keyword occurs is matched. Detections
-that lie inside another one are suppressed, the better priority wins among equal intervals, and a
-detection that overlaps a better one in part gives way to it. Everything happens inside the row:
-nothing is shuffled.
+into a line of lower-case words. On it every rule whose own keyword occurs is matched. Detections are
+then taken in the order of their priority, the longer and the earlier first: one that lies inside a
+detection that was kept, or overlaps one in part, is suppressed, and nothing else is. Everything happens inside
+the row: nothing is shuffled.
 
-The rules are built from ``FAMILIES`` (a name as it is written, a label, a keyword) and ``FORMS``
-(the phrases around the name), ordered by priority: explicit identifiers first, bare names last.
+The rules are ``TEXTS``, sentences of the licences themselves and of their notices, and before all others
+in priority; then ``FAMILIES`` (a name as it is written, a label, a keyword) in each of ``FORMS`` (the
+phrases around the name): explicit identifiers first, bare names last.
 
 Edge cases: a null text is empty; an empty or license-free text gives no detection, null positions,
 empty label strings and score 0; texts of any length are scanned whole; repeated rows are scanned
@@ -16,6 +17,9 @@ one by one; an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,15 +103,71 @@ FORMS = (
     (r"licen[cs]e ", "", 0.8),
     (r"", "", 0.6),
 )
+ANY = r"(?: [^ ]+){0,12}?"  # a few words: names of holders and products
+#: label, keyword that must occur, sentence as words: fixed values
+TEXTS = (
+    ("mit", "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "substantial portions", r"the above copyright notice and this permission notice(?: including the next paragraph)? shall be included in all copies or substantial portions of the software"),
+    ("bsl-1.0", "permission is hereby granted", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("isc", "permission to use copy", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice"),
+    ("0bsd", "permission to use copy", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted(?! provided)"),
+    ("hpnd", "permission to use copy", r"permission to use copy modify and distribute this software and its documentation for any purpose(?: and without fee| without fee)? is hereby granted"),
+    ("bsd-3-clause", "redistribution and use", r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met(?: [^ ]+){0,110}? neither the name of"),
+    ("bsd-4-clause", "redistribution and use", r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met(?: [^ ]+){0,110}? all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("bsd-2-clause", "redistribution and use", r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd-3-clause", "neither the name", rf"neither the names? of{ANY} nor the names of (?:its|their|the) contributors may be used to endorse or promote products derived from this software"),
+    ("bsd-4-clause", "advertising materials", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("apache-2.0", "apache license", r"licensed under the apache license version 2 0 the license you may not use (?:this file|these files) except in compliance with the license"),
+    ("apache-2.0", "apache license", r"apache license version 2 0 january 2004"),
+    ("apache-2.0", "software foundation", r"licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("apache-2.0", "compliance with the license", r"you may not use (?:this file|these files) except in compliance with the license you may obtain a copy of the license at"),
+    ("apache-1.1", "apache software foundation", r"this product includes software developed by the apache software foundation"),
+    ("gpl-3.0", "free software", r"(?:this program|this file|this|it) is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation(?: either)? version 3"),
+    ("gpl-2.0", "free software", r"(?:this program|this file|this|it) is free software you can redistribute it and or modify it under the terms of the gnu general public license(?: version 2)? as published by the free software foundation(?: either)? version 2"),
+    ("lgpl-3.0", "free software", rf"free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by{ANY} version 3"),
+    ("lgpl-2.1", "free software", rf"free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by{ANY} version 2 1"),
+    ("lgpl-2.0", "free software", rf"free software you can redistribute it and or modify it under the terms of the gnu library general public license as published by{ANY} version 2"),
+    ("agpl-3.0", "free software", rf"free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by{ANY} version 3"),
+    ("gpl-3.0", "general public license", r"gnu general public license version 3 29 june 2007"),
+    ("gpl-2.0", "general public license", r"gnu general public license version 2 june 1991"),
+    ("lgpl-3.0", "lesser", r"gnu lesser general public license version 3 29 june 2007"),
+    ("lgpl-2.1", "lesser", r"gnu lesser general public license version 2 1 february 1999"),
+    ("agpl-3.0", "affero", r"gnu affero general public license version 3 19 november 2007"),
+    ("gfdl", "free documentation license", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("mpl-2.0", "mozilla public", r"this source code form is subject to the terms of the mozilla public license v(?:ersion)? 2 0"),
+    ("mpl-1.1", "mozilla public", r"the contents of this file are subject to the mozilla public license version 1 1"),
+    ("epl-2.0", "eclipse public", r"this program and the accompanying materials are made available under the terms of the eclipse public license(?: v(?:ersion)?)? 2 0"),
+    ("epl-1.0", "eclipse public", r"this program and the accompanying materials are made available under the terms of the eclipse public license v(?:ersion)? 1 0"),
+    ("cddl-1.0", "common development", r"the contents of this file are subject to the terms of the common development and distribution license"),
+    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
+    ("wtfpl", "what the", r"do what the f[^ ]{3} you want to public license"),
+    ("zlib", "warranty in no event", r"this software is provided as is without any express or implied warranty in no event will the authors? be held liable for any damages arising from the use of this software"),
+    ("ofl-1.1", "font software", r"this font software is licensed under the sil open font license version 1 1"),
+    ("cc0-1.0", "cc0", r"to the extent possible under law{0} has waived all copyright and related or neighboring rights".replace("{0}", ANY)),
+    ("json", "good not evil", r"the software shall be used for good not evil"),
+    ("beerware", "retain this notice", r"as long as you retain this notice you can do whatever you want with this stuff"),
+    ("openssl", "openssl", r"this product includes software developed by the openssl project"),
+    ("artistic-2.0", "artistic", r"this is free software licensed under the artistic license 2 0"),
+    ("ms-pl", "microsoft public", r"microsoft public license(?: ms pl)?"),
+    ("ms-rl", "microsoft reciprocal", r"microsoft reciprocal license(?: ms rl)?"),
+    ("elastic-2.0", "elastic license", r"elastic license(?: version)? 2 0"),
+    ("sspl-1.0", "server side public", r"server side public license(?: version 1)?"),
+    ("python-2.0", "python software", r"psf is making python available to licensee on an as is basis"),
+    ("curl", "derived", r"except as contained in this notice the name of a copyright holder shall not be used in advertising or otherwise to promote the sale"),
+    ("ncsa", "ncsa", r"university of illinois ncsa open source license"),
+    ("proprietary", "confidential", r"this (?:file|source code|software) (?:contains|is) (?:the )?(?:proprietary and )?confidential(?: and proprietary)?(?: information)? of"),
+)
+#: what a text must contain to be scanned at all, in lower case; each rule needs one of these
 GATE = (
-    r"(?i)licen[cs]e|licensed|copyright|spdx|gpl|unlicense|wtfpl|0bsd|cc0|bsd|mpl|apache|rights reserved"
-    rf"|public{GAP}domain|creative{GAP}commons|cc{GAP}by"
+    "license", "licence", "copyright", "spdx", "gpl", "wtfpl", "0bsd", "cc0", "bsd", "mpl", "apache", "reserved", "domain", "creative", "permission", "redistribution",
+    "neither the", "free software", "warranty", "advertising", "evil", "retain this", "openssl", "confidential", "waived", "public",
 )
+CC_BY = rf"(?i)cc{GAP}by"
 
 
 def rules() -> list[tuple[int, str, str, str, float]]:
     """(priority, label, keyword, pattern over a line of words, confidence); a lower priority is better."""
-    made = []
+    made = [(i, label, keyword, f" {sentence}(?= |$)", 1.0) for i, (label, keyword, sentence) in enumerate(TEXTS)]
     for before, behind, confidence in FORMS:
         for label, keyword, name in FAMILIES:
             made.append((len(made), label, keyword, f" {before}{name}{behind}(?= |$)", confidence))
@@ -170,22 +230,22 @@ def detections(line: Column) -> Column:
 
 
 def suppress(found: Column) -> Column:
-    """Drops detections inside an earlier-starting or longer one, and of two that overlap the worse one.
+    """Detections in the order of priority, then length, then place: each is kept unless it meets one that was kept.
 
-    Sorted by start, then longest first, then priority, a detection is contained exactly when it ends
-    no later than one kept before it; so one pass with the last kept one is enough.
+    Only survivors suppress: what a suppressed detection contained or overlapped stays.
     """
-    empty = F.slice(found, 1, 0)
-    last = lambda kept: F.element_at(kept, -1)
-
-    def step(kept: Column, d: Column) -> Column:
-        apart = (F.size(kept) == 0) | (d["first"] > -F.get(kept, F.size(kept) - 1)["neg_last"])
-        inside = d["neg_last"] >= F.get(kept, F.size(kept) - 1)["neg_last"]
-        better = d["priority"] < F.get(kept, F.size(kept) - 1)["priority"]
-        replaced = F.array_append(F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))), d)
-        return F.when(apart, F.array_append(kept, d)).when(inside | ~better, kept).otherwise(replaced)
-
-    return F.aggregate(F.sort_array(found), empty, step)
+    ranked = F.sort_array(
+        F.transform(
+            found,
+            lambda d: F.struct(
+                d["priority"].alias("priority"), (d["first"] + d["neg_last"]).alias("neg_size"), d["first"].alias("first"),
+                d["neg_last"].alias("neg_last"), d["label"].alias("label"), d["confidence"].alias("confidence"),
+            ),
+        )
+    )
+    meets = lambda kept, d: F.exists(kept, lambda k: (k["first"] <= -d["neg_last"]) & (d["first"] <= -k["neg_last"]))
+    kept = F.aggregate(ranked, F.slice(ranked, 1, 0), lambda kept, d: F.when(meets(kept, d), kept).otherwise(F.array_append(kept, d)))
+    return F.transform(kept, lambda d: F.struct(*[d[c].alias(c) for c in ("first", "neg_last", "priority", "label", "confidence")]))
 
 
 def _base(line: Column) -> Column:
@@ -204,7 +264,9 @@ def _base(line: Column) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, ``base`` (phrase structs) and ``found`` (surviving detections), one row per document."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    gated = F.when(text.rlike(GATE), F.array(text)).otherwise(F.array().cast("array<string>"))
+    low = F.lower(text)
+    gate = reduce(or_, [F.contains(low, F.lit(k)) for k in GATE]) | (F.contains(low, F.lit("cc")) & text.rlike(CC_BY))
+    gated = F.when(gate, F.array(text)).otherwise(F.array().cast("array<string>"))
     scanned = F.transform(
         F.transform(gated, word_line),
         lambda line: F.struct(_base(line).alias("base"), suppress(detections(line)).alias("found")),

@@ -147,6 +147,32 @@ def test_license_suppression(spark):
     assert got == {0: ["apache-2.0"], 1: ["gpl-3.0"], 2: [], 3: ["cc-by-nc-sa-4.0"]}
 
 
+def test_license_texts_are_signatures(spark):
+    texts = {
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\")",
+        "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following\nconditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice. Neither the name of the X nor the names of its contributors may be used",
+        "bsd-2-clause": "Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are met:",
+        "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and",
+        "0bsd": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE",
+        "apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
+        "gpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "unlicense": "This is free and unencumbered software released into the public domain.",
+        "json": "The Software shall be used for Good, not Evil.",
+    }
+    got = {r.doc_id: {d.label for d in r.found or []} for r in license_scan.scan(frame(spark, list(texts.values()))).collect()}
+    assert got == {i: {label} for i, label in enumerate(texts)}
+
+
+def test_only_survivors_suppress(spark):
+    entry = lambda first, last, priority, label: (first, -last, priority, label, 1.0)
+    made = [[entry(0, 10, 5, "a"), entry(1, 2, 7, "c"), entry(8, 15, 1, "b")], [entry(0, 10, 1, "a"), entry(1, 2, 7, "c"), entry(8, 15, 5, "b"), entry(15, 20, 6, "d")], []]
+    rows = spark.createDataFrame([(m,) for m in made], "found array<struct<first:int,neg_last:int,priority:int,label:string,confidence:double>>")
+    got = [sorted(d.label for d in r.kept) for r in rows.coalesce(1).select(license_scan.suppress(F.col("found")).alias("kept")).collect()]
+    assert got == [["b", "c"], ["a", "d"], []]
+
+
 # --- 4 ----------------------------------------------------------------------------------------------
 
 
