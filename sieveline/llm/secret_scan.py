@@ -1,13 +1,14 @@
 """Secret scans with a random forest that removes false positives (operator 10).
 
-Candidates are cut from whole texts generously: long tokens with a digit, known key shapes, and
-values that are assigned with ``=`` or ``:``. Each is described by its length, its character transitions, how much
+Candidates are cut from whole texts generously: private key blocks, known key shapes, values that are
+assigned with ``=`` or ``:``, tokens of ``LEAST_LENGTH`` characters with a digit and of ``LONG_LENGTH`` without one. Each is described by its length, its character transitions, how much
 of it dictionary words cover, the path (here: source) it was found under and its neighbouring words.
 A random forest trained on labelled findings scores every candidate.
 
 Labelled findings are a table of the caller's, or by default the candidates that one of the label
-rules is sure about (known key shapes and assigned random values against numbers, addresses,
-placeholders and plain words). The forest is fitted on at most ``LABELLED_ROWS`` of each label, chosen
+rules is sure about (known key shapes, key blocks and random values under a secret name, against
+numbers, addresses and placeholders). What these rules look at (shape, name, placeholder, entropy) is no
+feature, so the forest learns from the rest of a candidate and its surroundings. The forest is fitted on at most ``LABELLED_ROWS`` of each label, chosen
 by a hash of the finding's digest and place, so that equal findings can't crowd the others out; a
 labelled table without these columns is chosen by a hash of its features. Every candidate of every
 document is scored. The dictionary is the vocabulary of a public
@@ -25,6 +26,7 @@ import hashlib
 import json
 import math
 import re
+from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -42,14 +44,18 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 LABELLED_ROWS = 20_000
 TREES, DEPTH, SEED = 30, 6, 10
 LEAST_LENGTH = 12
+LONG_LENGTH = 24
 KEEP_AT = 0.5
 
 TOKEN = re.compile(r"[A-Za-z0-9+/_\-]+={0,2}")
+LONG_TOKEN = re.compile(rf"[A-Za-z0-9+/_\-]{{{LONG_LENGTH},}}={{0,2}}")
 DIGIT = re.compile(r"[0-9]")
 ASSIGNED = re.compile(r"""([A-Za-z_][A-Za-z0-9_\-]{1,40})["']?[ \t]{0,4}[=:]{1,2}[ \t]{0,4}["']?([^\s"'=:,;]{8,})""")
 SECRET_WORD = re.compile(r"(?i)pass(?:word|wd)?|pwd|secret|token|api[_-]?key|auth|credential|private|bearer|access")
 PLACEHOLDER = re.compile(r"(?i)example|sample|dummy|changeme|placeholder|your[_-]|xxxx|\*\*\*|test[_-]?(?:key|token)|0000000|1234567|abcdef|<|\$\{")
+KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,4}PRIVATE KEY(?: BLOCK)?-----(?:(?!-----BEGIN )[\s\S])*?-----END (?:[A-Z0-9]+ ){0,4}PRIVATE KEY(?: BLOCK)?-----")
 KNOWN_SHAPES = (
+    ("private_key", KEY_BLOCK),
     ("aws_access_key", re.compile(r"AKIA[0-9A-Z]{16}")),
     ("github_token", re.compile(r"gh[pousr]_[A-Za-z0-9]{36}")),
     ("slack_token", re.compile(r"xox[baprs]-[A-Za-z0-9-]{10,}")),
@@ -58,8 +64,8 @@ KNOWN_SHAPES = (
 )
 NUMBER = re.compile(r"[0-9][0-9+/_\-]*")
 FEATURES = (
-    "length digits uppers lowers others transitions case_flips hex entropy longest_run vowels coverage longest_word assigned "
-    "secret_key known_shape placeholder path_test path_code path_depth left_secret right_secret left_digit neighbours_words"
+    "length digits uppers lowers others transitions case_flips hex longest_run vowels coverage longest_word assigned "
+    "path_test path_code path_depth left_secret right_secret left_digit neighbours_words"
 ).split()
 PATH_TEST = re.compile(r"(?i)test|spec|mock|fixture|example|sample|doc")
 PATH_CODE = re.compile(r"(?i)\.(?:env|ya?ml|json|ini|cfg|conf|pem|py|js|ts|java|go|rb|sh)$|config|secret")
@@ -90,28 +96,47 @@ def kind_of(c: str) -> int:
     return 0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3
 
 
+class Places:
+    """Intervals that don't overlap, in order."""
+
+    def __init__(self):
+        self.begins: list[int] = []
+        self.rows: list[tuple[int, int, str]] = []
+
+    def add(self, begin: int, end: int, key: str) -> None:
+        """Adds an interval unless it overlaps one that is there."""
+        i = bisect(self.begins, begin)
+        if (i and self.rows[i - 1][1] > begin) or (i < len(self.rows) and self.begins[i] < end):
+            return
+        self.begins.insert(i, begin)
+        self.rows.insert(i, (begin, end, key))
+
+
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, end, key) of each candidate; key is the name that it is assigned to, or empty."""
-    found: dict[tuple[int, int], str] = {}
+    found = Places()
+    if "-----BEGIN " in text:
+        for m in KEY_BLOCK.finditer(text):
+            found.add(*m.span(), "")
     if "=" in text or ":" in text:
         for m in ASSIGNED.finditer(text):
             if SECRET_WORD.search(m[1]) or DIGIT.search(m[2]):
-                found[m.span(2)] = m[1]
-    for _, rx in KNOWN_SHAPES:
+                found.add(*m.span(2), m[1])
+    for _, rx in KNOWN_SHAPES[1:]:
         for m in rx.finditer(text):
-            if not any(b < m.end() and m.start() < e for b, e in found):
-                found[m.span()] = ""
-    inside = list(found)
+            found.add(*m.span(), "")
     at = 0
     while m := DIGIT.search(text, at):
         begin = m.start()
-        while begin > 0 and TOKEN.match(text[begin - 1]):
+        while begin > at and TOKEN.match(text[begin - 1]):
             begin -= 1
         end = TOKEN.match(text, begin).end()
-        if end - begin >= LEAST_LENGTH and not any(b < end and begin < e for b, e in inside):
-            found[(begin, end)] = ""
+        if end - begin >= LEAST_LENGTH:
+            found.add(begin, end, "")
         at = max(end, m.end())
-    return sorted((b, e, key) for (b, e), key in found.items())
+    for m in LONG_TOKEN.finditer(text):
+        found.add(*m.span(), "")
+    return found.rows
 
 
 def describe(text: str, begin: int, end: int, key: str, path: str, words: frozenset[str]) -> tuple[list[float], str, int | None]:
@@ -133,12 +158,12 @@ def describe(text: str, begin: int, end: int, key: str, path: str, words: frozen
     features = [
         n, kinds.count(0) / n, kinds.count(1) / n, kinds.count(2) / n, kinds.count(3) / n, steps / n,
         sum({a, b} == {1, 2} for a, b in zip(kinds, kinds[1:], strict=False)) / n, sum(c in "0123456789abcdefABCDEF" for c in s) / n,
-        entropy, best, sum(c in "aeiouAEIOU" for c in s) / n, share, longest, bool(key), secret_key, bool(shape), placeholder,
+        best, sum(c in "aeiouAEIOU" for c in s) / n, share, longest, bool(key),
         bool(PATH_TEST.search(path)), bool(PATH_CODE.search(path)), path.count("/"), bool(SECRET_WORD.search(left)),
         bool(SECRET_WORD.search(right)), bool(DIGIT.search(left[-20:])), len(left.split()) + len(right.split()),
     ]
     label = None
-    if placeholder or NUMBER.fullmatch(s) or "@" in s or "://" in s or share > 0.8 or entropy < 2.5:
+    if placeholder or NUMBER.fullmatch(s) or "@" in s or "://" in s or entropy < 2.5:
         label = 0
     elif shape or (secret_key and kinds.count(0) and entropy >= 3):
         label = 1
@@ -178,7 +203,7 @@ def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, keep_at: fl
     bounded = [known.filter(F.col("label") == label).orderBy("place").limit(LABELLED_ROWS) for label in (0.0, 1.0)]
     sample = written(bounded[0].union(bounded[1]).drop("place"), "secret-labelled")
     if sample.select("label").distinct().count() < 2:
-        return found.withColumn("score", F.coalesce(F.col("label").cast("double"), F.lit(0.5))).withColumn("is_secret", F.col("score") > keep_at).drop("features", "label")
+        return found.withColumn("score", F.coalesce(F.col("label").cast("double"), F.lit(0.5))).withColumn("is_secret", F.col("score") >= keep_at).drop("features", "label")
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featuresCol="vector", labelCol="label")
     model = forest.fit(sample.select(array_to_vector("features").alias("vector"), "label"))
     scored = model.transform(found.withColumn("vector", array_to_vector("features")))
