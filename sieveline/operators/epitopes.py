@@ -10,6 +10,7 @@ from sieveline.functions import scoring
 from sieveline.functions.helpers import words_of
 
 NO_RANK = 999.0
+BROADCAST_ALLELES = 100_000
 
 
 def strong_binders(predictions: DataFrame, cutoff: float = 2.0) -> DataFrame:
@@ -30,8 +31,9 @@ def allele_frequencies(frame: DataFrame) -> DataFrame:
 
 def with_frequency(rows: DataFrame, frequencies: DataFrame | None = None) -> DataFrame:
     """Adds the allele's frequency, 0 where it is unknown."""
+    small = frequencies is None or frequencies.limit(BROADCAST_ALLELES + 1).count() <= BROADCAST_ALLELES
     known = allele_frequencies(rows) if frequencies is None else frequencies
-    return rows.join(F.broadcast(known), "allele", "left").withColumn("frequency", F.coalesce("frequency", F.lit(0.0)))  # a fixed dimension
+    return rows.join(F.broadcast(known) if small else known, "allele", "left").withColumn("frequency", F.coalesce("frequency", F.lit(0.0)))  # a fixed dimension
 
 
 def frequency_bonus(frequency: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SECONDS_PER_STEP = 9
+MOST_STAGES = 10_000
 ACTIVITY = {
     "step_started": "started", "step_progress": "progress", "step_completed": "completed", "step_failed": "failed", "filter_applied": "filtered",
     "job_paused": "paused", "job_resumed": "resumed", "job_completed": "finished",
@@ -57,9 +58,11 @@ def stage_union(funnels: DataFrame) -> DataFrame:
 def compare_runs(funnels: DataFrame, jobs: DataFrame) -> DataFrame:
     """Every stage of the union for every run, with the run's count or null.
 
-    The stages are a short list of names, checked below; the runs are never multiplied with each other.
+    The stages are a short list of at most ``MOST_STAGES`` names; the runs are never multiplied with each other.
     """
     stages = funnels.select("stage").distinct()
+    if stages.limit(MOST_STAGES + 1).count() > MOST_STAGES:
+        raise ValueError(f"more than {MOST_STAGES} stage names")
     names = F.array_sort(F.collect_set("stage"))
     wide = jobs.select("job_id").join(F.broadcast(stages.agg(names.alias("stages"))))  # one row: the stage names
     grid = wide.select("job_id", F.explode("stages").alias("stage"))

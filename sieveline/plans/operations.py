@@ -459,9 +459,7 @@ def s12(spark, sf_dir):
     name = F.element_at(F.create_map(*[F.lit(x) for p in three.items() for x in p]), F.col("aa"))
     line = F.format_string("ATOM  %5d  CA  %3s A%4d    %8.3f%8.3f%8.3f", (F.col("res_idx") % 99999).cast("int"), name, (F.col("res_idx") % 9999).cast("int"), "x", "y", "z")
     V.atoms(spark, sf_dir).select("structure_id", line.alias("value")).repartition("structure_id").write.partitionBy("structure_id").text(path)
-    files = spark.read.option("basePath", path).text(path)
-    cut = lambda at, n: F.trim(F.substring("value", at, n))
-    rows = files.filter(cut(13, 4) == "CA").select(F.col("structure_id").cast("string").alias("structure_id"), cut(31, 8).cast("double").alias("x"))
+    rows = formats.read_ca_atoms(spark, path, "structure_id=([^/]+)/")
     return rows.groupBy("structure_id").agg(F.count("*").alias("residues"), F.round(F.sum("x"), 2).alias("sx"))
 
 

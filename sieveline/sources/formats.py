@@ -124,9 +124,10 @@ def read_topology(spark: SparkSession, path: str) -> DataFrame:
     return grouped.select("protein_id", F.get("signals", F.size("signals") - 1).alias("signal"), "tm", "domains")
 
 
-def read_ca_atoms(spark: SparkSession, path: str) -> DataFrame:
-    """C-alpha atoms of the first model of coordinate files, by fixed columns."""
-    files = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("structure_id"), "value")
+def read_ca_atoms(spark: SparkSession, path: str, id_in_path: str = r"([^/]+)$") -> DataFrame:
+    """C-alpha atoms of the first model of coordinate files, by fixed columns; the id comes from the file's path."""
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    files = files.select(F.regexp_extract(F.input_file_name(), id_in_path, 1).alias("structure_id"), "value")
     first = F.substring_index("value", "\nENDMDL", 1)
     lines = files.select("structure_id", F.posexplode(F.split(first, "\n")).alias("pos", "line"))
     cut = lambda at, n: F.trim(F.substring("line", at, n))

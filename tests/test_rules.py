@@ -206,3 +206,32 @@ def test_scope_aliases(spark):
     genes = spark.createDataFrame([("Bacillus subtilis",), ("Escherichia coli",)], "organism string")
     assert proteome.essential_scope(genes, "All", {"all": None}).count() == 2
     assert proteome.essential_scope(genes, "coli", {"all": None}).count() == 1
+
+
+def test_jobs_from_a_sql_table(spark):
+    from sieveline.sources import formats
+
+    url = "jdbc:derby:memory:jobs;create=true"
+    rows = [('{"id": 1, "name": "a"}',), ('{"id": 2}',), ('{}',)]
+    spark.createDataFrame(rows, "document string").coalesce(1).write.format("jdbc").options(url=url, dbtable="jobs", driver="org.apache.derby.jdbc.EmbeddedDriver", createTableColumnTypes="document VARCHAR(2000)").save()
+    got = formats.read_jobs_jdbc(spark, url, "jobs", "id long, name string", column="document").collect()
+    assert sorted(((r.id or 0), r.name) for r in got if r.id) == [(1, "a"), (2, None)] and len(got) == 3
+
+
+def test_contact_counts_equal_the_pairs(spark):
+    from sieveline.operators import structure
+
+    proteins = spark.createDataFrame([("p", 1, "AILVXFMWPKAAAAAAAA"), ("p", 2, "KKKK"), ("p", 3, ""), ("p", 4, "A")], "proteome_id string, ord long, sequence string")
+    pairs = {(r.ord): r.n for r in structure.inferred_contacts(proteins).groupBy("ord").count().withColumnRenamed("count", "n").collect()}
+    counts = {r.ord: r.local + r.hydrophobic for r in structure.inferred_contact_counts(proteins).collect()}
+    assert {o: n for o, n in counts.items() if n} == pairs and counts[3] == counts[4] == 0
+
+
+def test_instability_takes_its_table_from_the_caller(spark):
+    from pyspark.sql import functions as F
+
+    from sieveline.functions import scoring
+
+    rows = spark.createDataFrame([("AAGA",), ("",), ("KK",)], "s string")
+    got = [r.v for r in rows.select(scoring.instability(F.col("s"), {"AA": 1.0, "AG": -2.0, "GA": 4.0}).alias("v")).collect()]
+    assert got == [7.5, None, 0.0]
