@@ -49,6 +49,8 @@ BATCHES = (0, 2, 12, TABLES)
 PARITIES = 1024
 HOT_COPIES = 1_000
 BROADCAST_IDS = 2_000_000
+BROADCAST_SKETCHES = 200_000
+PAIRS_A_TASK = 256
 
 _RNG = np.random.default_rng(9)
 _FACTOR = (_RNG.integers(1, 1 << 31, VALUES, dtype=np.uint64) * 2 + 1).astype(np.uint32)
@@ -201,9 +203,9 @@ def _words_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 NODE = "struct<doc_id:bigint,th:bigint>"  # a text: its smallest doc_id and the hash of that row's text
 
 
-def few(rows: DataFrame) -> DataFrame:
-    """Narrow rows for a join: broadcast up to a checked count, else shuffled."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+def few(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """Rows for a join: broadcast up to a checked count (``BROADCAST_IDS`` of a few columns), else shuffled."""
+    return F.broadcast(rows) if rows.count() <= (BROADCAST_IDS if most is None else most) else rows
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -248,8 +250,9 @@ def verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
     """Links (ca, cb) between the components of pairs whose whole word sequences are similar by banded alignment."""
     left = words.select(F.col("rep").alias("a"), F.col("words").alias("words_a"))
     right = words.select(F.col("rep").alias("b"), F.col("words").alias("words_b"))
-    both = pairs.join(right, "b").join(left, "a").select("ca", "cb", "words_a", "words_b")
-    return both.mapInArrow(_verify_batches(threshold), f"ca {NODE}, cb {NODE}")
+    both = pairs.join(right, "b").join(left, "a")
+    both = both.repartition(pairs.count() // PAIRS_A_TASK + 1, "a", "b")  # much work for few bytes
+    return both.select("ca", "cb", "words_a", "words_b").mapInArrow(_verify_batches(threshold), f"ca {NODE}, cb {NODE}")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -294,9 +297,9 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     words = written(words, "near-words", compression="none")
     label = written(texts.join(few(members), "rep").select("rep", F.col("rep").alias("component"), "n", *BITS), "near-label")
     for begin, end in zip(BATCHES[:-1], BATCHES[1:], strict=True):
-        placed = buckets.filter(F.col("table").between(begin, end - 1)).join(few(label), "rep")
+        placed = buckets.filter(F.col("table").between(begin, end - 1)).join(few(label, min(BROADCAST_IDS, BROADCAST_SKETCHES)), "rep")
         label = _linked(label, written(leader_pairs(placed, threshold), "near-pairs"), words, threshold)
-    label = _linked(label, written(all_pairs(buckets.join(few(label), "rep"), threshold), "near-pairs"), words, threshold)
+    label = _linked(label, written(all_pairs(buckets.join(few(label, min(BROADCAST_IDS, BROADCAST_SKETCHES)), "rep"), threshold), "near-pairs"), words, threshold)
     classes = texts.select("exact", "copies", "rep").join(few(label.select("rep", "component")), "rep", "left")
     classes = classes.select("exact", "copies", F.col("rep.doc_id").alias("rep"), F.coalesce("component", "rep").getField("doc_id").alias("class_id"))
     return _placed(made.select("doc_id", "th", "exact"), written(classes, "near-classes"))
