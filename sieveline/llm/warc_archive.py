@@ -15,7 +15,7 @@ all pages share is one row for each task then. The joins on the digest are plain
 skewed partitions Spark splits.
 
 Edge cases: a null html is an empty payload, and empty payloads are deduplicated like others; a null
-url is an empty target; a null ``page_id`` is archived as ``-`` and comes back as null; rows that
+url is an empty target; a line break in a url is percent-encoded; a null ``page_id`` is archived as ``-`` and comes back as null; rows that
 repeat a ``page_id`` are archived one by one; an empty table gives an empty archive; further columns
 are ignored.
 """
@@ -30,11 +30,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, scratch_path
+from .common import read_table, scratch_path, written
 
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"  # archives carry no clock: equal input, equal bytes
 FILE_RECORDS_BYTES = 16 << 20
+BROADCAST_DIGESTS = 500_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -54,14 +55,16 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
         page.filter(F.col("n") >= min_bytes).groupBy("key").agg(F.max("page_id").alias("response_id"), F.count("*").alias("pages"))
         .filter("pages > 1").select("key", "response_id")
     )
-    page = page.join(first, "key", "left")
+    # digests only: few enough are broadcast, so that the payloads stay where they are; beyond that Spark shuffles
+    first = written(first, "warc-responses")
+    page = page.join(F.broadcast(first) if first.count() <= BROADCAST_DIGESTS else first, "key", "left")
     revisit = F.coalesce(F.col("response_id") != F.coalesce("page_id", F.col("response_id") - 1), F.lit(False))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("-")), F.lit(">"))
     lines = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
         F.concat(F.lit("WARC-Record-ID: "), name(F.col("page_id"))),
-        F.concat(F.lit("WARC-Target-URI: "), F.translate("url", "\r\n", "")),
+        F.concat(F.lit("WARC-Target-URI: "), F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))),
         F.lit(f"WARC-Date: {DATE}"),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), base32_sha1(F.col("payload"))),
         F.concat(F.lit("X-Payload-SHA256: "), F.col("key")),
@@ -75,10 +78,12 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def write_archive(pages: DataFrame, out: str, min_bytes: int = 0) -> None:
-    """Writes WARC files, gzip-compressed, under ``out``."""
+    """Writes WARC files, gzip-compressed, under ``out``: about ``FILE_RECORDS_BYTES`` of average records each."""
     record = F.concat(F.col("header"), F.lit(CRLF), F.decode("payload", "UTF-8"))
     lines = records(pages, min_bytes).select(record.alias("value"))
-    lines.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(out)
+    n, size = pages.agg(F.count("*"), F.sum(F.octet_length("html"))).first()
+    per_file = max(1, FILE_RECORDS_BYTES * n // max(1, (size or 0) + 512 * n))
+    lines.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(out)
 
 
 def parse(raw: bytes) -> Iterator[tuple[str, bytes]]:
