@@ -1,15 +1,21 @@
-"""Per-residue operators: one explode to positions, then windows within the protein.
+"""Per-residue operators.
 
-The sequence itself isn't carried through the explode, and all scales ride on the same one. A
-protein is one window group; residue tables of whole proteomes have very many of them.
+Sliding sums of one protein need no other row: they are taken from cumulative sums in Arrow batches,
+without any exchange. Where residues are rows of their own (states, pairs), they come from one explode
+and windows within the protein; the sequence isn't carried through it, and all scales ride on the same one.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from sieveline.functions import scales as S
 
@@ -53,16 +59,76 @@ def runs(positions: DataFrame, *more: Column) -> DataFrame:
     return grouped.agg(F.min("pos").alias("start"), F.max("pos").alias("end"), F.count("*").alias("length"), *more).drop("island")
 
 
+def _table(scale: dict[str, float], other: float) -> np.ndarray:
+    """Values by letter code."""
+    out = np.full(256, other)
+    for aa, v in scale.items():
+        out[ord(aa)] = v
+    return out
+
+
+_SMOOTHED = sum(_table({aa: scale[aa] for aa in S.RESIDUES}, 0.5) for scale in (S.FLEXIBILITY, S.HYDROPHILICITY, S.BETA_TURN, S.ACCESSIBILITY)) * 0.25
+_MEMBRANE, _AGGREGATION = _table(S.MEMBRANE_HYDROPATHY, 0.0), _table(S.AGGREGATION_HYDROPATHY, 0.0)
+
+
+def _window_sums(values: np.ndarray, before: int, after: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums and sizes of the windows from ``before`` to ``after`` places around each place, clipped at the ends."""
+    place = np.arange(len(values))
+    low, high = np.maximum(place - before, 0), np.minimum(place + after + 1, len(values))
+    total = np.concatenate([[0.0], np.cumsum(values)])
+    return total[high] - total[low], high - low
+
+
+def _flag_runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last places of the runs of set flags."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]])))
+    return edges[::2], edges[1::2] - 1
+
+
+def by_protein(proteins: DataFrame, of: Callable[[np.ndarray], list[tuple]], columns: str) -> DataFrame:
+    """``of`` gets the letter codes of a protein and gives its rows: inside the batch, nothing is exchanged."""
+    schema = proteins.select(*KEY).schema
+    kinds = [to_arrow_type(f.dataType) for f in schema] + [to_arrow_type(f.dataType) for f in StructType.fromDDL(columns)]
+    names = [*KEY, *StructType.fromDDL(columns).names]
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for proteome, ord_, sequence in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if sequence:
+                    codes = np.frombuffer(sequence.encode("ascii", "replace"), np.uint8)
+                    rows += [(proteome, ord_, *r) for r in of(codes)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
+
+    return proteins.select(*KEY, "sequence").mapInArrow(made, StructType([*schema, *StructType.fromDDL(columns)]))
+
+
+def _smoothed(codes: np.ndarray, window: int) -> np.ndarray:
+    total, size = _window_sums(_SMOOTHED[codes], window // 2, window // 2)
+    return total / size
+
+
 def linear_fragments(proteins: DataFrame, window: int = 7, threshold: float = 0.5) -> DataFrame:
     """Fragments of residues whose smoothed score reaches the threshold, with their mean score."""
-    scored = smooth_scale(residues(proteins), window)
-    return runs(scored.filter(F.col("smoothed") >= threshold - EPS), F.avg("smoothed").alias("score"))
+
+    def of(codes: np.ndarray) -> list[tuple]:
+        scores = _smoothed(codes, window)
+        first, last = _flag_runs(scores >= threshold - EPS)
+        total = np.concatenate([[0.0], np.cumsum(scores)])
+        mean = (total[last + 1] - total[first]) / (last - first + 1)
+        return list(zip((first + 1).tolist(), (last + 1).tolist(), (last - first + 1).tolist(), mean.tolist(), strict=True))
+
+    return by_protein(proteins, of, "start int, end int, length long, score double")
 
 
 def linear_summary(proteins: DataFrame, window: int = 7, threshold: float = 0.5) -> DataFrame:
     """Mean smoothed score and number of flagged positions by protein."""
-    scored = smooth_scale(residues(proteins), window)
-    return scored.groupBy(*KEY).agg(F.avg("smoothed").alias("score"), F.count_if(F.col("smoothed") >= threshold - EPS).alias("flagged"))
+
+    def of(codes: np.ndarray) -> list[tuple]:
+        scores = _smoothed(codes, window)
+        return [(float(scores.mean()), int((scores >= threshold - EPS).sum()))]
+
+    return by_protein(proteins, of, "score double, flagged long")
 
 
 def membrane_segments(proteins: DataFrame, window: int = 19, threshold: float = 1.8) -> DataFrame:
@@ -71,18 +137,27 @@ def membrane_segments(proteins: DataFrame, window: int = 19, threshold: float =
     A run that reaches the last window ends with the sequence; else it ends ``window`` behind the
     first failing start. Sequences below 15 residues have none.
     """
-    mean = F.avg(F.coalesce("membrane", F.lit(0.0))).over(_rows(0, window - 1))
-    scored = residues(proteins).filter(F.col("n") >= 15).withColumn("mean", mean).filter(F.col("pos") <= F.col("n") - window + 1)
-    found = runs(scored.filter(F.col("mean") >= threshold - EPS), F.max("n").alias("n"))
-    end = F.when(F.col("end") == F.col("n") - window + 1, F.col("n")).otherwise(F.col("end") + window)
-    return found.select(*KEY, "start", end.alias("end"), (end - F.col("start") + 1).alias("length")).filter("length >= 15")
+
+    def of(codes: np.ndarray) -> list[tuple]:
+        n = len(codes)
+        if n < max(15, window):
+            return []
+        total, _ = _window_sums(_MEMBRANE[codes], 0, window - 1)
+        first, last = _flag_runs(total[: n - window + 1] / window >= threshold - EPS)
+        end = np.where(last == n - window, n, last + 1 + window)
+        return [(a + 1, e, e - a) for a, e in zip(first.tolist(), end.tolist(), strict=True) if e - a >= 15]
+
+    return by_protein(proteins, of, "start int, end int, length int")
 
 
 def aggregation_windows(proteins: DataFrame) -> DataFrame:
     """Share of five-residue windows whose hydropathies sum to 15 or more; 0 below five residues."""
-    total = F.sum(F.coalesce("aggregation", F.lit(0.0))).over(_rows(0, 4))
-    hit = F.when(F.col("pos") <= F.col("n") - 4, (total >= 15.0 - EPS).cast("int"))
-    return residues(proteins).withColumn("hit", hit).groupBy(*KEY).agg(F.coalesce(F.avg("hit"), F.lit(0.0)).alias("aggregation"))
+
+    def of(codes: np.ndarray) -> list[tuple]:
+        total = _window_sums(_AGGREGATION[codes], 0, 4)[0][: max(0, len(codes) - 4)]
+        return [(float((total >= 15.0 - EPS).mean()) if len(total) else 0.0,)]
+
+    return by_protein(proteins, of, "aggregation double")
 
 
 def tile_windows(fragments: DataFrame, size: int = 16, step: int = 8, least: int = 8) -> DataFrame:
