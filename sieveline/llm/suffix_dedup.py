@@ -58,7 +58,7 @@ BEFORE = PERIOD - 1  # bytes that a string may have before its sampled position
 SHARED = LENGTH - BEFORE  # bytes that it has behind it at least
 HOT_BLOCKS = 64
 HOT_SHIFTS = 3
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 RANGE_BYTES = 6 << 20
 BROADCAST_BYTES = 96 << 20
 
@@ -151,7 +151,7 @@ def _name_batches(bits: int, low: int):
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 block = Block(row["keys"], row["lengths"], row["data"], bits + low)
                 order = np.argsort(block.name, kind="stable")
                 name, doc = block.name[order], block.keys[block.doc[order], 0]
@@ -244,10 +244,12 @@ def _suffix_batches(bits: int, low: int, range_bits: int):
         if not some.any():
             return
         doc, at, least, most = doc[some], at[some], least[some], most[some]
-        after, before = around[at][:, BEFORE:], around[at][:, :BEFORE][:, ::-1]
+        gathered = around[at]
+        after, before = gathered[:, BEFORE:], gathered[:, :BEFORE][:, ::-1]
         after = np.where(np.arange(LENGTH) < (LENGTH - least)[:, None], after, 0)
         before = np.where(np.arange(BEFORE) < most[:, None], before, 0)
         whole = np.ascontiguousarray(np.concatenate([after, before], axis=1))
+        del gathered, after, before
         ids, shifts = block.keys[doc, 0], least << 8 | most
         order = np.lexsort((ids, shifts, whole.view(f"S{BEFORE + LENGTH}").ravel()))
         whole, shifts, doc, at, ids = whole[order], shifts[order], doc[order], (at - block.begin[doc])[order], ids[order]
