@@ -24,18 +24,30 @@ def words_of(sequence: Column, size: int | Column) -> Column:
     return F.regexp_extract_all(sequence, F.concat(F.lit("(?s)(?=(.{"), size, F.lit("}))")), F.lit(1))
 
 
-def covariance_score(sequence: str) -> float | None:
-    """Antigenicity from auto- and cross-covariances of residue properties; None below ``LEAST_LENGTH`` residues."""
-    code = _CODE[np.frombuffer(sequence.encode("ascii", "replace"), np.uint8)]
+UPPER = np.triu_indices(_TABLE.shape[1], 1)
+
+
+def covariances(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Lagged covariances of the centred residue properties: lags x properties of their own, and lags x pairs (``UPPER``).
+
+    Letter codes without properties drop out; None below ``LEAST_LENGTH`` residues.
+    """
+    code = _CODE[letters]
     x = _TABLE[code[code >= 0]]
-    n = len(x)
-    if n < LEAST_LENGTH:
+    if len(x) < LEAST_LENGTH:
         return None
     x = x - x.mean(axis=0)
     auto = np.array([(x[:-lag] * x[lag:]).mean(axis=0) for lag in range(1, LAGS + 1)])
+    return auto, np.array([(x[:-lag].T @ x[lag:] / (len(x) - lag))[UPPER] for lag in range(1, CROSS_LAGS + 1)])
+
+
+def covariance_score(sequence: str) -> float | None:
+    """Antigenicity from auto- and cross-covariances of residue properties; None below ``LEAST_LENGTH`` residues."""
+    both = covariances(np.frombuffer(sequence.encode("ascii", "replace"), np.uint8))
+    if both is None:
+        return None
+    auto, cross = both
     raw = sum(w * np.sqrt((auto[:, p] ** 2).sum()) for p, w in _NORM_WEIGHT.items())
-    upper = np.triu_indices(x.shape[1], 1)
-    cross = np.array([(x[:-lag].T @ x[lag:] / (n - lag))[upper] for lag in range(1, CROSS_LAGS + 1)])
     raw += 0.10 * np.sqrt((cross**2).sum())
     return float(1 / (1 + np.exp(-15.0 * (raw - 0.035))))
 

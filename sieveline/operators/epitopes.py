@@ -181,15 +181,23 @@ def segment_offsets(chosen: DataFrame) -> DataFrame:
 
 
 def score_epitopes(epitopes: DataFrame) -> DataFrame:
-    """All peptide scores in one pass over the distinct peptides, joined back."""
+    """All peptide scores in one pass over the distinct peptides, joined back.
+
+    Where the epitopes have an ``ic50`` the cytokine scores take their binding from it, else it counts 0.
+    """
     seq = F.col("sequence")
-    peptides = epitopes.select("sequence").distinct()
-    ifn, is_ifn = scoring.ifn_gamma(seq, F.lit(0.0))
-    i4, is_i4 = scoring.il4(seq, F.lit(0.0))
-    i10, is_i10 = scoring.il10(seq, F.lit(0.0))
+    key = [c for c in ("sequence", "ic50") if c in epitopes.columns]
+    peptides = epitopes.select(*key).distinct()
+    binding = F.coalesce(scoring.binding_from_ic50(F.col("ic50")), F.lit(0.0)) if "ic50" in key else F.lit(0.0)
+    ifn, is_ifn = scoring.ifn_gamma(seq, binding)
+    i4, is_i4 = scoring.il4(seq, binding)
+    i10, is_i10 = scoring.il10(seq, binding)
     scored = peptides.select(
-        "sequence", scoring.short_antigenicity(seq).alias("antigen_score"), (1 - scoring.allergenicity(seq)).alias("allergen_score"),
+        *key, scoring.short_antigenicity(seq).alias("antigen_score"), (1 - scoring.allergenicity(seq)).alias("allergen_score"),
         (1 - scoring.toxicity(seq)).alias("toxin_score"), scoring.tap_transport(seq).alias("tap"), ifn.alias("ifn"), is_ifn.alias("is_ifn"),
         i4.alias("il4"), is_i4.alias("is_il4"), i10.alias("il10"), is_i10.alias("is_il10"),
     )
-    return epitopes.join(scored, "sequence")
+    if key == ["sequence"]:
+        return epitopes.join(scored, "sequence")
+    same = (epitopes["sequence"] == scored["sequence"]) & epitopes["ic50"].eqNullSafe(scored["ic50"])
+    return epitopes.join(scored, same).select(epitopes["*"], *[scored[c] for c in scored.columns if c not in key])

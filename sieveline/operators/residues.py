@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from sieveline.functions import scales as S
+from sieveline.functions.helpers import UPPER, covariances
 
 KEY = ("proteome_id", "ord")
 EPS = 1e-9  # sums in another order may differ in the last bits: thresholds allow for that
@@ -160,6 +161,20 @@ def aggregation_windows(proteins: DataFrame) -> DataFrame:
     return by_protein(proteins, of, "aggregation double")
 
 
+def autocovariance(proteins: DataFrame) -> DataFrame:
+    """Lagged covariances of residue properties p and q (p = q: of one property): 200 rows for each protein that is long enough."""
+
+    def of(codes: np.ndarray) -> list[tuple]:
+        both = covariances(codes)
+        if both is None:
+            return []
+        auto, cross = both
+        own = [(p, p, lag + 1, float(auto[lag, p])) for lag in range(auto.shape[0]) for p in range(auto.shape[1])]
+        return own + [(int(p), int(q), lag + 1, float(cross[lag, i])) for lag in range(cross.shape[0]) for i, (p, q) in enumerate(zip(*UPPER, strict=True))]
+
+    return by_protein(proteins, of, "p int, q int, lag int, value double")
+
+
 def tile_windows(fragments: DataFrame, size: int = 16, step: int = 8, least: int = 8) -> DataFrame:
     """Windows over fragments: long ones are tiled with a last flush window, short ones get one centred window.
 

@@ -384,6 +384,18 @@ def c13(spark, sf_dir):
     return pairs.select("sequence", "allele", r6(scoring.estimate_ic50(F.col("sequence"), F.col("allele"))).alias("ic50"))
 
 
+_BINDING = "coalesce(CASE WHEN ic50 <= 0 THEN 1.0 ELSE 1.0 / nullif(1.0 + log10(greatest(ic50 / 100.0, 0.01)), 0) END, 0)"
+
+
+@query("c9_score_epitopes_with_binding", f"""WITH {V.EPITOPES}, x AS (SELECT *, {_ic50_sql()} AS ic50 FROM epitopes), y AS (SELECT *, {_BINDING} AS binding, {_motifs(S.IFN_MOTIFS)} AS m_ifn, {_motifs(S.IL4_MOTIFS)} AS m_il4, {_motifs(S.IL10_MOTIFS)} AS m_il10 FROM x)
+SELECT id, round(m_ifn * 0.4 + binding * 0.4 + {_LEN} * 0.2, 6) AS ifn, round(m_ifn * 0.4 + binding * 0.4 + {_LEN} * 0.2, 9) >= 0.45 OR (binding >= 0.7 AND m_ifn > 0) AS is_ifn,
+m_il4 / 2.0 >= 0.2 OR (binding >= 0.7 AND m_il4 > 0) AS is_il4, m_il10 / 1.5 >= -0.3 OR (binding >= 0.7 AND m_il10 > 0) AS is_il10 FROM y""")
+def c9_binding(spark, sf_dir):
+    e = V.epitopes(spark, sf_dir)
+    scored = epitopes.score_epitopes(e.withColumn("ic50", scoring.estimate_ic50(F.col("sequence"), F.col("allele"))))
+    return scored.select("id", r6("ifn").alias("ifn"), "is_ifn", "is_il4", "is_il10")
+
+
 _PHYS = f"""round({_sum(S.WEIGHTS)} - 18.015 * (length(sequence) - 1), 4) AS molecular_weight, round({_sum(S.HYDROPATHY)} / nullif(length(sequence), 0), 6) AS gravy,
 round({_share('FWY')}, 6) AS aromaticity, 5500 * {_n('W')} + 1490 * {_n('Y')} + 125 * {_n('C')} AS extinction,
 round(100.0 * ({_n('A')} + 4.2 * {_n('V')} + 4.5 * {_n('I')} + 3.8 * {_n('L')}) / nullif(length(sequence), 0), 6) AS aliphatic"""
@@ -487,6 +499,19 @@ def w6(spark, sf_dir):
     return residues.membrane_segments(V.proteins(spark, sf_dir))
 
 
+_PROPERTIES = "props(aa, p0, p1, p2, p3, p4) AS (VALUES " + ", ".join(f"('{aa}', " + ", ".join(f"{float(v)}::double" for v in S.PROPERTIES[aa]) + ")" for aa in S.RESIDUES) + ")"
+_LAGGED = "{{'p': {p}, 'q': {q}, 'lag': {k}, 'value': list_inner_product(c{p}[1:n - {k}], c{q}[1 + {k}:n]) / (n - {k})}}"
+_COVARIANCES = ", ".join([_LAGGED.format(p=p, q=p, k=k) for k in range(1, 31) for p in range(5)] + [_LAGGED.format(p=p, q=q, k=k) for k in range(1, 6) for p in range(5) for q in range(p + 1, 5)])
+
+
+@query("w9_autocovariance", f"""WITH {V.PROTEINS}, {_PROPERTIES}, letters AS (SELECT proteome_id, ord, unnest(range(1, length(sequence) + 1)) AS pos, unnest(string_split(sequence, '')) AS aa FROM proteins WHERE length(sequence) >= 37),
+c AS (SELECT proteome_id, ord, {", ".join(f"p{i} - avg(p{i}) OVER (PARTITION BY proteome_id, ord) AS c{i}" for i in range(5))}, pos FROM letters JOIN props USING (aa)),
+l AS (SELECT proteome_id, ord, count(*)::int AS n, {", ".join(f"list(c{i} ORDER BY pos) AS c{i}" for i in range(5))} FROM c GROUP BY ALL),
+u AS (SELECT proteome_id, ord, unnest([{_COVARIANCES}]) AS x FROM l) SELECT proteome_id, ord, x.p AS p, x.q AS q, x.lag AS lag, round(x.value, 9) + 0.0 AS value FROM u""")
+def w9(spark, sf_dir):
+    return residues.autocovariance(V.proteins(spark, sf_dir)).withColumn("value", F.round("value", 9) + 0.0)  # no negative zero
+
+
 _AGG = f"{_RES}, hit AS (SELECT proteome_id, ord, CASE WHEN pos <= n - 4 THEN (sum(aggregation) {_over(0, 4)} >= 15.0 - 1e-9)::int END AS hit FROM res), agg AS (SELECT proteome_id, ord, coalesce(avg(hit), 0) AS aggregation FROM hit GROUP BY 1, 2)"
 
 
