@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,12 +146,19 @@ def live_metrics(epitopes: DataFrame) -> DataFrame:
     return out.withColumn("provenance", F.when(F.col("sources") > 1, "mixed").otherwise("single"))
 
 
-def validation_summary(scores: DataFrame) -> DataFrame:
-    """Construct gates by run: antigenic, non-toxic and soluble shares, and whether all gates have values."""
-    return scores.groupBy("run_id").agg(
-        F.count("*").alias("n"), F.count_if(F.col("antigen_score") >= 0.5).alias("antigenic"), F.count_if(1 - F.col("toxin_score") >= 0.4).alias("toxic"),
-        F.bool_and(F.col("antigen_score").isNotNull() & F.col("toxin_score").isNotNull()).alias("complete"),
-    )
+def validation_summary(scores: DataFrame, constructs: DataFrame) -> DataFrame:
+    """Gates by run: toxic CTL and HTL epitopes, and the construct's gravy, antigenicity and solubility (and ``instability`` where given).
+
+    The status is ``pass`` where every gate has a value; a run without a construct fails.
+    """
+    toxic = F.lit(1) - F.col("toxin_score") >= 0.4
+    counts = scores.groupBy("run_id").agg(
+        F.count_if((F.col("type") == "CTL") & toxic).alias("ctl_toxic"), F.count_if((F.col("type") == "HTL") & toxic).alias("htl_toxic")
+    )
+    gates = [c for c in ("instability", "antigenicity", "solubility") if c in constructs.columns]
+    out = counts.join(constructs, "run_id", "left").withColumn("is_soluble", F.col("solubility") >= 0.4)
+    complete = reduce(and_, [F.col(c).isNotNull() for c in gates])
+    return out.withColumn("status", F.when(complete, "pass").otherwise("fail"))
 
 
 def funnel_evidence(funnels: DataFrame, steps: DataFrame) -> DataFrame:

@@ -144,8 +144,13 @@ def ramachandran_summary(angles: DataFrame) -> DataFrame:
 
 
 def coordinate_summary(atoms: DataFrame, contacts: DataFrame) -> DataFrame:
-    """Structures, residues and contacts in all."""
-    a = atoms.agg(F.count_distinct("structure_id").alias("structures"), F.count("*").alias("residues"))
+    """Structures, residues and contacts in all; structures without any coordinates count as failures, ``source`` (if there) as sources."""
+    placed = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull()
+    a = atoms.agg(
+        F.count_distinct("structure_id").alias("structures"), F.count("*").alias("residues"),
+        (F.count_distinct("structure_id") - F.count_distinct(F.when(placed, F.col("structure_id")))).alias("failures"),
+        F.count_distinct("source" if "source" in atoms.columns else F.lit(None).cast("string")).alias("sources"),
+    )
     c = contacts.agg(F.count("*").alias("contacts"), F.count_distinct("structure_id").alias("with_contacts"))
     return a.join(F.broadcast(c))  # one row each
 

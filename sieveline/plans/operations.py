@@ -51,9 +51,10 @@ def a19(spark, sf_dir):
     return out.withColumns({"energy": r6("energy"), "z_score": r6("z_score")})
 
 
-@query("a25_coordinate_summary", f"WITH {_CONTACTS} SELECT (SELECT count(DISTINCT structure_id) FROM atoms) AS structures, (SELECT count(*) FROM atoms) AS residues, count(*) AS contacts, count(DISTINCT structure_id) AS with_contacts FROM contacts")
+@query("a25_coordinate_summary", f"WITH {_CONTACTS} SELECT (SELECT count(DISTINCT structure_id) FROM atoms) AS structures, (SELECT count(*) FROM atoms) AS residues, (SELECT count(DISTINCT structure_id) - count(DISTINCT CASE WHEN structure_id % 5 <> 0 THEN structure_id END) FROM atoms) AS failures, (SELECT count(DISTINCT res_idx % 7) FROM atoms) AS sources, count(*) AS contacts, count(DISTINCT structure_id) AS with_contacts FROM contacts")
 def a25(spark, sf_dir):
-    return structure.coordinate_summary(V.atoms(spark, sf_dir), _contacts(spark, sf_dir))
+    atoms = V.atoms(spark, sf_dir).withColumns({"source": F.col("res_idx") % 7, "x": F.when(F.col("structure_id") % 5 != 0, F.col("x"))})
+    return structure.coordinate_summary(atoms, _contacts(spark, sf_dir))
 
 
 _ANGLES = f"{V.ATOMS}, angles AS (SELECT structure_id, res_idx, aa, x * 6 AS phi, y * 6 AS psi FROM atoms)"

@@ -337,7 +337,7 @@ def c1_short(spark, sf_dir):
 @query("c1_score_antigenicity")
 def c1(spark, sf_dir):
     seq = F.col("sequence")
-    return V.proteins(spark, sf_dir).select("proteome_id", "ord", F.coalesce(long_antigenicity(seq), scoring.short_antigenicity(seq)).alias("score"))
+    return V.proteins(spark, sf_dir).select("proteome_id", "ord", r6(F.coalesce(long_antigenicity(seq), scoring.short_antigenicity(seq))).alias("score"))
 
 
 @query("p7_antigenic_filter")
@@ -407,7 +407,14 @@ def c16(spark, sf_dir):
     return V.proteins(spark, sf_dir).select("proteome_id", "ord", *[F.round(c, 4 if k == "molecular_weight" else 6).alias(k) if k != "extinction" else c.alias(k) for k, c in props.items()])
 
 
-@query("c16_isoelectric_point")
+_AT = "(low + high) / 2"
+_PLUS = f"1 / (1 + pow(10, {_AT} - 7.5)) + " + " + ".join(f"{a.lower()} / (1 + pow(10, {_AT} - {pk}))" for a, pk in (("K", 10.0), ("R", 12.0), ("H", 5.98)))
+_MINUS = f"1 / (1 + pow(10, 3.55 - {_AT})) + " + " + ".join(f"{a.lower()} / (1 + pow(10, {pk} - {_AT}))" for a, pk in (("D", 4.05), ("E", 4.45), ("C", 9.0), ("Y", 10.0)))
+
+
+@query("c16_isoelectric_point", f"""WITH RECURSIVE {V.PROTEINS}, b AS (SELECT proteome_id, ord, sequence, {", ".join(f"{_n(a)} AS {a.lower()}" for a in "KRHDECY")}, 0 AS step, 0.0::double AS low, 14.0::double AS high FROM proteins
+UNION ALL SELECT proteome_id, ord, sequence, k, r, h, d, e, c, y, step + 1, CASE WHEN {_PLUS} > {_MINUS} THEN {_AT} ELSE low END, CASE WHEN {_PLUS} > {_MINUS} THEN high ELSE {_AT} END FROM b WHERE step < 50)
+SELECT proteome_id, ord, CASE WHEN sequence <> '' THEN round(low, 6) END AS pi FROM b WHERE step = 50""")
 def c16_pi(spark, sf_dir):
     return V.proteins(spark, sf_dir).select("proteome_id", "ord", isoelectric_point("sequence").alias("pi"))
 
@@ -512,6 +519,16 @@ def w9(spark, sf_dir):
     return residues.autocovariance(V.proteins(spark, sf_dir)).withColumn("value", F.round("value", 9) + 0.0)  # no negative zero
 
 
+_LISTS = ORACLE_SQL["w9_autocovariance"].split(",\nu AS (")[0]
+_NORM = "sqrt(list_sum([pow(list_inner_product(c{p}[1:n - k::int], c{p}[1 + k::int:n]) / (n - k), 2) for k in range(1, 31)]))"
+_CROSS = " + ".join(f"list_sum([pow(list_inner_product(c{p}[1:n - k::int], c{q}[1 + k::int:n]) / (n - k), 2) for k in range(1, 6)])" for p in range(5) for q in range(p + 1, 5))
+_RAW = f"0.30 * {_NORM.format(p=0)} + 0.25 * {_NORM.format(p=2)} + 0.20 * {_NORM.format(p=3)} + 0.15 * {_NORM.format(p=4)} + 0.10 * sqrt({_CROSS})"
+_LONG = f"""{_LISTS}, a AS (SELECT proteome_id, ord, 1 / (1 + exp(-15.0 * ({_RAW} - 0.035))) AS score FROM l),
+scored AS (SELECT p.proteome_id, p.ord, round(coalesce(a.score, {_ANTIGEN}), 6) AS score FROM proteins p LEFT JOIN a ON a.proteome_id = p.proteome_id AND a.ord = p.ord)"""
+ORACLE_SQL["c1_score_antigenicity"] = f"{_LONG} SELECT * FROM scored"
+ORACLE_SQL["p7_antigenic_filter"] = f"{_LONG} SELECT * FROM scored WHERE score >= 0.5"
+
+
 _AGG = f"{_RES}, hit AS (SELECT proteome_id, ord, CASE WHEN pos <= n - 4 THEN (sum(aggregation) {_over(0, 4)} >= 15.0 - 1e-9)::int END AS hit FROM res), agg AS (SELECT proteome_id, ord, coalesce(avg(hit), 0) AS aggregation FROM hit GROUP BY 1, 2)"
 
 
@@ -745,9 +762,21 @@ def j2(spark, sf_dir):
     return epitopes.conserved_epitopes(e, e.select(F.col("sequence").alias("peptide"), (F.col("antigenicity") * 100).alias("value"))).select("id")
 
 
-@query("a23_validation_summary", f"WITH {V.EPITOPES} SELECT run_id, count(*) AS n, count_if({_ANTIGEN} >= 0.5) AS antigenic, count_if({_motifs(S.TOXIN_MOTIFS)} >= 0.4) AS toxic, true AS complete FROM epitopes GROUP BY run_id")
+@query("a23_validation_summary", f"""WITH {_CONSTRUCT}, t AS (SELECT run_id, count_if(type = 'CTL' AND {_motifs(S.TOXIN_MOTIFS)} >= 0.4) AS ctl_toxic, count_if(type = 'HTL' AND {_motifs(S.TOXIN_MOTIFS)} >= 0.4) AS htl_toxic FROM epitopes GROUP BY 1),
+s AS (SELECT run_id, construct AS sequence, [coalesce(w, 0) for w in list_transform(string_split(construct, ''), lambda x: CASE x {" ".join(f"WHEN '{a}' THEN {v}::double" for a, v in S.AGGREGATION_HYDROPATHY.items())} END)] AS w FROM constructs),
+g AS (SELECT run_id, sequence, CASE WHEN length(sequence) >= 5 THEN len([1 for i in range(1, length(sequence) - 3) if list_sum(w[i:i + 4]) >= 15 - 1e-9]) / (length(sequence) - 4) ELSE 0 END AS aggregation FROM s),
+z AS (SELECT run_id, {_sum(S.HYDROPATHY)} / nullif(length(sequence), 0) AS gravy, {_ANTIGEN} AS antigenicity, least(greatest(0.25 * (1.0 - aggregation) + 0.25 * least(greatest(1.0 - greatest({_sum(S.HYDROPATHY)} / nullif(length(sequence), 0), 0) / 5.0, 0), 1)
++ 0.25 * least(abs({_CHARGE})::double / nullif(length(sequence), 0) * 10.0, 1.0) + 0.25 * greatest(1.0 - length(sequence) / 2000.0, 0.3), 0), 1) AS solubility FROM g)
+SELECT run_id, ctl_toxic, htl_toxic, round(gravy, 6) AS gravy, round(antigenicity, 6) AS antigenicity, round(solubility, 6) AS solubility, solubility >= 0.4 AS is_soluble,
+CASE WHEN antigenicity IS NOT NULL AND solubility IS NOT NULL THEN 'pass' ELSE 'fail' END AS status FROM t LEFT JOIN z USING (run_id)""")
 def a23(spark, sf_dir):
-    return runs.validation_summary(epitopes.score_epitopes(V.epitopes(spark, sf_dir)))
+    e = V.epitopes(spark, sf_dir)
+    built = epitopes.assemble_construct(epitopes.select_for_construct(e)).select("run_id", F.col("construct").alias("sequence"))
+    seq = F.col("sequence")
+    scored = built.select("run_id", F.try_divide(scoring.weighted(seq, S.HYDROPATHY), F.length(seq)).alias("gravy"), scoring.short_antigenicity(seq).alias("antigenicity"),
+                          scoring.solubility(seq, scoring.aggregation_share(seq)).alias("solubility"))
+    out = runs.validation_summary(epitopes.score_epitopes(e), scored)
+    return out.withColumns({c: r6(c) for c in ("gravy", "antigenicity", "solubility")})
 
 
 @query("a24_live_metrics", f"WITH {V.EPITOPES} SELECT run_id, type, count(*) AS n, count(DISTINCT allele) AS sources, CASE WHEN count(DISTINCT allele) > 1 THEN 'mixed' ELSE 'single' END AS provenance FROM epitopes GROUP BY 1, 2")
