@@ -14,7 +14,7 @@ documents, so the difference-cover algorithm runs like this:
    occur in two documents comes back as one bit for each. Names that don't are done: nothing equals
    the strings around them at that shift.
 4. Merge: the remaining suffixes at sampled positions, with the bytes before them, are exchanged by
-   their first ``LENGTH - PERIOD + 1`` bytes, sorted, and adjacent prefixes are compared byte by byte.
+   a gram of their first ``LENGTH - PERIOD + 1`` bytes, sorted, and adjacent prefixes are compared byte by byte.
    For each shift, strings with equal bytes before and behind the sampled position meet, and all but
    those of the smallest document are repeats. Equal suffixes of one block are settled before that.
    Suffixes whose name ``HOT_BLOCKS`` blocks have are exchanged for ``HOT_SHIFTS`` shifts at a time, by all
@@ -23,7 +23,7 @@ documents, so the difference-cover algorithm runs like this:
 
 Fingerprints only choose what is compared: a collision costs a comparison and never a byte. Names have
 about eight bits more than their number needs. No group is formed by document or by name: exchanged are
-packed rows, one for each block and range, ranges are sized to about ``RANGE_BYTES``, and a passage that all documents share
+packed rows, one for each block and range, ranges are sized to about ``RANGE_BYTES`` and ``SUFFIX_BYTES``, and a passage that all documents share
 counts once for each block and distinct context.
 
 Names aren't recursed on: the cover leaves ``LENGTH - PERIOD + 1`` bytes behind a sampled position at every shift, less
@@ -59,7 +59,9 @@ SHARED = LENGTH - BEFORE  # bytes that it has behind it at least
 HOT_BLOCKS = 64
 HOT_SHIFTS = 3
 BLOCK = 4 << 20
-RANGE_BYTES = 6 << 20
+RANGE_BYTES = 6 << 20  # of names
+SUFFIX_BYTES = 24 << 20  # of suffixes with what is before them
+GRAM = 12
 BROADCAST_BYTES = 96 << 20
 
 
@@ -91,10 +93,17 @@ def names_of(data: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
     return h >> np.uint64(64 - bits)
 
 
+_ZIP = zstandard.ZstdCompressor(level=3)
+
+
+def _zip(raw: bytes) -> bytes:
+    return _ZIP.compress(raw)
+
+
 def _pack(values: np.ndarray) -> bytes:
     """Numbers compressed byte by byte of their width, all first bytes first."""
     flat = np.ascontiguousarray(values)
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(flat.view(np.uint8).reshape(-1, flat.itemsize).T).tobytes())
+    return _zip(np.ascontiguousarray(flat.view(np.uint8).reshape(-1, flat.itemsize).T).tobytes())
 
 
 def _unpack(raw: bytes, dtype) -> np.ndarray:
@@ -115,7 +124,7 @@ def _block_batches(most: int):
         number, keys, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
 
         def row() -> pa.RecordBatch:
-            data = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
+            data = _zip(b"".join(texts))
             values = (number, _pack(np.array(keys, np.int64)), _pack(np.array([len(t) for t in texts], np.int64)), data)
             return pa.RecordBatch.from_arrays([pa.array([v]) for v in values], ["block", "keys", "lengths", "data"])
 
@@ -187,33 +196,25 @@ def _repeated_names(hot_blocks: int):
         hot[order] = np.repeat(sizes >= hot_blocks, sizes)
         ends = np.cumsum([len(n) for n in own])[:-1]
         parts = list(zip(np.split(repeated, ends), np.split(hot, ends), strict=True))
-        packed = [zstandard.ZstdCompressor(level=1).compress(np.packbits(np.concatenate(p)).tobytes()) for p in parts]
+        packed = [_zip(np.packbits(np.concatenate(p)).tobytes()) for p in parts]
         return pd.DataFrame({"block": group["block"], "range": group["range"], "flags": packed, "size": [len(p) for p, _ in parts], "n": [int(p.sum()) for p, _ in parts]})
 
     return made
 
 
-def _spans(start: np.ndarray) -> np.ndarray:
-    """Runs of sorted starts as (first start, last start) pairs."""
-    cut = np.flatnonzero(np.diff(start, prepend=start[0] - 2) != 1)
-    return np.stack([start[cut], start[np.append(cut[1:], len(start)) - 1]], axis=1).astype(np.int32)
-
-
-def _span_rows(keys: np.ndarray, doc: np.ndarray, start: np.ndarray) -> list[tuple]:
-    """(doc_id, text hash, packed runs) of repeated strings, by document (row of ``keys``)."""
+def _span_rows(keys: np.ndarray, doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[tuple]:
+    """(doc_id, text hash, runs) by document (row of ``keys``): overlapping and adjacent runs of starts become one, as pairs of int32."""
     if not len(doc):
         return []
-    both = np.unique(doc.astype(np.int64) << 32 | start)
-    doc, start = both >> 32, both & 0xFFFFFFFF
-    cut = np.append(np.flatnonzero(np.diff(doc, prepend=-1)), len(doc))
-    return [(int(keys[doc[a], 0]), int(keys[doc[a], 1]), _pack(_spans(start[a:b]))) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-
-
-def _starts(doc: np.ndarray, at: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Documents and starts of the strings at the shifts from ``least`` to ``most`` before sampled positions."""
-    counts = most - least + 1
-    shift = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(least, counts)
-    return np.repeat(doc, counts), np.repeat(at, counts) - shift
+    order = np.lexsort((first, doc))
+    doc, first, last = doc[order].astype(np.int64), first[order], last[order]
+    reach = np.maximum.accumulate(doc << 32 | last)
+    cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (first[1:] > (reach[:-1] & 0xFFFFFFFF) + 1)]))
+    runs = np.stack([first[cut], reach[np.append(cut[1:], len(doc)) - 1] & 0xFFFFFFFF], axis=1).astype(np.int32)
+    raw, of = runs.tobytes(), doc[cut]
+    ends = np.append(np.flatnonzero(np.diff(of, prepend=-1)), len(of)).tolist()
+    ids = keys[of[ends[:-1]]].tolist()
+    return [(*key, raw[8 * a : 8 * b]) for key, a, b in zip(ids, ends[:-1], ends[1:], strict=True)]
 
 
 SUFFIXES = "range int, doc_id long, th long, spans binary, keys binary, docs binary, places binary, shifts binary, bytes binary"
@@ -221,6 +222,23 @@ _KINDS = (pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6)
 _NAMES = [c.split()[0] for c in SUFFIXES.split(", ")]
 
 
+def _ranges(after: np.ndarray, before: np.ndarray, bits: int) -> np.ndarray:
+    """The range of each suffix, from bytes that all its strings have: the least hash of the grams behind it, and all bytes before.
+
+    Neighbouring suffixes of a text mostly have the same least gram: they go the same way and are packed well together.
+    """
+    grams = sliding_window_view(after, GRAM, axis=1)
+    least = np.full(len(after), np.iinfo(np.uint64).max, np.uint64)
+    for i in range(grams.shape[1]):
+        two = [np.ascontiguousarray(grams[:, i, j : j + 8]).view("<u8").ravel() for j in (0, GRAM - 8)]
+        np.minimum(least, _mix((_mix(two[0] * np.uint64(0x9E3779B97F4A7C15)) + two[1]) * np.uint64(0x9E3779B97F4A7C15)), out=least)
+    if before.shape[1]:
+        head = np.concatenate([after, before, np.zeros((len(after), -(after.shape[1] + before.shape[1]) % 8), np.uint8)], axis=1)
+        for word in np.ascontiguousarray(head).view("<u8").T:
+            least = _mix((least + word) * np.uint64(0x9E3779B97F4A7C15))
+    return (_mix(least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def _suffix_batches(bits: int, low: int, range_bits: int):
     """Remaining suffixes of each block by range; repeats within the block come out as spans (negative range)."""
 
@@ -256,22 +274,17 @@ def _suffix_batches(bits: int, low: int, range_bits: int):
         fresh = np.concatenate([[True], (whole[1:] != whole[:-1]).any(axis=1) | (shifts[1:] != shifts[:-1])])
         first = np.flatnonzero(fresh)
         later = ids > np.repeat(ids[first], np.diff(np.append(first, len(ids))))
-        settled = _span_rows(block.keys, *_starts(doc[later], at[later], shifts[later] >> 8, shifts[later] & 255))
+        settled = _span_rows(block.keys, doc[later], at[later] - (shifts[later] & 255), at[later] - (shifts[later] >> 8))
         rows: list[tuple] = [(-1 - (r[1] & ((1 << range_bits) - 1)), *r, *[None] * 5) for r in settled]
         whole, shifts, doc, at = whole[~later], shifts[~later], doc[~later], at[~later]
-        own = [whole[:, : LENGTH - highest], whole[:, LENGTH : LENGTH + lowest]]  # bytes that all strings at these shifts have
-        head = np.concatenate([*own, np.zeros((len(at), (highest - lowest - LENGTH) % 8), np.uint8)], axis=1)
-        key = np.zeros(len(at), np.uint64)
-        for word in np.ascontiguousarray(head).view("<u8").T:
-            key = _mix((key + word) * np.uint64(0x9E3779B97F4A7C15))
-        of = (key >> np.uint64(64 - range_bits)).astype(np.int64)
-        order = np.argsort(of, kind="stable")  # by range, and in the order of the suffixes
+        of = _ranges(whole[:, : LENGTH - highest], whole[:, LENGTH : LENGTH + lowest], range_bits)
+        order = np.lexsort((at, doc, of))  # what overlaps in the text stands together
         whole, shifts, doc, at = whole[order], shifts[order], doc[order], at[order]
         cut = np.searchsorted(of[order], np.arange((1 << range_bits) + 1))
         for r in np.flatnonzero(np.diff(cut)):
             part = slice(cut[r], cut[r + 1])
             docs, index = np.unique(doc[part], return_inverse=True)
-            text = zstandard.ZstdCompressor(level=3).compress(whole[part].tobytes())
+            text = _zip(np.concatenate([whole[part, LENGTH:][:, ::-1], whole[part, :LENGTH]], axis=1).tobytes())
             packed = (_pack(x.astype(np.int32)) for x in (index, at[part], shifts[part]))
             rows.append((int(r), None, None, None, _pack(block.keys[docs]), *packed, text))
         for i in range(0, len(rows), 2000):
@@ -285,7 +298,7 @@ def _suffix_batches(bits: int, low: int, range_bits: int):
     return made
 
 
-def _classes(rows: np.ndarray) -> np.ndarray:
+def _sorted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorts byte rows and compares neighbours: the order, and how many leading bytes each shares with the one before."""
     order = np.argsort(rows.view(f"S{rows.shape[1]}").ravel(), kind="stable")
     ranked = rows[order]
@@ -294,10 +307,25 @@ def _classes(rows: np.ndarray) -> np.ndarray:
     return order, np.concatenate([[-1], shared])
 
 
+def _ranks(ranked: np.ndarray, shared: np.ndarray, depth: int) -> np.ndarray:
+    """A number for each row, equal for rows with that many equal leading bytes."""
+    rank = np.empty(len(ranked), np.int64)
+    rank[ranked] = np.cumsum(shared < depth)
+    return rank
+
+
+def _later(ids: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """Rows whose name a smaller id has; ids ascend."""
+    ranked = np.argsort(name, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], name[ranked][1:] != name[ranked][:-1]]))
+    return ranked[ids[ranked] > np.repeat(ids[ranked][first], np.diff(np.append(first, len(ranked))))]
+
+
 def _compare_suffixes(group: pd.DataFrame) -> pd.DataFrame:
     """Repeats of a smaller document among the suffixes of one range.
 
-    A negative range holds spans that are settled already and pass through.
+    A negative range holds spans that are settled already and pass through. Suffixes that are equal with
+    all that is before them are settled at once; of these the first stands for all.
     """
     if group["range"].iloc[0] < 0:
         return group[["doc_id", "th", "spans"]].astype({"doc_id": "int64", "th": "int64"})
@@ -307,40 +335,35 @@ def _compare_suffixes(group: pd.DataFrame) -> pd.DataFrame:
     doc = np.concatenate([_unpack(x, np.int32).astype(np.int64) + b for x, b in zip(group["docs"], bases, strict=False)])
     at = np.concatenate([_unpack(x, np.int32) for x in group["places"]]).astype(np.int64)
     shifts = np.concatenate([_unpack(x, np.int32) for x in group["shifts"]])
-    whole = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(x) for x in group["bytes"]), np.uint8).reshape(-1, BEFORE + LENGTH)
+    text = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(x) for x in group["bytes"]), np.uint8).reshape(-1, BEFORE + LENGTH)
     order = np.argsort(keys[doc, 0], kind="stable")  # smaller documents first
-    doc, at, shifts, whole, ids = doc[order], at[order], shifts[order], whole[order], keys[doc[order], 0]
-    after, before = (_classes(np.ascontiguousarray(x)) for x in (whole[:, :LENGTH], whole[:, LENGTH:]))
-    docs, starts = [], []
+    doc, at, shifts, text, ids = doc[order], at[order], shifts[order], text[order], keys[doc[order], 0]
+    ranked, shared = _sorted(np.ascontiguousarray(np.concatenate([text, shifts.astype(">u2")[:, None].view(np.uint8)], axis=1)))
+    whole = _ranks(ranked, shared, BEFORE + LENGTH + 2)
+    later = _later(ids, whole)
+    found = [(doc[later], at[later] - (shifts[later] & 255), at[later] - (shifts[later] >> 8))]
+    one = np.sort(np.unique(whole, return_index=True)[1])  # the smallest document of each
+    doc, at, shifts, text, ids = doc[one], at[one], shifts[one], text[one], ids[one]
+    after, before = _sorted(np.ascontiguousarray(text[:, BEFORE:])), _sorted(np.ascontiguousarray(text[:, :BEFORE][:, ::-1]))
+    same = _ranks(*after, SHARED)
+    several = np.bincount(same)[same] > 1
     for shift in range(PERIOD):
-        own = np.flatnonzero((shifts >> 8 <= shift) & (shifts & 255 >= shift))
-        if len(own) < 2:
-            continue
-        name = np.zeros(len(doc), np.int64)
-        for (ranked, shared), depth in ((after, LENGTH - shift), (before, shift)):
-            rank = np.empty(len(doc), np.int64)
-            rank[ranked] = np.cumsum(shared < depth)
-            name = name * (len(doc) + 1) + rank
-        ranked = own[np.argsort(name[own], kind="stable")]
-        fresh = np.concatenate([[True], name[ranked][1:] != name[ranked][:-1]])
-        first = np.flatnonzero(fresh)
-        later = ranked[ids[ranked] > np.repeat(ids[ranked][first], np.diff(np.append(first, len(ranked))))]
-        docs.append(doc[later]), starts.append(at[later] - shift)
-    rows = _span_rows(keys, np.concatenate(docs), np.concatenate(starts)) if docs else []
+        own = np.flatnonzero(several & (shifts >> 8 <= shift) & ((shifts & 255) >= shift))
+        if len(own) > 1:
+            name = _ranks(*after, LENGTH - shift)[own] * (len(doc) + 1) + _ranks(*before, shift)[own]
+            later = own[_later(ids[own], name)]
+            found.append((doc[later], at[later] - shift, at[later] - shift))
+    rows = _span_rows(keys, *(np.concatenate(c) for c in zip(*found, strict=True)))
     return pd.DataFrame(rows, columns=["doc_id", "th", "spans"]).astype({"doc_id": "int64", "th": "int64"})
 
 
 def _unite_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The runs of each document as few runs of starts that don't touch."""
     for batch in batches:
-        out = []
-        for spans in batch.column(2).to_pylist():
-            runs = np.concatenate([_unpack(s, np.int32).reshape(-1, 2) for s in spans])
-            runs = runs[np.argsort(runs[:, 0], kind="stable")]
-            last = np.maximum.accumulate(runs[:, 1])
-            cut = np.flatnonzero(np.concatenate([[True], runs[1:, 0] > last[:-1] + 1]))
-            out.append(_pack(np.stack([runs[cut, 0], last[np.append(cut[1:], len(runs)) - 1]], axis=1)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["doc_id", "th", "spans"])
+        runs = [np.frombuffer(b"".join(spans), np.int32).reshape(-1, 2).astype(np.int64) for spans in batch.column(2).to_pylist()]
+        keys = np.stack([batch.column(i).to_numpy() for i in range(2)], axis=1)
+        rows = _span_rows(keys, np.repeat(np.arange(len(runs)), [len(r) for r in runs]), *np.concatenate([np.zeros((0, 2), np.int64), *runs]).T)
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "th", "spans"])
 
 
 def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,7 +378,7 @@ def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kept, n_removed, n_spans = b"", len(raw), 1
             elif spans:
                 edge = np.zeros(len(raw) + 1, np.int32)
-                runs = _unpack(spans, np.int32).reshape(-1, 2)
+                runs = np.frombuffer(spans, np.int32).reshape(-1, 2)
                 np.add.at(edge, runs[:, 0], 1)
                 np.add.at(edge, runs[:, 1] + LENGTH, -1)
                 gone = np.cumsum(edge[:-1]) > 0
@@ -389,7 +412,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     flags = exchanged.groupBy("range").applyInPandas(_repeated_names(HOT_BLOCKS), "block long, range int, flags binary, size int, n int")
     flags = written(flags, "suffix-flags", compression="none")
     left = flags.agg(F.sum("n")).first()[0] or 0
-    range_bits = max(1, math.ceil(math.log2(1 + left * (BEFORE + LENGTH) / RANGE_BYTES)))
+    range_bits = max(1, math.ceil(math.log2(1 + left * (BEFORE + LENGTH) / SUFFIX_BYTES)))
     by_block = flags.groupBy("block").agg(F.collect_list(F.struct("range", "flags", "size")).alias("flags"), F.sum("n").alias("n")).filter("n > 0")
     both = blocks.join(_small(by_block, F.aggregate("flags", F.lit(0), lambda a, f: a + F.octet_length(f["flags"]) + 16)), "block")
     suffixes = both.select("keys", "lengths", "data", "flags").mapInArrow(_suffix_batches(bits, low, range_bits), SUFFIXES)

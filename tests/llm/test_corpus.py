@@ -374,7 +374,7 @@ def brute_repeats(made):
 @pytest.mark.parametrize("small", [False, True])
 def test_suffix_dedup_matches_brute_force(spark, documents, monkeypatch, small):
     if small:  # shuffled joins, many blocks and ranges
-        for name, value in (("BROADCAST_BYTES", -1), ("BLOCK", 20000), ("RANGE_BYTES", 9000), ("HOT_BLOCKS", 2)):
+        for name, value in (("BROADCAST_BYTES", -1), ("BLOCK", 20000), ("RANGE_BYTES", 9000), ("SUFFIX_BYTES", 50000), ("HOT_BLOCKS", 2)):
             monkeypatch.setattr(suffix_dedup, name, value)
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(1, 5)))
