@@ -27,7 +27,8 @@ packed rows, one for each block and range, ranges are sized to about ``RANGE_BYT
 counts once for each block and distinct context.
 
 Names aren't recursed on: the cover leaves ``LENGTH - PERIOD + 1`` bytes behind a sampled position at every shift, less
-than two levels of triples would need, and 18 % of all positions have a repeated triple where 15 % start a repeat.
+than two levels of triples would need. In one table that we measured 18.0 % of all positions have 24 repeated bytes and
+16.7 % have 32, so that a second level would drop little.
 
 Edge cases: a null text is empty; texts shorter than ``LENGTH`` bytes keep all; rows that repeat a
 ``doc_id`` don't count as smaller than each other; a row with a null ``doc_id`` takes no part and
