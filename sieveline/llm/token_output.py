@@ -64,6 +64,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.end = array("I", [end_id]).tobytes()
         self.first: dict[str, bytes] = {}  # pieces at the start of a text
+        self.former: dict[str, bytes] = {}
         self.cache: dict[str, bytes] = {"": b""}  # pieces behind a space, which the key leaves out
 
     @staticmethod
@@ -112,15 +113,21 @@ class Encoder:
                 to[piece] = b"".join([to[ps[0]], *map(first.__getitem__, ps[1:])])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text and the end id. Pieces are looked up; those not yet known are encoded together."""
-        if len(self.cache) + len(self.first) > CACHE_PIECES:
-            self.cache, self.first = {"": b""}, {}
+        """The ids of each text and the end id. Pieces are looked up; those not yet known are encoded together.
+
+        A full cache becomes the former one, from which pieces that occur again come back: rare ones go.
+        """
+        if len(self.cache) + len(self.first) > CACHE_PIECES // 2:
+            self.former, self.cache, self.first = self.cache, {"": b""}, {}
         known, split = self.cache.get, [self.pieces(t) for t in texts]
         heads = [ps[0] for ps in split]
         for ps in split:
             ps[0] = ""  # the first piece has no space before it
         found = [list(map(known, ps)) for ps in split]
         unseen = {p for ps, ids in zip(split, found, strict=True) if None in ids for p, x in zip(ps, ids, strict=True) if x is None}
+        back = unseen & self.former.keys()
+        self.cache.update(zip(back, map(self.former.__getitem__, back), strict=True))
+        unseen -= back
         self._learn({h for h in heads if h not in self.first}, unseen)
         look, first, end = self.cache.__getitem__, self.first, self.end
         return [b"".join([first[head], *(map(look, ps) if None in ids else ids), end]) for head, ps, ids in zip(heads, split, found, strict=True)]
