@@ -57,11 +57,12 @@ COVER = (3, 6, 7, 12, 14)  # every difference modulo PERIOD occurs between two o
 TRIPLE = 24
 BEFORE = PERIOD - 1  # bytes that a string may have before its sampled position
 SHARED = LENGTH - BEFORE  # bytes that it has behind it at least
-HOT_BLOCKS = 64
+HOT_BLOCKS = 1024  # below, the suffixes of a name are about a range at most
 HOT_SHIFTS = 3
 BLOCK = 4 << 20
 RANGE_BYTES = 6 << 20  # of names
 SUFFIX_BYTES = 24 << 20  # of suffixes with what is before them
+BUCKET_NAMES = 1 << 18  # repeated names for each bucket of documents
 GRAM = 12
 BROADCAST_BYTES = 96 << 20
 
@@ -203,23 +204,50 @@ def _repeated_names(hot_blocks: int):
     return made
 
 
-def _span_rows(keys: np.ndarray, doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[tuple]:
-    """(doc_id, text hash, runs) by document (row of ``keys``): overlapping and adjacent runs of starts become one, as pairs of int32."""
-    if not len(doc):
-        return []
+def _merged(doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of starts by document, overlapping and adjacent ones as one."""
     order = np.lexsort((first, doc))
     doc, first, last = doc[order].astype(np.int64), first[order], last[order]
+    if not len(doc):
+        return doc, first, last
     reach = np.maximum.accumulate(doc << 32 | last)
     cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (first[1:] > (reach[:-1] & 0xFFFFFFFF) + 1)]))
-    runs = np.stack([first[cut], reach[np.append(cut[1:], len(doc)) - 1] & 0xFFFFFFFF], axis=1).astype(np.int32)
-    raw, of = runs.tobytes(), doc[cut]
-    ends = np.append(np.flatnonzero(np.diff(of, prepend=-1)), len(of)).tolist()
-    ids = keys[of[ends[:-1]]].tolist()
-    return [(*key, raw[8 * a : 8 * b]) for key, a, b in zip(ids, ends[:-1], ends[1:], strict=True)]
-
-
-SUFFIXES = "range int, doc_id long, th long, spans binary, keys binary, docs binary, places binary, shifts binary, bytes binary"
-_KINDS = (pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6)
+    return doc[cut], first[cut], reach[np.append(cut[1:], len(doc)) - 1] & 0xFFFFFFFF
+
+
+RUNS = "bucket int, keys binary, counts binary, runs binary"
+
+
+def _packed_runs(keys: np.ndarray, doc: np.ndarray, first: np.ndarray, last: np.ndarray, bits: int) -> list[tuple]:
+    """Merged runs in one row for each bucket of documents (rows of ``keys``): their keys, numbers of runs, and runs."""
+    doc, first, last = _merged(doc, first, last)
+    bucket = keys[doc, 1] & ((1 << bits) - 1)
+    order = np.argsort(bucket, kind="stable")
+    doc, runs, bucket = doc[order], np.stack([first, last], axis=1)[order].astype(np.int32), bucket[order]
+    rows = []
+    cut = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        own, counts = np.unique(doc[a:b], return_counts=True)
+        rows.append((int(bucket[a]), _pack(keys[own]), _pack(counts.astype(np.int32)), _pack(runs[a:b])))
+    return rows
+
+
+def _unite_runs(group: pd.DataFrame) -> pd.DataFrame:
+    """The runs of each document of a bucket as few runs that don't touch: one row a document, pairs of int32."""
+    keys = np.concatenate([_unpack(x, np.int64).reshape(-1, 2) for x in group["keys"]])
+    counts = np.concatenate([_unpack(x, np.int32) for x in group["counts"]])
+    runs = np.concatenate([_unpack(x, np.int32).reshape(-1, 2) for x in group["runs"]]).astype(np.int64)
+    keys, index = np.unique(keys, axis=0, return_inverse=True)
+    doc, first, last = _merged(np.repeat(index.ravel(), counts), runs[:, 0], runs[:, 1])
+    raw = np.stack([first, last], axis=1).astype(np.int32).tobytes()
+    ends = np.append(np.flatnonzero(np.diff(doc, prepend=-1)), len(doc)).tolist()
+    spans = [raw[8 * a : 8 * b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return pd.DataFrame({"doc_id": keys[:, 0], "th": keys[:, 1], "spans": spans})
+
+
+# of settled runs (negative range): keys, counts in ``docs`` and runs in ``places``
+SUFFIXES = "range int, keys binary, docs binary, places binary, shifts binary, bytes binary"
+_KINDS = (pa.int32(), *[pa.binary()] * 5)
 _NAMES = [c.split()[0] for c in SUFFIXES.split(", ")]
 
 
@@ -240,8 +268,8 @@ def _ranges(after: np.ndarray, before: np.ndarray, bits: int) -> np.ndarray:
     return (_mix(least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _suffix_batches(bits: int, low: int, range_bits: int):
-    """Remaining suffixes of each block by range; repeats within the block come out as spans (negative range)."""
+def _suffix_batches(bits: int, low: int, range_bits: int, bucket_bits: int):
+    """Remaining suffixes of each block by range; repeats within the block come out as runs (negative range)."""
 
     def of_block(row: dict) -> Iterator[pa.RecordBatch]:
         block = Block(row["keys"], row["lengths"], row["data"], bits + low)
@@ -275,8 +303,8 @@ def _suffix_batches(bits: int, low: int, range_bits: int):
         fresh = np.concatenate([[True], (whole[1:] != whole[:-1]).any(axis=1) | (shifts[1:] != shifts[:-1])])
         first = np.flatnonzero(fresh)
         later = ids > np.repeat(ids[first], np.diff(np.append(first, len(ids))))
-        settled = _span_rows(block.keys, doc[later], at[later] - (shifts[later] & 255), at[later] - (shifts[later] >> 8))
-        rows: list[tuple] = [(-1 - (r[1] & ((1 << range_bits) - 1)), *r, *[None] * 5) for r in settled]
+        settled = _packed_runs(block.keys, doc[later], at[later] - (shifts[later] & 255), at[later] - (shifts[later] >> 8), bucket_bits)
+        rows: list[tuple] = [(-1 - bucket, *packed, None, None) for bucket, *packed in settled]
         whole, shifts, doc, at = whole[~later], shifts[~later], doc[~later], at[~later]
         of = _ranges(whole[:, : LENGTH - highest], whole[:, LENGTH : LENGTH + lowest], range_bits)
         order = np.lexsort((at, doc, of))  # what overlaps in the text stands together
@@ -287,7 +315,7 @@ def _suffix_batches(bits: int, low: int, range_bits: int):
             docs, index = np.unique(doc[part], return_inverse=True)
             text = _zip(np.concatenate([whole[part, LENGTH:][:, ::-1], whole[part, :LENGTH]], axis=1).tobytes())
             packed = (_pack(x.astype(np.int32)) for x in (index, at[part], shifts[part]))
-            rows.append((int(r), None, None, None, _pack(block.keys[docs]), *packed, text))
+            rows.append((int(r), _pack(block.keys[docs]), *packed, text))
         for i in range(0, len(rows), 2000):
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[i : i + 2000]], k) for c, k in enumerate(_KINDS)], _NAMES)
 
@@ -322,14 +350,23 @@ def _later(ids: np.ndarray, name: np.ndarray) -> np.ndarray:
     return ranked[ids[ranked] > np.repeat(ids[ranked][first], np.diff(np.append(first, len(ranked))))]
 
 
-def _compare_suffixes(group: pd.DataFrame) -> pd.DataFrame:
-    """Repeats of a smaller document among the suffixes of one range.
+def _compare_suffixes(bucket_bits: int):
+    """Repeats of a smaller document among the suffixes of one range, as runs by bucket of documents.
 
-    A negative range holds spans that are settled already and pass through. Suffixes that are equal with
+    A negative range holds runs that are settled already and pass through. Suffixes that are equal with
     all that is before them are settled at once; of these the first stands for all.
     """
-    if group["range"].iloc[0] < 0:
-        return group[["doc_id", "th", "spans"]].astype({"doc_id": "int64", "th": "int64"})
+
+    def made(group: pd.DataFrame) -> pd.DataFrame:
+        if group["range"].iloc[0] < 0:
+            return pd.DataFrame({"bucket": -1 - group["range"], "keys": group["keys"], "counts": group["docs"], "runs": group["places"]})
+        return pd.DataFrame(_packed_runs(*_repeats(group), bucket_bits), columns=["bucket", "keys", "counts", "runs"]).astype({"bucket": "int32"})
+
+    return made
+
+
+def _repeats(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of documents, and document, first and last start of each run of repeats."""
     pairs = [_unpack(x, np.int64).reshape(-1, 2) for x in group["keys"]]
     keys = np.concatenate(pairs)
     bases = np.cumsum([0, *map(len, pairs)])
@@ -354,17 +391,7 @@ def _compare_suffixes(group: pd.DataFrame) -> pd.DataFrame:
             name = _ranks(*after, LENGTH - shift)[own] * (len(doc) + 1) + _ranks(*before, shift)[own]
             later = own[_later(ids[own], name)]
             found.append((doc[later], at[later] - shift, at[later] - shift))
-    rows = _span_rows(keys, *(np.concatenate(c) for c in zip(*found, strict=True)))
-    return pd.DataFrame(rows, columns=["doc_id", "th", "spans"]).astype({"doc_id": "int64", "th": "int64"})
-
-
-def _unite_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The runs of each document as few runs of starts that don't touch."""
-    for batch in batches:
-        runs = [np.frombuffer(b"".join(spans), np.int32).reshape(-1, 2).astype(np.int64) for spans in batch.column(2).to_pylist()]
-        keys = np.stack([batch.column(i).to_numpy() for i in range(2)], axis=1)
-        rows = _span_rows(keys, np.repeat(np.arange(len(runs)), [len(r) for r in runs]), *np.concatenate([np.zeros((0, 2), np.int64), *runs]).T)
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "th", "spans"])
+    return keys, *(np.concatenate(c) for c in zip(*found, strict=True))
 
 
 def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -416,10 +443,10 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     range_bits = max(1, math.ceil(math.log2(1 + left * (BEFORE + LENGTH) / SUFFIX_BYTES)))
     by_block = flags.groupBy("block").agg(F.collect_list(F.struct("range", "flags", "size")).alias("flags"), F.sum("n").alias("n")).filter("n > 0")
     both = blocks.join(_small(by_block, F.aggregate("flags", F.lit(0), lambda a, f: a + F.octet_length(f["flags"]) + 16)), "block")
-    suffixes = both.select("keys", "lengths", "data", "flags").mapInArrow(_suffix_batches(bits, low, range_bits), SUFFIXES)
-    found = suffixes.groupBy("range").applyInPandas(_compare_suffixes, "doc_id long, th long, spans binary")
-    own = found.groupBy("doc_id", "th").agg(F.collect_list("spans").alias("spans"))  # a document's own
-    return written(own.mapInArrow(_unite_batches, "doc_id long, th long, spans binary"), "suffix-spans")
+    bucket_bits = max(1, math.ceil(math.log2(1 + left / BUCKET_NAMES)))
+    suffixes = both.select("keys", "lengths", "data", "flags").mapInArrow(_suffix_batches(bits, low, range_bits, bucket_bits), SUFFIXES)
+    runs = suffixes.groupBy("range").applyInPandas(_compare_suffixes(bucket_bits), RUNS)
+    return written(runs.groupBy("bucket").applyInPandas(_unite_runs, "doc_id long, th long, spans binary"), "suffix-spans")
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:

@@ -374,7 +374,7 @@ def brute_repeats(made):
 @pytest.mark.parametrize("small", [False, True])
 def test_suffix_dedup_matches_brute_force(spark, documents, monkeypatch, small):
     if small:  # shuffled joins, many blocks and ranges
-        for name, value in (("BROADCAST_BYTES", -1), ("BLOCK", 20000), ("RANGE_BYTES", 9000), ("SUFFIX_BYTES", 50000), ("HOT_BLOCKS", 2)):
+        for name, value in (("BROADCAST_BYTES", -1), ("BLOCK", 20000), ("RANGE_BYTES", 9000), ("SUFFIX_BYTES", 50000), ("BUCKET_NAMES", 500), ("HOT_BLOCKS", 2)):
             monkeypatch.setattr(suffix_dedup, name, value)
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(1, 5)))
@@ -589,6 +589,22 @@ def test_copies_do_not_crowd_a_label_out(spark, monkeypatch):
     assert got[0].score not in (0.0, 1.0) or got[240].score != 0.5  # scored by a forest, not by the labels
 
 
+def test_scratch_tables_of_an_application_can_be_removed(spark):
+    from sieveline.llm import common
+
+    table = common.written(spark.range(3).toDF("n"), "removed")
+    assert table.count() == 3 and common.scratch_folder(spark).endswith(spark.sparkContext.applicationId)
+    before, common.scratch_folder = common.scratch_folder, lambda s: before(s) + "-test"
+    try:
+        path = common.scratch_path(spark, "x")
+        spark.range(2).write.parquet(path)
+        common.remove_scratch(spark)
+        with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+            spark.read.parquet(path)
+    finally:
+        common.scratch_folder = before
+
+
 # --- pipeline ---------------------------------------------------------------------------------------
 
 
