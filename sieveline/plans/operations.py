@@ -413,11 +413,21 @@ def s13(spark, sf_dir):
     return formats.read_events(spark, path, streams.EVENT).select("id", "job_id", "type", "phase", "step")
 
 
-@query("s14_write_epitope_csv", f"WITH {V.EPITOPES} SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY id) AS number, id, sequence, CASE WHEN selected THEN 'Yes' ELSE 'No' END AS selected FROM epitopes")
+@query("s14_write_epitope_csv", f"""WITH {V.EPITOPES} SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY id)::int AS number, type, sequence, accession AS protein, accession, start::int AS position, length(sequence)::int AS "window", allele,
+round(percentile, 6) AS percentile, round(antigenicity, 6) AS antigenicity, CASE WHEN toxin_safety <= 0.6 THEN 'Yes' ELSE 'No' END AS toxic, CASE WHEN allergen_safety <= 0.679 THEN 'Yes' ELSE 'No' END AS allergenic,
+CASE WHEN selected THEN 'Yes' ELSE 'No' END AS selected, 17 AS columns FROM epitopes""")
 def s14(spark, sf_dir):
     path = scratch_path(spark, "epitopes-csv")
-    formats.write_epitope_csv(V.epitopes(spark, sf_dir), path)
-    return spark.read.csv(path, header=True).select("run_id", F.col("number").cast("int").alias("number"), "id", "sequence", "selected")
+    flags = {"window": F.length("sequence"), "is_toxic": F.col("toxin_safety") <= 0.6, "is_allergenic": F.col("allergen_safety") <= 0.679}
+    formats.write_epitope_csv(V.epitopes(spark, sf_dir).withColumns(flags), path)
+    back = spark.read.csv(path, header=True)
+    number = lambda c, kind: F.col(c).cast(kind)
+    return back.select(
+        "run_id", number("#", "int").alias("number"), F.col("Type").alias("type"), F.col("Sequence").alias("sequence"), F.col("Source Protein").alias("protein"),
+        F.col("Source Protein ID").alias("accession"), number("Position", "int").alias("position"), number("Window", "int").alias("window"), F.col("HLA Allele").alias("allele"),
+        r6(number("Percentile Rank", "double")).alias("percentile"), r6(number("Antigenicity", "double")).alias("antigenicity"), F.col("Toxic").alias("toxic"),
+        F.col("Allergenic").alias("allergenic"), F.col("Selected").alias("selected"), F.lit(len(back.columns) - 1).alias("columns"),
+    )
 
 
 @query("s15_write_fasta", f"WITH {_CONSTRUCT} SELECT count(*) AS records, sum(length(construct))::bigint AS residues FROM constructs")

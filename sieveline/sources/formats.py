@@ -15,7 +15,13 @@ HIT_LAYOUTS = {
     12: "qseqid string, sseqid string, pident double, length int, mismatch int, gapopen int, qstart int, qend int, sstart int, send int, evalue double, bitscore double",
 }
 RANK_COLUMNS = ("consensus_percentile_rank", "percentile_rank", "rank", "adjusted_rank")
-EPITOPE_COLUMNS = ("id", "type", "sequence", "accession", "start", "allele", "percentile", "antigenicity", "selected")
+#: headers of the epitope exchange file behind the row number, and the columns that they show: a fixed format
+EPITOPE_COLUMNS = (
+    ("Type", "type"), ("Sequence", "sequence"), ("Source Protein", "protein_name"), ("Source Protein ID", "accession"), ("Position", "start"),
+    ("Window", "window"), ("HLA Allele", "allele"), ("Method", "method"), ("Provenance", "provenance"), ("IC50 (nM)", "ic50"),
+    ("Percentile Rank", "percentile"), ("Antigenicity", "antigenicity"), ("Immunogenicity", "immunogenicity"), ("Toxic", "is_toxic"),
+    ("Allergenic", "is_allergenic"), ("Selected", "selected"),
+)
 LABELS = (
     "Cell-wall-anchored", "Cell Wall Anchored", "Wall anchored", "CellWall/Extracellular", "CellWall/Membrane", "CytoplasmicMembrane",
     "Outer membrane", "OuterMembrane", "Lipoprotein", "Extracellular", "CellWall", "Secreted", "Cytoplasmic",
@@ -150,11 +156,17 @@ def read_jobs_jdbc(spark: SparkSession, url: str, table: str, schema: str, colum
 
 
 def write_epitope_csv(epitopes: DataFrame, path: str) -> None:
-    """Numbered epitope rows by run with Yes/No flags; quotes are doubled."""
-    yes = lambda c: F.when(F.col(c), "Yes").otherwise("No")
+    """Epitope rows with their number in the run (``#``) and Yes/No flags; what the rows don't have is empty, quotes are doubled."""
+    flags = ("is_toxic", "is_allergenic", "selected")
+    there = epitopes if "protein_name" in epitopes.columns else epitopes.withColumn("protein_name", F.col("accession"))
+
+    def shown(column: str) -> Column:
+        value = F.col(column) if column in there.columns else F.lit(None)
+        return F.when(value.cast("boolean"), "Yes").otherwise("No") if column in flags else value.cast("string")
+
     number = F.row_number().over(Window.partitionBy("run_id").orderBy("id"))
-    columns = [yes(c).alias(c) if c == "selected" else F.col(c) for c in EPITOPE_COLUMNS]
-    epitopes.select("run_id", number.alias("number"), *columns).write.option("header", True).option("escape", '"').csv(path)
+    columns = [shown(column).alias(header) for header, column in EPITOPE_COLUMNS]
+    there.select("run_id", number.alias("#"), *columns).write.option("header", True).option("escape", '"').csv(path)
 
 
 def write_json(rows: DataFrame, path: str) -> None:
