@@ -47,3 +47,10 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of an ASCII text in DuckDB SQL, which has no function for it (oracles only)."""
+    octet = "list_reduce([xor(crc, code), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, _: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)"
+    codes = f"list_concat([4294967295], list_transform(string_split({text}, ''), lambda ch: ascii(ch)::bigint))"
+    return f"xor(list_reduce({codes}, lambda crc, code: {octet}), 4294967295)"
