@@ -61,7 +61,7 @@ def _pack_block(ids: list[int], labels: list[int], vectors: list[np.ndarray]) ->
     return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, KINDS, strict=True)], FIELDS)
 
 
-def _pack_blocks(scale: int):
+def _pack_blocks(scale: int, components: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, labels, vectors, width = [], [], [], 1
         for batch in batches:
@@ -74,7 +74,7 @@ def _pack_blocks(scale: int):
                 labels.append(label)
                 vectors.append(whole[offsets[i] : offsets[i + 1]])
                 width = max(width, len(vectors[-1]))
-                if (len(ids) + 1) * width > COMPONENTS:
+                if (len(ids) + 1) * width > components:
                     yield _pack_block(ids, labels, vectors)
                     ids, labels, vectors, width = [], [], [], 1
         if ids:
@@ -231,9 +231,9 @@ def _ranked(found: DataFrame, size: int) -> DataFrame:
 def hard_negatives(rows: DataFrame, anchor: Column, low: int = 30, high: int = 90, positives: int = POSITIVES, negatives: int = NEGATIVES, scale: int = SCALE) -> DataFrame:
     """For every anchor and each of its best same-label rows, the best different-label rows with ``low`` to ``high`` per cent of that score."""
     vectors = clean_vectors(rows)
-    blocks = written(vectors.mapInArrow(_pack_blocks(scale), BLOCK), "negatives-blocks")
+    blocks = written(vectors.mapInArrow(_pack_blocks(scale, COMPONENTS), BLOCK), "negatives-blocks")
     chosen = vectors.filter(anchor)
-    chosen = written(chosen.repartition(chosen.count() // 4096 + 1).mapInArrow(_pack_blocks(scale), BLOCK), "negatives-anchors")
+    chosen = written(chosen.repartition(chosen.count() // 4096 + 1).mapInArrow(_pack_blocks(scale, COMPONENTS), BLOCK), "negatives-anchors")
     renamed = chosen.select(F.monotonically_increasing_id().alias("round"), *[F.col(c).alias(f"anchor_{c}") for c in FIELDS])
     renamed, out = written(renamed, "negatives-rounds"), None
     for (round_id,) in renamed.select("round").collect():  # one number for each block of anchors

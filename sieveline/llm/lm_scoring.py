@@ -70,30 +70,33 @@ def encode_batch(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 BATCHES = "batch long, doc_ids array<long>, train array<boolean>, lengths binary, words binary, codes binary, n_tokens long"
 
 
-def _encode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, made = TaskContext.get().partitionId(), 0
-    ids, train, parts, size = [], [], [], 0
-
-    def flush() -> pa.RecordBatch:
-        words, codes, lengths = encode_batch(pa.concat_arrays(parts))
-        raw = [x.tobytes() for x in (lengths.astype(np.uint32), words, codes)]
-        columns = [pa.array([(part << 32) + made]), pa.array([ids], pa.list_(pa.int64())), pa.array([train], pa.list_(pa.bool_()))]
-        return pa.RecordBatch.from_arrays([*columns, *[pa.array([r], pa.binary()) for r in raw], pa.array([len(codes)])], [c.split()[0] for c in BATCHES.split(", ")])
-
-    for batch in batches:
-        texts = batch.column(2)
-        for at in range(0, len(texts), 256):
-            piece = texts.slice(at, 256)
-            ids += batch.column(0).slice(at, 256).to_pylist()
-            train += batch.column(1).slice(at, 256).to_pylist()
-            parts.append(piece)
-            size += (pc.sum(pc.binary_length(piece)).as_py() or 0) // 6 + 2 * len(piece)  # about six bytes a token
-            if size >= BATCH_TOKENS:
-                yield flush()
-                ids, train, parts, size = [], [], [], 0
-                made += 1
-    if ids:
-        yield flush()
+def _encode_batches(batch_tokens: int):
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, made = TaskContext.get().partitionId(), 0
+        ids, train, parts, size = [], [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            words, codes, lengths = encode_batch(pa.concat_arrays(parts))
+            raw = [x.tobytes() for x in (lengths.astype(np.uint32), words, codes)]
+            columns = [pa.array([(part << 32) + made]), pa.array([ids], pa.list_(pa.int64())), pa.array([train], pa.list_(pa.bool_()))]
+            return pa.RecordBatch.from_arrays([*columns, *[pa.array([r], pa.binary()) for r in raw], pa.array([len(codes)])], [c.split()[0] for c in BATCHES.split(", ")])
+
+        for batch in batches:
+            texts = batch.column(2)
+            for at in range(0, len(texts), 256):
+                piece = texts.slice(at, 256)
+                ids += batch.column(0).slice(at, 256).to_pylist()
+                train += batch.column(1).slice(at, 256).to_pylist()
+                parts.append(piece)
+                size += (pc.sum(pc.binary_length(piece)).as_py() or 0) // 6 + 2 * len(piece)  # about six bytes a token
+                if size >= batch_tokens:
+                    yield flush()
+                    ids, train, parts, size = [], [], [], 0
+                    made += 1
+        if ids:
+            yield flush()
+
+    return encode
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -282,7 +285,7 @@ def _score_batches(order: int, n_tokens: int, n_types: int, mass: float):
 def score_documents(docs: DataFrame, train: Column, order: int = ORDER, mass: float = MASS) -> DataFrame:
     """Scores of all documents by the model of those for which ``train`` holds: ``SCORES``."""
     own = docs.select(F.col("doc_id").cast("long"), F.coalesce(train, F.lit(True)).alias("train"), "text")
-    batches = written(own.mapInArrow(_encode_batches, BATCHES), "lm-batches", compression="zstd")
+    batches = written(own.mapInArrow(_encode_batches(BATCH_TOKENS), BATCHES), "lm-batches", compression="zstd")
     tokens = batches.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     bits = max(3, math.ceil(math.log2(max(1, order * tokens / RANGE_GRAMS))))
     sent = batches.drop("doc_ids").mapInArrow(_send_grams(order, bits), COUNTS)
