@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .matching import matching_ratio
 from .scales import PROPERTIES, RESIDUES
 
 LAGS, CROSS_LAGS, LEAST_LENGTH = 30, 5, 37
@@ -80,13 +81,6 @@ def isoelectric_point(sequences: pd.Series) -> pd.Series:
     return pd.Series(np.round(low, 6)).where((sequences.str.len() > 0).to_numpy(bool, na_value=False))
 
 
-def matching_ratio(a: str, b: str) -> float:
-    """2 * matched / (len(a) + len(b)) with the blocks of a longest-match-first alignment."""
-    from difflib import SequenceMatcher
-
-    return SequenceMatcher(None, a, b, autojunk=False).ratio()
-
-
 @F.pandas_udf(DoubleType())
 def identity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else matching_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

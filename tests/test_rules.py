@@ -146,17 +146,6 @@ def test_clusters_equal_the_sequential_rule_for_scattered_differences(spark, mon
     assert len(set(got.values())) < len(sequences) - 8
 
 
-def test_common_subsequence_is_exact():
-    rng = random.Random(7)
-    for _ in range(100):
-        a, b = ("".join(rng.choice("ACD") for _ in range(rng.randrange(0, 12))) for _ in "ab")
-        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i, x in enumerate(a, 1):
-            for j, y in enumerate(b, 1):
-                table[i][j] = table[i - 1][j - 1] + 1 if x == y else max(table[i - 1][j], table[i][j - 1])
-        assert cluster.common_subsequence(a, cluster.letter_masks(b), len(b)) == table[-1][-1]
-
-
 def test_clusters_of_the_queries_take_whole_sequences(spark, data):
     from sieveline.plans import views
     from sieveline.plans.operations import QUERIES
