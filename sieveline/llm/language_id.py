@@ -35,7 +35,6 @@ BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 SWITCH_PENALTY = 12.0
 SCRIPT_SHARE = 0.001
-MOST_LANGS = 512
 #: \w has these too, but they are no letters: superscripts, fractions, Roman and circled numbers
 NUMERALS = "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 WORD = re.compile(rf"[^\W\d_{NUMERALS}]+")
@@ -123,15 +122,18 @@ class Model:
 
 
 def train(docs: DataFrame) -> Model:
-    """A model from rows with text and lang; sums of fixed size reach the driver for each of at most ``MOST_LANGS`` languages, never rows."""
+    """A model from rows with text and lang; one row of sums of fixed size reaches the driver for each language, never texts.
+
+    The model takes ``4 * BUCKETS`` bytes for each language, 128 KB; all the languages that have a code (about 8,000) take 1 GB.
+    """
     rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang")
-    if rows.select("lang").distinct().limit(MOST_LANGS + 1).count() > MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} languages")
-    counted = rows.mapInArrow(_count_batches, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(counted["lang"].unique())
+    counted = rows.mapInArrow(_count_batches, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    packed = counted.groupBy("lang").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("counts")).collect()
+    packed = sorted(packed, key=lambda r: r.lang)
+    langs = [r.lang for r in packed]
     table = np.zeros((BUCKETS + len(SCRIPT_NAMES), len(langs)))
-    if langs:
-        table[counted["bucket"], np.searchsorted(langs, counted["lang"])] = counted["n"]
+    for k, r in enumerate(packed):
+        table[r.buckets, k] = r.counts
     grams, letters = table[:BUCKETS] + 0.5, table[BUCKETS:]
     score = np.log(grams / grams.sum(axis=0)) if langs else grams
     share = letters / np.maximum(letters.sum(axis=0), 1)

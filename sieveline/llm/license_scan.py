@@ -143,7 +143,7 @@ TEXTS = (
     ("wtfpl", "what the", r"do what the f[^ ]{3} you want to public license"),
     ("zlib", "warranty in no event", r"this software is provided as is without any express or implied warranty in no event will the authors? be held liable for any damages arising from the use of this software"),
     ("ofl-1.1", "font software", r"this font software is licensed under the sil open font license version 1 1"),
-    ("cc0-1.0", "cc0", r"to the extent possible under law{0} has waived all copyright and related or neighboring rights".replace("{0}", ANY)),
+    ("cc0-1.0", "to the extent possible", r"to the extent possible under law{0} has waived all copyright and related or neighboring rights".replace("{0}", ANY)),
     ("json", "good not evil", r"the software shall be used for good not evil"),
     ("beerware", "retain this notice", r"as long as you retain this notice you can do whatever you want with this stuff"),
     ("openssl", "openssl", r"this product includes software developed by the openssl project"),
@@ -152,8 +152,8 @@ TEXTS = (
     ("ms-rl", "microsoft reciprocal", r"microsoft reciprocal license(?: ms rl)?"),
     ("elastic-2.0", "elastic license", r"elastic license(?: version)? 2 0"),
     ("sspl-1.0", "server side public", r"server side public license(?: version 1)?"),
-    ("python-2.0", "python software", r"psf is making python available to licensee on an as is basis"),
-    ("curl", "derived", r"except as contained in this notice the name of a copyright holder shall not be used in advertising or otherwise to promote the sale"),
+    ("python-2.0", "psf is making", r"psf is making python available to licensee on an as is basis"),
+    ("curl", "except as contained", r"except as contained in this notice the name of a copyright holder shall not be used in advertising or otherwise to promote the sale"),
     ("ncsa", "ncsa", r"university of illinois ncsa open source license"),
     ("proprietary", "confidential", r"this (?:file|source code|software) (?:contains|is) (?:the )?(?:proprietary and )?confidential(?: and proprietary)?(?: information)? of"),
 )

@@ -12,7 +12,7 @@ independent Poisson draws is again Poisson, so no rate is capped and no table gr
 
 Edge cases: a null source is a source of its own; a null or empty text has size 0 and counts as one
 character when rates are set, so no rate divides by zero; rows that repeat a ``doc_id`` draw the same
-count; an empty table gives an empty result; all input columns are kept, and the added columns
+count; a row with a null ``doc_id`` draws by its text; an empty table gives an empty result; all input columns are kept, and the added columns
 ``n_copies``, ``copy`` and ``shuffle_key`` replace input columns of those names.
 """
 
@@ -76,12 +76,13 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, out_rati
     rates = F.broadcast(rates) if rates.count() <= BROADCAST_SOURCES else rates
     docs = docs.drop("n_copies", "copy", "shuffle_key")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # whatever its columns are called
+    name = F.coalesce(F.col("row.doc_id").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(F.col("row.text"), F.lit("")))))
     drawn = rows.join(rates, F.col("row.source").eqNullSafe(F.col("source")))
-    uniforms = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda part: uniform(F.lit(seed), part, F.col("row.doc_id")))
+    uniforms = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda part: uniform(F.lit(seed), part, name))
     draws = F.transform(uniforms, lambda u: F.size(F.filter("table", lambda c: c < u)))
     drawn = drawn.select("row", F.aggregate(draws, F.lit(0), lambda a, x: a + x).alias("n_copies")).filter("n_copies > 0")
     copies = drawn.select("row", "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy"))
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("order"), F.col("row.doc_id").cast("string"), F.col("copy").cast("string")).cast("binary"))
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("order"), name, F.col("copy").cast("string")).cast("binary"))
     dealt = copies.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
     return dealt.select("row.*", "n_copies", "copy", "shuffle_key")
 

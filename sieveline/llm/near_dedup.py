@@ -3,8 +3,8 @@
 Sketch: for each of ``VALUES`` hash functions the ``2`` smallest occurrence-labelled shingles of
 ``SHINGLE`` words are taken and hashed in their text order, so a value agrees when both the shingles
 and their order do. ``TABLES`` tables each combine ``ROWS`` values into a bucket key. Candidates are
-verified by banded alignment of the word sequences: similarity is the share of aligned shingles,
-``m / (a + b - m)``, and documents at ``THRESHOLD`` or more are linked. A document's class is the
+verified by banded alignment of the word sequences: similarity is the largest share of shingles that an
+alignment of the words pairs up, ``m / (a + b - m)``, and documents at ``THRESHOLD`` or more are linked. A document's class is the
 connected component of links; its id is the smallest ``doc_id`` in it.
 
 Scale: equal texts collapse to one representative first, with partial aggregation, so copies never
@@ -15,7 +15,8 @@ every bucket that still spans several components compares what lies outside its
 all of its members in other components. No bucket is capped and no pair that could join two components is
 skipped; pairs inside a component can't change the result. Every join of a bucket has an exact bound in
 its condition: the parities of the shingles by a hash of ``PARITIES`` values differ in at most as many
-places as there are shingles of one text only, so that pairs with too many of these needn't be aligned.
+places as there are shingles of one text only, so that pairs with too many of these needn't be aligned; texts with more
+than half as many shingles have parities in proportion to their length besides.
 Components are found on the graph of components, by joins over the links, each iteration written to the
 shared folder.
 
@@ -84,7 +85,7 @@ def labelled_shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
         run = np.flatnonzero(first)
         occurrence = np.empty(len(h), np.uint64)
         occurrence[order] = (np.arange(len(h)) - np.repeat(run, np.diff(np.append(run, len(h))))).astype(np.uint64)
-        h = _mix(h + occurrence * np.uint64(0xD6E8FEB86659FD93))
+        h = np.where(occurrence > 0, _mix(h + occurrence * np.uint64(0xD6E8FEB86659FD93)), h)  # a first one is the same in every text
     return h
 
 
@@ -106,22 +107,28 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return _mix(early * np.uint64(0x9E3779B97F4A7C15) + late).astype(np.uint32)
 
 
-def parities(shingles: np.ndarray) -> np.ndarray:
-    """Whether an odd number of shingles has each value of a hash, as 64-bit numbers.
+def parities(shingles: np.ndarray, n: int = PARITIES) -> np.ndarray:
+    """Whether an odd number of shingles has each of n values of a hash, as 64-bit numbers.
 
     Shingles that two texts share cancel out, so two of these differ in at most as many bits as there are others.
     """
-    odd = np.bincount((shingles >> np.uint64(20)).astype(np.int64) % PARITIES, minlength=PARITIES) & 1
+    odd = np.bincount((shingles >> np.uint64(20)).astype(np.int64) % n, minlength=n) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def wide_parities(shingles: np.ndarray) -> np.ndarray | None:
+    """Parities of a long text, twice as many as it has shingles at least, a power of two: few of its shingles meet in one."""
+    n = len(shingles)
+    return None if 2 * n <= PARITIES else parities(shingles, 1 << (2 * n - 1).bit_length())
+
+
 BITS = [f"p{i}" for i in range(PARITIES // 64)]
-MADE = f"doc_id long, th long, exact binary, n int, {', '.join(f'{p} long' for p in BITS)}, keys array<long>"
+MADE = f"doc_id long, th long, exact binary, n int, {', '.join(f'{p} long' for p in BITS)}, wide array<long>, keys array<long>"
 
 
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache: dict[bytes, int] = {}
-    kinds = (pa.binary(), pa.int32(), *[pa.int64() for _ in BITS], pa.list_(pa.int64()))
+    kinds = (pa.binary(), pa.int32(), *[pa.int64() for _ in BITS], pa.list_(pa.int64()), pa.list_(pa.int64()))
     for batch in batches:
         rows: list[tuple] = []
         for text in batch.column(2).to_pylist():
@@ -137,27 +144,19 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             key = np.arange(TABLES, dtype=np.uint64)
             for i in range(ROWS):
                 key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + values[_PICKS[:, i]])
-            rows.append((hashlib.md5(b" ".join(raw.split())).digest(), len(shingles), *parities(shingles).tolist(), key.astype(np.int64)))
+            rows.append((hashlib.md5(b" ".join(raw.split())).digest(), len(shingles), *parities(shingles).tolist(), wide_parities(shingles), key.astype(np.int64)))
         columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], [c.split()[0] for c in MADE.split(", ")])
 
 
-def aligned_similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD, size: int = SHINGLE) -> float:
-    """Share of shingles that a best alignment of the words pairs up; 0 once it must be below the threshold.
+def most_unpaired(sa: int, sb: int, threshold: float) -> int:
+    """Shingles of both texts that may have no partner at this similarity."""
+    return int((sa + sb) * (1 - threshold) / (1 + threshold) + 1e-9)
 
-    Greedy furthest-reaching alignment, one edit more each step, inside the band of diagonals that the
-    threshold leaves: each inserted or deleted word breaks at least one shingle.
-    """
-    a, b = a.tolist(), b.tolist()
+
+def _greedy_pairs(a: list[int], b: list[int], size: int, most: int) -> int:
+    """Shingles paired by a furthest-reaching alignment with the fewest edits: a lower bound of what can be paired."""
     na, nb = len(a), len(b)
-    if a == b:
-        return 1.0
-    if min(na, nb) < size:
-        return 0.0
-    sa, sb = na - size + 1, nb - size + 1
-    if min(sa, sb) < threshold * max(sa, sb):
-        return 0.0
-    most = int((sa + sb) * (1 - threshold) / (1 + threshold) + 1e-9) + 1
     reach = {1: (0, 0)}  # by diagonal: how far a got, shingles paired so far
     for d in range(most + 1):
         new = {}
@@ -175,10 +174,63 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOL
                 y += 1
             paired += max(0, x - begin - size + 1)
             if x >= na and y >= nb:
-                return paired / (sa + sb - paired)
+                return paired
             new[k] = (x, paired)
         reach = new
-    return 0.0
+    return 0
+
+
+def most_pairs(a: np.ndarray, b: np.ndarray, size: int, need: int, most: int) -> int:
+    """The most shingles that an alignment of the words can pair, inside the band that ``most`` unpaired ones leave.
+
+    A pair either goes on with the pair before it on its diagonal, or begins behind all words of earlier pairs. 0 if it's below ``need``.
+    """
+    sa, sb = len(a), len(b)
+    low, high = (sb - sa - most) // 2, (sb - sa + most + 1) // 2  # diagonals j - i
+    width = high - low + 1
+    b = np.concatenate([np.zeros(max(0, -low), b.dtype), b, np.zeros(max(0, high + sa - sb), b.dtype)])  # b[j] is at j - min(low, 0)
+    valid = np.zeros(len(b), bool)
+    valid[max(0, -low) : max(0, -low) + sb] = True
+    begin = max(0, -low)
+    ending = np.zeros(width, np.int32)  # pairs of an alignment that ends with this pair, by diagonal
+    best = [np.zeros(width, np.int32) for _ in range(size + 1)]  # of the last rows: the most pairs up to this row and diagonal
+    for i in range(sa):
+        at = begin + i + low
+        match = (b[at : at + width] == a[i]) & valid[at : at + width]
+        # row i - size, column j - size: the same diagonal
+        ending = np.where(match, np.maximum(ending, best[(i - size) % (size + 1)] if i >= size else 0) + 1, 0).astype(np.int32)
+        above = np.append(best[(i - 1) % (size + 1)][1:], 0) if i else 0  # the same column is one diagonal up in the row before
+        best[i % (size + 1)] = np.maximum.accumulate(np.maximum(ending, above))
+        if best[i % (size + 1)][-1] + sa - 1 - i < need:
+            return 0
+    return int(best[(sa - 1) % (size + 1)].max())
+
+
+def aligned_similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD, size: int = SHINGLE) -> float:
+    """Share of shingles that a best alignment of the words pairs up; 0 once it must be below the threshold.
+
+    Texts whose shingles in common are too few in any order aren't aligned. A greedy alignment may prove a pair, else the
+    exact one is computed inside the band of diagonals that the threshold leaves.
+    """
+    if np.array_equal(a, b):
+        return 1.0
+    na, nb = len(a), len(b)
+    if min(na, nb) < size:
+        return 0.0
+    sa, sb = na - size + 1, nb - size + 1
+    if min(sa, sb) < threshold * max(sa, sb):
+        return 0.0
+    most = most_unpaired(sa, sb, threshold)
+    need = -(-(sa + sb - most) // 2)
+    ha, hb = labelled_shingles(a.astype(np.uint64), size), labelled_shingles(b.astype(np.uint64), size)
+    if len(np.intersect1d(ha, hb, assume_unique=True)) < need:
+        return 0.0
+    paired = _greedy_pairs(a.tolist(), b.tolist(), size, min(most, 64))
+    if paired < need:
+        _, codes = np.unique(np.concatenate([np.lib.stride_tricks.sliding_window_view(x, size) for x in (a, b)]), axis=0, return_inverse=True)
+        paired = most_pairs(codes[:sa] + 1, codes[sa:] + 1, size, need, most)
+    similarity = paired / (sa + sb - paired)
+    return similarity if similarity >= threshold else 0.0
 
 
 def _verify_batches(threshold: float):
@@ -214,11 +266,19 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def may_reach(x: str, y: str, threshold: float) -> Column:
     """False only for pairs below the threshold: of ``a + b`` shingles at most this share may be unpaired at it."""
+    na, nb = F.col(f"{x}.n"), F.col(f"{y}.n")
+    most = F.floor((na + nb) * ((1 - threshold) / (1 + threshold)) + 1e-9)
     differ = sum((F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}"))) for p in BITS), F.lit(0))
-    return differ <= F.floor((F.col(f"{x}.n") + F.col(f"{y}.n")) * ((1 - threshold) / (1 + threshold)) + 1e-9)
+    wa, wb = F.col(f"{x}.wide"), F.col(f"{y}.wide")
+    xor = lambda p, q: p.bitwiseXOR(q)
+    half = lambda w: F.zip_with(F.slice(w, 1, F.shiftright(F.size(w), 1)), F.slice(w, F.shiftright(F.size(w), 1) + 1, F.shiftright(F.size(w), 1)), xor)
+    folded = lambda w, other: F.when(F.size(w) > F.size(other), half(w)).otherwise(w)
+    apart = F.aggregate(F.zip_with(folded(wa, wb), folded(wb, wa), xor), F.lit(0), lambda n, z: n + F.bit_count(z))
+    near = (F.least(na, nb) >= F.greatest(na, nb) * threshold) & (differ <= most)
+    return F.when(near, wa.isNull() | wb.isNull() | (apart <= most)).otherwise(False)
 
 
-FIELDS = ["rep", "component", "n", *BITS]
+FIELDS = ["rep", "component", "n", *BITS, "wide"]
 
 
 def leader_pairs(entries: DataFrame, threshold: float) -> DataFrame:
@@ -285,7 +345,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     docs = keyed(docs)
     made = written(docs.mapInArrow(_sketch_batches, MADE), "near-sketches")
     # all of it follows from the text, so whichever copy gives them gives the same
-    firsts = [F.first(c).alias(c) for c in ("n", *BITS, "keys")]
+    firsts = [F.first(c).alias(c) for c in ("n", *BITS, "wide", "keys")]
     texts = made.filter("exact IS NOT NULL AND doc_id IS NOT NULL").groupBy("exact")
     texts = written(texts.agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.count("*").alias("copies"), *firsts), "near-texts")
     entries = texts.select("rep", F.posexplode("keys").alias("table", "key"))
@@ -295,7 +355,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     own = docs.join(few(members.select("rep.*")), ["doc_id", "th"], "left_semi").mapInArrow(_words_batches, "doc_id long, th long, words binary")
     words = own.groupBy(F.struct("doc_id", "th").alias("rep")).agg(F.first("words").alias("words"))  # a row may be there twice
     words = written(words, "near-words", compression="none")
-    label = written(texts.join(few(members), "rep").select("rep", F.col("rep").alias("component"), "n", *BITS), "near-label")
+    label = written(texts.join(few(members), "rep").select("rep", F.col("rep").alias("component"), "n", *BITS, "wide"), "near-label")
     for begin, end in zip(BATCHES[:-1], BATCHES[1:], strict=True):
         placed = buckets.filter(F.col("table").between(begin, end - 1)).join(few(label, min(BROADCAST_IDS, BROADCAST_SKETCHES)), "rep")
         label = _linked(label, written(leader_pairs(placed, threshold), "near-pairs"), words, threshold)

@@ -7,8 +7,8 @@ A random forest trained on labelled findings scores every candidate.
 
 Labelled findings are a table of the caller's, or by default the candidates that one of the label
 rules is sure about (known key shapes, key blocks and random values under a secret name, against
-numbers, addresses and placeholders). What these rules look at (shape, name, placeholder, entropy) is no
-feature, so the forest learns from the rest of a candidate and its surroundings. The forest is fitted on at most ``LABELLED_ROWS`` of each label, chosen
+numbers, addresses and placeholders). What these rules look at (shape, name, placeholder, digits, entropy) is no
+feature, and the name of a value is cut out of its neighbouring words, so the forest learns from the rest of a candidate and its surroundings. The forest is fitted on at most ``LABELLED_ROWS`` of each label, chosen
 by a hash of the finding's digest and place, so that equal findings can't crowd the others out; a
 labelled table without these columns is chosen by a hash of its features. Every candidate of every
 document is scored. The dictionary is the vocabulary of a public
@@ -64,7 +64,7 @@ KNOWN_SHAPES = (
 )
 NUMBER = re.compile(r"[0-9][0-9+/_\-]*")
 FEATURES = (
-    "length digits uppers lowers others transitions case_flips hex longest_run vowels coverage longest_word assigned "
+    "length uppers lowers others transitions case_flips hex longest_run vowels coverage longest_word "
     "path_test path_code path_depth left_secret right_secret left_digit neighbours_words"
 ).split()
 PATH_TEST = re.compile(r"(?i)test|spec|mock|fixture|example|sample|doc")
@@ -153,12 +153,14 @@ def describe(text: str, begin: int, end: int, key: str, path: str, words: frozen
         best = max(best, run)
     share, longest = covered(s, words)
     left, right = text[max(0, begin - 60) : begin], text[end : end + 60]
+    if key:  # the name of the value isn't one of its neighbours: the label rules look at it
+        left = left[: max(0, left.rfind(key[-60:]))]
     shape = next((name for name, rx in KNOWN_SHAPES if rx.fullmatch(s)), "")
     secret_key, placeholder = bool(SECRET_WORD.search(key)), bool(PLACEHOLDER.search(s))
     features = [
-        n, kinds.count(0) / n, kinds.count(1) / n, kinds.count(2) / n, kinds.count(3) / n, steps / n,
+        n, kinds.count(1) / n, kinds.count(2) / n, kinds.count(3) / n, steps / n,
         sum({a, b} == {1, 2} for a, b in zip(kinds, kinds[1:], strict=False)) / n, sum(c in "0123456789abcdefABCDEF" for c in s) / n,
-        best, sum(c in "aeiouAEIOU" for c in s) / n, share, longest, bool(key),
+        best, sum(c in "aeiouAEIOU" for c in s) / n, share, longest,
         bool(PATH_TEST.search(path)), bool(PATH_CODE.search(path)), path.count("/"), bool(SECRET_WORD.search(left)),
         bool(SECRET_WORD.search(right)), bool(DIGIT.search(left[-20:])), len(left.split()) + len(right.split()),
     ]

@@ -173,6 +173,29 @@ def test_only_survivors_suppress(spark):
     assert got == [["b", "c"], ["a", "d"], []]
 
 
+def test_keyword_of_every_rule_stands_in_its_own_sentence():
+    """A rule's keyword occurs wherever its sentence matches, in each of the sentence's plain forms."""
+    for label, keyword, sentence in license_scan.TEXTS:
+        plain = re.sub(r"\(\?![^)]*\)", "", sentence.replace(license_scan.ANY, " someone"))
+        plain = re.sub(r"\(\?: \[\^ \]\+\)\{0,110\}\?", "", plain).replace("f[^ ]{3}", "fuss")
+        shortest = re.sub(r"[a-z]\?", "", re.sub(r"\(\?:[^()]*\)\?", "", re.sub(r"\(\?:[^()]*\)\?", "", plain)))
+        shortest = re.sub(r"\(\?:([^()|]*)[^()]*\)", r"\1", shortest)
+        assert f" {keyword}" in f" {shortest}", (label, keyword, shortest)
+
+
+def test_sentences_of_licences_give_their_label(spark):
+    texts = {
+        "curl": "Except as contained in this notice, the name of a copyright holder shall not be used in advertising or otherwise to promote the sale, use or other dealings.",
+        "python-2.0": 'PSF is making Python available to Licensee on an "AS IS" basis.',
+        "cc0-1.0": "To the extent possible under law, Some Author has waived all copyright and related or neighboring rights to this work.",
+        "unlicense": "This is free and unencumbered software released into the public domain.",
+        "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice",
+    }
+    made = frame(spark, list(texts.values()))
+    got = {r.doc_id: {x.label for x in r.found} for r in license_scan.scan(made).collect()}
+    assert all(label in got[i] for i, label in enumerate(texts)), got
+
+
 # --- 4 ----------------------------------------------------------------------------------------------
 
 
@@ -415,6 +438,12 @@ def test_mixing_keeps_columns_of_any_name(spark):
     assert len(got) == 3 and all(g[2:4] == (1, 3) for g in got)
 
 
+def test_rows_with_null_ids_draw_by_their_texts(spark):
+    docs = spark.createDataFrame([(None, f"text {i}", "s") for i in range(300)], "doc_id long, text string, source string")
+    got = mixing.replicate(docs, out_ratio=2.0).collect()
+    assert len({r.shuffle_key for r in got}) == len(got) and len({r.n_copies for r in got}) > 2
+
+
 # --- 9 ----------------------------------------------------------------------------------------------
 
 
@@ -473,6 +502,89 @@ def test_near_duplicates_of_repeated_and_null_ids(spark):
     assert kept == sorted(str(t) for t in texts if t[0] not in (2, 3))
 
 
+def exact_similarity(a, b, size=5):
+    """Most shingles that an alignment of the words pairs, by a dynamic program over all pairs of places, as a share."""
+    if a == b:
+        return 1.0
+    if min(len(a), len(b)) < size:
+        return 0.0
+    sa, sb = len(a) - size + 1, len(b) - size + 1
+    ending, best = np.zeros((sa + 1, sb + 1), int), np.zeros((sa + 1, sb + 1), int)
+    for i in range(1, sa + 1):
+        for j in range(1, sb + 1):
+            if a[i - 1 : i - 1 + size] == b[j - 1 : j - 1 + size]:
+                ending[i, j] = 1 + max(ending[i - 1, j - 1], best[i - size, j - size] if min(i, j) >= size else 0)
+            best[i, j] = max(ending[i, j], best[i - 1, j], best[i, j - 1])
+    return best[sa, sb] / (sa + sb - best[sa, sb])
+
+
+def edited(rng, words, times, vocabulary):
+    words = list(words)
+    for _ in range(times):
+        at = rng.randrange(len(words))
+        kind = rng.randrange(4)
+        if kind == 0 and len(words) > 6:
+            del words[at]
+        elif kind == 1:
+            words.insert(at, rng.choice(vocabulary))
+        elif kind == 2:
+            words[at] = rng.choice(vocabulary)
+        else:
+            moved = words[at : at + 6]
+            del words[at : at + 6]
+            place = rng.randrange(len(words) + 1)
+            words[place:place] = moved
+    return words
+
+
+def test_alignment_pairs_the_most_shingles():
+    """Repeated words, insertions, deletions, replacements and moves: the same pairs as the dynamic program."""
+    rng = random.Random(8)
+    similar = 0
+    for _ in range(400):
+        vocabulary = list(range(rng.choice([2, 6, 20, 100])))
+        a = [rng.choice(vocabulary) for _ in range(rng.randint(8, 60))]
+        b = edited(rng, a, rng.randint(0, 4), vocabulary)
+        exact = exact_similarity(a, b)
+        got = near_dedup.aligned_similarity(np.array(a, np.uint32), np.array(b, np.uint32))
+        assert (got >= 0.8) == (exact >= 0.8), (a, b)
+        similar += exact >= 0.8
+    assert similar > 100
+
+
+def test_classes_of_texts_with_repeated_words_equal_brute_force(spark):
+    rng = random.Random(12)
+    vocabulary = ["w%d" % int(rng.paretovariate(0.8)) for _ in range(400)]
+    texts = []
+    for _ in range(40):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(30, 80))]
+        texts += [base, *(edited(rng, base, rng.randint(1, 4), vocabulary) for _ in range(3))]
+    label = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if i // 4 == j // 4 and exact_similarity(texts[i], texts[j]) >= 0.8:
+            label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicate_classes(frame(spark, [" ".join(t) for t in texts])).collect()}
+    assert got == dict(enumerate(label))
+
+
+def test_bound_of_long_texts_drops_what_is_dissimilar_and_loses_nothing(spark):
+    rng = random.Random(13)
+    base = ["w%d" % i for i in range(6000)]
+    texts = [base]
+    for share in (0.005, 0.015, 0.021, 0.03, 0.06, 0.2):  # of the words: similarities from 0.95 to 0
+        texts.append([w if rng.random() > share else "e%d" % rng.randrange(10**6) for w in base])
+    texts += [base[:4900], base[:4700], base[:1000], base[: 1000 - 50], base[2000:]]
+    exact = lambda a, b: len(set(shingled(a)) & set(shingled(b))) / len(set(shingled(a)) | set(shingled(b)))
+    shingled = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    made = frame(spark, [" ".join(t) for t in texts]).select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(near_dedup._sketch_batches, near_dedup.MADE)
+    fields = F.struct("doc_id", "n", *near_dedup.BITS, "wide")
+    pairs = made.select(fields.alias("x")).crossJoin(made.select(fields.alias("y"))).filter("x.doc_id < y.doc_id")
+    reached = {(r.a, r.b) for r in pairs.filter(near_dedup.may_reach("x", "y", 0.8)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).collect()}
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        similarity = exact(texts[i], texts[j])
+        assert (i, j) in reached if similarity >= 0.8 else (i, j) not in reached or similarity > 0.7, (i, j, similarity)
+
+
 @pytest.mark.parametrize("broadcast", [0, 10**6])
 def test_large_groups_of_look_alikes_and_copies(spark, monkeypatch, broadcast):
     """Two versions of a passage in many texts, with copies: linked by few pairs, the same by broadcast and by shuffle."""
