@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 
 SECONDS_PER_STEP = 9
 MOST_STAGES = 10_000
+#: kinds of events in the feed: fixed values; unknown events are "info"
 ACTIVITY = {
-    "step_started": "started", "step_progress": "progress", "step_completed": "completed", "step_failed": "failed", "filter_applied": "filtered",
-    "job_paused": "paused", "job_resumed": "resumed", "job_completed": "finished",
+    "step_started": "running", "step_progress": "running", "step_completed": "success", "step_failed": "error", "filter_applied": "success",
+    "pipeline_paused": "warning", "pipeline_resumed": "info", "pipeline_completed": "success",
 }
+#: status of a job after an event; others leave it as it is
+JOB_STATUS = {"step_failed": "paused", "pipeline_paused": "paused", "pipeline_resumed": "running", "pipeline_completed": "completed"}
+STEP_STATUS = {"step_started": "running", "step_progress": "running", "step_completed": "success", "step_failed": "failed"}
+UNKNOWN_FAILURE, FIRST_PERCENT, LEAST_PERCENT = "Unknown step failure", 10, 5
 
 
 def job_progress(steps: DataFrame) -> DataFrame:
@@ -89,19 +94,42 @@ def provenance_status(explicit: Column, paused: Column, cached: Column, method:
 
 
 def activity_feed(events: DataFrame, jobs: DataFrame, n: int = 20) -> DataFrame:
-    """The newest n events over all jobs with the job's name; a limited sort keeps n rows for each task."""
+    """The newest n events over all jobs with the job's name (or id), kind and message; a limited sort keeps n rows for each task."""
     newest = events.orderBy(F.col("ts").desc(), F.col("id").desc()).limit(max(1, n))
     named = newest.join(jobs, "job_id", "left")
-    return named.select("id", "job_id", "job_name", activity_kind(F.col("type")).alias("kind"), "ts")
+    name = F.coalesce("job_name", F.col("job_id").cast("string"))
+    return named.select("id", "job_id", name.alias("job_name"), activity_kind(F.col("type")).alias("kind"), activity_message().alias("message"), "ts")
 
 
-def activity_kind(kind: Column) -> Column:
-    out = F.lit("other")
-    for name, shown in ACTIVITY.items():
+def _mapped(kind: Column, values: dict[str, str], default: str | None = None) -> Column:
+    out = F.lit(default)
+    for name, shown in values.items():
         out = F.when(kind == name, shown).otherwise(out)
     return out
 
 
+def activity_kind(kind: Column) -> Column:
+    return _mapped(kind, ACTIVITY, "info")
+
+
+def activity_message() -> Column:
+    """What the feed says about an event: columns type, phase, step, tool, message, error, duration. Empty texts count as absent."""
+    given = lambda c: F.when(F.col(c) != "", F.col(c))
+    kind, tool = F.col("type"), F.coalesce(F.concat(F.lit(" · "), given("tool")), F.lit(""))
+    step = F.when((F.col("phase") != 0) & (F.col("step") != 0), F.concat(F.lit("Step "), F.col("phase").cast("string"), F.lit("."), F.col("step").cast("string")))
+    took = F.coalesce(F.when(F.col("duration") != 0, F.concat(F.lit(" · "), F.col("duration").cast("string"), F.lit("s"))), F.lit(""))
+    by = F.concat(step, F.lit(" ("), F.coalesce(given("tool"), F.lit("tool")), F.lit(") "))
+    return (
+        F.when((kind == "step_started") & step.isNotNull(), F.concat(by, F.lit("started"))).when((kind == "step_progress") & step.isNotNull(), F.concat(by, F.lit("progressing")))
+        .when((kind == "step_completed") & step.isNotNull(), F.concat(step, F.lit(" completed"), tool, took))
+        .when((kind == "step_failed") & step.isNotNull(), F.concat(step, F.lit(" failed"), tool, F.lit(": "), F.coalesce(given("error"), F.lit("unknown error"))))
+        .when(kind == "pipeline_paused", F.concat(F.lit("Pipeline paused — "), F.coalesce(given("message"), F.lit("step review required"))))
+        .when(kind == "pipeline_resumed", F.concat(F.lit("Pipeline resumed — "), F.coalesce(given("message"), F.lit("continuing"))))
+        .when(kind == "pipeline_completed", "Pipeline completed — all phases finished").when(kind == "filter_applied", "Filter applied — funnel counts updated")
+        .otherwise(F.coalesce(given("message"), kind))
+    )
+
+
 def recent_events(events: DataFrame, n: int = 1000) -> DataFrame:
     """The newest n events of each job; the group limit runs before the shuffle."""
     rank = F.row_number().over(Window.partitionBy("job_id").orderBy(F.col("ts").desc(), F.col("id").desc()))
@@ -120,24 +148,48 @@ def event_counts(events: DataFrame) -> DataFrame:
 
 
 def step_state(events: DataFrame) -> DataFrame:
-    """Events folded to the state of each (job, phase, step).
+    """Events folded in order to the state of each (job, phase, step): status, percent, duration, error.
 
-    The last event sets the status, but progress never takes back a success: after the last completed
-    event only a later start or failure counts. Progress is clamped to 5..100.
+    Progress never takes back a success: after a completed step only a later start or failure counts. A start sets 0, a completed
+    step 100; progress is clamped to 5..100 and keeps the percent so far (else 10) where the event has none. The last error and
+    duration stay. Events without a phase count for no step, those without a step for step 1.
     """
-    e = events.filter(F.col("type").startswith("step_"))
     order = F.struct("ts", "id")
-    decisive = F.col("type") != "step_progress"
-    agg = e.groupBy("job_id", "phase", "step").agg(
-        F.max_by("type", F.when(decisive, order)).alias("set_by"), F.max(F.when(decisive, order)).alias("set_at"),
-        F.max(F.when(~decisive, order)).alias("progress_at"), F.max_by("percent", F.when(~decisive, order)).alias("percent"),
+    kind = F.col("type")
+    e = events.filter(kind.isin(*STEP_STATUS) & F.col("phase").isNotNull()).withColumn("step", F.coalesce("step", F.lit(1)))
+    before = Window.partitionBy("job_id", "phase", "step").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1)
+    settled = F.last(F.when(kind != "step_progress", kind), ignorenulls=True).over(before)
+    e = e.withColumn("settled", settled).filter((kind != "step_progress") | F.coalesce(F.col("settled") != "step_completed", F.lit(True)))
+    clamped = F.least(F.greatest(F.round("percent").cast("int"), F.lit(LEAST_PERCENT)), F.lit(100))
+    put = F.when(kind == "step_started", 0).when(kind == "step_completed", 100).when((kind == "step_progress") & F.col("percent").isNotNull(), clamped)
+    agg = e.withColumn("put", put).groupBy("job_id", "phase", "step").agg(
+        F.max_by("type", order).alias("last"), F.max_by("put", F.when(F.col("put").isNotNull(), order)).alias("put"), F.max(F.when(F.col("put").isNotNull(), order)).alias("put_at"),
+        F.max(F.when(kind == "step_progress", order)).alias("moved_at"),
+        F.max_by("duration", F.when((kind == "step_completed") & F.col("duration").isNotNull(), order)).alias("duration"),
+        F.max_by(F.coalesce("error", F.lit(UNKNOWN_FAILURE)), F.when(kind == "step_failed", order)).alias("error"),
+    )
+    kept = F.col("moved_at").isNotNull() & (F.col("put_at").isNull() | (F.col("moved_at") > F.col("put_at")))
+    percent = F.when(kept, F.greatest(F.coalesce("put", F.lit(FIRST_PERCENT)), F.lit(LEAST_PERCENT))).otherwise(F.col("put"))
+    return agg.select("job_id", "phase", "step", _mapped(F.col("last"), STEP_STATUS).alias("status"), percent.alias("percent"), "duration", "error")
+
+
+def job_status(events: DataFrame) -> DataFrame:
+    """Events folded in order to the state of each job: status (null until an event sets one), progress (100 once completed), last error, funnel.
+
+    A failed step pauses its job; the last funnel that isn't empty replaces those before.
+    """
+    order, kind = F.struct("ts", "id"), F.col("type")
+    counted = (kind != "step_failed") | F.col("phase").isNotNull()
+    return events.filter(counted).groupBy("job_id").agg(
+        F.max_by(_mapped(kind, JOB_STATUS), F.when(kind.isin(*JOB_STATUS), order)).alias("status"), F.max(F.when(kind == "pipeline_completed", 100)).alias("progress"),
+        F.max_by(F.coalesce("error", F.lit(UNKNOWN_FAILURE)), F.when(kind == "step_failed", order)).alias("error"),
+        F.max_by("funnel", F.when((kind == "filter_applied") & (F.size("funnel") > 0), order)).alias("funnel"),
     )
-    progressed = F.col("progress_at").isNotNull() & (F.col("set_at").isNull() | (F.col("progress_at") > F.col("set_at")))
-    moved = progressed & F.coalesce(F.col("set_by") != "step_completed", F.lit(True))
-    status = F.when(moved, "running").when(F.col("set_by") == "step_completed", "success").when(F.col("set_by") == "step_failed", "failed").otherwise("running")
-    clamped = F.least(F.greatest(F.round("percent").cast("int"), F.lit(5)), F.lit(100))
-    percent = F.when(F.col("set_by").eqNullSafe("step_completed") & ~moved, 100).when(moved, clamped).when(F.col("set_by") == "step_started", 0)
-    return agg.select("job_id", "phase", "step", status.alias("status"), percent.alias("percent"))
+
+
+def job_state(events: DataFrame) -> DataFrame:
+    """Steps and jobs in one table: a job's own row has no phase and step."""
+    return step_state(events).unionByName(job_status(events).withColumnRenamed("progress", "percent"), allowMissingColumns=True)
 
 
 def live_metrics(epitopes: DataFrame) -> DataFrame:

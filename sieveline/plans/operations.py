@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -254,12 +256,24 @@ def s5(spark, sf_dir):
 
 # --- events -----------------------------------------------------------------------------------------
 
-_KIND = "CASE type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in runs.ACTIVITY.items()) + " ELSE 'other' END"
+_KIND = """CASE WHEN type IN ('step_started', 'step_progress') THEN 'running' WHEN type IN ('step_completed', 'filter_applied', 'pipeline_completed') THEN 'success'
+  WHEN type = 'step_failed' THEN 'error' WHEN type = 'pipeline_paused' THEN 'warning' ELSE 'info' END"""
+_MESSAGE = """CASE type WHEN 'step_started' THEN format('Step {}.{} ({}) started', phase, step, coalesce(tool, 'tool')) WHEN 'step_progress' THEN format('Step {}.{} ({}) progressing', phase, step, coalesce(tool, 'tool'))
+  WHEN 'step_completed' THEN format('Step {}.{} completed', phase, step) || coalesce(' · ' || tool, '') || CASE WHEN duration <> 0 THEN ' · ' || duration || 's' ELSE '' END
+  WHEN 'step_failed' THEN format('Step {}.{} failed', phase, step) || coalesce(' · ' || tool, '') || ': ' || coalesce(error, 'unknown error')
+  WHEN 'pipeline_paused' THEN 'Pipeline paused — ' || coalesce(message, 'step review required') WHEN 'pipeline_resumed' THEN 'Pipeline resumed — ' || coalesce(message, 'continuing')
+  WHEN 'pipeline_completed' THEN 'Pipeline completed — all phases finished' WHEN 'filter_applied' THEN 'Filter applied — funnel counts updated' ELSE coalesce(message, type) END"""
 
 
-@query("k3_activity_feed", f"WITH {V.EVENTS}, {_JOBS} SELECT id, ev.job_id, job_name, {_KIND} AS kind, ts FROM (SELECT * FROM ev ORDER BY ts DESC, id DESC LIMIT 20) ev LEFT JOIN jobs ON ev.job_id = jobs.job_id")
+@query("k3_activity_feed", f"WITH {V.EVENTS}, {_JOBS} SELECT id, ev.job_id, coalesce(job_name, ev.job_id::varchar) AS job_name, {_KIND} AS kind, {_MESSAGE} AS message, ts FROM (SELECT * FROM ev ORDER BY ts DESC, id DESC LIMIT 50) ev LEFT JOIN jobs ON ev.job_id = jobs.job_id")
 def k3(spark, sf_dir):
-    return runs.activity_feed(V.events(spark, sf_dir), _jobs(spark, sf_dir), 20)
+    return runs.activity_feed(V.events(spark, sf_dir), _jobs(spark, sf_dir), 50)
+
+
+@query("t5_activity_messages", f"WITH {V.EVENTS} SELECT {_KIND} AS kind, {_MESSAGE} AS message, count(*) AS n FROM ev GROUP BY 1, 2")
+def t5_messages(spark, sf_dir):
+    shown = V.events(spark, sf_dir).select(runs.activity_kind(F.col("type")).alias("kind"), runs.activity_message().alias("message"))
+    return shown.groupBy("kind", "message").agg(F.count("*").alias("n"))
 
 
 @query("k7_recent_events", f"WITH {V.EVENTS} SELECT id, job_id, type, rank FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, id DESC) AS rank FROM ev) WHERE rank <= 20")
@@ -279,21 +293,33 @@ def t5(spark, sf_dir):
     return runs.event_counts(V.events(spark, sf_dir))
 
 
-_FOLD = f"""WITH {V.EVENTS}, e AS (SELECT *, row_number() OVER (ORDER BY ts, id) AS o FROM ev WHERE starts_with(type, 'step_')),
-a AS (SELECT job_id, phase, step, arg_max(type, o) FILTER (type <> 'step_progress') AS set_by, max(o) FILTER (type <> 'step_progress') AS set_at, max(o) FILTER (type = 'step_progress') AS pr_at, arg_max(percent, o) FILTER (type = 'step_progress') AS pr FROM e GROUP BY 1, 2, 3),
-m AS (SELECT *, pr_at IS NOT NULL AND (set_at IS NULL OR pr_at > set_at) AND coalesce(set_by <> 'step_completed', true) AS moved FROM a)
-SELECT job_id, phase, step, CASE WHEN moved THEN 'running' WHEN set_by = 'step_completed' THEN 'success' WHEN set_by = 'step_failed' THEN 'failed' ELSE 'running' END AS status,
-CASE WHEN set_by = 'step_completed' AND NOT moved THEN 100 WHEN moved THEN least(greatest(round(pr)::int, 5), 100) WHEN set_by = 'step_started' THEN 0 END AS percent FROM m"""
+_FOLD = f"""WITH {V.EVENTS}, o AS (SELECT *, row_number() OVER (ORDER BY ts, id) AS o FROM ev),
+e AS (SELECT *, last_value(CASE WHEN type <> 'step_progress' THEN type END IGNORE NULLS) OVER (PARTITION BY job_id, phase, step ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS settled
+  FROM o WHERE starts_with(type, 'step_')),
+p AS (SELECT *, CASE type WHEN 'step_started' THEN 0 WHEN 'step_completed' THEN 100 WHEN 'step_progress' THEN CASE WHEN percent IS NOT NULL THEN least(greatest(round(percent)::int, 5), 100) END END AS put
+  FROM e WHERE type <> 'step_progress' OR settled IS DISTINCT FROM 'step_completed'),
+a AS (SELECT job_id, phase, step, arg_max(type, o) AS last, arg_max(put, o) FILTER (put IS NOT NULL) AS put, max(o) FILTER (put IS NOT NULL) AS put_at, max(o) FILTER (type = 'step_progress') AS moved_at,
+  arg_max(duration, o) FILTER (type = 'step_completed' AND duration IS NOT NULL) AS duration, arg_max(coalesce(error, 'Unknown step failure'), o) FILTER (type = 'step_failed') AS error FROM p GROUP BY 1, 2, 3)
+SELECT job_id, phase, step, CASE last WHEN 'step_completed' THEN 'success' WHEN 'step_failed' THEN 'failed' ELSE 'running' END AS status,
+  CASE WHEN moved_at > coalesce(put_at, 0) THEN greatest(coalesce(put, 10), 5) ELSE put END::int AS percent, duration, error, NULL AS funnel FROM a
+UNION ALL SELECT job_id, NULL, NULL, CASE arg_max(type, o) FILTER (type IN ('step_failed', 'pipeline_paused', 'pipeline_resumed', 'pipeline_completed')) WHEN 'step_failed' THEN 'paused' WHEN 'pipeline_paused' THEN 'paused'
+  WHEN 'pipeline_resumed' THEN 'running' WHEN 'pipeline_completed' THEN 'completed' END, CASE WHEN bool_or(type = 'pipeline_completed') THEN 100 END, NULL,
+  arg_max(coalesce(error, 'Unknown step failure'), o) FILTER (type = 'step_failed'), arg_max(funnel, o) FILTER (funnel IS NOT NULL) FROM o GROUP BY job_id"""
+
+
+def _funnel_text(state: DataFrame) -> DataFrame:
+    return state.withColumn("funnel", F.array_join(F.transform("funnel", lambda s: F.concat(s["stage"], F.lit(":"), s["n"].cast("string"))), ","))
 
 
 @query("t2_job_state", _FOLD)
 def t2(spark, sf_dir):
-    return runs.step_state(V.events(spark, sf_dir))
+    return _funnel_text(runs.job_state(V.events(spark, sf_dir)))
 
 
 def _drained(stream, spark: SparkSession, name: str, schema: str, mode: str) -> DataFrame:
     """Runs a stream over all available input and returns what it appended to Parquet files."""
     out, at = scratch_path(spark, name), scratch_path(spark, f"{name}-offsets")
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # state with a time to live asks for empty batches without end
     if mode == "append":
         running = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", at).outputMode(mode).trigger(availableNow=True).start()
     else:
@@ -303,32 +329,29 @@ def _drained(stream, spark: SparkSession, name: str, schema: str, mode: str) ->
     return spark.read.schema(schema).parquet(out)
 
 
-def _stream(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events view laid down as files and read back as a stream."""
     path = scratch_path(spark, "event-files")
-    V.events(spark, sf_dir).select(F.col("id").cast("long"), F.col("job_id").cast("long"), "type", "phase", "step", "percent", "ts").write.parquet(path)
-    return streams.read_events(spark, path).select(*columns)
+    V.events(spark, sf_dir).withColumns({"id": F.col("id").cast("long"), "job_id": F.col("job_id").cast("long")}).write.parquet(path)
+    return streams.read_events(spark, path)
 
 
-_ALL = ["id", "job_id", "type", "phase", "step", "percent", "ts"]
-
-
-@query("t1_ingest_events", f"WITH {V.EVENTS} SELECT id, job_id, type, phase, step, percent FROM ev")
+@query("t1_ingest_events", f"WITH {V.EVENTS} SELECT id, job_id, type, phase, step, percent, tool, message, error, duration FROM ev")
 def t1(spark, sf_dir):
-    rows = _drained(streams.deduplicated(_stream(spark, sf_dir, _ALL)), spark, "ingested", streams.EVENT, "append")
-    return rows.drop("ts")
+    rows = _drained(streams.deduplicated(_stream(spark, sf_dir)), spark, "ingested", streams.EVENT, "append")
+    return rows.drop("ts", "funnel")
 
 
 @query("t2_job_state_stream", _FOLD)
 def t2_stream(spark, sf_dir):
-    changed = _drained(streams.step_state(_stream(spark, sf_dir, _ALL)), spark, "job-state", f"{streams.STATE}, batch long", "update")
-    last = F.max_by(F.struct("status", "percent"), "batch")
-    return changed.groupBy("job_id", "phase", "step").agg(last.alias("s")).select("job_id", "phase", "step", "s.status", "s.percent")
+    changed = _drained(streams.job_state(_stream(spark, sf_dir)), spark, "job-state", f"{streams.STATE}, batch long", "update")
+    last = F.max_by(F.struct("status", "percent", "duration", "error", "funnel"), "batch")
+    return _funnel_text(changed.groupBy("job_id", "phase", "step").agg(last.alias("s")).select("job_id", "phase", "step", "s.*"))
 
 
 @query("t3_recent_events_state", f"WITH {V.EVENTS} SELECT id, job_id, type FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, id DESC) AS rank FROM ev) WHERE rank <= 20")
 def t3(spark, sf_dir):
-    shown = _drained(streams.recent_events(_stream(spark, sf_dir, _ALL), 20), spark, "recent", f"{streams.RECENT}, batch long", "update")
+    shown = _drained(streams.recent_events(_stream(spark, sf_dir), 20), spark, "recent", f"{streams.RECENT}, batch long", "update")
     last = shown.groupBy("job_id").agg(F.max("batch").alias("batch"))
     return shown.join(last, ["job_id", "batch"]).select("id", "job_id", "type")
 
@@ -413,6 +436,16 @@ def s13(spark, sf_dir):
     return formats.read_events(spark, path, streams.EVENT).select("id", "job_id", "type", "phase", "step")
 
 
+@query("s13_read_jobs", f"WITH {_JOBS} SELECT job_id AS id, job_name AS name, status FROM jobs WHERE job_id > 10")
+def s13_jobs(spark, sf_dir):
+    """Job documents written to a SQL table (in the memory of the driver, so this query needs a local session) and read in ranges of ids."""
+    url, driver = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    document = F.to_json(F.struct(F.col("job_name").alias("name"), "status"))
+    jobs = _jobs(spark, sf_dir).select(F.col("job_id").cast("long").alias("id"), document.alias("document"))
+    jobs.write.format("jdbc").options(url=url, dbtable="jobs", driver=driver, createTableColumnTypes="document VARCHAR(500)").save()
+    return formats.read_jobs_jdbc(spark, url, "jobs", "name string, status string", rows_a_partition=100).filter("id > 10")
+
+
 @query("s14_write_epitope_csv", f"""WITH {V.EPITOPES} SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY id)::int AS number, type, sequence, accession AS protein, accession, start::int AS position, length(sequence)::int AS "window", allele,
 round(percentile, 6) AS percentile, round(antigenicity, 6) AS antigenicity, CASE WHEN toxin_safety <= 0.6 THEN 'Yes' ELSE 'No' END AS toxic, CASE WHEN allergen_safety <= 0.679 THEN 'Yes' ELSE 'No' END AS allergenic,
 CASE WHEN selected THEN 'Yes' ELSE 'No' END AS selected, 17 AS columns FROM epitopes""")

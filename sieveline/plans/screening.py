@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from sieveline.functions import scales as S
 from sieveline.functions import scoring
 from sieveline.functions.helpers import isoelectric_point, long_antigenicity
 from sieveline.operators import cluster, epitopes, hits, proteome, residues, runs, structure
+from sieveline.sources import store
+from sieveline.sources.scratch import scratch_path
 
 from . import views as V
 
@@ -157,6 +161,17 @@ def j10(spark, sf_dir):
     return proteome.incremental_score(p, stored, score)[1].select("proteome_id", "ord", "sha", "score")
 
 
+@query("j10_score_store", f"WITH {V.PROTEINS} SELECT proteome_id, ord, sha256(sequence) AS sha, ({_HYDROPHOBIC})::double AS score, CASE WHEN sha256(sequence) IN (SELECT sha256(sequence) FROM proteins WHERE reviewed) THEN '2024-01-01' ELSE '2024-02-01' END AS scored FROM proteins")
+def j10_store(spark, sf_dir):
+    """Two runs on one store: the second one scores what the first one has not."""
+    name = f"scores_{uuid.uuid4().hex}"
+    scores = store.ScoreStore(spark, name, scratch_path(spark, name), 16)
+    p, score = V.proteins(spark, sf_dir), scoring.n_of(F.col("sequence"), "AILMFWV")
+    scores.update(p.filter("reviewed"), score, datetime(2024, 1, 1))
+    out = scores.update(p, score, datetime(2024, 2, 1))
+    return out.select("proteome_id", "ord", "sha", "score", F.date_format("scored_at", "yyyy-MM-dd").alias("scored"))
+
+
 _CATEGORY = "CASE regexp_replace(lower(label), '[^a-z0-9]', '', 'g') " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in S.LOCALIZATION_CATEGORY.items()) + " ELSE 'unknown' END"
 _SURFACE = f"({_CATEGORY} IN ({', '.join(map(repr, S.SURFACE_CATEGORIES))}))"
 _TOPOLOGY = "CASE WHEN tm > 0 THEN 'membrane' WHEN has_signal THEN 'secreted' ELSE 'intracellular' END"

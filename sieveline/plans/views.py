@@ -96,24 +96,35 @@ predictions AS (SELECT w.*, allele, ('0x' || substr(md5(peptide || allele), 1, 4
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind, k = F.col("event_type"), F.get_json_object("props", "$.k").cast("int")
-    return table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("id"),
+    """Events of all kinds, an unknown one among them, with tools, messages, errors, durations and funnels where they have some."""
+    kind, k, e = F.col("event_type"), F.get_json_object("props", "$.k").cast("int"), F.col("event_id")
+    other = F.when(e % 7 == 0, "pipeline_paused").when(e % 7 == 1, "pipeline_resumed").when(e % 7 == 2, "pipeline_completed").when(e % 7 == 3, "note").otherwise("filter_applied")
+    stages = F.array(F.struct(F.lit("input").alias("stage"), (k * 10).cast("long").alias("n")), F.struct(F.lit("kept").alias("stage"), k.cast("long").alias("n")))
+    rows = table(spark, sf_dir, "events").select(
+        e.alias("id"),
         F.col("user_id").alias("job_id"),
-        F.when(kind == "signup", "step_started").when(kind == "view", "step_progress").when(kind == "click", "step_completed")
-        .when(kind == "error", "step_failed").otherwise("filter_applied").alias("type"),
+        F.when(kind == "signup", "step_started").when(kind == "view", "step_progress").when(kind == "click", "step_completed").when(kind == "error", "step_failed").otherwise(other).alias("type"),
         (k % 14 + 1).alias("phase"),
         (k % 5 + 1).alias("step"),
-        F.col("value").alias("percent"),
+        F.when(e % 6 != 0, F.col("value")).alias("percent"),
         "ts",
+        F.when(e % 3 == 0, F.concat(F.lit("tool-"), k.cast("string"))).alias("tool"),
+        F.when(e % 2 == 0, F.concat(F.lit("message "), k.cast("string"))).alias("message"),
+        F.when(e % 5 != 0, F.concat(F.lit("error "), k.cast("string"))).alias("error"),
+        F.when(e % 4 != 0, k % 4).alias("duration"),
+        F.when(e % 4 != 0, stages).otherwise(F.slice(stages, 1, 0)).alias("funnel"),
     )
+    return rows.withColumn("funnel", F.when(F.col("type") == "filter_applied", F.col("funnel")))
 
 
-EVENTS = """ev AS (SELECT event_id AS id, user_id AS job_id,
-  CASE event_type WHEN 'signup' THEN 'step_started' WHEN 'view' THEN 'step_progress' WHEN 'click' THEN 'step_completed'
-    WHEN 'error' THEN 'step_failed' ELSE 'filter_applied' END AS type,
+EVENTS = """ev AS (SELECT *, CASE WHEN type = 'filter_applied' AND id % 4 <> 0 THEN 'input:' || k * 10 || ',kept:' || k END AS funnel FROM (
+  SELECT event_id AS id, user_id AS job_id, json_extract_string(props, '$.k')::int AS k,
+  CASE event_type WHEN 'signup' THEN 'step_started' WHEN 'view' THEN 'step_progress' WHEN 'click' THEN 'step_completed' WHEN 'error' THEN 'step_failed'
+    ELSE CASE event_id % 7 WHEN 0 THEN 'pipeline_paused' WHEN 1 THEN 'pipeline_resumed' WHEN 2 THEN 'pipeline_completed' WHEN 3 THEN 'note' ELSE 'filter_applied' END END AS type,
   (json_extract_string(props, '$.k')::int % 14 + 1) AS phase, (json_extract_string(props, '$.k')::int % 5 + 1) AS step,
-  value AS percent, ts FROM events)"""
+  CASE WHEN event_id % 6 <> 0 THEN value END AS percent, ts,
+  CASE WHEN event_id % 3 = 0 THEN 'tool-' || json_extract_string(props, '$.k') END AS tool, CASE WHEN event_id % 2 = 0 THEN 'message ' || json_extract_string(props, '$.k') END AS message,
+  CASE WHEN event_id % 5 <> 0 THEN 'error ' || json_extract_string(props, '$.k') END AS error, CASE WHEN event_id % 4 <> 0 THEN json_extract_string(props, '$.k')::int % 4 END AS duration FROM events))"""
 
 
 def atoms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .scratch import numbered
+
 HIT_LAYOUTS = {
     7: "qseqid string, sseqid string, stitle string, pident double, evalue double, length int, bitscore double",
     10: "qseqid string, sseqid string, pident double, length int, qstart int, qend int, sstart int, send int, evalue double, bitscore double",
@@ -150,13 +152,26 @@ def read_events(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def read_jobs_jdbc(spark: SparkSession, url: str, table: str, schema: str, column: str = "document") -> DataFrame:
-    """Job documents from a JSON column of a SQL table, parsed with a schema."""
-    return spark.read.format("jdbc").options(url=url, dbtable=table).load().select(F.from_json(column, schema).alias("job")).select("job.*")
+ROWS_A_PARTITION = 100_000
+
+
+def read_jobs_jdbc(spark: SparkSession, url: str, table: str, schema: str, column: str = "document", key: str = "id", rows_a_partition: int = ROWS_A_PARTITION, quote: str = '"') -> DataFrame:
+    """Job documents from a JSON column of a SQL table, parsed with a schema, with their ``key``.
+
+    The table is read in ranges of its numeric key, as many as its rows ask for; their bounds come from one query. Filters on the key reach the database.
+    quote: what the database puts around names. Rows with a null key come with the first range.
+    """
+    of = lambda query: spark.read.format("jdbc").options(url=url, **query)
+    key = next(c for c in of({"dbtable": table}).load().columns if c.lower() == key.lower())
+    name = f"{quote}{key}{quote}"
+    low, high, n = of({"query": f"SELECT MIN({name}) AS low, MAX({name}) AS high, COUNT(*) AS n FROM {table}"}).load().first()
+    ranges = {"partitionColumn": key, "lowerBound": low, "upperBound": high + 1, "numPartitions": -(-n // rows_a_partition)} if n and low is not None else {}
+    rows = of({"dbtable": table, **ranges}).load()
+    return rows.select(key, F.from_json(column, schema).alias("job")).select(key, "job.*")
 
 
 def write_epitope_csv(epitopes: DataFrame, path: str) -> None:
-    """Epitope rows with their number in the run (``#``) and Yes/No flags; what the rows don't have is empty, quotes are doubled."""
+    """Epitope rows with their number in the run (``#``) in the order of ids and Yes/No flags; what the rows don't have is empty, quotes are doubled."""
     flags = ("is_toxic", "is_allergenic", "selected")
     there = epitopes if "protein_name" in epitopes.columns else epitopes.withColumn("protein_name", F.col("accession"))
 
@@ -164,9 +179,9 @@ def write_epitope_csv(epitopes: DataFrame, path: str) -> None:
         value = F.col(column) if column in there.columns else F.lit(None)
         return F.when(value.cast("boolean"), "Yes").otherwise("No") if column in flags else value.cast("string")
 
-    number = F.row_number().over(Window.partitionBy("run_id").orderBy("id"))
     columns = [shown(column).alias(header) for header, column in EPITOPE_COLUMNS]
-    there.select("run_id", number.alias("#"), *columns).write.option("header", True).option("escape", '"').csv(path)
+    there = numbered(there, "run_id", "id", "#")
+    there.select("run_id", "#", *columns).write.option("header", True).option("escape", '"').csv(path)
 
 
 def write_json(rows: DataFrame, path: str) -> None:

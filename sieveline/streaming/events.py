@@ -1,8 +1,9 @@
-"""Event streams: ingestion with bounded deduplication, folded step state, recent events, counts.
+"""Event streams: ingestion with bounded deduplication, folded state of steps and jobs, recent events, counts.
 
 The stream is any streaming source of JSON or Parquet event files (or Kafka rows of the same schema).
-Late duplicates are dropped within the watermark; that bound is ours. The state functions keep one
-job's steps and its last n events, so a job's state doesn't grow with its events.
+Late duplicates are dropped within the watermark; that bound is ours. The state of a job is a map of its steps, its status
+and its funnel; a completed job's state goes after ``FINISHED``, and any state after ``FORGOTTEN`` without a change. Events
+that come later begin a new state.
 """
 
 from __future__ import annotations
@@ -13,13 +14,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from sieveline.operators.runs import activity_kind
+from sieveline.operators.runs import FIRST_PERCENT, JOB_STATUS, LEAST_PERCENT, STEP_STATUS, UNKNOWN_FAILURE, activity_kind
 
-EVENT = "id long, job_id long, type string, phase int, step int, percent double, ts timestamp"
-STATE = "job_id long, phase int, step int, status string, percent int"
+EVENT = (
+    "id long, job_id long, type string, phase int, step int, percent double, ts timestamp, tool string, message string, error string, duration int, "
+    "funnel array<struct<stage:string,n:bigint>>"
+)
+STATE = "job_id long, phase int, step int, status string, percent int, duration int, error string, funnel array<struct<stage:string,n:bigint>>"
 RECENT = "job_id long, id long, ts timestamp, type string"
 WATERMARK = "1 hour"
+DAY = 24 * 3600 * 1000
+FINISHED, FORGOTTEN = DAY, 30 * DAY  # milliseconds
+STORE = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_events(spark: SparkSession, path: str, fmt: str = "parquet", files_per_trigger: int = 8) -> DataFrame:
@@ -42,38 +50,84 @@ def windowed_counts(events: DataFrame, width: str = "10 minutes") -> DataFrame:
     return grouped.agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "kind", "n")
 
 
-def apply_event(state: tuple[str, int | None] | None, kind: str, percent: float | None) -> tuple[str, int | None] | None:
-    """Next (status, percent) of a step; progress never takes back a success."""
+def _whole(x: object) -> int | None:
+    return None if x is None or x != x else int(x + 0.5)
+
+
+def apply_event(state: tuple | None, kind: str, percent: float | None, duration: float | None = None, error: str | None = None) -> tuple | None:
+    """Next (status, percent, duration, error) of a step; progress never takes back a success."""
+    status, so_far, took, failure = state or (None, None, None, None)
     if kind == "step_started":
-        return "running", 0
+        return "running", 0, took, failure
     if kind == "step_completed":
-        return "success", 100
+        return "success", 100, took if _whole(duration) is None else _whole(duration), failure
     if kind == "step_failed":
-        return "failed", None
-    if kind == "step_progress" and (state is None or state[0] != "success"):
-        return "running", None if percent is None or percent != percent else min(100, max(5, int(percent + 0.5)))
+        return "failed", so_far, took, error if isinstance(error, str) else UNKNOWN_FAILURE
+    if kind == "step_progress" and status != "success":
+        known = _whole(percent) if _whole(percent) is not None else FIRST_PERCENT if so_far is None else so_far
+        return "running", min(100, max(LEAST_PERCENT, known)), took, failure
     return state
 
 
-def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    steps = {(p, s): (status, percent) for p, s, status, percent in (state.get[0] if state.exists else [])}
-    touched = set()
-    rows = pd.concat(list(frames)).sort_values(["ts", "id"])  # one job's events of one trigger, which maxFilesPerTrigger bounds
-    for kind, phase, step, percent in rows[["type", "phase", "step", "percent"]].itertuples(index=False):
-        new = apply_event(steps.get((phase, step)), kind, percent)
-        if new is not None:
-            steps[(int(phase), int(step))] = new
-            touched.add((int(phase), int(step)))
-    state.update(([(p, s, status, percent) for (p, s), (status, percent) in steps.items()],))
-    out = [(key[0], p, s, *steps[(p, s)]) for p, s in sorted(touched)]
-    yield pd.DataFrame(out, columns=["job_id", "phase", "step", "status", "percent"]).astype({"percent": "Int32"})
-
-
-def step_state(events: DataFrame) -> DataFrame:
-    """Changed step states of each trigger (update mode), folded in event order by job."""
-    return events.groupBy("job_id").applyInPandasWithState(
-        _fold, STATE, "steps array<struct<phase:int,step:int,status:string,percent:int>>", "update", GroupStateTimeout.NoTimeout
-    )
+class JobFold(StatefulProcessor):
+    """The state of one job: steps in a map, its status, its funnel in a list; timers and a time to live let it go."""
+
+    def __init__(self, finished_ms: int, forgotten_ms: int):
+        self.finished_ms, self.forgotten_ms = finished_ms, forgotten_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.steps = handle.getMapState("steps", "phase int, step int", "status string, percent int, duration int, error string", self.forgotten_ms)
+        self.job = handle.getValueState("job", "status string, progress int, error string", self.forgotten_ms)
+        self.funnel = handle.getListState("funnel", "stage string, n long", self.forgotten_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        events = pd.concat(list(rows)).sort_values(["ts", "id"])  # one job's events of one trigger, which maxFilesPerTrigger bounds
+        status, progress, error = self.job.get() if self.job.exists() else (None, None, None)
+        touched, funnel = {}, None
+        for e in events.to_dict("records"):
+            kind, phase, step = e["type"], _whole(e["phase"]), _whole(e["step"])
+            if kind in STEP_STATUS:
+                if phase is None:
+                    continue
+                place = (phase, 1 if step is None else step)
+                old = touched.get(place) or (self.steps.getValue(place) if self.steps.containsKey(place) else None)
+                touched[place] = apply_event(old, kind, e["percent"], e["duration"], e["error"])
+            if kind == "step_failed":
+                error = e["error"] if isinstance(e["error"], str) else UNKNOWN_FAILURE
+            if kind == "filter_applied" and e["funnel"] is not None and len(e["funnel"]):
+                funnel = [(s["stage"], s["n"]) for s in e["funnel"]]
+            if kind == "pipeline_completed":
+                progress = 100
+            status = JOB_STATUS.get(kind, status)
+        for place, state in touched.items():
+            self.steps.updateValue(place, state)
+        if funnel is not None:
+            self.funnel.put(funnel)
+        self.job.update((status, progress, error))
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        if status == "completed":
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.finished_ms)
+        stages = [{"stage": s, "n": n} for s, n in self.funnel.get()] if self.funnel.exists() else None
+        out = [(key[0], *place, *state, None) for place, state in sorted(touched.items())] + [(key[0], None, None, status, progress, None, error, stages)]
+        frame = pd.DataFrame(out, columns=[c.split()[0] for c in STATE.split(", ")])
+        yield frame.astype({c: "Int32" for c in ("phase", "step", "percent", "duration")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.steps.clear()
+        self.job.clear()
+        self.funnel.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def job_state(events: DataFrame, finished_ms: int = FINISHED, forgotten_ms: int = FORGOTTEN) -> DataFrame:
+    """Changed steps of each trigger and the state of their jobs (rows without phase and step), in update mode, folded in event order by job."""
+    events.sparkSession.conf.set(*STORE)
+    return events.groupBy("job_id").transformWithStateInPandas(JobFold(finished_ms, forgotten_ms), STATE, "Update", "ProcessingTime")
 
 
 def recent_events(events: DataFrame, n: int = 1000) -> DataFrame:

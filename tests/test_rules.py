@@ -183,12 +183,12 @@ def test_contacts_match_brute_force(spark):
 
 def test_progress_never_takes_back_a_success(spark):
     rows = [(1, 1, "step_started", 1, 1, None, "2024-01-01 00:00:00"), (2, 1, "step_completed", 1, 1, None, "2024-01-01 00:00:01"), (3, 1, "step_progress", 1, 1, 50.0, "2024-01-01 00:00:02")]
-    frame = spark.createDataFrame(rows, "id int, job_id int, type string, phase int, step int, percent double, ts string").withColumn("ts", F.to_timestamp("ts"))
+    frame = spark.createDataFrame(rows, "id int, job_id int, type string, phase int, step int, percent double, ts string").withColumns({"ts": F.to_timestamp("ts"), "duration": F.lit(None).cast("int"), "error": F.lit(None).cast("string")})
     assert [(r.status, r.percent) for r in runs.step_state(frame).collect()] == [("success", 100)]
     state = None
     for _, _, kind, _, _, percent, _ in rows:
         state = apply_event(state, kind, percent)
-    assert state == ("success", 100)
+    assert state == ("success", 100, None, None)
 
 
 def test_scope_aliases(spark):
@@ -201,10 +201,94 @@ def test_jobs_from_a_sql_table(spark):
     from sieveline.sources import formats
 
     url = "jdbc:derby:memory:jobs;create=true"
-    rows = [('{"id": 1, "name": "a"}',), ('{"id": 2}',), ('{}',)]
-    spark.createDataFrame(rows, "document string").coalesce(1).write.format("jdbc").options(url=url, dbtable="jobs", driver="org.apache.derby.jdbc.EmbeddedDriver", createTableColumnTypes="document VARCHAR(2000)").save()
-    got = formats.read_jobs_jdbc(spark, url, "jobs", "id long, name string", column="document").collect()
-    assert sorted(((r.id or 0), r.name) for r in got if r.id) == [(1, "a"), (2, None)] and len(got) == 3
+    rows = [(1, '{"name": "a"}'), (2, '{"n": 2}'), (30, "{}"), *((i, '{"name": "x"}') for i in range(40, 90))]
+    spark.createDataFrame(rows, "id long, document string").coalesce(1).write.format("jdbc").options(url=url, dbtable="jobs", driver="org.apache.derby.jdbc.EmbeddedDriver", createTableColumnTypes="document VARCHAR(2000)").save()
+    got = formats.read_jobs_jdbc(spark, url, "jobs", "name string", rows_a_partition=10)
+    assert got.rdd.getNumPartitions() == 6
+    assert sorted((r.id, r.name) for r in got.collect()) == [(1, "a"), (2, None), (30, None), *((i, "x") for i in range(40, 90))]
+    assert "PushedFilters: [*IsNotNull(id), *GreaterThan(id,50)]" in got.filter("id > 50")._jdf.queryExecution().toString()
+    spark.createDataFrame([], "id long, document string").write.format("jdbc").options(url=url, dbtable="no_jobs", createTableColumnTypes="document VARCHAR(9)").save()
+    assert formats.read_jobs_jdbc(spark, url, "no_jobs", "name string").count() == 0
+
+
+def test_numbers_in_ranges_equal_a_window(spark):
+    from sieveline.sources.scratch import numbered
+
+    rng = random.Random(4)
+    rows = [("a" if rng.random() < 0.7 else rng.choice(["b", "c", None]), i) for i in range(2000)]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "g string, id int").repartition(7)
+    out = numbered(frame, "g", "id", "#")
+    got = sorted(((r.g or "", r.id, r["#"]) for r in out.collect()))
+    expected = []
+    for g in ("a", "b", "c", None):
+        expected += [(g or "", i, n) for n, i in enumerate(sorted(i for h, i in rows if h == g), 1)]
+    assert got == sorted(expected)
+
+
+def test_score_store_scores_once_and_lets_scores_expire(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from sieveline.sources.store import ScoreStore
+
+    day = lambda n: datetime(2024, 1, n)
+    scores = ScoreStore(spark, "scores_of_a_test", f"file://{tmp_path}/store", 8, timedelta(days=5))
+    first = spark.createDataFrame([(1, "AAA"), (2, "AAA"), (3, "C"), (4, None)], "ord int, sequence string")
+    more = first.unionByName(spark.createDataFrame([(5, "WW")], "ord int, sequence string"))
+    n = F.length("sequence")
+    shown = lambda df: sorted((r.ord, r.score, r.scored_at and r.scored_at.day) for r in df.collect())
+    assert shown(scores.update(first, n, day(1))) == [(1, 3.0, 1), (2, 3.0, 1), (3, 1.0, 1), (4, None, None)]
+    assert {r.sequence for r in scores.missing(more, day(2)).collect()} == {"WW"}
+    assert shown(scores.update(more, -n, day(3))) == [(1, 3.0, 1), (2, 3.0, 1), (3, 1.0, 1), (4, None, None), (5, -2.0, 3)]
+    assert scores.missing(more, day(4)).count() == 0
+    assert shown(scores.update(more, n * 10, day(7))) == [(1, 30.0, 7), (2, 30.0, 7), (3, 10.0, 7), (4, None, None), (5, -2.0, 3)]
+    again = ScoreStore(spark, "scores_under_another_name", f"file://{tmp_path}/store", 8)
+    assert again.scores(day(20)).count() == 3
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    plan = scores.missing(more, day(8))._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.rindex("Exchange") < plan.index("ExistingRDD") < plan.index("FileScan") < plan.index("SelectedBucketsCount: 8")  # only new sequences move
+
+
+def test_job_state_of_the_stream_goes_when_the_job_is_done(spark, tmp_path):
+    from sieveline.streaming import events as streams
+
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    at, out = f"file://{tmp_path}/in", []
+    put = lambda *rows: spark.createDataFrame(list(rows), "id int, job_id int, type string, phase int, step int, percent double, second int").selectExpr(
+        "id", "job_id", "type", "phase", "step", "percent", "timestamp_seconds(second) AS ts").write.mode("append").json(at)
+    keep = lambda batch, n: out.extend((n, *r[:5]) for r in batch.collect())
+
+    def run():
+        state = streams.job_state(streams.read_events(spark, at, "json"), finished_ms=0)
+        state.writeStream.foreachBatch(keep).option("checkpointLocation", f"file://{tmp_path}/at").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+
+    put((1, 1, "step_started", 1, 2, None, 1), (2, 1, "step_progress", 1, 2, 40.0, 2), (3, 2, "step_failed", 3, None, None, 3), (4, 1, "note", None, None, None, 4))
+    run()
+    assert sorted(out, key=str) == [(0, 1, 1, 2, "running", 40), (0, 1, None, None, None, None), (0, 2, 3, 1, "failed", None), (0, 2, None, None, "paused", None)]
+    out.clear()
+    put((5, 1, "step_progress", 1, 2, None, 5), (6, 1, "pipeline_completed", None, None, None, 6), (7, 2, "pipeline_resumed", None, None, None, 7))
+    run()
+    assert sorted(out, key=str) == [(1, 1, 1, 2, "running", 40), (1, 1, None, None, "completed", 100), (1, 2, None, None, "running", None)]
+    out.clear()
+    put((8, 3, "note", None, None, None, 8))  # the timer of job 1 goes off
+    run()
+    put((9, 1, "step_progress", 1, 2, None, 9), (10, 2, "step_progress", 3, 1, None, 10))
+    out.clear()
+    run()
+    got = sorted(out, key=str)
+    assert [r[1:] for r in got] == [(1, 1, 2, "running", 10), (1, None, None, None, None), (2, 3, 1, "running", 10), (2, None, None, "running", None)]
+
+
+def test_percent_and_messages_of_events(spark):
+    fold = lambda *events: None if not events else apply_event(fold(*events[:-1]), *events[-1])
+    assert fold(("step_progress", None)) == ("running", 10, None, None)
+    assert fold(("step_started", None), ("step_progress", None)) == ("running", 5, None, None)
+    assert fold(("step_progress", 250.0), ("step_progress", None)) == ("running", 100, None, None)
+    assert fold(("step_completed", None, 7.0), ("step_failed", None), ("step_progress", None)) == ("running", 100, 7, "Unknown step failure")
+    rows = [("step_completed", 2, 3, "blast", None, None, 9), ("step_completed", 2, 3, None, None, None, 0), ("step_failed", 2, 3, "", None, "", None), ("step_failed", None, 3, None, "why", None, None), ("odd", 1, 1, None, None, None, None)]
+    frame = spark.createDataFrame(rows, "type string, phase int, step int, tool string, message string, error string, duration int")
+    assert [r[0] for r in frame.select(runs.activity_message()).collect()] == ["Step 2.3 completed · blast · 9s", "Step 2.3 completed", "Step 2.3 failed: unknown error", "why", "odd"]
 
 
 def test_contact_counts_equal_the_pairs(spark):
