@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from .matching import matching_ratio
-from .scales import PROPERTIES, RESIDUES
+from .scales import ACIDS, BASES, C_TERMINUS, N_TERMINUS, PROPERTIES, RESIDUES
 
 LAGS, CROSS_LAGS, LEAST_LENGTH = 30, 5, 37
 _CODE = np.full(256, -1)
@@ -58,14 +58,13 @@ def long_antigenicity(sequences: pd.Series) -> pd.Series:
     return sequences.map(lambda s: None if s is None else covariance_score(s))
 
 
-_PK = {"K": 10.0, "R": 12.0, "H": 5.98}, {"D": 4.05, "E": 4.45, "C": 9.0, "Y": 10.0}
-_N_TERM, _C_TERM = 7.5, 3.55
+_PK = BASES, ACIDS
 
 
 def charge_at(counts: dict[str, np.ndarray], ph: np.ndarray) -> np.ndarray:
     """Net charges at these pH values of sequences with these numbers of letters."""
-    plus = 1 / (1 + 10 ** (ph - _N_TERM)) + sum(counts[a] / (1 + 10 ** (ph - pk)) for a, pk in _PK[0].items())
-    minus = 1 / (1 + 10 ** (_C_TERM - ph)) + sum(counts[a] / (1 + 10 ** (pk - ph)) for a, pk in _PK[1].items())
+    plus = 1 / (1 + 10 ** (ph - N_TERMINUS)) + sum(counts[a] / (1 + 10 ** (ph - pk)) for a, pk in _PK[0].items())
+    minus = 1 / (1 + 10 ** (C_TERMINUS - ph)) + sum(counts[a] / (1 + 10 ** (pk - ph)) for a, pk in _PK[1].items())
     return plus - minus
 
 

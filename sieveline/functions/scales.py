@@ -196,3 +196,20 @@ ALLELE_FREQUENCY = {
     "HLA-DRB1*03:01": 0.108814,
     "HLA-DRB1*04:01": 0.081627,
 }
+
+# --- fixed values -----------------------------------------------------------------------------------
+#: dissociation of residues and ends
+BASES = {"K": 10.0, "R": 12.0, "H": 5.98}
+ACIDS = {"D": 4.05, "E": 4.45, "C": 9.0, "Y": 10.0}
+N_TERMINUS, C_TERMINUS = 7.5, 3.55
+#: the standard genetic code, amino acids in the order of the bases T, C, A, G
+GENETIC_CODE = {
+    a + b + c: aa
+    for (a, b, c), aa in zip(((a, b, c) for a in "TCAG" for b in "TCAG" for c in "TCAG"), "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG", strict=True)
+}
+#: patterns of well adapted codons (X: any base)
+ADAPTED_CODONS = {
+    "e coli": ("GGX", "GAX", "GUX", "GCG", "GCC", "GCA", "CCX", "CGT", "CGC"),
+    "yeast": ("GGX", "GAX", "GUX", "GCG", "GCC", "GCA", "GCT", "CCX", "AUU", "AGA", "AGG", "UUA", "UUG"),
+    "human": ("GGX", "GAC", "GUU", "GCG", "GCC", "GCA", "GCT", "CCX", "AUU", "AGA", "AGG", "UUA", "CUG"),
+}

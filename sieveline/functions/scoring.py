@@ -111,6 +111,14 @@ def immunogenicity(seq: Column, class_one: Column, class_two: Column, tap: Colum
     return 0.35 * clamp(class_one, 0.0, 1.0) + 0.35 * class_two + 0.20 * tap + 0.10 * length
 
 
+def immunogenicity_error(allele: Column, rank: Column, ic50: Column) -> Column:
+    """Why a row can't be scored for immunogenicity; null where it can."""
+    return (
+        F.when(F.coalesce(F.trim(allele), F.lit("")) == "", "no allele").when(ic50.isNotNull(), F.lit(None)).when(rank.isNull(), "no binding input")
+        .when(~rank.between(0, 100), "rank outside 0 to 100")
+    )
+
+
 def rank_binding(rank: Column) -> Column:
     """Binding input from a percentile rank; null outside 0 to 100."""
     return F.when(rank.between(0, 100), 1.0 - rank / 100.0)
@@ -138,6 +146,13 @@ def conformational(seq: Column, n_domains: Column | int = 0) -> Column:
     return F.coalesce(share(seq, "NDQEST"), F.lit(0.0)) * 0.7 + domains * 0.15 * 0.3
 
 
+def charge_curve(seq: Column, ph: float = 7.0) -> Column:
+    """Net charge at a pH by the dissociation of all residues and both ends; null for an empty sequence."""
+    plus = F.lit(1 / (1 + 10 ** (ph - S.N_TERMINUS))) + sum(n_of(seq, a) * (1 / (1 + 10 ** (ph - pk))) for a, pk in S.BASES.items())
+    minus = F.lit(1 / (1 + 10 ** (S.C_TERMINUS - ph))) + sum(n_of(seq, a) * (1 / (1 + 10 ** (pk - ph))) for a, pk in S.ACIDS.items())
+    return F.when(F.length(seq) > 0, plus - minus)
+
+
 def net_charge(seq: Column, ph: float = 7.0) -> Column:
     acid = {"D": 3.9, "E": 4.3, "C": 8.3, "Y": 10.1}
     base = {"H": 6.0, "K": 12.5, "R": 12.7}
@@ -234,6 +249,19 @@ def rare_codons(dna: Column) -> Column:
     return F.filter(codons(dna), lambda c: c.isin("AGG", "AGA", "CGG", "CGA"))
 
 
+def translated(dna: Column) -> Column:
+    """The protein of the first reading frame by the standard code; ``*`` stops, ``X`` is no codon of the four letters."""
+    table = F.create_map(*[F.lit(x) for pair in S.GENETIC_CODE.items() for x in pair])
+    return F.array_join(F.transform(codons(dna), lambda c: F.coalesce(F.try_element_at(table, c), F.lit("X"))), "")
+
+
+def adaptation(dna: Column, organism: str = "e coli") -> Column:
+    """Codon adaptation estimate: 0.3 + 0.4 * share of codons that match the organism's patterns; 0.5 without a codon."""
+    patterns = "^(" + "|".join(S.ADAPTED_CODONS.get(organism, S.ADAPTED_CODONS["e coli"])).replace("X", ".") + ")$"
+    good = F.size(F.filter(codons(dna), lambda c: c.rlike(patterns)))
+    return F.when(F.length(dna) >= 3, 0.3 + 0.4 * good / F.size(codons(dna))).otherwise(F.lit(0.5))
+
+
 def positional_identity(a: Column, b: Column) -> Column:
     """Percent of equal positions over the shorter length."""
     n = F.least(F.length(a), F.length(b))

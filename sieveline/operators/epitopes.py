@@ -201,3 +201,17 @@ def score_epitopes(epitopes: DataFrame) -> DataFrame:
         return epitopes.join(scored, "sequence")
     same = (epitopes["sequence"] == scored["sequence"]) & epitopes["ic50"].eqNullSafe(scored["ic50"])
     return epitopes.join(scored, same).select(epitopes["*"], *[scored[c] for c in scored.columns if c not in key])
+
+
+def score_immunogenicity(rows: DataFrame) -> DataFrame:
+    """``rows`` with class_one, class_two, ``score`` and ``error``: why a row can't be scored, else null.
+
+    rows: sequence, allele, rank (percentile), ic50 and ic50_two (nM, null where not measured). Class I comes from ic50, else from the
+    rank; class II from ic50_two, else it is 0.
+    """
+    error = scoring.immunogenicity_error(F.col("allele"), F.col("rank"), F.col("ic50"))
+    one = F.when(F.col("ic50").isNotNull(), scoring.binding_from_ic50(F.col("ic50"))).otherwise(scoring.rank_binding(F.col("rank")))
+    two = F.coalesce(scoring.binding_from_ic50(F.col("ic50_two")), F.lit(0.0))
+    made = rows.withColumns({"error": error, "class_one": one, "class_two": two})
+    score = scoring.immunogenicity(F.col("sequence"), F.col("class_one"), F.col("class_two"), scoring.tap_transport(F.col("sequence")))
+    return made.withColumn("score", F.when(F.col("error").isNull(), score))

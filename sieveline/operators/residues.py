@@ -122,6 +122,14 @@ def linear_fragments(proteins: DataFrame, window: int = 7, threshold: float = 0.
     return by_protein(proteins, of, "start int, end int, length long, score double")
 
 
+def linear_epitopes(proteins: DataFrame, window: int = 7, threshold: float = 0.5) -> DataFrame:
+    """Epitopes of 8 to 16 residues tiled over the fragments, with the greatest mean score of the fragments that give them."""
+    whole = proteins.select(*KEY, "sequence", F.length("sequence").alias("n"))
+    fragments = linear_fragments(proteins, window, threshold).join(whole, list(KEY))
+    tiles = tile_windows(fragments, keep=("sequence", "score")).groupBy(*KEY, "w_start", "w_end").agg(F.max("score").alias("score"), F.first("sequence").alias("whole"))
+    return tiles.select(*KEY, "w_start", "w_end", F.substring("whole", F.col("w_start"), F.col("w_end") - F.col("w_start") + 1).alias("sequence"), "score")
+
+
 def linear_summary(proteins: DataFrame, window: int = 7, threshold: float = 0.5) -> DataFrame:
     """Mean smoothed score and number of flagged positions by protein."""
 
@@ -175,17 +183,50 @@ def autocovariance(proteins: DataFrame) -> DataFrame:
     return by_protein(proteins, of, "p int, q int, lag int, value double")
 
 
-def tile_windows(fragments: DataFrame, size: int = 16, step: int = 8, least: int = 8) -> DataFrame:
+EXPOSED = "NDQEST"
+LEAST_FRAGMENT = 6
+
+
+def conformational(proteins: DataFrame, accessible: DataFrame | None = None, domains: DataFrame | None = None) -> DataFrame:
+    """Score of a discontinuous epitope by protein: proteome_id, ord, ratio of exposed residues, n_domains, score, is_epitope.
+
+    accessible: proteome_id, ord, pos, is_accessible; it counts for a protein that has as many rows as residues, else residues are exposed by their letter.
+    domains: one row for each domain, proteome_id and ord.
+    """
+    key, n = ["proteome_id", "ord"], F.length("sequence")
+    rows = proteins.select(*key, "sequence")
+    of = accessible.groupBy(*key).agg(F.count("*").alias("rows"), F.count_if("is_accessible").alias("open")) if accessible is not None else None
+    rows = rows.join(of, key, "left") if of is not None else rows.withColumns({"rows": F.lit(None).cast("long"), "open": F.lit(None).cast("long")})
+    rows = rows.join(domains.groupBy(*key).agg(F.count("*").alias("n_domains")), key, "left") if domains is not None else rows.withColumn("n_domains", F.lit(0).cast("long"))
+    exposed = F.when((F.col("rows") == n) & (n > 0), F.col("open")).otherwise(n - F.length(F.translate("sequence", EXPOSED, "")))
+    ratio = F.coalesce(F.try_divide(exposed.cast("double"), n), F.lit(0.0))
+    count = F.coalesce("n_domains", F.lit(0).cast("long"))
+    score = 0.7 * ratio + 0.3 * 0.15 * count
+    return rows.select(*key, ratio.alias("ratio"), count.alias("n_domains"), score.alias("score"), (score >= 0.4).alias("is_epitope"))
+
+
+def exposed_fragments(proteins: DataFrame, least: int = LEAST_FRAGMENT) -> DataFrame:
+    """Runs of at least ``least`` exposed residues: proteome_id, ord, start, end, length, fragment."""
+    letter = np.isin(np.arange(256), [ord(c) for c in EXPOSED])
+
+    def of(codes: np.ndarray) -> list[tuple]:
+        first, last = _flag_runs(letter[codes])
+        return [(int(i) + 1, int(j) + 1, int(j - i) + 1, codes[i : j + 1].tobytes().decode()) for i, j in zip(first, last, strict=True) if j - i + 1 >= least]
+
+    return by_protein(proteins, of, "start int, end int, length int, fragment string")
+
+
+def tile_windows(fragments: DataFrame, size: int = 16, step: int = 8, least: int = 8, keep: tuple[str, ...] = ()) -> DataFrame:
     """Windows over fragments: long ones are tiled with a last flush window, short ones get one centred window.
 
     ``fragments`` has start, end, length and the protein's length ``n``; windows are distinct by protein
-    and start, and those shorter than ``least`` drop out.
+    and start (and the columns of the fragment to ``keep``), and those shorter than ``least`` drop out.
     """
     start, end, length, n = (F.col(c) for c in ("start", "end", "length", "n"))
     tiles = F.array_distinct(F.array_append(F.sequence(start, end - size + 1, F.lit(step)), end - size + 1))
     centred = F.greatest(F.least(F.floor((start + end) / 2).cast("int") - size // 2, n - size + 1), F.lit(1))
     starts = F.when(length >= size, tiles).otherwise(F.array(centred))
-    windows = fragments.select(*KEY, "n", F.explode(starts).alias("w_start")).distinct()
+    windows = fragments.select(*KEY, "n", F.explode(starts).alias("w_start"), *keep).distinct()
     return windows.withColumn("w_end", F.least(F.col("w_start") + size - 1, F.col("n"))).filter(F.col("w_end") - F.col("w_start") + 1 >= least)
 
 

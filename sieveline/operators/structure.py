@@ -64,12 +64,14 @@ def contact_energy(contacts: DataFrame) -> DataFrame:
     return sums.withColumn("native_like", F.col("z_score").between(-4.0, 3.0) & (F.col("violations") < 0.3 * F.col("pairs")))
 
 
-def disulfide_pairs(proteins: DataFrame, least: int = 10, most: int = 80, top: int = 8) -> DataFrame:
+def disulfide_pairs(proteins: DataFrame, least: int = 10, most: int = 80, top: int = 8, places: DataFrame | None = None) -> DataFrame:
     """The best residue pairs of each protein for a disulfide bond: ordered neighbourhoods, separation of 10 to 79.
 
     A pair scores the share of helix or sheet among the seven residues around either end, and 4 more
     up to a separation of 40. Only pairs of the best class can reach the top, so positions are ranked
     per protein after a linear explode; there is no self-join over pairs.
+
+    places: proteome_id, ord, pos, x, y, z of residues (some may be missing); a pair 3 to 9 apart gets up to 1 more, most at 6.
     """
     key = ["proteome_id", "ord"]
     w = Window.partitionBy(*key).orderBy("pos").rowsBetween(-3, 3)
@@ -78,9 +80,16 @@ def disulfide_pairs(proteins: DataFrame, least: int = 10, most: int = 80, top: i
     ends = states.withColumn("order", order).filter("aa <> 'C'").select(*key, "pos", "n", "order")
     last = F.least(F.col("pos") + most - 1, F.col("n"))
     begin = F.col("pos") + least
-    left = ends.filter(last >= begin).select(*key, F.col("pos").alias("i"), F.col("order").alias("order_i"), F.explode(F.sequence(begin, last)).alias("j"))
-    pairs = left.join(ends.select(*key, F.col("pos").alias("j"), F.col("order").alias("order_j")), [*key, "j"])
-    score = F.round(F.col("order_i") + F.col("order_j") + F.when(F.col("j") <= F.col("i") + 40, 4.0).otherwise(0.0), 3)
+    at = ("x", "y", "z")
+    if places is None:
+        ends = ends.withColumns({c: F.lit(None).cast("double") for c in at})
+    else:
+        ends = ends.join(places.select(*key, "pos", *at), [*key, "pos"], "left")
+    left = ends.filter(last >= begin).select(*key, F.col("pos").alias("i"), F.col("order").alias("order_i"), F.explode(F.sequence(begin, last)).alias("j"), *[F.col(c).alias(f"{c}_i") for c in at])
+    pairs = left.join(ends.select(*key, F.col("pos").alias("j"), F.col("order").alias("order_j"), *[F.col(c).alias(f"{c}_j") for c in at]), [*key, "j"])
+    distance = F.sqrt(sum((F.pow(F.col(f"{c}_i") - F.col(f"{c}_j"), 2) for c in at), F.lit(0.0)))
+    boost = F.coalesce(F.when(distance.between(3.0, 9.0), 1.0 - F.abs(distance - 6.0) / 3.0), F.lit(0.0))
+    score = F.round(F.col("order_i") + F.col("order_j") + F.when(F.col("j") <= F.col("i") + 40, 4.0).otherwise(0.0) + boost, 3)
     rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.col("score").desc(), "i", "j"))
     return pairs.withColumn("score", score).withColumn("rank", rank).filter(F.col("rank") <= top).select(*key, "rank", "i", "j", "score")
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sieveline.functions import scales as S
 from sieveline.functions import scoring
+from sieveline.functions.helpers import identity_ratio
 from sieveline.operators import epitopes, proteome, runs, structure
 from sieveline.sources import formats
 from sieveline.sources.scratch import scratch_path
@@ -96,6 +97,19 @@ def j8(spark, sf_dir):
     return structure.disulfide_pairs(_constructs(spark, sf_dir))
 
 
+_PLACES = f"{V.ATOMS}, places AS (SELECT res_idx + 1 AS pos, min(x) AS x, min(y) AS y, min(z) AS z FROM atoms GROUP BY 1)"
+_BOOST = "sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))"
+
+
+@query("j8_disulfide_places", _PAIRS.replace("pr AS (", f"{_PLACES}, oc AS (SELECT od.*, x, y, z FROM od LEFT JOIN places USING (pos)), pr AS (").replace("THEN 4.0 ELSE 0 END, 3)", f"THEN 4.0 ELSE 0 END + CASE WHEN {_BOOST} BETWEEN 3 AND 9 THEN 1.0 - abs({_BOOST} - 6.0) / 3.0 ELSE 0 END, 3)").replace("FROM od a JOIN od b", "FROM oc a JOIN oc b"))
+def j8_places(spark, sf_dir):
+    """With coordinates: residues at a fitting distance score more."""
+    built = _constructs(spark, sf_dir)
+    by_place = V.atoms(spark, sf_dir).groupBy((F.col("res_idx") + 1).alias("pos")).agg(*[F.min(c).alias(c) for c in "xyz"])
+    sized = built.filter("sequence <> ''").select("proteome_id", "ord", F.explode(F.sequence(F.lit(1), F.length("sequence"))).alias("pos"))
+    return structure.disulfide_pairs(built, places=sized.join(by_place, "pos"))
+
+
 @query("k6_disulfide_top8", _PAIRS.replace("SELECT proteome_id, ord, rank, i, j, score FROM (", "SELECT proteome_id, rank, i, j, score FROM ("))
 def k6(spark, sf_dir):
     return structure.disulfide_pairs(_constructs(spark, sf_dir)).select("proteome_id", "rank", "i", "j", "score")
@@ -151,6 +165,34 @@ def c20(spark, sf_dir):
     return _dna(spark, sf_dir).select("id", F.length(dna).alias("bp"), F.size(scoring.codons(dna)).alias("n_codons"), r6(scoring.gc_percent(dna)).alias("gc"), F.size(scoring.rare_codons(dna)).alias("n_rare"))
 
 
+@query("c20_transcript_annotation", f"""WITH {_CUTS}, c AS (SELECT *, [substr(dna, i * 3 + 1, 3) for i in range(0, length(dna) // 3)] AS codons FROM dna),
+s AS (SELECT id, string_agg(enzyme || '@' || position, ',' ORDER BY enzyme_ord, position) AS sites FROM cuts GROUP BY id),
+code(codon, aa) AS (SELECT substr('TCAG', i // 16 + 1, 1) || substr('TCAG', i // 4 % 4 + 1, 1) || substr('TCAG', i % 4 + 1, 1), substr('FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG', i + 1, 1) FROM range(64) t(i)),
+m AS (SELECT map(list(codon), list(aa)) AS m FROM code)
+SELECT c.id, coalesce(list_aggregate(list_transform(codons, lambda x: m[x]), 'string_agg', ''), '') AS protein,
+CASE WHEN length(dna) >= 3 THEN round(0.3 + 0.4 * len(list_filter(codons, lambda x: regexp_matches(x, '^(GG.|GA.|GC[GCA]|CC.|CG[TC])$')))::double / len(codons), 6) ELSE 0.5 END AS adaptation,
+array_to_string(list_filter(codons, lambda x: x IN ('AGG', 'AGA', 'CGG', 'CGA'))[1:10], ',') AS rare, coalesce(sites, '') AS sites FROM c CROSS JOIN m LEFT JOIN s ON s.id = c.id""")
+def c20_annotation(spark, sf_dir):
+    """Protein, adaptation, the first ten rare codons and all enzyme sites of each transcript."""
+    dna = _dna(spark, sf_dir)
+    site = F.struct("enzyme_ord", "position", F.concat("enzyme", F.lit("@"), F.col("position").cast("string")).alias("name"))
+    sites = structure.restriction_sites(dna).groupBy("id").agg(F.array_sort(F.collect_list(site)).alias("sites"))
+    s = F.col("dna")
+    return dna.join(sites, "id", "left").select(
+        "id", scoring.translated(s).alias("protein"), r6(scoring.adaptation(s)).alias("adaptation"), F.array_join(F.slice(scoring.rare_codons(s), 1, 10), ",").alias("rare"),
+        F.coalesce(F.array_join(F.transform("sites", lambda x: x["name"]), ","), F.lit("")).alias("sites"),
+    )
+
+
+@query("c21_global_identity")
+def c21_global(spark, sf_dir):
+    """Matching ratio of every protein and the next one of its proteome; SQL has no such alignment, the tests compare it with the slow form."""
+    p = V.proteins(spark, sf_dir).select("proteome_id", "ord", "sequence")
+    both = p.withColumn("other", F.lead("sequence").over(Window.partitionBy("proteome_id").orderBy("ord"))).filter("other IS NOT NULL")
+    both = both.repartition(4 * spark.sparkContext.defaultParallelism)  # much work for few bytes
+    return both.select("proteome_id", "ord", r6(identity_ratio("sequence", "other")).alias("identity"))
+
+
 @query("c21_pairwise_identity", """WITH p AS (SELECT a.item_id, a.text AS x, b.text AS y FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1)
 SELECT item_id, round(list_sum([(substr(x, i, 1) = substr(y, i, 1))::int for i in range(1, least(length(x), length(y)) + 1)]) * 100.0 / least(length(x), length(y)), 6) AS identity FROM p""")
 def c21(spark, sf_dir):

@@ -340,6 +340,25 @@ def c8(spark, sf_dir):
     return V.predictions(spark, sf_dir).select("accession", "start", "allele", r6(score).alias("score"))
 
 
+_IC50_BINDING = "CASE WHEN {0} <= 0 THEN 1.0 ELSE 1.0 / nullif(1.0 + log10(greatest({0} / 100.0, 0.01)), 0) END"
+_BINDING_ROWS = f"""{V.PREDICTIONS}, b AS (SELECT accession, start, peptide AS sequence, CASE WHEN start % 17 <> 0 THEN allele END AS allele, CASE WHEN start % 11 = 0 THEN percentile + 100 WHEN start % 13 <> 0 THEN percentile END AS rank,
+  CASE WHEN start % 5 = 0 THEN start * 10.0::double END AS ic50, CASE WHEN start % 7 = 0 THEN start * 20.0::double END AS ic50_two FROM predictions)"""
+
+
+@query("c8_immunogenicity_rows", f"""WITH {_BINDING_ROWS}, e AS (SELECT *, CASE WHEN allele IS NULL THEN 'no allele' WHEN ic50 IS NOT NULL THEN NULL WHEN rank IS NULL THEN 'no binding input' WHEN rank NOT BETWEEN 0 AND 100 THEN 'rank outside 0 to 100' END AS error,
+  CASE WHEN ic50 IS NOT NULL THEN {_IC50_BINDING.format('ic50')} ELSE 1.0 - rank / 100.0 END AS one, coalesce({_IC50_BINDING.format('ic50_two')}, 0.0) AS two FROM b)
+SELECT accession, start, allele, error, CASE WHEN error IS NULL THEN round(0.35 * least(greatest(one, 0), 1) + 0.35 * two + 0.20 * {_TAP} + 0.10, 6) END AS score FROM e""")
+def c8_rows(spark, sf_dir):
+    """Both classes of binding; rows that can't be scored keep their reason."""
+    start = F.col("start")
+    rows = V.predictions(spark, sf_dir).select(
+        "accession", "start", F.col("peptide").alias("sequence"), F.when(start % 17 != 0, F.col("allele")).alias("allele"),
+        F.when(start % 11 == 0, F.col("percentile") + 100).when(start % 13 != 0, F.col("percentile")).alias("rank"),
+        F.when(start % 5 == 0, start * 10.0).alias("ic50"), F.when(start % 7 == 0, start * 20.0).alias("ic50_two"),
+    )
+    return epitopes.score_immunogenicity(rows).select("accession", "start", "allele", "error", r6("score").alias("score"))
+
+
 _ANTIGEN = f"""(CASE WHEN length(sequence) > 0 THEN least(greatest(0.35 * least({_share('DEKR')} * 3, 1.0) + 0.25 * least({_share('FWY')} * 5, 1.0)
  + 0.25 * greatest(1.0 - abs({_share('AILMFWV')} - 0.45) * 2, 0) + 0.15 * least({_share('STNQC')} * 3, 1.0), 0.1), 0.95) ELSE 0.3 END)"""
 
@@ -379,6 +398,30 @@ def c11(spark, sf_dir):
     return V.proteins(spark, sf_dir).select("proteome_id", "ord", r6(scoring.conformational(seq)).alias("score"), F.regexp_count(seq, F.lit("[NDQEST]{6,}")).alias("fragments"))
 
 
+_ACCESSIBLE = """open AS (SELECT proteome_id, ord, pos, pos % 3 <> 0 AS is_accessible FROM (SELECT proteome_id, ord, unnest(range(1, length(sequence) - CASE WHEN ord % 5 = 0 THEN 1 ELSE 0 END + 1)) AS pos FROM proteins WHERE ord % 2 = 0)),
+  domains AS (SELECT proteome_id, ord FROM (SELECT proteome_id, ord, unnest(range(0, ord % 9)) AS d FROM proteins))"""
+
+
+@query("c11_conformational_residues", f"""WITH {V.PROTEINS}, {_ACCESSIBLE}, o AS (SELECT proteome_id, ord, count(*) AS rows, count_if(is_accessible) AS open FROM open GROUP BY 1, 2), d AS (SELECT proteome_id, ord, count(*) AS n_domains FROM domains GROUP BY 1, 2),
+r AS (SELECT p.proteome_id, p.ord, coalesce(CASE WHEN rows = length(sequence) THEN open ELSE {_n('NDQEST')} END::double / nullif(length(sequence), 0), 0) AS ratio, coalesce(n_domains, 0) AS n_domains
+  FROM proteins p LEFT JOIN o ON o.proteome_id = p.proteome_id AND o.ord = p.ord LEFT JOIN d ON d.proteome_id = p.proteome_id AND d.ord = p.ord)
+SELECT proteome_id, ord, round(ratio, 6) AS ratio, n_domains, round(0.7 * ratio + 0.3 * 0.15 * n_domains, 6) AS score, 0.7 * ratio + 0.3 * 0.15 * n_domains >= 0.4 AS is_epitope FROM r""")
+def c11_residues(spark, sf_dir):
+    """Accessible residues from a table, for the proteins that it covers whole; domains by protein."""
+    p, ord_ = V.proteins(spark, sf_dir), F.col("ord")
+    n = F.length("sequence") - F.when(ord_ % 5 == 0, 1).otherwise(0)
+    places = p.filter("ord % 2 = 0").filter(n >= 1).select("proteome_id", "ord", F.explode(F.sequence(F.lit(1), n)).alias("pos"))
+    domains = p.filter("ord % 9 > 0").select("proteome_id", "ord", F.explode(F.sequence(F.lit(1), (ord_ % 9).cast("int"))).alias("d")).drop("d")
+    out = residues.conformational(p, places.withColumn("is_accessible", F.col("pos") % 3 != 0), domains)
+    return out.withColumns({"ratio": r6("ratio"), "score": r6("score")})
+
+
+@query("c11_conformational_fragments", f"""WITH {V.PROTEINS}, letters AS (SELECT proteome_id, ord, unnest(range(1, length(sequence) + 1)) AS pos, unnest(string_split(sequence, '')) AS aa FROM proteins WHERE sequence <> ''), f AS (SELECT * FROM letters WHERE contains('NDQEST', aa)),
+g AS ({{runs}}) SELECT proteome_id, ord, start::int AS start, "end"::int AS "end", length::int AS length, fragment FROM g WHERE length >= 6""")
+def c11_fragments(spark, sf_dir):
+    return residues.exposed_fragments(V.proteins(spark, sf_dir))
+
+
 @query("c12_bcell_immunogenicity", f"WITH {V.PROTEINS} SELECT proteome_id, ord, len(regexp_extract_all(sequence, 'N[^P][ST]')) AS sites, round(greatest(0.6 - least(len(regexp_extract_all(sequence, 'N[^P][ST]')) * 0.15, 0.5) - {_share('P')} * 0.3, 0), 6) AS score FROM proteins")
 def c12(spark, sf_dir):
     seq = F.col("sequence")
@@ -434,6 +477,15 @@ def c16_pi(spark, sf_dir):
     return V.proteins(spark, sf_dir).select("proteome_id", "ord", isoelectric_point("sequence").alias("pi"))
 
 
+_CURVE = ("(1 / (1 + pow(10, 7.0 - 7.5))" + "".join(f" + {_n(a)} / (1 + pow(10, 7.0 - {pk}))" for a, pk in (("K", 10.0), ("R", 12.0), ("H", 5.98)))
+          + " - 1 / (1 + pow(10, 3.55 - 7.0))" + "".join(f" - {_n(a)} / (1 + pow(10, {pk} - 7.0))" for a, pk in (("D", 4.05), ("E", 4.45), ("C", 9.0), ("Y", 10.0))) + ")")
+
+
+@query("c16_charge", f"WITH {V.PROTEINS} SELECT proteome_id, ord, CASE WHEN sequence <> '' THEN round({_CURVE}, 6) END AS charge FROM proteins")
+def c16_charge(spark, sf_dir):
+    return V.proteins(spark, sf_dir).select("proteome_id", "ord", r6(scoring.charge_curve(F.col("sequence"))).alias("charge"))
+
+
 _CHARGE = f"({_n('KR')} - {_n('DE')})"  # at pH 7 histidine, cysteine and tyrosine are neutral
 
 
@@ -501,6 +553,9 @@ def w4(spark, sf_dir):
 _RUNS = "SELECT proteome_id, ord, min(pos) AS start, max(pos) AS \"end\", count(*) AS length{more} FROM (SELECT *, pos - row_number() OVER (PARTITION BY proteome_id, ord ORDER BY pos) AS island FROM {source}) GROUP BY proteome_id, ord, island"
 
 
+ORACLE_SQL["c11_conformational_fragments"] = ORACLE_SQL["c11_conformational_fragments"].replace("{runs}", _RUNS.format(more=", string_agg(aa, '' ORDER BY pos) AS fragment", source="f"))
+
+
 @query("w5_fragments", f"WITH {_SMOOTH}, f AS (SELECT * FROM sm WHERE smoothed >= 0.6) {_RUNS.format(more='', source='f')}")
 def w5(spark, sf_dir):
     scored = residues.smooth_scale(residues.residues(V.proteins(spark, sf_dir)))
@@ -512,6 +567,16 @@ def c10(spark, sf_dir):
     return residues.linear_fragments(V.proteins(spark, sf_dir)).withColumn("score", r6("score"))
 
 
+@query("c10_linear_tiles", f"""WITH {_SMOOTH}, f AS (SELECT * FROM sm WHERE smoothed >= 0.5 - 1e-9), g AS ({_RUNS.format(more=', max(n) AS n, avg(smoothed) AS score', source='f')}),
+t AS (SELECT *, CASE WHEN length >= 16 THEN list_distinct(list_append(range(start, "end" - 14, 8), "end" - 15)) ELSE [greatest(least((start + "end") // 2 - 8, n - 15), 1)] END AS starts FROM g),
+w AS (SELECT proteome_id, ord, n, w_start, max(score) AS score FROM (SELECT proteome_id, ord, n, score, unnest(starts) AS w_start FROM t) GROUP BY ALL)
+SELECT w.proteome_id, w.ord, w_start::int AS w_start, least(w_start + 15, n)::int AS w_end, substr(sequence, w_start::bigint, least(w_start + 15, n)::bigint - w_start::bigint + 1) AS sequence, round(score, 6) AS score
+FROM w JOIN proteins p ON p.proteome_id = w.proteome_id AND p.ord = w.ord WHERE least(w_start + 15, n) - w_start + 1 >= 8""")
+def c10_tiles(spark, sf_dir):
+    out = residues.linear_epitopes(V.proteins(spark, sf_dir))
+    return out.select("proteome_id", "ord", F.col("w_start").cast("int").alias("w_start"), F.col("w_end").cast("int").alias("w_end"), "sequence", r6("score").alias("score"))
+
+
 _TM = f"""{_RES}, m AS (SELECT *, avg(membrane) {_over(0, 18)} AS mean FROM res WHERE n >= 15), f AS (SELECT * FROM m WHERE pos <= n - 18 AND mean >= 1.8 - 1e-9),
 g AS ({_RUNS.format(more=', max(n) AS n', source='f')})"""
 
@@ -749,6 +814,26 @@ def c19(spark, sf_dir):
     return built.select("run_id", *[F.round(c, 4 if k == "molecular_weight" else 6).alias(k) if k != "extinction" else c.alias(k) for k, c in props.items()])
 
 
+@query("c19_construct_scores", f"""WITH RECURSIVE {_CONSTRUCT}, s AS (SELECT run_id, construct AS sequence, [coalesce(w, 0) for w in list_transform(string_split(construct, ''), lambda x: CASE x {" ".join(f"WHEN '{a}' THEN {v}::double" for a, v in S.AGGREGATION_HYDROPATHY.items())} END)] AS w FROM constructs),
+b AS (SELECT run_id, {", ".join(f"{_n(a)} AS {a.lower()}" for a in "KRHDECY")}, 0 AS step, 0.0::double AS low, 14.0::double AS high FROM s
+UNION ALL SELECT run_id, k, r, h, d, e, c, y, step + 1, CASE WHEN {_PLUS} > {_MINUS} THEN {_AT} ELSE low END, CASE WHEN {_PLUS} > {_MINUS} THEN high ELSE {_AT} END FROM b WHERE step < 50),
+g AS (SELECT s.run_id, sequence, low AS pi, {_CURVE} AS charge, {_ENERGY} AS energy, {_STRAND} AS strand, CASE WHEN length(sequence) >= 5 THEN len([1 for i in range(1, length(sequence) - 3) if list_sum(w[i:i + 4]) >= 15 - 1e-9]) / (length(sequence) - 4) ELSE 0 END AS aggregation FROM s JOIN b ON b.run_id = s.run_id AND step = 50),
+z AS (SELECT *, least(greatest(0.25 * (1.0 - aggregation) + 0.25 * least(greatest(1.0 - greatest({_sum(S.HYDROPATHY)} / nullif(length(sequence), 0), 0) / 5.0, 0), 1)
++ 0.25 * least(abs({_CHARGE})::double / nullif(length(sequence), 0) * 10.0, 1.0) + 0.25 * greatest(1.0 - length(sequence) / 2000.0, 0.3), 0), 1) AS solubility FROM g)
+SELECT run_id, length(sequence)::int AS residues, {_PHYS}, round(pi, 6) AS pi, round(charge, 6) AS charge, round(solubility, 6) AS solubility, round(energy, 4) AS energy,
+round(least(greatest(solubility * 0.4 + CASE WHEN energy > -5 THEN 0.7 ELSE energy / -10.0 END * 0.3 + (1.0 - strand) * 0.3, 0), 1), 6) AS expression FROM z WHERE sequence <> ''""")
+def c19_scores(spark, sf_dir):
+    """One row for each construct: counts, isoelectric point, charge, solubility, stability and expression."""
+    built = epitopes.assemble_construct(epitopes.select_for_construct(V.epitopes(spark, sf_dir))).filter("construct <> ''")
+    seq = F.col("construct")
+    props = {k: F.round(c, 4 if k == "molecular_weight" else 6) if k != "extinction" else c for k, c in scoring.physicochemical(seq).items()}
+    solubility, energy = scoring.solubility(seq, scoring.aggregation_share(seq)), scoring.stability(seq)
+    return built.select(
+        "run_id", F.length(seq).alias("residues"), *[c.alias(k) for k, c in props.items()], isoelectric_point(seq).alias("pi"), r6(scoring.charge_curve(seq)).alias("charge"),
+        r6(solubility).alias("solubility"), F.round(energy, 4).alias("energy"), r6(scoring.expression(solubility, energy, scoring.strand_aggregation(seq))).alias("expression"),
+    )
+
+
 @query("k2_top_epitopes_report", f"WITH {V.EPITOPES} SELECT run_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY coalesce(antigenicity, 0) DESC, id) AS rank FROM epitopes) WHERE rank <= 15")
 def k2(spark, sf_dir):
     from pyspark.sql import Window

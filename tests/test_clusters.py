@@ -114,3 +114,19 @@ def test_clusters_of_the_query_equal_the_sequential_rule(spark, data):
         assert len(own) <= 1000
         expected |= {(p, o): r for o, r in _greedy(own, 5).items()}
     assert got == expected
+
+
+def test_global_identity_of_the_query_equals_the_slow_form(spark, data):
+    from sieveline.plans import views
+    from sieveline.plans.operations import QUERIES
+
+    got = {(r.proteome_id, r.ord): r.identity for r in QUERIES["c21_global_identity"](spark, data).collect()}
+    by = {}
+    for r in views.proteins(spark, data).select("proteome_id", "ord", "sequence").collect():
+        by.setdefault(r.proteome_id, []).append((r.ord, r.sequence))
+    expected = {}
+    for p, rows in by.items():
+        for (o, a), (_, b) in zip(sorted(rows), sorted(rows)[1:], strict=False):
+            if len(a) * len(b) < 300_000:
+                expected[p, o] = round(_ratio(a, b), 6)
+    assert len(expected) > 50 and all(got[k] == pytest.approx(v, abs=1e-6) for k, v in expected.items())
