@@ -17,8 +17,9 @@ documents, so the difference-cover algorithm runs like this:
    a gram of their first ``LENGTH - PERIOD + 1`` bytes, sorted, and adjacent prefixes are compared byte by byte.
    For each shift, strings with equal bytes before and behind the sampled position meet, and all but
    those of the smallest document are repeats. Equal suffixes of one block are settled before that.
-   Suffixes whose name ``HOT_BLOCKS`` blocks have are exchanged for ``HOT_SHIFTS`` shifts at a time, by all
-   bytes that the strings at these shifts share, so that a frequent phrase spreads by what is around it.
+   Suffixes of each range are counted over all blocks before; those of a range with more than ``FULL`` times its
+   share, and those whose name ``HOT_BLOCKS`` blocks have, are exchanged for ``HOT_SHIFTS`` shifts at a time, by all
+   bytes that the strings at these shifts share, so that a frequent phrase, however short, spreads by what is around it.
 5. Repeats of a document are united to spans and cut out of its bytes.
 
 Fingerprints only choose what is compared: a collision costs a comparison and never a byte. Names have
@@ -57,7 +58,8 @@ COVER = (3, 6, 7, 12, 14)  # every difference modulo PERIOD occurs between two o
 TRIPLE = 24
 BEFORE = PERIOD - 1  # bytes that a string may have before its sampled position
 SHARED = LENGTH - BEFORE  # bytes that it has behind it at least
-HOT_BLOCKS = 1024  # below, the suffixes of a name are about a range at most
+HOT_BLOCKS = 1024
+FULL = 3
 HOT_SHIFTS = 3
 BLOCK = 4 << 20
 RANGE_BYTES = 6 << 20  # of names
@@ -251,8 +253,8 @@ _KINDS = (pa.int32(), *[pa.binary()] * 5)
 _NAMES = [c.split()[0] for c in SUFFIXES.split(", ")]
 
 
-def _ranges(after: np.ndarray, before: np.ndarray, bits: int) -> np.ndarray:
-    """The range of each suffix, from bytes that all its strings have: the least hash of the grams behind it, and all bytes before.
+def _ranges(after: np.ndarray, bits: int) -> np.ndarray:
+    """The range of each suffix, from bytes that all its strings have: the least hash of the grams behind it.
 
     Neighbouring suffixes of a text mostly have the same least gram: they go the same way and are packed well together.
     """
@@ -261,29 +263,68 @@ def _ranges(after: np.ndarray, before: np.ndarray, bits: int) -> np.ndarray:
     for i in range(grams.shape[1]):
         two = [np.ascontiguousarray(grams[:, i, j : j + 8]).view("<u8").ravel() for j in (0, GRAM - 8)]
         np.minimum(least, _mix((_mix(two[0] * np.uint64(0x9E3779B97F4A7C15)) + two[1]) * np.uint64(0x9E3779B97F4A7C15)), out=least)
-    if before.shape[1]:
-        head = np.concatenate([after, before, np.zeros((len(after), -(after.shape[1] + before.shape[1]) % 8), np.uint8)], axis=1)
-        for word in np.ascontiguousarray(head).view("<u8").T:
-            least = _mix((least + word) * np.uint64(0x9E3779B97F4A7C15))
     return (_mix(least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _suffix_batches(bits: int, low: int, range_bits: int, bucket_bits: int):
+def _spread(after: np.ndarray, before: np.ndarray, bits: int) -> np.ndarray:
+    """The range of each suffix from all bytes that its strings have."""
+    whole = np.concatenate([after, before, np.zeros((len(after), -(after.shape[1] + before.shape[1]) % 8), np.uint8)], axis=1)
+    h = np.zeros(len(after), np.uint64)
+    for word in np.ascontiguousarray(whole).view("<u8").T:
+        h = _mix((h + word) * np.uint64(0x9E3779B97F4A7C15))
+    return (_mix(h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _flags_of(block: Block, flags: list[dict]) -> np.ndarray:
+    """Whether the name of each sampled position is repeated, and whether it is hot."""
+    parts = [
+        np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(f["flags"]), np.uint8), count=2 * f["size"]).reshape(2, -1)
+        for f in sorted(flags, key=lambda f: f["range"])
+    ]
+    return np.concatenate(parts, axis=1)[:, np.unique(block.name, return_inverse=True)[1]] > 0
+
+
+def _around(block: Block) -> np.ndarray:
+    return sliding_window_view(np.concatenate([np.zeros(BEFORE, np.uint8), block.data, np.zeros(LENGTH, np.uint8)]), BEFORE + LENGTH)
+
+
+def _common_ranges(around: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
+    """The ranges of positions by the bytes that their strings at every shift have."""
+    step = 1 << 17
+    return np.concatenate([_ranges(around[at[i : i + step]][:, BEFORE : BEFORE + SHARED], bits) for i in range(0, len(at), step)] or [np.zeros(0, np.int64)])
+
+
+def _count_ranges(bits: int, low: int, range_bits: int):
+    """Suffixes of every range that the blocks of a task have; one number for each range is held."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << range_bits, np.int64)
+        for batch in batches:
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
+                block = Block(row["keys"], row["lengths"], row["data"], bits + low)
+                repeated, hot = _flags_of(block, row["flags"])
+                total += np.bincount(_common_ranges(_around(block), block.at[repeated & ~hot], range_bits), minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["range", "n"])
+
+    return made
+
+
+def _suffix_batches(bits: int, low: int, range_bits: int, bucket_bits: int, full: bytes):
     """Remaining suffixes of each block by range; repeats within the block come out as runs (negative range)."""
 
     def of_block(row: dict) -> Iterator[pa.RecordBatch]:
         block = Block(row["keys"], row["lengths"], row["data"], bits + low)
-        flags = [
-            np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(f["flags"]), np.uint8), count=2 * f["size"]).reshape(2, -1)
-            for f in sorted(row["flags"], key=lambda f: f["range"])
-        ]
-        repeated, hot = np.concatenate(flags, axis=1)[:, np.unique(block.name, return_inverse=True)[1]] > 0
-        around = sliding_window_view(np.concatenate([np.zeros(BEFORE, np.uint8), block.data, np.zeros(LENGTH, np.uint8)]), BEFORE + LENGTH)
+        repeated, hot = _flags_of(block, row["flags"])
+        around, ranges = _around(block), np.unpackbits(np.frombuffer(full, np.uint8)) > 0
+        if ranges.any():
+            chosen = np.flatnonzero(repeated & ~hot)
+            hot[chosen[ranges[_common_ranges(around, block.at[chosen], range_bits)]]] = True
         for first in range(0, PERIOD, HOT_SHIFTS):
-            yield from of_shifts(block, around, repeated & hot, first, min(first + HOT_SHIFTS, PERIOD) - 1)
-        yield from of_shifts(block, around, repeated & ~hot, 0, PERIOD - 1)
+            yield from of_shifts(block, around, repeated & hot, first, min(first + HOT_SHIFTS, PERIOD) - 1, True)
+        yield from of_shifts(block, around, repeated & ~hot, 0, PERIOD - 1, False)
 
-    def of_shifts(block: Block, around: np.ndarray, chosen: np.ndarray, lowest: int, highest: int) -> Iterator[pa.RecordBatch]:
+    def of_shifts(block: Block, around: np.ndarray, chosen: np.ndarray, lowest: int, highest: int, spread: bool) -> Iterator[pa.RecordBatch]:
         doc, at = block.doc[chosen], block.at[chosen]
         begin = block.begin[doc]
         least, most = np.maximum(lowest, at + LENGTH - begin - block.lengths[doc]), np.minimum(highest, at - begin)
@@ -306,7 +347,8 @@ def _suffix_batches(bits: int, low: int, range_bits: int, bucket_bits: int):
         settled = _packed_runs(block.keys, doc[later], at[later] - (shifts[later] & 255), at[later] - (shifts[later] >> 8), bucket_bits)
         rows: list[tuple] = [(-1 - bucket, *packed, None, None) for bucket, *packed in settled]
         whole, shifts, doc, at = whole[~later], shifts[~later], doc[~later], at[~later]
-        of = _ranges(whole[:, : LENGTH - highest], whole[:, LENGTH : LENGTH + lowest], range_bits)
+        common = whole[:, : LENGTH - highest]
+        of = _spread(common, whole[:, LENGTH : LENGTH + lowest], range_bits) if spread else _ranges(common, range_bits)
         order = np.lexsort((at, doc, of))  # what overlaps in the text stands together
         whole, shifts, doc, at = whole[order], shifts[order], doc[order], at[order]
         cut = np.searchsorted(of[order], np.arange((1 << range_bits) + 1))
@@ -429,8 +471,8 @@ def whole_copies(rows: DataFrame) -> DataFrame:
     return written(digests.join(_small(firsts, F.lit(48)), "digest").filter("doc_id > first").select("doc_id", "th").distinct(), "suffix-copies")
 
 
-def repeated_spans(rows: DataFrame) -> DataFrame:
-    """doc_id, ``th`` (text hash) and ``spans`` (packed runs of starts of repeated strings), one row a document."""
+def exchanged_suffixes(rows: DataFrame) -> tuple[DataFrame, int]:
+    """The remaining suffixes of all blocks by range, and the bits of the buckets of documents."""
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     names = max(1, size * len(COVER) // PERIOD)
     bits = max(1, math.ceil(math.log2(1 + names * 4 / RANGE_BYTES)))
@@ -442,9 +484,17 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     left = flags.agg(F.sum("n")).first()[0] or 0
     range_bits = max(1, math.ceil(math.log2(1 + left * (BEFORE + LENGTH) / SUFFIX_BYTES)))
     by_block = flags.groupBy("block").agg(F.collect_list(F.struct("range", "flags", "size")).alias("flags"), F.sum("n").alias("n")).filter("n > 0")
-    both = blocks.join(_small(by_block, F.aggregate("flags", F.lit(0), lambda a, f: a + F.octet_length(f["flags"]) + 16)), "block")
+    both = blocks.join(_small(by_block, F.aggregate("flags", F.lit(0), lambda a, f: a + F.octet_length(f["flags"]) + 16)), "block").select("keys", "lengths", "data", "flags")
+    counted = both.mapInArrow(_count_ranges(bits, low, range_bits), "range int, n long").groupBy("range").agg(F.sum("n").alias("n"))
+    full = np.zeros(1 << range_bits, np.uint8)  # a bit for each range: 1 MB at 100 TB
+    full[[r["range"] for r in counted.filter(F.col("n") * (BEFORE + LENGTH) > FULL * SUFFIX_BYTES).collect()]] = 1
     bucket_bits = max(1, math.ceil(math.log2(1 + left / BUCKET_NAMES)))
-    suffixes = both.select("keys", "lengths", "data", "flags").mapInArrow(_suffix_batches(bits, low, range_bits, bucket_bits), SUFFIXES)
+    return both.mapInArrow(_suffix_batches(bits, low, range_bits, bucket_bits, np.packbits(full).tobytes()), SUFFIXES), bucket_bits
+
+
+def repeated_spans(rows: DataFrame) -> DataFrame:
+    """doc_id, ``th`` (text hash) and ``spans`` (packed runs of starts of repeated strings), one row a document."""
+    suffixes, bucket_bits = exchanged_suffixes(rows)
     runs = suffixes.groupBy("range").applyInPandas(_compare_suffixes(bucket_bits), RUNS)
     return written(runs.groupBy("bucket").applyInPandas(_unite_runs, "doc_id long, th long, spans binary"), "suffix-spans")
 

@@ -444,6 +444,31 @@ def test_rows_with_null_ids_draw_by_their_texts(spark):
     assert len({r.shuffle_key for r in got}) == len(got) and len({r.n_copies for r in got}) > 2
 
 
+@pytest.mark.parametrize("size", [20, 35])
+def test_ranges_of_a_frequent_phrase_stay_small(spark, monkeypatch, size):
+    """A phrase shorter, or longer, than a triple in thousands of contexts: its suffixes spread, and the result is that of brute force."""
+    for name, value in (("BLOCK", 200_000), ("SUFFIX_BYTES", 400_000)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    rng = random.Random(21)
+    phrase = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=size))
+    own = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    passages = [own(30) + phrase + own(30) for _ in range(1500)]
+    texts = [" ".join(rng.choice(passages) for _ in range(6)) + own(60) for _ in range(1200)]
+    made = frame(spark, texts).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text")
+    suffixes, _ = suffix_dedup.exchanged_suffixes(made)
+    sizes = [r[0] for r in suffixes.filter("range >= 0").select("range", F.lit(0).alias("n"), "shifts").groupBy("range").agg(F.sum(F.octet_length("shifts"))).select("sum(octet_length(shifts))").collect()]
+    assert len(sizes) >= 8 and max(sizes) <= 4 * sum(sizes) / len(sizes)
+    got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in suffix_dedup.cut_repeats(frame(spark, texts)).collect()}
+    seen, expected = set(), {}
+    for i, t in enumerate(texts):
+        raw = t.encode()
+        grams = [raw[p : p + 50] for p in range(len(raw) - 49)]
+        gone = {p + k for p, g in enumerate(grams) if g in seen for k in range(50)}
+        seen.update(grams)
+        expected[i] = (len(gone), hashlib.sha256(bytes(b for p, b in enumerate(raw) if p not in gone)).hexdigest())
+    assert got == expected
+
+
 # --- 9 ----------------------------------------------------------------------------------------------
 
 
