@@ -7,8 +7,8 @@ A random forest trained on labelled findings scores every candidate.
 
 Labelled findings are a table of the caller's, or by default the candidates that one of the label
 rules is sure about (known key shapes, key blocks and random values under a secret name, against
-numbers, addresses and placeholders). What these rules look at (shape, name, placeholder, digits, entropy) is no
-feature, and the name of a value is cut out of its neighbouring words, so the forest learns from the rest of a candidate and its surroundings. The forest is fitted on at most ``LABELLED_ROWS`` of each label, chosen
+numbers, addresses, placeholders, and dictionary words without a secret name). What these rules look at (shape, name, placeholder, digits, entropy) is no
+feature, but for the share of dictionary words, and the name of a value is cut out of its neighbouring words, so the forest learns from the rest of a candidate and its surroundings. The forest is fitted on at most ``LABELLED_ROWS`` of each label, chosen
 by a hash of the finding's digest and place, so that equal findings can't crowd the others out; a
 labelled table without these columns is chosen by a hash of its features. Every candidate of every
 document is scored. The dictionary is the vocabulary of a public
@@ -46,6 +46,7 @@ TREES, DEPTH, SEED = 30, 6, 10
 LEAST_LENGTH = 12
 LONG_LENGTH = 24
 KEEP_AT = 0.5
+WORDS_SHARE = 0.8  # of a value in dictionary words: an identifier or a path
 
 TOKEN = re.compile(r"[A-Za-z0-9+/_\-]+={0,2}")
 LONG_TOKEN = re.compile(rf"[A-Za-z0-9+/_\-]{{{LONG_LENGTH},}}={{0,2}}")
@@ -169,6 +170,8 @@ def describe(text: str, begin: int, end: int, key: str, path: str, words: frozen
         label = 0
     elif shape or (secret_key and kinds.count(0) and entropy >= 3):
         label = 1
+    elif share >= WORDS_SHARE and not secret_key:
+        label = 0
     return [float(f) for f in features], shape or ("assigned" if key else "token"), label
 
 

@@ -718,6 +718,19 @@ def test_forest_on_held_out_findings_that_are_labelled_by_hand(spark):
     assert len(scored) > 270 and true / sum(p for p, _ in scored) > 0.95 and true / sum(y for _, y in scored) > 0.95
 
 
+def test_default_forest_on_findings_that_are_labelled_by_hand(spark, data):
+    """Without a table of labels: trained by the label rules on the given documents and these."""
+    rng = random.Random(13)
+    words = sorted(w for w in secret_scan.dictionary(secret_scan.VOCABULARY) if w.isascii() and 4 <= len(w) <= 9)[::40]
+    made = [labelled_text(rng, words) for _ in range(400)]
+    given = read_table(spark, data, "documents").select((F.col("doc_id") + 10**6).alias("doc_id"), "text", "source")
+    docs = frame(spark, [t for t, _, _ in made]).select("doc_id", "text", "source").unionByName(given)
+    truth = {(i, hashlib.sha256(v.encode()).hexdigest()): y for i, (_, v, y) in enumerate(made)}
+    scored = [(r.is_secret, truth[r.doc_id, r.sha256]) for r in secret_scan.scan_secrets(docs).collect() if (r.doc_id, r.sha256) in truth]
+    true = sum(p and y for p, y in scored)
+    assert len(scored) > 380 and true / sum(p for p, _ in scored) > 0.95 and true / sum(y for _, y in scored) > 0.95
+
+
 def test_copies_do_not_crowd_a_label_out(spark, monkeypatch):
     monkeypatch.setattr(secret_scan, "LABELLED_ROWS", 40)
     texts = ["set password=9f8a7c6b5d4e3f2a1b0c end"] * 120 + ["card 4929123456781234 paid"] * 120 + ["ref xk93jd82hs71qp end"]
