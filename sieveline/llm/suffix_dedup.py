@@ -396,7 +396,8 @@ def _compare_suffixes(bucket_bits: int):
     """Repeats of a smaller document among the suffixes of one range, as runs by bucket of documents.
 
     A negative range holds runs that are settled already and pass through. Suffixes that are equal with
-    all that is before them are settled at once; of these the first stands for all.
+    all that is before them are settled at once; of these the first stands for all in the comparison, and what is found of it goes for
+    every place of its document.
     """
 
     def made(group: pd.DataFrame) -> pd.DataFrame:
@@ -422,8 +423,13 @@ def _repeats(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     whole = _ranks(ranked, shared, BEFORE + LENGTH + 2)
     later = _later(ids, whole)
     found = [(doc[later], at[later] - (shifts[later] & 255), at[later] - (shifts[later] >> 8))]
-    one = np.sort(np.unique(whole, return_index=True)[1])  # the smallest document of each
-    doc, at, shifts, text, ids = doc[one], at[one], shifts[one], text[one], ids[one]
+    values, one = np.unique(whole, return_index=True)  # the smallest document of each
+    places = np.setdiff1d(np.arange(len(whole)), later, assume_unique=True)  # all places that it has them at
+    places = places[np.argsort(whole[places], kind="stable")]
+    size = np.bincount(np.searchsorted(values, whole[places]))
+    begin, by = np.cumsum(size) - size, np.argsort(one)
+    one, size, begin, all_docs, all_at = one[by], size[by], begin[by], doc, at
+    doc, shifts, text, ids = doc[one], shifts[one], text[one], ids[one]
     after, before = _sorted(np.ascontiguousarray(text[:, BEFORE:])), _sorted(np.ascontiguousarray(text[:, :BEFORE][:, ::-1]))
     same = _ranks(*after, SHARED)
     several = np.bincount(same)[same] > 1
@@ -432,7 +438,9 @@ def _repeats(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
         if len(own) > 1:
             name = _ranks(*after, LENGTH - shift)[own] * (len(doc) + 1) + _ranks(*before, shift)[own]
             later = own[_later(ids[own], name)]
-            found.append((doc[later], at[later] - shift, at[later] - shift))
+            n = size[later]
+            every = places[np.repeat(begin[later] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            found.append((all_docs[every], all_at[every] - shift, all_at[every] - shift))
     return keys, *(np.concatenate(c) for c in zip(*found, strict=True))
 
 

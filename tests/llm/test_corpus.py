@@ -408,6 +408,18 @@ def test_suffix_dedup_matches_brute_force(spark, documents, monkeypatch, small):
     assert got == brute_repeats(made)
 
 
+@pytest.mark.parametrize("hot", [1024, 2])
+def test_suffix_dedup_of_a_passage_many_times_in_a_document(spark, monkeypatch, hot):
+    """Places of one document with equal bytes around them, of which a smaller document has only a part."""
+    monkeypatch.setattr(suffix_dedup, "HOT_BLOCKS", hot)
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    phrases = [text(50 + 5 * i) for i in range(6)]
+    made = list(enumerate([*(text(30) + p + text(30) for p in phrases), *((p + text(n)) * 6 for p in phrases for n in (8, 13, 21, 34))]))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.cut_repeats(frame(spark, [t for _, t in made])).collect()}
+    assert got == brute_repeats(made)
+
+
 def test_suffix_dedup_of_repeated_and_null_ids(spark):
     text, other = "the same fifty bytes or more stand in several of these rows", "something else of more than fifty bytes, in one row only"
     rows = [(None, text), (2, text), (2, other + text), (3, "x" + text), (3, None), (1, "short")]
