@@ -35,8 +35,12 @@ def proteome_stats(records: DataFrame) -> DataFrame:
 
 
 def valid_sequence(seq: Column) -> Column:
-    """Only the 20 standard letters once white space is gone and letters are upper case."""
-    return F.upper(F.regexp_replace(seq, r"\s", "")).rlike("^[ACDEFGHIKLMNPQRSTVWY]+$")
+    """Only the 20 standard letters once white space is gone and letters are upper case.
+
+    Letters are put in upper case one by one (a dotless i and a long s have I and S); ``upper`` would make two of a sharp s or a ligature,
+    and ``$`` would also match before a line separator at the end.
+    """
+    return F.regexp_replace(seq, r"\s", "").rlike(r"^[ACDEFGHIKLMNPQRSTVWYacdefghiklmnpqrstvwy\u0131\u017F]+\z")
 
 
 def exact_duplicates(records: DataFrame) -> DataFrame:

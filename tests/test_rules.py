@@ -308,3 +308,14 @@ def test_instability_takes_its_table_from_the_caller(spark):
     rows = spark.createDataFrame([("AAGA",), ("",), ("KK",)], "s string")
     got = [r.v for r in rows.select(scoring.instability(F.col("s"), {"AA": 1.0, "AG": -2.0, "GA": 4.0}).alias("v")).collect()]
     assert got == [7.5, None, 0.0]
+
+
+def test_valid_sequence_takes_letters_one_by_one_and_whole_texts(spark, duck):
+    from sieveline.operators import proteome
+    from sieveline.plans.operations import ORACLE_SQL
+
+    texts = ["wei\u00df", "\ufb01", "AC\u0085", "AC\u2028", "AC\n", "ac d\te", "\u0131\u017f", "", " ", None, "ACB"]
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").select("doc_id", proteome.valid_sequence(F.col("text")).alias("valid"))
+    values = ", ".join(f"({i}, {'NULL' if t is None else ' || '.join(f'chr({ord(c)})' for c in t) or repr(t)})" for i, t in enumerate(texts))
+    sql = duck.execute(f"WITH documents(doc_id, text) AS (VALUES {values}) {ORACLE_SQL['p16_valid_sequence']}").fetchall()
+    assert {r.doc_id: r.valid for r in made.collect()} == dict(sql)
