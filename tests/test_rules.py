@@ -328,3 +328,23 @@ def test_conformational_score_at_its_limit_and_half_way_roundings(spark):
     domains = spark.createDataFrame([("p", 1)] * 5 + [("p", 2)] * 2, "proteome_id string, ord long")
     got = {r.ord: (r.is_epitope, r.score) for r in residues.conformational(made, None, domains).withColumn("score", r6("score")).collect()}
     assert got == {1: (True, 0.4), 2: (False, 0.210313)}  # as DuckDB has 0.7 * 0.25 + 0.045 * 5 and round(0.7 * 0.171875 + 0.045 * 2, 6)
+
+
+def test_word_rows_of_empty_short_and_null_sequences_over_many_batches(spark, monkeypatch):
+    from sieveline.functions import helpers
+
+    monkeypatch.setattr(helpers, "WORD_ROWS", 7)
+    texts = ["ACDEFGHIKL", "", None, "ACD", "ACDE", "A" * 40]
+    made = spark.createDataFrame(list(enumerate(texts)), "ord long, sequence string")
+    got = sorted((r.ord, r.start, r.peptide) for r in helpers.word_rows(made, 4).collect())
+    assert got == sorted((i, k + 1, t[k : k + 4]) for i, t in enumerate(texts) for k in range(len(t or "") - 3))
+
+
+def test_words_are_spread_over_tasks_and_read_once(spark, data):
+    from sieveline.plans import views
+    from sieveline.plans.operations import QUERIES
+
+    assert views.words(spark, data).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    assert views.binders(spark, data).count() == views.predictions(spark, data).filter("percentile <= 2.0").count()
+    for name in ("u2_append_epitopes", "u6_union_epitope_pool", "j2_conserved_epitopes", "j5_bt_overlap", "a15_overlap_summary"):
+        assert QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 0, name
