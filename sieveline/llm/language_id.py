@@ -38,6 +38,7 @@ SCRIPT_SHARE = 0.001
 #: \w has these too, but they are no letters: superscripts, fractions, Roman and circled numbers
 NUMERALS = "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 WORD = re.compile(rf"[^\W\d_{NUMERALS}]+")
+WORD_OR_NUMERAL = re.compile(r"[^\W\d_]+")
 #: first code point of each script block, fixed values; what lies between named blocks is "other"
 SCRIPTS = (
     (0x0000, "latin"), (0x0250, "other"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"),
@@ -52,6 +53,14 @@ _SCRIPT_OF = np.array([SCRIPT_NAMES.index(name) for _, name in SCRIPTS])
 BATCH_CHARACTERS = 3 << 20
 
 
+def words_of(text: str) -> list[str]:
+    """``WORD.findall(text)``. Its many characters are tried one by one at every place, so only what has a numeral in it meets them."""
+    found = WORD_OR_NUMERAL.findall(text)
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for x in found for w in ((x,) if x.isalpha() else WORD.findall(x))]
+
+
 def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0
 
@@ -89,7 +98,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         by_lang: dict[str, dict[str, int]] = {}
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             counts = by_lang.setdefault(lang, {})
-            for w in WORD.findall(text):
+            for w in words_of(text):
                 counts[w] = counts.get(w, 0) + 1
         for lang, counts in by_lang.items():
             if not counts:
@@ -173,7 +182,7 @@ def viterbi(scores: np.ndarray, begin: np.ndarray, length: np.ndarray, prior: np
 
 def label_spans(model: Model, texts: list[str | None]) -> list[list[tuple[int, int, str, int]]]:
     """For each text its spans (first word, last word, language, letters) in order."""
-    found = [WORD.findall(t) if t else [] for t in texts]
+    found = [words_of(t) if t else [] for t in texts]
     seen: dict[str, int] = {}
     ids = [np.fromiter((seen.setdefault(w, len(seen)) for w in ws), np.int32, len(ws)) for ws in found]
     out: list[list[tuple[int, int, str, int]]] = [[] for _ in texts]

@@ -82,6 +82,24 @@ def test_viterbi_is_optimal():
         assert value(labels[b : b + n], part) == pytest.approx(max(value(p, part) for p in itertools.product(range(3), repeat=int(n))), abs=1e-4)
 
 
+def test_words_without_numerals_never_meet_the_long_character_class(monkeypatch):
+    texts = ["plain words, déjà vu 12 слово_x", "²x a½b Ⅷ c\U00010107d 𝟘e ٣f ª", "", "a" * 50 + "¹" + "b" * 50]
+    expected = [language_id.WORD.findall(t) for t in texts]
+    asked = []
+
+    class Watched:
+        def findall(self, text, _word=language_id.WORD):
+            asked.append(text)
+            return _word.findall(text)
+
+    monkeypatch.setattr(language_id, "WORD", Watched())
+    model = language_id.Model(["en"], np.zeros((language_id.BUCKETS, 1), np.float32), np.ones((len(language_id.SCRIPT_NAMES), 1), bool), np.zeros(1, np.float32))
+    spans = language_id.label_spans(model, texts)
+    assert [sum(last - first + 1 for first, last, _, _ in s) for s in spans] == [len(e) for e in expected]
+    assert asked and not any(w.isalpha() or " " in w for w in asked)
+    assert [language_id.words_of(t) for t in texts] == expected
+
+
 def test_language_of_held_out_documents_and_mixed_text(spark, data):
     got = queries.QUERIES["op1_language_id"](spark, data).join(read_table(spark, data, "documents").select("doc_id", "lang"), "doc_id")
     held = got.filter("held_out AND lang IS NOT NULL")
