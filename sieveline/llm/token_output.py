@@ -11,8 +11,8 @@ it in that partition. One short document is read by finding its shard from ``fir
 (Parquet statistics prune the rest), slicing ``data`` and decompressing one frame.
 
 Encoding works on pieces between single spaces: a byte-level pre-token never spans such a place, so
-each distinct piece is encoded once for each worker and looked up afterwards. Pieces around other
-white space stay together. Special tokens of the file count where their strings stand in a text.
+each distinct piece is encoded once for each worker and looked up afterwards; unknown ones are
+encoded many to a text. Pieces around other white space stay together. Special tokens of the file count where their strings stand in a text.
 
 Edge cases: a null or empty text has only the end id; rows that repeat a ``doc_id`` are all written,
 in any order among themselves; null ``doc_id`` come first; an empty table writes an empty shard
@@ -31,6 +31,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,8 +49,9 @@ CACHE_PIECES = 1_000_000
 #: white space other than blank and line feed
 UNUSUAL_SPACE = re.compile(r"[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
-#: ends of words that are pre-tokens of their own; no apostrophe, which starts some
-BEHIND_WORDS = ".,;:!?&$*#%|<>)]}\"-+=/"
+#: the byte of a space in a byte-level vocabulary
+SPACE = "\u0120"
+JOINED_PIECES = 128
 
 INDEX = "array<struct<doc_id:bigint,offset:bigint,length:int,n_tokens:int>>"
 SHARDS = f"part int, start long, n_tokens long, first_doc long, last_doc long, dictionary_sha256 string, index {INDEX}, data binary"
@@ -63,16 +65,22 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end = array("I", [end_id]).tobytes()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
         self.first: dict[str, bytes] = {}  # pieces at the start of a text
         self.former: dict[str, bytes] = {}
-        self.cache: dict[str, bytes] = {"": b""}  # pieces behind a space, which the key leaves out
+        self.cache: dict[str, bytes] = {}  # pieces behind a space, which the key leaves out
+
+    @staticmethod
+    def is_plain(text: str) -> bool:
+        """All single spaces of the text stand between other characters than white space, and there is no other one than line feeds."""
+        return not (text[:1] in ("", " ") or text[-1] == " " or "  " in text or " \n" in text or "\n " in text or UNUSUAL_SPACE.search(text))
 
     @staticmethod
     def pieces(text: str) -> list[str]:
-        """Parts of the text that pre-tokenise on their own; joined by single spaces they are the text."""
+        """Parts of a text that isn't plain that pre-tokenise on their own; joined by single spaces they are the text."""
         split = text.split(" ")
-        if "" not in split and " \n" not in text and "\n " not in text and not UNUSUAL_SPACE.search(text):
-            return split
         out = [split[0]]
         for before, piece in zip(split, split[1:], strict=False):
             if piece and before and not piece[0].isspace() and not before[-1].isspace():
@@ -81,19 +89,6 @@ class Encoder:
                 out[-1] += " " + piece
         return out
 
-    @staticmethod
-    def parts(piece: str) -> list[str]:
-        """A piece cut once more, before and behind a lone line feed and behind a Latin word: a pre-token ends there too."""
-        lines = piece.split("\n")
-        if len(lines) > 1 and not all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
-            return [piece]
-        out = []
-        for line in lines:
-            word = line.rstrip(BEHIND_WORDS)
-            latin = len(word) < len(line) and word.isalpha() and max(word) < "\u0250"
-            out += ["\n", word, line[len(word) :]] if latin else ["\n", line]
-        return out[1:]
-
     def _encode_into(self, cache: dict[str, bytes], unseen: list[str], before: str) -> None:
         for i in range(0, len(unseen), 4096):
             some = unseen[i : i + 4096]
@@ -101,36 +96,70 @@ class Encoder:
             for piece, made in zip(some, encoded, strict=True):
                 cache[piece] = array("I", made.ids).tobytes()
 
-    def _learn(self, heads: set[str], later: set[str]) -> None:
-        """Encodes pieces that no cache holds: parts first, each of them once."""
-        first, cache = self.first, self.cache
-        cut = [(first, p, self.parts(p)) for p in heads] + [(cache, p, self.parts(p)) for p in later]
-        self._encode_into(cache, list({ps[0] for to, _, ps in cut if to is cache and ps[0] not in cache}), " ")
-        unspaced = {x for to, _, ps in cut for x in (ps[1:] if to is cache else ps)}
-        self._encode_into(first, [x for x in unspaced if x not in first], "")
-        for to, piece, ps in cut:
-            if len(ps) > 1:
-                to[piece] = b"".join([to[ps[0]], *map(first.__getitem__, ps[1:])])
+    def _encode_joined(self, unseen: list[str]) -> None:
+        """Pieces behind a space, many in one text: of their ids only the first one of each begins with a space."""
+        for i in range(0, len(unseen), JOINED_PIECES):
+            some = unseen[i : i + JOINED_PIECES]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(self.spaced[ids])
+            if len(at) != len(some) or at[0]:  # not seen with this tokenizer; another may have tokens over a space
+                self._encode_into(self.cache, some, " ")
+                continue
+            raw, at = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
+            self.cache.update(zip(some, [raw[b:e] for b, e in zip(at, at[1:], strict=False)], strict=True))
+
+    def _learn(self, heads: list[str], later: list[str]) -> None:
+        """Encodes pieces that no cache holds, each of them once."""
+        self._encode_into(self.first, heads, "")
+        joined = [p for p in later if " " not in p and not p[0].isspace() and not p[-1].isspace()]
+        self._encode_joined(joined)
+        if len(joined) < len(later):
+            self._encode_into(self.cache, [p for p in later if p not in self.cache], " ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text and the end id. Pieces are looked up; those not yet known are encoded together.
+        """The ids of each text and the end id. Distinct pieces are looked up; those not yet known are encoded together.
 
         A full cache becomes the former one, from which pieces that occur again come back: rare ones go.
         """
+        if not texts:
+            return []
         if len(self.cache) + len(self.first) > CACHE_PIECES // 2:
-            self.former, self.cache, self.first = self.cache, {"": b""}, {}
-        known, split = self.cache.get, [self.pieces(t) for t in texts]
-        heads = [ps[0] for ps in split]
-        for ps in split:
-            ps[0] = ""  # the first piece has no space before it
-        found = [list(map(known, ps)) for ps in split]
-        unseen = {p for ps, ids in zip(split, found, strict=True) if None in ids for p, x in zip(ps, ids, strict=True) if x is None}
-        back = unseen & self.former.keys()
-        self.cache.update(zip(back, map(self.former.__getitem__, back), strict=True))
-        unseen -= back
-        self._learn({h for h in heads if h not in self.first}, unseen)
-        look, first, end = self.cache.__getitem__, self.first, self.end
-        return [b"".join([first[head], *(map(look, ps) if None in ids else ids), end]) for head, ps, ids in zip(heads, split, found, strict=True)]
+            self.former, self.cache, self.first = self.cache, {}, {}
+        is_plain = list(map(self.is_plain, texts))
+        order = sorted(range(len(texts)), key=lambda i: not is_plain[i])
+        n_plain = sum(is_plain)
+        plain = pc.split_pattern(pa.array([texts[i] for i in order[:n_plain]], pa.string()), " ")
+        others = [self.pieces(texts[i]) for i in order[n_plain:]]
+        flat = pa.concat_arrays([plain.flatten(), pa.array([p for ps in others for p in ps], pa.string())])
+        counts = np.concatenate([plain.value_lengths().to_numpy(zero_copy_only=False), np.fromiter(map(len, others), np.int64, len(others))]).astype(np.int64)
+        begin = np.cumsum(counts) - counts
+        heads = flat.take(pa.array(begin)).to_pylist()  # no space is before these
+        later = np.ones(len(flat), bool)
+        later[begin] = False
+        coded = flat.filter(pa.array(later)).dictionary_encode()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.cache.get, pieces))
+        unseen = [p for p, x in zip(pieces, found, strict=True) if x is None]
+        if unseen and self.former:
+            self.cache.update((p, self.former[p]) for p in unseen if p in self.former)
+            unseen = [p for p in unseen if p not in self.former]
+        self._learn(list({h for h in heads if h not in self.first}), unseen)
+        table = [*map(self.cache.__getitem__, pieces), *map(self.first.__getitem__, heads), self.end]
+        # each text: its head, its later pieces, the end
+        texts_before = np.arange(len(texts))
+        codes = np.full(len(flat) + len(texts), -1, np.int64)
+        codes[begin + texts_before] = len(pieces) + texts_before
+        codes[begin + counts + texts_before] = len(table) - 1
+        codes[codes < 0] = coded.indices.to_numpy(zero_copy_only=False)
+        size = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        start, own = (np.cumsum(size) - size)[codes], size[codes]
+        ends = np.cumsum(own)
+        raw = np.frombuffer(b"".join(table), "<u4")[np.repeat(start - ends + own, own) + np.arange(int(own.sum()))].tobytes()
+        stops = (4 * ends[begin + counts + texts_before]).tolist()
+        out = [b""] * len(texts)
+        for i, low, high in zip(order, [0, *stops], stops, strict=False):
+            out[i] = raw[low:high]
+        return out
 
 
 @lru_cache(maxsize=2)

@@ -217,6 +217,28 @@ def test_sentences_of_licences_give_their_label(spark):
 # --- 4 ----------------------------------------------------------------------------------------------
 
 
+def test_unknown_pieces_are_encoded_together_and_as_the_tokenizer_does():
+    import array
+
+    encoder, asked = token_output.Encoder(token_output.TOKENIZER, 2), []
+    tokenizer = encoder.tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return tokenizer.encode_batch_fast(texts, **options)
+
+    encoder.tokenizer = Counted()
+    rng = random.Random(5)
+    some = ["a", "b", " ", " ", "\n", "  ", "\t", "é", "漢", "<|endoftext|>", "'s", "12", "...", "\x1c", "\xa0", "\u0120", "Word", "\u0301", "\x00"]
+    texts = ["".join(rng.choice(some) for _ in range(rng.randrange(25))) for _ in range(2000)] + [" ".join(f"w{i:x}." for i in range(3000))]
+    expected = [array.array("I", [*e.ids, 2]).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert encoder.encode(texts) == expected and encoder.encode(texts[::-1]) == expected[::-1]
+    asked.clear()
+    assert len(encoder.encode([" ".join(["x", *(f"v{i:x};" for i in range(3000))])])) == 1
+    assert len(asked) < 50
+
+
 def test_token_files_round_trip(spark, documents):
     from tokenizers import Tokenizer
 
