@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -30,15 +31,77 @@ def words_of(sequence: Column, size: int | Column) -> Column:
 
 
 WORD_ROWS = 1 << 15
-
-
-def word_rows(rows: DataFrame, size: int) -> DataFrame:
+HASHED_ROWS = 1 << 14  # what a step of the hash touches stays in the cache
+_SHIFTS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+_PLACES = ((1, 0), (5, 1), (3, 5), (7, 0))
+_SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+
+
+def md5_digits(words: np.ndarray, key: bytes) -> np.ndarray:
+    """The first four hexadecimal digits, as numbers, of the MD5 of each row of letters (a matrix of bytes) with ``key`` behind: one block."""
+    if words.shape[1] + len(key) > 55:
+        raise ValueError("word and key are longer than one block")
+    out = np.empty(len(words), np.int32)
+    size = words.shape[1]
+    for low in range(0, len(words), HASHED_ROWS):
+        some = words[low : low + HASHED_ROWS]
+        rest = key + b"\x80"
+        block = np.zeros((len(some), 64), np.uint8)
+        block[:, :size] = some
+        block[:, size : size + len(rest)] = np.frombuffer(rest, np.uint8)
+        block[:, 56:58] = np.frombuffer((8 * (size + len(key))).to_bytes(2, "little"), np.uint8)
+        x = np.ascontiguousarray(block.view("<u4").T)
+        a, b, c, d = (np.full(len(some), v, np.uint32) for v in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476))
+        f, high = np.empty_like(a), np.empty_like(a)
+        for i in range(61):  # b of this step is the first number of the end
+            turn = i // 16
+            if turn < 2:
+                p, q, r = ((c, d, b), (b, c, d))[turn]
+                np.bitwise_xor(p, q, out=f)
+                f &= r
+                f ^= q
+            elif turn == 2:
+                np.bitwise_xor(b, c, out=f)
+                f ^= d
+            else:
+                np.invert(d, out=f)
+                f |= b
+                f ^= c
+            at = (_PLACES[turn][0] * i + _PLACES[turn][1]) % 16
+            f += a
+            if 4 * at < size:
+                f += x[at]
+                f += np.uint32(_SINES[i])
+            else:
+                f += np.uint32((_SINES[i] + int(x[at, 0])) % 2**32)
+            shift = _SHIFTS[turn][i % 4]
+            np.right_shift(f, np.uint32(32 - shift), out=high)
+            f <<= np.uint32(shift)
+            f |= high
+            f += b
+            a, b, c, d, f = d, f, b, c, a
+        b += np.uint32(0x67452301)
+        out[low : low + HASHED_ROWS] = ((b & 0xFF) << 8) | ((b >> 8) & 0xFF)
+    return out
+
+
+def word_rows(rows: DataFrame, size: int, keys: Sequence[str] = (), most: int | None = None, best: int | None = None) -> DataFrame:
     """``rows`` with their ``sequence`` (ASCII letters) replaced by its overlapping words, one row each: 1-based ``start`` and ``peptide``.
 
     Windows of the letters of a whole Arrow batch, given out in batches of ``WORD_ROWS``: no array of all words of a sequence is built.
+    With keys each word comes once for each ``key``, with the ``digits`` of their hash: only up to ``most``, or only those that are among the
+    ``best`` lowest of the sequence, and some more, as ties and all that is low within a batch stay.
     """
     keep = rows.drop("sequence").schema
     kinds = StructType([*keep.fields]).add("start", IntegerType()).add("peptide", StringType())
+    if keys:
+        kinds = kinds.add("key", StringType()).add("digits", IntegerType())
+
+    def lowest(row: np.ndarray, own: np.ndarray, digits: np.ndarray) -> np.ndarray:
+        ranked = row << 16 | digits
+        stop = np.cumsum(own)
+        most_of = np.sort(ranked)[np.minimum(stop - own + best, stop) - 1]
+        return ranked <= np.repeat(most_of, own)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -55,10 +118,19 @@ def word_rows(rows: DataFrame, size: int) -> DataFrame:
                 own = np.minimum(ends[first : last + 1], at[-1] + 1) - np.maximum((ends - n)[first : last + 1], low)
                 row = np.repeat(np.arange(first, last + 1), own)
                 at = at - (ends - n)[row]
-                peptides = pa.StringArray.from_buffers(len(at), pa.py_buffer(np.arange(0, size * len(at) + 1, size, dtype=np.int32)), pa.py_buffer(windows[begin[row] + at].tobytes()))
-                index = pa.array(row)
-                columns = [batch.column(i).take(index) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array((at + 1).astype(np.int32)), peptides], kinds.names)
+                words = windows[begin[row] + at]
+                for key in keys or (None,):
+                    extra, kept = [], slice(None)
+                    if key is not None:
+                        digits = md5_digits(words, key.encode("ascii"))
+                        kept = np.flatnonzero(digits <= most) if most is not None else np.flatnonzero(lowest(row, own, digits)) if best else kept
+                        digits = digits[kept]
+                        extra = [pa.array([key] * len(digits), pa.string()), pa.array(digits)]
+                    starts = at[kept]
+                    peptides = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.arange(0, size * len(starts) + 1, size, dtype=np.int32)), pa.py_buffer(words[kept].tobytes()))
+                    index = pa.array(row[kept])
+                    columns = [batch.column(i).take(index) for i in range(len(keep))]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array((starts + 1).astype(np.int32)), peptides, *extra], kinds.names)
 
     spread = 4 * rows.sparkSession.sparkContext.defaultParallelism  # much work for few bytes: a file may be one task else
     return rows.select(*keep.names, "sequence").repartition(spread, *keep.names).mapInArrow(made, kinds)

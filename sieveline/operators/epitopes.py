@@ -191,6 +191,7 @@ def score_epitopes(epitopes: DataFrame) -> DataFrame:
     """All peptide scores in one pass over the distinct peptides, joined back.
 
     Where the epitopes have an ``ic50`` the cytokine scores take their binding from it, else it counts 0.
+    The epitopes are read twice: a caller that makes them by much work writes them first.
     """
     seq = F.col("sequence")
     key = [c for c in ("sequence", "ic50") if c in epitopes.columns]

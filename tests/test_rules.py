@@ -340,6 +340,34 @@ def test_word_rows_of_empty_short_and_null_sequences_over_many_batches(spark, mo
     assert got == sorted((i, k + 1, t[k : k + 4]) for i, t in enumerate(texts) for k in range(len(t or "") - 3))
 
 
+def test_digits_are_those_of_the_hash_and_the_lowest_words_stay(spark, data, monkeypatch):
+    import hashlib
+
+    import numpy as np
+
+    from sieveline.functions import helpers
+    from sieveline.plans import views
+    from sieveline.plans.operations import QUERIES
+
+    letters = np.random.default_rng(4).integers(65, 91, (300, 9)).astype(np.uint8)
+    of = lambda word, key: int(hashlib.md5(word + key.encode()).hexdigest()[:4], 16)
+    monkeypatch.setattr(helpers, "HASHED_ROWS", 64)
+    for key in ("HLA-A*02:01", "", "x" * 46):
+        assert helpers.md5_digits(letters, key.encode()).tolist() == [of(bytes(w), key) for w in letters]
+    monkeypatch.setattr(helpers, "WORD_ROWS", 7)
+    texts = ["ACDEFGHIKLMNPQRSTVWY", "", None, "ACD", "ACDE", "A" * 40, "ACDEF"]
+    made = spark.createDataFrame(list(enumerate(texts)), "ord long, sequence string")
+    every = {(i, k + 1, t[k : k + 4], key, of(t[k : k + 4].encode(), key)) for i, t in enumerate(texts) for k in range(len(t or "") - 3) for key in ("p", "q")}
+    assert {tuple(r) for r in helpers.word_rows(made, 4, ("p", "q")).collect()} == every
+    assert {tuple(r) for r in helpers.word_rows(made, 4, ("p", "q"), most=20000).collect()} == {r for r in every if r[4] <= 20000}
+    best = {tuple(r) for r in helpers.word_rows(made, 4, ("p", "q"), best=2).collect()}
+    assert best < every and all({r for r in every if r[0] == i and r[4] <= sorted(x[4] for x in every if x[0] == i)[1]} <= best for i in (0, 4, 5, 6))
+    monkeypatch.undo()
+    assert views.lowest_predictions(spark, data, 5).count() * 10 < views.predictions(spark, data).count()
+    for name in ("c9_score_epitopes", "a13_cytokine_counts"):  # the epitopes are made once
+        assert "MapInArrow" not in QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_words_are_spread_over_tasks_and_read_once(spark, data):
     from sieveline.plans import views
     from sieveline.plans.operations import QUERIES
