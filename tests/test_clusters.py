@@ -130,3 +130,30 @@ def test_global_identity_of_the_query_equals_the_slow_form(spark, data):
             if len(a) * len(b) < 300_000:
                 expected[p, o] = round(_ratio(a, b), 6)
     assert len(expected) > 50 and all(got[k] == pytest.approx(v, abs=1e-6) for k, v in expected.items())
+
+
+def test_block_matching_looks_at_few_sizes_and_slots_lose_nothing(monkeypatch):
+    import random
+    from difflib import SequenceMatcher
+
+    import numpy as np
+
+    from sieveline.functions import matching
+
+    rng = random.Random(11)
+    some = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    for n, letters in ((700, "AB"), (500, "A"), (600, "ACDEFGHIKLMNPQRSTVWY")):
+        a = some(n, letters)
+        b = some(90, letters) + a[50:300] + some(40, letters) + a[320:]
+        assert matching.matched(a, b) == sum(m.size for m in SequenceMatcher(None, a, b, False).get_matching_blocks())
+    x, y = np.array([5, 5, 9, 0, 2**63], np.uint64), np.array([0, 9, 1], np.uint64)
+    assert matching._shared(x, y).tolist() == [False, False, True, True, False] and not matching._shared(x, y[:0]).any()
+    looked, blocks = [], matching.Hashed.blocks
+
+    def counted(self, *at):
+        looked.append(at)
+        return blocks(self, *at)
+
+    monkeypatch.setattr(matching.Hashed, "blocks", counted)
+    matching.matched(some(3000, "ACDEFGHIKLMNPQRSTVWY"), some(3000, "ACDEFGHIKLMNPQRSTVWY"))
+    assert len(looked) < 600
