@@ -157,3 +157,65 @@ def test_block_matching_looks_at_few_sizes_and_slots_lose_nothing(monkeypatch):
     monkeypatch.setattr(matching.Hashed, "blocks", counted)
     matching.matched(some(3000, "ACDEFGHIKLMNPQRSTVWY"), some(3000, "ACDEFGHIKLMNPQRSTVWY"))
     assert len(looked) < 600
+
+
+def _slow_pairs(sequences, word, threshold=0.8):
+    """The rule of the SQL: distinct words by (proteome, ord, length), pairs of different ords."""
+    words = {}
+    for p, o, s in sequences:
+        if p is not None and o is not None and s is not None and len(s) >= word:
+            words.setdefault((p, o, len(s)), set()).update(s[i : i + word] for i in range(len(s) - word + 1))
+    out = {}
+    for (p, a, m), x in words.items():
+        for (q, b, n), y in words.items():
+            if p == q and a < b and min(m, n) >= threshold * max(m, n) and x & y:
+                out[p, a, b] = out.get((p, a, b), 0) + len(x & y)
+    return out
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_candidate_pairs_of_blocks_equal_the_slow_form(spark, monkeypatch, small):
+    if small:  # many blocks, partners in turns, small batches
+        for name, value in {"BLOCK_ROWS": 7, "BLOCK_LETTERS": 500, "PARTNERS": 2, "OUT_ROWS": 5}.items():
+            monkeypatch.setattr(cluster, name, value)
+    rng = random.Random(5)
+    sequences = [("q", None, "ACDEFGHIKL" * 3), (None, 1, "ACDEFGHIKL" * 3), (None, 2, "ACDEFGHIKLM" * 3), ("q", 3, None), ("q", 4, ""), ("q", 5, "ACD"), ("u", 1, "ÉA🙂CDE"), ("u", 2, "ÉA🙂CDF")]
+    for p in "pq":
+        for o in range(60):
+            s = "".join(rng.choices("ACDE", k=rng.choice([5, 20, 60, 62, 70])))
+            sequences += [(p, o, s)] if rng.random() < 0.8 else [(p, o, s), (p, o, s[::-1]), (p, o, s + "AC")]  # an ord with several sequences
+    frame = spark.createDataFrame(sequences, "proteome_id string, ord long, sequence string")
+    got = [((r.proteome_id, r.a, r.b), r.shared) for r in cluster.candidate_pairs(frame, 5).collect()]
+    assert len(got) == len(dict(got)) and dict(got) == _slow_pairs(sequences, 5)
+    assert cluster.candidate_pairs(frame.filter("false"), 5).count() == 0
+
+
+def test_candidate_pairs_exchange_no_words_and_no_pairs(spark):
+    import re
+
+    rng = random.Random(6)
+    common = "".join(rng.choices(LETTERS, k=300))  # all of a proteome share its words
+    frame = spark.createDataFrame([("p", o, "".join(rng.choices(LETTERS, k=10)) + common) for o in range(200)], "proteome_id string, ord int, sequence string")
+    found = cluster.candidate_pairs(frame, 24)
+    assert found.count() == 200 * 199 // 2
+    plan = found._jdf.queryExecution().toString()
+    assert not re.search("Generate|explode", plan) and "shared" not in "".join(x for x in plan.splitlines() if "Exchange" in x or "HashAggregate" in x)
+
+
+def test_pairs_of_two_blocks_are_counted_in_steps(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    block = lambda low: [("p", low + o // 2, "".join(rng.choices("AC", k=rng.choice([9, 30, 33])))) for o in range(40)]
+    one, two = block(0), block(100)
+    row = lambda rows: cluster._packed_block(pa.table({"proteome_id": [r[0] for r in rows], "k": [4] * 40, "at": [0] * 40, "part": [0] * 40, "ord": [r[1] for r in rows], "n": [len(r[2]) for r in rows], "sequence": [r[2] for r in rows]})).to_pylist()[0]  # noqa: E731, E501
+    for step, cells in ((1 << 23, 1 << 26), (1 << 23, 100), (50, 1 << 26), (50, 100), (1, 1)):
+        monkeypatch.setattr(cluster, "STEP", step)
+        monkeypatch.setattr(cluster, "CELLS", cells)
+        got = {}
+        for x, y in ((one, one), (one, two), (two, two)):
+            for a, b, shared in cluster._pairs_of(cluster._Holder(row(x)), cluster._Block(row(y)), x is y, 0.8):
+                found = {("p", *k): v for k, v in zip(zip(a.tolist(), b.tolist()), shared.tolist(), strict=True)}
+                assert len(found) == len(a) and not found.keys() & got.keys()
+                got |= found
+        assert got == _slow_pairs(one + two, 4)
