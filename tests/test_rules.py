@@ -400,3 +400,38 @@ def test_tiles_runs_and_states_equal_the_row_forms_without_an_exchange(spark, mo
     for a, b in zip(new, old, strict=True):
         assert a.count() > 20 and same(a, b)
         assert "Exchange" not in a._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fold_of_a_job_asks_the_store_twice_a_trigger():
+    from datetime import datetime
+
+    from pyspark.sql import Row
+
+    from sieveline.streaming import events as streams
+
+    calls = []
+
+    class Value:
+        state = None
+
+        def get(self):
+            calls.append("get")
+            return self.state
+
+        def update(self, state):
+            calls.append("update")
+            self.state = state
+
+    class Handle:
+        def getValueState(self, *_):  # noqa: N802
+            return Value()
+
+    fold = streams.JobFold(streams.FINISHED, streams.FORGOTTEN)
+    fold.init(Handle())
+    event = lambda i, kind, step=None, **more: Row(**{"id": i, "ts": datetime(2024, 1, 1, 0, 0, i), "type": kind, "phase": 1, "step": step, "percent": None, "duration": None, "error": None, "funnel": None} | more)  # noqa: E731, E501
+    rows = [event(i, "step_started", i) for i in range(40, 0, -1)] + [event(50, "filter_applied", funnel=[Row(stage="input", n=3)])]
+    first = [tuple(r) for r in fold.handleInputRows((7,), iter(rows), None)]
+    assert first == [(7, 1, i, "running", 0, None, None, None) for i in range(1, 41)] + [(7, None, None, None, None, None, None, [{"stage": "input", "n": 3}])]
+    second = [tuple(r) for r in fold.handleInputRows((7,), iter([event(52, "step_failed", 2, error="x"), event(51, "step_completed", 2, duration=4.0)]), None)]
+    assert second == [(7, 1, 2, "failed", 100, 4, "x", None), (7, None, None, "paused", None, None, "x", [{"stage": "input", "n": 3}])]
+    assert calls == ["get", "update"] * 2
