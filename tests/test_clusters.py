@@ -219,3 +219,14 @@ def test_pairs_of_two_blocks_are_counted_in_steps(monkeypatch):
                 assert len(found) == len(a) and not found.keys() & got.keys()
                 got |= found
         assert got == _slow_pairs(one + two, 4)
+
+
+def test_line_pairs_have_the_words_of_the_clustering(spark, tmp_path):
+    """Two lines at identity 0.9 that share words of 9, none of 24."""
+    from sieveline.plans.operations import QUERIES
+
+    line = "ACDEFGHIKLMNPQRSTVWYACDEFGHIKLMNPQRSTVWY"
+    other = "".join("W" if i % 10 == 9 else c for i, c in enumerate(line))
+    rows = [(1, line + "\n" + other, "en", "p", 81), (2, "MMMM", "en", "p", 4)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [(r.proteome_id, r.a, r.b) for r in QUERIES["j6_cluster_candidate_pairs"](spark, str(tmp_path)).collect()] == [("p", 1000000, 1000001)]
