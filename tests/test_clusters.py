@@ -230,3 +230,39 @@ def test_line_pairs_have_the_words_of_the_clustering(spark, tmp_path):
     rows = [(1, line + "\n" + other, "en", "p", 81), (2, "MMMM", "en", "p", 4)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
     assert [(r.proteome_id, r.a, r.b) for r in QUERIES["j6_cluster_candidate_pairs"](spark, str(tmp_path)).collect()] == [("p", 1000000, 1000001)]
+
+
+@pytest.mark.parametrize(("letters", "most"), [(1 << 17, 1 << 21), (600, 1 << 21), (1 << 17, 400)])
+def test_many_pairs_at_once_equal_the_slow_form(monkeypatch, letters, most):
+    """Batches of any size, also where common blocks are too many for one."""
+    monkeypatch.setattr(matching, "BATCH_LETTERS", letters)
+    monkeypatch.setattr(matching, "MOST_MATCHES", most)
+    pairs = [*_pairs(), ("A" * 90, "A" * 70), ("AB" * 60, "BA" * 50), ("\0A", "A\0"), ("ACD", "ACD")]
+    expected = [round(_ratio(a, b) * (len(a) + len(b)) / 2) for a, b in pairs]
+    assert matching.matched_many(pairs).tolist() == expected
+    for t in (0.3, 0.8, 1.0):
+        enough = np.array([matching.letters_needed(len(a), len(b), t) if a or b else 0 for a, b in pairs])
+        assert ((matching.matched_many(pairs, enough) >= enough) == (np.array(expected) >= enough)).all()
+    assert matching.matched_many([]).tolist() == []
+
+
+def test_identity_ratio_keeps_nulls(spark):
+    rows = [("ACDA", "ACEA"), (None, "A"), ("A", None), ("", ""), ("ACD", "")]
+    from sieveline.functions.helpers import identity_ratio
+
+    assert [r[0] for r in spark.createDataFrame(rows, "a string, b string").coalesce(1).select(identity_ratio("a", "b")).collect()] == [0.75, None, None, 1.0, 0.0]
+
+
+def test_identity_to_next_over_ranges_equals_the_window(spark):
+    """Neighbours also where a range ends, in proteomes of one sequence, a null one, and beside null sequences."""
+    rng = random.Random(8)
+    rows = [(p, o, "".join(rng.choices("ACDE", k=rng.choice([0, 5, 30]))) if rng.random() < 0.9 else None) for p, n in (("p", 70), ("q", 1), (None, 3), ("r", 40)) for o in range(n)]
+    rng.shuffle(rows)
+    expected = {}
+    for p in ("p", "q", None, "r"):
+        own = sorted((o, s) for q, o, s in rows if q == p)
+        expected |= {(p, o): None if s is None else _ratio(s, t) for (o, s), (_, t) in zip(own, own[1:], strict=False) if t is not None}
+    frame = spark.createDataFrame(rows, "proteome_id string, ord int, sequence string")
+    got = cluster.identity_to_next(frame)
+    assert {(r.proteome_id, r.ord): r.identity for r in got.collect()} == expected and got.count() == len(expected) and len(expected) > 90
+    assert cluster.identity_to_next(frame.filter("false")).count() == 0
