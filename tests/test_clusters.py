@@ -266,3 +266,24 @@ def test_identity_to_next_over_ranges_equals_the_window(spark):
     got = cluster.identity_to_next(frame)
     assert {(r.proteome_id, r.ord): r.identity for r in got.collect()} == expected and got.count() == len(expected) and len(expected) > 90
     assert cluster.identity_to_next(frame.filter("false")).count() == 0
+
+
+@pytest.mark.parametrize("most", [1 << 22, 50])
+def test_few_seeds_of_a_common_passage_are_matched(monkeypatch, most):
+    """All sequences have one passage at places of their own: its places part them before they are matched, and no link is lost."""
+    monkeypatch.setattr(cluster, "MOST_PLACES", most)
+    rng = random.Random(9)
+    passage, rows = "".join(rng.choices(LETTERS, k=40)), []
+    for _ in range(60):
+        s = "".join(rng.choices(LETTERS, k=400))
+        at = rng.randrange(400)
+        rows.append(s[:at] + passage + s[at:])
+    strings = [_edited(rng, rows[o], 0.1) for o in range(0, 60, 6)] + ["".join(rng.choices(LETTERS, k=200)) + passage + "".join(rng.choices(LETTERS, k=200)), "ACD", ""]
+    seeds = cluster.Seeds([{"ord": o, "sha": b"", "sequence": s} for o, s in enumerate(rows)], 7)
+    tried = []
+    monkeypatch.setattr(cluster, "matched_many", lambda pairs, need: tried.extend(pairs) or matching.matched_many(pairs, need))
+    before = [60] * 8 + [30] * 2 + [60] * 3
+    got = seeds.joined(strings, before, 0.8, False)
+    assert got == [[o for o in range(b) if len(s) >= 7 and _ratio(rows[o], s) >= 0.8] for s, b in zip(strings, before, strict=True)] and sum(map(len, got)) >= 8
+    assert len(tried) < 0.4 * 11 * 60
+    assert [x[:1] for x in got] == seeds.joined(strings, before, 0.8, True)
